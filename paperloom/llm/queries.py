@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from paperloom.llm import pii
+from paperloom.llm import mixing, pii, url_filter, warc
+from paperloom.llm.shared import cut
 
 QUERIES = {}
 ORACLE = {}
@@ -18,3 +19,28 @@ def op3_personal_data(spark, sf_dir):
 
 
 QUERIES["op3_personal_data"] = op3_personal_data
+
+
+def op6_mixing(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sized = cut(mixing.with_sizes(docs).select("doc_id", "source", "size"))
+    return mixing.mix(sized, sized.count()).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES["op6_mixing"] = op6_mixing
+
+
+def op7_warc(spark, sf_dir):
+    got = warc.round_trip(_read(spark, sf_dir, "pages"))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES["op7_warc"] = op7_warc
+
+
+def op10_url_filter(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+QUERIES["op10_url_filter"] = op10_url_filter
