@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from paperloom.llm import mixing, pii, url_filter, warc
+from pyspark.sql import functions as F
+
+from paperloom.llm import decontaminate, language, mixing, pii, tokens, url_filter, warc
 from paperloom.llm.shared import cut
 
 QUERIES = {}
@@ -44,3 +46,29 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES["op10_url_filter"] = op10_url_filter
+
+
+def op1_decontaminate(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op1_decontaminate"] = op1_decontaminate
+
+
+def op2_language(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.predict(docs, language.train(docs))
+
+
+QUERIES["op2_language"] = op2_language
+
+
+def op4_token_counts(spark, sf_dir):
+    """Counts before and after the edits that redact personal data."""
+    docs = pii.find_personal_data(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    edits = F.transform("pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("replacement")))
+    return tokens.counted(docs, edits).select("doc_id", "n_tokens", "n_tokens_edited", "n_leaves", "chars_again")
+
+
+QUERIES["op4_token_counts"] = op4_token_counts
