@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, language, mixing, pii, tokens, url_filter, warc
+from paperloom.llm import decontaminate, language, mixing, pii, quality, tokens, url_filter, warc
 from paperloom.llm.shared import cut
 
 QUERIES = {}
@@ -72,3 +72,12 @@ def op4_token_counts(spark, sf_dir):
 
 
 QUERIES["op4_token_counts"] = op4_token_counts
+
+
+def op9_quality(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    trusted = _read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality.judge(docs, trusted).select("doc_id", "lang", "perplexity", "excess", "threshold", "keep")
+
+
+QUERIES["op9_quality"] = op9_quality
