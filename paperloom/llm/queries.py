@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, language, mixing, pii, quality, tokens, url_filter, warc
+from paperloom.llm import decontaminate, language, mixing, ngram_join, pii, quality, tokens, url_filter, warc
 from paperloom.llm.shared import cut
 
 QUERIES = {}
@@ -81,3 +81,11 @@ def op9_quality(spark, sf_dir):
 
 
 QUERIES["op9_quality"] = op9_quality
+
+
+def op8_ngram_join(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.join_similar(docs).drop("key")
+
+
+QUERIES["op8_ngram_join"] = op8_ngram_join
