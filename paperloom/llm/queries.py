@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, language, mixing, ngram_join, pii, quality, tokens, url_filter, warc
+from paperloom.llm import decontaminate, language, mixing, ngram_join, nn_descent, pii, quality, tokens, url_filter, warc
 from paperloom.llm.shared import cut
 
 QUERIES = {}
@@ -89,3 +89,10 @@ def op8_ngram_join(spark, sf_dir):
 
 
 QUERIES["op8_ngram_join"] = op8_ngram_join
+
+
+def op5_nn_descent(spark, sf_dir):
+    return nn_descent.near_duplicates(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES["op5_nn_descent"] = op5_nn_descent
