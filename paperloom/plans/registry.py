@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from paperloom.plans import aggregates, evaluation, joining, ranking, rows, scoring, texts, windows
+from paperloom.plans.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "entry"]
+_MODULES = (aggregates, evaluation, joining, ranking, rows, scoring, texts, windows)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
