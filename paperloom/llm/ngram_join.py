@@ -9,13 +9,14 @@ A document's set holds its distinct ``WORDS``-word shingles as 64-bit hashes; tw
    that is frequent within a block is sent once, so a hot column has at most one entry a block.
 2. Equal sets are one class; only one text of each surviving class is read again.
 3. Over these classes the rows are cut to prefixes in order of column frequency (rarest first): linked sets share a
-   column of their prefixes. Every class is first compared with the one class of its column's ends it meets most often,
-   which joins large groups by their number of rows, not pairs. What is still apart is counted in full: overlaps of the
-   prefixes are accumulated by pair, and a pair is dropped when the count cannot reach the needed overlap any more.
+   column of their prefixes and have sizes within a factor. Classes that share one, directly or by others, form a group;
+   each group is dealt into chunks, and every pair of chunks is multiplied: overlaps are accumulated over blocks of
+   columns, pairs below the bound are discarded in the task, and only links that join classes come out, so the rows made
+   grow with the classes and chunks, not with the pairs.
 4. Links of classes become components; each document gets the smallest id of its component.
 
-No links between different texts that join two components are lost: every pair of classes in different components that
-shares a prefix column is either bounded away or verified on whole sets.
+No links between different texts that join two components are lost: every pair of classes that shares a prefix column is
+in one group and is verified on whole sets.
 
 Null and empty texts and texts without words have an empty set and link with nothing. A text with fewer words has its
 whole word sequence as its only shingle. Rows with a null id take part; a component's id is its smallest id that is not
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +39,14 @@ from paperloom.llm.shared import components, cut, parts_for, text_bytes, written
 WORDS = 5
 SIMILAR = 80
 BLOCK_ROWS = 4096
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 SHARD_BYTES = 12_000_000
 HASH_BITS = 48
 MANY = 0xFFFF
+#: A chunk of a group holds about so many sets or shingles; a product is made over so many columns at a time.
+CHUNK_SETS = 256
+CHUNK_SHINGLES = 400_000
+COLUMNS = 8192
 #: Class keys of up to so many rows (of about 30 bytes) are broadcast when the texts are read again.
 BROADCAST_ROWS = 1_000_000
 
@@ -195,45 +201,84 @@ def _class_sets(docs: DataFrame, classes: DataFrame, id_col: str, text: str, siz
     return written(sets.withColumn("cid", F.monotonically_increasing_id()), "shingle-sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    one = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("ha"))
-    two = sets.select(F.col("cid").alias("b"), F.col("hashes").alias("hb"))
-    met = pairs.select("a", "b").join(one, "a").join(two, "b")
-    met = met.select("a", "b", F.size(F.array_intersect("ha", "hb")).cast("long").alias("both"), (F.size("ha") + F.size("hb")).cast("long").alias("sum"))
-    return met.where(100 * F.col("both") >= similar * (F.col("sum") - F.col("both"))).select("a", "b")
+def overlaps(values: np.ndarray, sizes: np.ndarray, left: int, width: int = COLUMNS) -> np.ndarray:
+    """Overlap counts of the first ``left`` sets with the others: the sparse product, accumulated over blocks of columns.
+
+    ``values`` holds the sets one after the other, ``sizes`` their lengths. With ``left`` = all, all are met with all.
+    """
+    columns, place = np.unique(values, return_inverse=True)
+    place = place.ravel().astype(np.int32)
+    order = np.argsort(place, kind="stable")
+    rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+    place = place[order]
+    right = slice(0, left) if left == len(sizes) else slice(left, None)
+    out = np.zeros((left, left if left == len(sizes) else len(sizes) - left), dtype=np.float32)
+    for lo in range(0, len(columns), width):
+        i, j = np.searchsorted(place, [lo, lo + width])
+        m = np.zeros((len(sizes), min(width, len(columns) - lo)), dtype=np.float32)
+        m[rows[i:j], place[i:j] - lo] = 1.0
+        out += m[:left] @ m[right].T
+    return out.astype(np.int64)
+
+
+def joined(on: np.ndarray) -> np.ndarray:
+    """Smallest node reachable from each node of a symmetric link matrix."""
+    label = np.arange(len(on))
+    while True:
+        near = np.where(on, label[None, :], len(on)).min(1)
+        new = np.minimum(label, near)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _product(similar: int):
+    """Pairs of chunks to the links that join their classes: at most one a class and pair of chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two in zip(batch["one"], batch["two"], strict=True):
+                parts = [x.values for x in (one, two) if len(x.values)]
+                ids = np.concatenate([p.field("cid").to_numpy() for p in parts])
+                sizes = np.concatenate([p.field("hashes").value_lengths().to_numpy() for p in parts])
+                values = np.concatenate([p.field("hashes").flatten().to_numpy() for p in parts])
+                left = len(parts[0])
+                both = overlaps(values, sizes, left)
+                own, other = sizes[:left].astype(np.int64), (sizes if left == len(ids) else sizes[left:]).astype(np.int64)
+                on = 100 * both >= similar * (own[:, None] + other[None, :] - both)
+                if left < len(ids):
+                    hit, on = on, np.zeros((len(ids), len(ids)), dtype=bool)
+                    on[:left, left:] = hit
+                    on[left:, :left] = hit.T
+                label = joined(on)
+                moved = np.flatnonzero(label != np.arange(len(ids)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["a", "b"])
+
+    return run
 
 
 def class_links(sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """Links (a, b) between classes, enough of them to join every component: see step 3 of the module's text."""
-    need = lambda n: F.ceil(n * similar / 100)
+    """Pairs (a, b) of classes that join every component: see step 3 of the module's text."""
     e = sets.select("cid", "n", F.explode("hashes").alias("h"))
     df = e.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    e = e.join(df, "h")
-    rows = e.groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("cols"))
+    rows = e.join(df, "h").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("cols"))
     # columns of frequency 1 come first in the order and meet nobody; what is left of the prefix is this
-    left = (F.col("n") - need(F.col("n")) + 1 - (F.col("n") - F.size("cols"))).cast("int")
-    rows = rows.withColumn("left", left).where("left > 0").select("cid", "n", F.explode(F.slice("cols", 1, F.col("left"))).alias("c"))
-    prefix = written(rows.select("cid", "n", F.col("c.h").alias("h")), "shingle-prefixes")
-
-    ends = prefix.groupBy("h").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi")
-    met = prefix.join(ends, "h")
-    met = met.select(F.col("cid").alias("x"), F.explode(F.array("lo", "hi")).alias("end")).where("x <> end")
-    met = met.groupBy("x", "end").agg(F.count("*").alias("c")).groupBy("x").agg(F.max_by("end", F.struct("c", F.lit(-1) * F.col("end"))).alias("end"))
-    first = cut(_verified(met.select(F.least("x", "end").alias("a"), F.greatest("x", "end").alias("b")).distinct(), sets, similar))
-
-    roots = components(first)
-    label = F.coalesce("root", "cid")
-    tagged = prefix.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "n", "h", label.alias("label"))
-    apart = tagged.groupBy("h").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2").select("h")
-    tagged = cut(tagged.join(apart, "h"))
-    one, two = (tagged.select("h", *[F.col(c).alias(f"{c}{i}") for c in ("cid", "n", "label")]) for i in (1, 2))
-    pairs = one.join(two, "h").where("cid1 < cid2 and label1 <> label2").where(100 * F.least("n1", "n2") >= similar * F.greatest("n1", "n2"))
-    pairs = pairs.groupBy("cid1", "cid2", "n1", "n2").agg(F.count("*").alias("c"))
-    # an overlap column outside the shared prefixes lies behind one of the prefixes
-    behind = F.greatest(need(F.col("n1")), need(F.col("n2"))) - 1
-    pairs = pairs.where((F.col("c") + behind) * (100 + similar) >= similar * (F.col("n1") + F.col("n2")))
-    second = _verified(pairs.select(F.col("cid1").alias("a"), F.col("cid2").alias("b")), sets, similar)
-    return first.unionByName(second)
+    left = (F.size("cols") - F.ceil(F.col("n") * similar / 100) + 1).cast("int")
+    prefix = rows.where(left > 0).select("cid", "n", F.explode(F.slice("cols", F.lit(1), left)).alias("c")).select("cid", "n", F.col("c.h").alias("h"))
+    # sets link only within a factor of their sizes: columns are split into bands of size, each row in two of them
+    band = F.floor(F.log(100.01 / similar, F.col("n"))).cast("int")
+    prefix = written(prefix.select("cid", F.explode(F.array(band, band + 1)).alias("band"), "h"), "shingle-prefixes")
+    ends = prefix.groupBy("h", "band").agg(F.min("cid").alias("a"), F.max("cid").alias("hi")).where("a < hi").drop("hi")
+    near = prefix.join(ends, ["h", "band"]).where("cid <> a").select("a", F.col("cid").alias("b")).distinct()
+    groups = cut(components(near).withColumnRenamed("node", "cid").withColumnRenamed("root", "grp"))
+    sized = sets.select("cid", "n").join(groups, "cid").groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("chunks"))
+    rows = sets.join(groups, "cid").join(sized, "grp").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")))
+    chunks = written(rows.groupBy("grp", "chunk").agg(F.collect_list(F.struct("cid", "hashes")).alias("sets")), "shingle-chunks")
+    one, two = (chunks.select("grp", F.col("chunk").alias(f"c{i}"), F.col("sets").alias(n)) for i, n in ((1, "one"), (2, "two")))
+    alone = chunks.select(F.col("sets").alias("one"), F.array().cast(dict(chunks.dtypes)["sets"]).alias("two"))
+    pairs = one.join(two, "grp").where("c1 < c2").select("one", "two")
+    return alone.unionByName(pairs).repartition(parts_for(sets.count(), 500, 8)).mapInArrow(_product(similar), "a long, b long")
 
 
 def join_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = WORDS, similar: int = SIMILAR) -> DataFrame:
