@@ -94,6 +94,8 @@ class Matcher:
     def windows(self, text: str) -> dict[int, list[list[int]]]:
         """Item -> joined windows of ``text`` where it may lie, by their start."""
         out: dict[int, list[list[int]]] = {}
+        if not self.items:
+            return out
         for end, (size, uses) in self.automaton.iter(text):
             for n, at in uses:
                 k, length = self.items[n][2], len(self.items[n][1])

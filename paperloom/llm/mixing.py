@@ -54,21 +54,23 @@ def targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
 def mix(df: DataFrame, rows: int, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, seed: str = SEED, id_col: str = "doc_id") -> DataFrame:
     """``df`` has ``source``, ``size`` and ``id_col``; ``rows`` is its number of rows (for the number of ranges).
 
-    Adds source_size, target and taken (words the mix takes of this row, repeats counted). All other columns stay.
+    Adds source_size, target and taken (words the mix takes of this row, repeats counted). All other columns stay
+    (columns of these three names are replaced).
     """
     ranges = parts_for(rows, RANGE_ROWS)
     key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(f":{seed}")))
+    df = df.drop("source_size", "target", "taken")
     keyed = df.withColumn("__key", key).withColumn("__range", F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("double") * ranges / 2**32).cast("long"))
-    sums = keyed.groupBy("source", "__range").agg(F.sum("size").alias("range_size"))
-    totals = sums.groupBy("source").agg(F.sum("range_size").alias("source_size"))
+    sums = keyed.groupBy("source", "__range").agg(F.sum("size").alias("__size"))
+    totals = sums.groupBy("source").agg(F.sum("__size").alias("source_size"))
     run = Window.partitionBy("source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("offset", F.coalesce(F.sum("range_size").over(run), F.lit(0))).drop("range_size")
+    offsets = sums.withColumn("__offset", F.coalesce(F.sum("__size").over(run), F.lit(0))).drop("__size")
     t = targets(totals, weights, share, most).withColumnRenamed("source", "__s1")
     offsets = offsets.join(t, F.col("source").eqNullSafe(F.col("__s1"))).drop("__s1")
     offsets = offsets.withColumnRenamed("source", "__s2").withColumnRenamed("__range", "__r2")
     placed = keyed.join(offsets, (F.col("__range") == F.col("__r2")) & F.col("source").eqNullSafe(F.col("__s2"))).drop("__s2", "__r2")
-    before = F.col("offset") + F.coalesce(F.sum("size").over(Window.partitionBy("source", "__range").orderBy("__key", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.col("__offset") + F.coalesce(F.sum("size").over(Window.partitionBy("source", "__range").orderBy("__key", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.floor(F.col("target")).cast("long") - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("__before")))
-    return placed.withColumn("__before", before).withColumn("taken", taken.cast("long")).drop("__before", "offset", "__key", "__range")
+    return placed.withColumn("__before", before).withColumn("taken", taken.cast("long")).drop("__before", "__offset", "__key", "__range")

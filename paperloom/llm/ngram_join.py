@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,8 +100,8 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
 
 
 def _messages(shards: int, size: int):
-    def close(ids: list, sets: list[np.ndarray]) -> pd.DataFrame:
-        block = xxhash.xxh3_64_intdigest(repr(ids).encode() + b"".join(set_key(s) or b"-" for s in sets)) >> 1
+    def close(made: int, ids: list, sets: list[np.ndarray]) -> pd.DataFrame:
+        block = xxhash.xxh3_64_intdigest(repr((TaskContext.get().partitionId(), made, ids)).encode() + b"".join(set_key(s) or b"-" for s in sets)) >> 1
         owners = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
         all_ = np.concatenate(sets) >> np.uint64(64 - HASH_BITS) if sets else np.empty(0, np.uint64)
         order = np.argsort(all_, kind="stable")
@@ -120,17 +121,17 @@ def _messages(shards: int, size: int):
         return _frame(rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, sets, chars = [], [], 0
+        made, ids, sets, chars = 0, [], [], 0
         for batch in batches:
             for key, text in zip(batch["id"], batch["text"], strict=True):
                 ids.append(key)
                 sets.append(shingles(text, size))
                 chars += len(text) if text else 0
                 if len(ids) >= BLOCK_ROWS or chars >= BLOCK_CHARS:
-                    yield close(ids, sets)
-                    ids, sets, chars = [], [], 0
+                    yield close(made, ids, sets)
+                    made, ids, sets, chars = made + 1, [], [], 0
         if ids:
-            yield close(ids, sets)
+            yield close(made, ids, sets)
 
     return run
 

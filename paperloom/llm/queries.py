@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.llm import decontaminate, language, mixing, ngram_join, nn_descent, pii, quality, tokens, url_filter, warc
+from paperloom.llm.oracles import ORACLE
 from paperloom.llm.shared import cut
 
 QUERIES = {}
-ORACLE = {}
+__all__ = ["ORACLE", "QUERIES"]
 
 
 def _read(spark, sf_dir, table):

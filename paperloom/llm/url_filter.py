@@ -6,7 +6,7 @@ both labelled sets have the same distance in standard deviations. Only DataFrame
 
 A null URL, or one without ``://``, has empty host and path and meets no rule; its text is what there is. Equal URLs
 share one score. With no accepted (or no rejected) examples every other URL gets the label that has examples, and
-``allow`` if there are none at all. Extra columns are ignored.
+``allow`` if there are none at all. Other columns pass through; those with a name of ``OWN`` are replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from paperloom.llm.shared import cut
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORDER = 5
+OWN = ["text", "host", "path", "rule", "rule_verdict", "verdict", "score", "threshold"]
 START, END = "\x02", "\x03"
 #: A table of gram scores of up to so many rows (of about 50 bytes) is broadcast; beyond that the join is shuffled, salted.
 BROADCAST_ROWS = 1_000_000
@@ -70,7 +71,7 @@ def gram_scores(counts: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """Adds host, path, rule, verdict, score and threshold to every row of ``pages``."""
-    p = parts(pages, url)
+    p = parts(pages.drop(*[c for c in OWN if c != url]), url)
     p = p.withColumn("rule", rule_column("name", rules)).withColumn("rule_verdict", rule_column("verdict", rules))
     texts = cut(p.groupBy("text").agg(F.count_if(F.col("rule_verdict") == "allow").alias("acc"), F.count_if(F.col("rule_verdict") == "block").alias("rej")))
     texts = cut(texts.withColumn("tid", F.monotonically_increasing_id()))

@@ -1,0 +1,414 @@
+"""The ten operators against brute force on small, messy rows: nulls, empty and long texts, ties, repeats, empty tables."""
+
+import gzip
+import hashlib
+import io
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from paperloom.llm import decontaminate, language, mixing, ngram_join, nn_descent, pii, quality, tokens, url_filter, warc
+
+WORDS = "the of and into signal graph paper method result under above never river stone light sound table window garden market".split()
+
+
+def text(rng, n):
+    return " ".join(rng.choice(WORDS) + rng.choice(["", "s", "ing", "ed"]) for _ in range(n))
+
+
+def frame(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+# -- 1
+
+
+def edit_distance_inside(p, t):
+    row = [0] * (len(t) + 1)
+    for i, c in enumerate(p, 1):
+        new = [i]
+        for j, d in enumerate(t, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def test_myers():
+    rng = random.Random(1)
+    for _ in range(200):
+        p = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 80)))
+        t = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 120)))
+        want = edit_distance_inside(p, t)
+        got = decontaminate.myers_best(decontaminate.bits_of(p), len(p), t, len(p))
+        assert (got[0] if got else len(p)) == want
+
+
+def test_leaks(spark):
+    rng = random.Random(2)
+    items = [(i, text(rng, 20)) for i in range(5)] + [(9, None), (10, "")]
+    edited = items[1][1].replace("e", "x", 3)
+    docs = [(1, text(rng, 50) + " " + items[0][1].upper() + "! " + text(rng, 10)), (2, text(rng, 3000) + " " + edited + " " + text(rng, 3000)), (3, text(rng, 100)), (4, None), (5, ""), (1, items[0][1]), (None, items[2][1])]
+    d = frame(spark, docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
+    for block in (decontaminate.BLOCK_CHARS, 100):
+        got = decontaminate.find_leaks(d, frame(spark, items, "item_id long, text string"), block_chars=block).collect()
+        assert sorted([(r.doc_id or 0, r.item_id, r.distance) for r in got]) == [(0, 2, 0), (1, 0, 0), (1, 0, 0), (2, 1, 3)]
+    assert decontaminate.find_leaks(d.limit(0), frame(spark, items, "item_id long, text string")).count() == 0
+    assert decontaminate.find_leaks(d, frame(spark, [], "item_id long, text string")).count() == 0
+
+
+# -- 2
+
+
+def test_language(spark):
+    rng = random.Random(3)
+    alphabets = {"aa": "abcde", "bb": "defgh", "cc": "ghijk"}
+    rows = []
+    for i in range(300):
+        lang = rng.choice(list(alphabets))
+        rows.append((i, " ".join("".join(rng.choice(alphabets[lang]) for _ in range(5)) for _ in range(rng.choice([5, 60]))), lang))
+    rows += [(1000, None, "aa"), (1001, "12 !", "bb"), (1002, "", None), (1003, "abcde " * 20000, None), (None, "abc abc", "aa"), (5, rows[5][1], rows[5][2])]
+    df = frame(spark, rows, "doc_id long, text string, lang string")
+    got = language.predict(df, language.train(df)).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    assert by[1000].lang_pred == by[1001].lang_pred == by[1002].lang_pred == "und" and by[1002].score == 0
+    assert by[1003].lang_pred == "aa"
+    held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 300]
+    assert len(held) > 30 and sum(r.lang_pred == rows[r.doc_id][2] for r in held) / len(held) > 0.97
+    assert all(0 <= r.score <= 1 for r in got) and all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in held)
+    assert language.train(df.limit(0)) is None
+    assert {r.lang_pred for r in language.predict(df, None).collect()} == {"und"}
+
+
+# -- 3
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def base_spans(t):
+    out = []
+    for n, (kind, p) in enumerate(BASE.items()):
+        for m in re.finditer(p, t or ""):
+            v, d = m.group(0), re.sub("[^0-9]", "", m.group(0))
+            if {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in v.split(".")), "card": 12 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]:
+                out.append((m.start(), n, f"{kind}:{m.start()}:{m.end()}"))
+    return ",".join(x[2] for x in sorted(out))
+
+
+def test_personal_data(spark):
+    rng = random.Random(4)
+    bits = ["a@b.com", "a@b.com_x@d.org", "x@y", "1.2.3.4", "1.2.3.4.5.6.7.8", "300.1.1.1", "001.002.003.4", "4111 1111 1111 1111", "4111-1111-1111-1112", "4111  1111 1111 1111", "+1 (988) 555-2485", "+12", "+1 2 3 4 5 6 7 8 9 0 ", " ", "é😀", ",", "12", "-", "a", "@", ".", "+", "2485 4132264652876 "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(400)] + [None, "", "a" * 100_000 + "@", "1 " * 50_000, "a.a." * 20_000, "9" * 100_000]
+    df = frame(spark, list(enumerate(texts)), "doc_id long, text string").withColumn("start", F.lit(1)).withColumn("pii_", F.lit("x"))
+    for r in pii.digest(pii.find_personal_data(df)).collect():
+        want = base_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), (texts[r.doc_id], r.spans, want)
+    assert pii.digest(pii.find_personal_data(df.limit(0))).count() == 0
+    one = frame(spark, [(1, "my bank account is GB82 WEST 1234 5698 7654 32 and a@b.com, not GB83 WEST 1234 5698 7654 32")], "doc_id long, text string")
+    found = pii.find_personal_data(one)
+    assert "iban:19:46" in pii.digest(found).first()["spans"]
+    assert pii.redact(found).first()["text"].startswith("my bank account is [IBAN] and [EMAIL], not GB83")
+
+
+# -- 4
+
+
+def test_token_counts(spark):
+    count = tokens.counter(open(tokens.VOCABULARY, "rb").read())
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        t = "".join(rng.choice(["ab ", "the ", "é", " ", "\n", "x", "don't ", "12 ", ". ", "wor"]) for _ in range(rng.choice([0, 3, 900])))
+        edits = [(rng.randint(0, len(t) + 3), rng.randint(0, len(t) + 30), rng.choice(["", " ", "new words", "x"])) for _ in range(rng.randint(0, 4))]
+        rows.append((i, t, edits))
+    rows += [(100, None, None), (101, "", []), (102, "no edits here " * 3000, None), (None, "a b", [(0, 1, "c")])]
+    df = frame(spark, rows, "doc_id long, text string, e array<struct<start:int,end:int,replacement:string>>")
+    got = {r.doc_id: r for r in tokens.counted(df, F.col("e")).collect()}
+    for i, t, edits in rows:
+        t = t or ""
+        out, at, done = [], 0, 0
+        for a, b, new in sorted(edits or [], key=lambda e: e[:2]):
+            a, b = max(done, min(a, len(t))), max(done, min(b, len(t)))
+            b = max(a, b)
+            out += [t[at:a], new]
+            at = done = b
+        r = got[i]
+        assert r.n_tokens == count(t) and r.n_tokens_edited == count("".join(out) + t[at:])
+        assert r.tree[1] == r.n_tokens_edited
+    assert got[102].chars_again == 0
+    long_ = frame(spark, [(1, "some words in a row " * 2000, [(500, 505, "other")])], df.schema)
+    assert 0 < tokens.counted(long_, F.col("e")).first()["chars_again"] < 4000
+
+
+# -- 5
+
+
+def test_near_vectors(spark):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((40, 16))
+    x = np.vstack([rng.standard_normal((300, 16)), *[b + 0.12 * rng.standard_normal((rng.integers(1, 40), 16)) for b in base], base[:3]])
+    rows = [(i, [float(f) for f in v]) for i, v in enumerate(x)]
+    n = len(rows)
+    rows += [(n, None), (n + 1, [0.0] * 16), (n + 2, [float("nan")] + [1.0] * 15), (n + 3, [1e300] * 16), (n + 4, [1e-300] * 16), (n + 5, rows[0][1])]
+    df = frame(spark, rows, "vec_id long, embedding array<double>").withColumn("nid", F.lit(0))
+    got = {r.vec_id: r for r in nn_descent.near_duplicates(df).collect()}
+    y = np.vstack([x, np.zeros((3, 16)), np.ones((2, 16)), x[:1]])
+    norm = np.sqrt((y * y).sum(1))
+    s = (y @ y.T) / np.maximum(norm[:, None] * norm[None, :], 1e-300)
+    on = s >= 0.9
+    np.fill_diagonal(on, False)
+    label = ngram_join.joined(on)
+    assert [got[i].n_links for i in range(len(y))] == on.sum(1).tolist()
+    assert [got[i].component_id for i in range(len(y))] == label.tolist()
+    assert all(got[i].kept == (label[i] == i) for i in range(len(y)))
+    assert nn_descent.near_duplicates(df.limit(0)).count() == 0
+
+
+# -- 6
+
+
+def test_mixing(spark):
+    rng = random.Random(7)
+    rows = [(i, f"s{rng.choice('aaab')}" if i % 50 else None, text(rng, rng.randint(0, 40))) for i in range(500)] + [(None, "sa", None), (3, "sa", "twice"), (3, "sa", "twice"), (900, "zero", " ")]
+    df = mixing.with_sizes(frame(spark, rows, "doc_id long, source string, text string")).withColumn("offset", F.lit(1))
+    out = [sorted(map(tuple, mixing.mix(df, len(rows)).select("doc_id", "source", "size", "source_size", "target", "taken").collect()), key=repr) for _ in range(2)]
+    assert out[0] == out[1] and len(out[0]) == len(rows)
+    sizes, taken, target = {}, {}, {}
+    for _, s, size, total, t, got in out[0]:
+        sizes[s] = sizes.get(s, 0) + size
+        taken[s] = taken.get(s, 0) + got
+        target[s] = t
+        assert 0 <= got <= 2 * size
+    assert sum(target.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    weights = dict(zip(sorted(x for x in sizes if x) + [None], [5, 2, 1, 5], strict=True))
+    free = [s for s in sizes if target[s] < 2 * sizes[s]]
+    assert len({round(target[s] / weights[s], 6) for s in free}) <= 1
+    for s in sizes:
+        assert target[s] <= 2 * sizes[s] and abs(taken[s] - target[s]) < 1
+    assert mixing.mix(df.limit(0), 0).count() == 0
+
+
+# -- 7
+
+
+def test_warc(spark):
+    big = "é" * 600
+    rows = [(1, "http://a/", big), (2, "http://b/\r\nX: y", big), (3, None, "small"), (4, "http://c/", "small"), (5, "u", None), (6, "u", ""), (2, "again", big), (7, "http://d", "x\r\n\r\nWARC/1.1\r\n" * 200), (None, "n", big)]
+    df = frame(spark, rows, "page_id long, url string, html string").withColumn("payload", F.lit(1))
+    got = warc.round_trip(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = next(h or "" for p, _, h in rows if p == r.page_id)
+        assert r.payload_bytes == len(want.encode()) and r.payload_digest == hashlib.sha1(want.encode()).hexdigest()
+    kinds = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in got)
+    assert kinds == [(0, "revisit", 2), (1, "revisit", 2), (2, "response", None), (2, "response", None), (3, "response", None), (4, "response", None), (5, "response", None), (6, "response", None), (7, "response", None)]
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_inflate():
+    data = b"0123456789" * 50_000
+    assert b"".join(warc.inflate(gzip.compress(data), 1000)) == data
+    assert b"".join(warc.inflate(gzip.compress(data[:77]) + gzip.compress(data), 333)) == data[:77] + data
+    record = b"WARC/1.1\r\nContent-Length: 5\r\n\r\nab\r\nc\r\n\r\n"
+    assert list(warc.records_of(io.BytesIO(record * 3))) == [record] * 3
+    with pytest.raises(ValueError):
+        list(warc.records_of([record[:-1]]))
+
+
+# -- 8
+
+
+def shingle_set(t):
+    w = (t or "").encode().lower().split()
+    return frozenset([(len(w), *w)]) if 0 < len(w) < 5 else frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+
+def test_ngram_join(spark):
+    rng = random.Random(8)
+    rows = []
+    for g in range(12):
+        words = text(rng, rng.choice([6, 30, 200])).split()
+        for _ in range(rng.choice([1, 2, 30])):
+            w = list(words)
+            for _ in range(rng.choice([0, 0, 1, 2, 6])):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(1000)}"
+            rows.append(" ".join(w))
+    rows += [text(rng, 100) for _ in range(100)] + [None, "", " \n", "one two", "ONE  two", "one two three", "A" * 1000, "ab " * 30_000, "ab " * 29_000]
+    df = frame(spark, list(enumerate(rows)), "doc_id long, text string").withColumn("key", F.lit("clash")).withColumn("n", F.lit(1))
+    got = {r.doc_id: r for r in ngram_join.join_similar(df).collect()}
+    sets = [shingle_set(t) for t in rows]
+    on = np.array([[bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b) for b in sets] for a in sets])
+    label = ngram_join.joined(on)
+    assert [got[i].n_shingles for i in range(len(rows))] == [len(s) for s in sets]
+    assert [got[i].component_id for i in range(len(rows))] == label.tolist()
+    assert ngram_join.join_similar(df.limit(0)).count() == 0
+    twice = frame(spark, [(7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (8, "x")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id) for r in ngram_join.join_similar(twice).collect()) == [(0, 7), (7, 7), (7, 7), (8, 8)]
+
+
+def test_sparse_product():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 500, rng.integers(1, 200))) for _ in range(30)]
+    values, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert (ngram_join.overlaps(values, sizes, 30, 64) == want).all()
+    assert (ngram_join.overlaps(values, sizes, 10, 64) == want[:10, 10:]).all()
+
+
+def test_squeeze():
+    x = np.unique(np.random.default_rng(1).integers(0, 2**48, 1000, dtype=np.uint64))
+    assert (ngram_join.expand(ngram_join.squeeze(x)) == x).all()
+
+
+# -- 9
+
+
+def kneser_ney(words, order=quality.ORDER):
+    """The same model by dictionaries: function of a gram (last character given the rest)."""
+    raw = {}
+    for w in words:
+        for g in quality_grams(w):
+            raw[g] = raw.get(g, 0) + 1
+    seen = {g[i:] for g in raw for i in range(len(g))}
+    n = {g: c for g, c in raw.items() if g[0] == "^" or len(g) == order}
+    for g in seen:
+        if len(g) > 1:
+            n[g[1:]] = n.get(g[1:], 0) + 1 if not (g[1:] in raw and len(g[1:]) == order) else n[g[1:]]
+    d = {}
+    for k in range(1, order + 1):
+        c = [sum(1 for g in n if len(g) == k and n[g] == i) for i in range(5)]
+        y = c[1] / (c[1] + 2 * c[2]) if c[1] + 2 * c[2] else 0.5
+        d[k] = [max(0.1, min(i - 0.1, i - (i + 1) * y * c[i + 1] / c[i] if c[i] else 0.5 * i)) for i in (1, 2, 3)]
+    paid = lambda g: d[len(g)][min(n[g], 3) - 1]
+    total, taken, types = {}, {}, {}
+    for g in n:
+        total[g[:-1]] = total.get(g[:-1], 0) + n[g]
+        taken[g[:-1]] = taken.get(g[:-1], 0) + paid(g)
+        types[g[:-1]] = types.get(g[:-1], 0) + 1
+
+    def p(g):
+        low = p(g[1:]) if len(g) > 1 else 1 / (types[""] + 1)
+        if g[:-1] not in total:
+            return low
+        gamma = taken[g[:-1]] / total[g[:-1]]
+        return ((n[g] - paid(g)) / total[g[:-1]] if g in n else 0) + gamma * low
+
+    return p
+
+
+def quality_grams(w):
+    if w == "\x01":
+        return ["^\x01"]
+    s = f"^{w}$"
+    return [s[max(0, i - quality.ORDER + 1) : i + 1] for i in range(1, len(s))]
+
+
+def marked(t):
+    out, last = [], None
+    for w in re.sub("[0-9]", "0", t).split():
+        out.append("\x01" if w == last else w)
+        last = w
+    return out
+
+
+def test_quality(spark):
+    rng = random.Random(10)
+    rows = [(i, text(rng, rng.randint(3, 60)), "en") for i in range(80)]
+    rows += [(200, "QZXJ!! ##### |||| %%%% @@@@ ^^ $$ ~~~~ QZXJ!! ####", "en"), (201, "garden " * 60, "en"), (202, None, "en"), (203, "", None), (204, "anything at all", "xx"), (205, None, None), (3, rows[3][1], "en"), (None, "the garden", "en"), (206, "word " + "é" * 50_000, "en")]
+    df = frame(spark, rows, "doc_id long, text string, lang string").withColumn("keep", F.lit("clash"))
+    trusted = frame(spark, [(i,) for i in range(60)] + [(None,), (3,)], "doc_id long")
+    got = {(r.doc_id, r.lang): r for r in quality.judge(df, trusted).collect()}
+    p = kneser_ney([w for i, t, _ in rows if i is not None and i < 60 for w in marked(t)])
+    for i, t, lang in rows:
+        r = got[(i, lang)]
+        if not t or lang != "en":
+            assert r.keep and r.perplexity is None
+            continue
+        g = [x for w in marked(t.replace("^", "\x02").replace("$", "\x03")) for x in quality_grams(w)]
+        want = float(np.exp(-np.mean([np.log(p(x)) for x in g])))
+        assert r.perplexity == pytest.approx(want, rel=1e-6), (t[:50], r.perplexity, want)
+    assert not got[(200, "en")].keep and not got[(201, "en")].keep
+    assert np.mean([got[(i, "en")].keep for i in range(80)]) > 0.95
+    assert quality.judge(df.limit(0), trusted).count() == 0
+    assert all(r.keep for r in quality.judge(df, trusted.limit(0)).collect())
+
+
+# -- 10
+
+
+def split_url(u):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+    return (m.group(1).translate(str.maketrans(url_filter.UPPER, url_filter.LOWER)), m.group(2)) if m else ("", "")
+
+
+def rule_of(host, path):
+    fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits)[1:] if fits else (None, None)
+
+
+def brute_scores(texts):
+    """Score of each distinct text from (text, accepted, rejected) counts."""
+    k, pad = url_filter.ORDER, url_filter.START * (url_filter.ORDER - 1)
+    grams = lambda t: [(pad + t + url_filter.END)[i : i + k] for i in range(len(t) + 1)]
+    out = {t: 0.0 for t in texts}
+    alphabet = {g[-1] for t in texts for g in grams(t)}
+
+    def model(c):
+        n, ctx, kinds = {}, {}, {}
+        for t, counts in texts.items():
+            for g in grams(t):
+                for j in range(k):
+                    n[g[j:]] = n.get(g[j:], 0) + counts[c]
+        for g, x in n.items():
+            ctx[g[:-1]] = ctx.get(g[:-1], 0) + x
+            kinds[g[:-1]] = kinds.get(g[:-1], 0) + (x > 0)
+
+        def p(g):
+            low = p(g[1:]) if len(g) > 1 else 1 / (len(alphabet) + 1)
+            return (n[g] + kinds[g[:-1]] * low) / (ctx[g[:-1]] + kinds[g[:-1]]) if ctx[g[:-1]] > 0 else low
+
+        return p
+
+    probs = [model(0), model(1)]
+    for t in texts:
+        out[t] = float(np.mean([np.log(probs[0](g)) - np.log(probs[1](g)) for g in grams(t)]))
+    return out
+
+
+def test_url_filter(spark):
+    rng = random.Random(11)
+    hosts = ["a.example.net", "example.net", "b.example.com", "c.example.org", "org", "net.org", "XNET", "bad.NET", "free.com"]
+    urls = [f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}{rng.choice(['', '/', '/en/', '/de/', '/fr/', '/fr'])}{rng.choice(['', 'x?q=http://z/', '#f', '?a/de/'])}" for _ in range(300)]
+    urls += [None, "", "no scheme", "a://", "://h/p", "http://x/\ny", "http://e.net/" + "long/" * 3000]
+    df = frame(spark, list(enumerate(urls)), "page_id long, url string").withColumn("text", F.lit("clash")).withColumn("score", F.lit(1))
+    got = url_filter.judge(df).collect()
+    assert len(got) == len(urls)
+    texts = {}
+    for r in got:
+        host, path = split_url(urls[r.page_id])
+        rule, verdict = rule_of(host, path)
+        assert (r.host, r.path, r.rule) == (host, path, rule), urls[r.page_id]
+        if verdict:
+            assert r.verdict == verdict
+        u = urls[r.page_id] or ""
+        t = re.sub(r"(?s)^.*?://|#.*$", "", u, count=0) if "://" in u else u
+        texts.setdefault(t, [0, 0])
+        texts[t][0] += verdict == "allow"
+        texts[t][1] += verdict == "block"
+    want = brute_scores(texts)
+    for r in got:
+        u = urls[r.page_id] or ""
+        t = re.sub(r"(?s)^.*?://|#.*$", "", u) if "://" in u else u
+        assert r.score == pytest.approx(want[t], abs=1e-6), u
+        if r.rule is None:
+            assert r.verdict == ("allow" if r.score >= r.threshold else "block")
+    assert url_filter.judge(df.limit(0)).count() == 0
+    assert {r.verdict for r in url_filter.judge(frame(spark, [(1, "http://a.com/")], "page_id long, url string")).collect()} == {"allow"}
