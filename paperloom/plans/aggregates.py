@@ -25,22 +25,22 @@ REVIEWS_SQL = "(SELECT l_orderkey % 4000 AS paper_id, l_linenumber::BIGINT * 100
 _main_sql = f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY rating, ord) - 1 AS i, count(*) OVER (PARTITION BY paper_id) AS n FROM {REVIEWS_SQL} x), m AS (SELECT *, max(CASE WHEN i = n // 2 THEN rating END) OVER (PARTITION BY paper_id) AS med FROM r), k AS (SELECT *, max(confidence) OVER (PARTITION BY paper_id) AS sure FROM m WHERE rating = med), f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY confidence DESC NULLS LAST, CASE WHEN sure IS NULL THEN rationale END NULLS FIRST, ord) = 1)"
 add("d4_main_review", lambda t: ag.main_review(REVIEWS(t)).select("paper_id", "rating", "confidence", "rationale"), f"{_main_sql} SELECT paper_id, rating, confidence, rationale FROM f")
 add("c2_final_rating", lambda t: ag.final_ratings(REVIEWS(t)), f"{_main_sql} SELECT paper_id, coalesce(CASE WHEN recommendation <= 1 THEN 1 WHEN recommendation <= 5 THEN 2 WHEN recommendation <= 7 THEN 3 WHEN recommendation IS NOT NULL THEN 4 END, rating, 0) AS rating FROM f")
-add("d5_dedup_earliest", lambda t: ag.dedup_earliest(t.documents.select("doc_id", TITLE.alias("title"), F.when(C("doc_id") % 4 > 0, C("n_chars") % 20 + 2000).alias("year")), "title", "year", "doc_id"), f"WITH d AS (SELECT doc_id, {SQL_TITLE} AS title, CASE WHEN doc_id % 4 > 0 THEN n_chars % 20 + 2000 END AS year FROM documents) SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY title ORDER BY year NULLS LAST, doc_id) = 1")
+add("d5_dedup_earliest", lambda t: ag.dedup_earliest(t.documents.select("doc_id", TITLE().alias("title"), F.when(C("doc_id") % 4 > 0, C("n_chars") % 20 + 2000).alias("year")), "title", "year", "doc_id"), f"WITH d AS (SELECT doc_id, {SQL_TITLE} AS title, CASE WHEN doc_id % 4 > 0 THEN n_chars % 20 + 2000 END AS year FROM documents) SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY title ORDER BY year NULLS LAST, doc_id) = 1")
 add("d6_dedup_first", lambda t: ag.first_by(t.orders.select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_orderkey"), "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1")
 add("d7_unique_references", lambda t: ag.unique_references(t.orders.groupBy(C("o_custkey").alias("paper_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey"))), lambda x: F.struct(F.concat(F.lit(" REF  "), (x["o_orderkey"] % 700).cast("string")).alias("title"), x["o_orderkey"].alias("k"))).alias("refs")), "refs", "paper_id").select("clean", "paper_id", "k"), "SELECT 'ref ' || (o_orderkey % 700) AS clean, o_custkey AS paper_id, o_orderkey AS k FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderkey % 700 ORDER BY o_custkey, o_orderkey) = 1")
-_areas = lambda t: t.documents.select((C("n_chars") % 300).alias("paper_id"), TITLE.alias("title"), F.when(C("doc_id") % 5 > 0, C("text")).otherwise("").alias("abstract"), C("source").alias("area"), C("doc_id").alias("ord"))
+_areas = lambda t: t.documents.select((C("n_chars") % 300).alias("paper_id"), TITLE().alias("title"), F.when(C("doc_id") % 5 > 0, C("text")).otherwise("").alias("abstract"), C("source").alias("area"), C("doc_id").alias("ord"))
 add("d8_merge_areas", lambda t: ag.merge_areas(_areas(t), "ord").select("paper_id", "title", joined("areas").alias("areas")), f"WITH d AS (SELECT *, {SQL_TITLE} AS title FROM documents WHERE doc_id % 5 > 0 AND text <> '') SELECT n_chars % 300 AS paper_id, arg_min(title, doc_id) AS title, string_agg(DISTINCT source, '|' ORDER BY source) AS areas FROM d GROUP BY 1")
-add("d9_merge_recommendations", lambda t: ag.merge_recommendations(t.documents.select((C("n_chars") % 300).alias("paper_id"), TITLE.alias("title"), C("source").alias("source_peer"), F.when(C("doc_id") % 3 > 0, C("lang")).alias("source_s2"), "doc_id"), "doc_id").select("paper_id", "title", joined("sources_peer").alias("sources_peer"), joined("sources_s2").alias("sources_s2")), f"WITH d AS (SELECT *, {SQL_TITLE} AS title, CASE WHEN doc_id % 3 > 0 THEN lang END AS s2 FROM documents) SELECT n_chars % 300 AS paper_id, arg_min(title, doc_id) AS title, string_agg(DISTINCT source, '|' ORDER BY source) AS sources_peer, coalesce(string_agg(DISTINCT s2, '|' ORDER BY s2), '') AS sources_s2 FROM d GROUP BY 1")
+add("d9_merge_recommendations", lambda t: ag.merge_recommendations(t.documents.select((C("n_chars") % 300).alias("paper_id"), TITLE().alias("title"), C("source").alias("source_peer"), F.when(C("doc_id") % 3 > 0, C("lang")).alias("source_s2"), "doc_id"), "doc_id").select("paper_id", "title", joined("sources_peer").alias("sources_peer"), joined("sources_s2").alias("sources_s2")), f"WITH d AS (SELECT *, {SQL_TITLE} AS title, CASE WHEN doc_id % 3 > 0 THEN lang END AS s2 FROM documents) SELECT n_chars % 300 AS paper_id, arg_min(title, doc_id) AS title, string_agg(DISTINCT source, '|' ORDER BY source) AS sources_peer, coalesce(string_agg(DISTINCT s2, '|' ORDER BY s2), '') AS sources_s2 FROM d GROUP BY 1")
 _ctx = lambda t: t.lineitem.select((C("l_orderkey") % 500).alias("paper_id"), (C("l_partkey") % 10).alias("ref_id"), F.when(C("l_returnflag") == "R", "negative").when(C("l_returnflag") == "A", "positive").alias("gold"), F.when(C("l_linestatus") == "F", "negative").otherwise("positive").alias("prediction"))
 add("d10_reference_polarity", lambda t: ag.reference_polarity(_ctx(t), ["paper_id", "ref_id"], "prediction"), "SELECT l_orderkey % 500 AS paper_id, l_partkey % 10 AS ref_id, CASE WHEN 2 * count(*) FILTER (l_linestatus = 'F') > count(*) THEN 'negative' ELSE 'positive' END AS polarity FROM lineitem GROUP BY 1, 2")
 _cs = {"gold_positive": "l_returnflag = 'A'", "gold_negative": "l_returnflag = 'R'", "prediction_positive": "l_linestatus <> 'F'", "prediction_negative": "l_linestatus = 'F'"}
 add("d11_context_stats", lambda t: ag.context_stats(_ctx(t)), "SELECT count(*) AS contexts, " + ", ".join(f"count(*) FILTER ({c}) AS {n}, round(100.0 * count(*) FILTER ({c}) / count(*), 4) AS {n}_pct" for n, c in _cs.items()) + ", (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey % 500, l_partkey % 10 HAVING count(*) > 1)) AS multi_refs FROM lineitem")
 add("d12_distinct_venues", lambda t: ag.distinct_venues(t.documents.select(F.concat(F.upper("source"), F.lit("\n"), "lang").alias("v")), "v"), "SELECT DISTINCT lower(source) || ' ' || lang AS venue FROM documents")
-add("d13_title_index", lambda t: ag.title_index(t.documents.select(TITLE.alias("title"), C("source").alias("file"), "doc_id"), "title", "file", "doc_id"), f"SELECT {SQL_TITLE} AS title, arg_max(source, doc_id) AS file FROM documents GROUP BY 1")
-add("d14_mention_stats", lambda t: ag.mention_stats(t.documents.select("source", TITLE.alias("c")), "source", "c"), rf"WITH d AS (SELECT DISTINCT source, {SQL_TITLE} AS c FROM documents), w AS (SELECT sum(len(list_filter(regexp_split_to_array(c, '\s+'), lambda x: x <> '')))::BIGINT AS words, count(*) AS contexts FROM (SELECT DISTINCT c FROM d)) SELECT contexts, words, (SELECT round(avg(n), 6) FROM (SELECT count(*) AS n FROM d GROUP BY source)) AS mean_per_paper, round(words * 1.5, 1)::DOUBLE AS tokens FROM w")
-_map = F.map_from_arrays(F.slice(F.array(F.lit("clarity"), F.lit("impact"), F.lit("rating"), F.lit("soundness")), F.lit(1), (C("doc_id") % 5).cast("int")), F.slice(F.array(*[F.lit(1)] * 4), F.lit(1), (C("doc_id") % 5).cast("int")))
-add("d15_rating_keys", lambda t: ag.rating_key_counts(t.documents.select(_map.alias("m")), "m", ["rating"]), "SELECT key, count(*) AS n FROM documents, (VALUES ('clarity', 1), ('impact', 2), ('soundness', 4)) k(key, i) WHERE doc_id % 5 >= i GROUP BY key")
-add("d15_at_least_keys", lambda t: ag.at_least_keys(t.documents.select(_map.alias("m")), "m", ["rating"]), "WITH d AS (SELECT CASE WHEN doc_id % 5 >= 3 THEN doc_id % 5 - 1 ELSE doc_id % 5 END AS k FROM documents) SELECT k::INTEGER AS k, (SELECT count(*) FROM d e WHERE e.k >= g.k) AS n FROM (SELECT DISTINCT k FROM d) g")
+add("d13_title_index", lambda t: ag.title_index(t.documents.select(TITLE().alias("title"), C("source").alias("file"), "doc_id"), "title", "file", "doc_id"), f"SELECT {SQL_TITLE} AS title, arg_max(source, doc_id) AS file FROM documents GROUP BY 1")
+add("d14_mention_stats", lambda t: ag.mention_stats(t.documents.select("source", TITLE().alias("c")), "source", "c"), rf"WITH d AS (SELECT DISTINCT source, {SQL_TITLE} AS c FROM documents), w AS (SELECT sum(len(list_filter(regexp_split_to_array(c, '\s+'), lambda x: x <> '')))::BIGINT AS words, count(*) AS contexts FROM (SELECT DISTINCT c FROM d)) SELECT contexts, words, (SELECT round(avg(n), 6) FROM (SELECT count(*) AS n FROM d GROUP BY source)) AS mean_per_paper, round(words * 1.5, 1)::DOUBLE AS tokens FROM w")
+_map = lambda: F.map_from_arrays(F.slice(F.array(F.lit("clarity"), F.lit("impact"), F.lit("rating"), F.lit("soundness")), F.lit(1), (C("doc_id") % 5).cast("int")), F.slice(F.array(*[F.lit(1)] * 4), F.lit(1), (C("doc_id") % 5).cast("int")))
+add("d15_rating_keys", lambda t: ag.rating_key_counts(t.documents.select(_map().alias("m")), "m", ["rating"]), "SELECT key, count(*) AS n FROM documents, (VALUES ('clarity', 1), ('impact', 2), ('soundness', 4)) k(key, i) WHERE doc_id % 5 >= i GROUP BY key")
+add("d15_at_least_keys", lambda t: ag.at_least_keys(t.documents.select(_map().alias("m")), "m", ["rating"]), "WITH d AS (SELECT CASE WHEN doc_id % 5 >= 3 THEN doc_id % 5 - 1 ELSE doc_id % 5 END AS k FROM documents) SELECT k::INTEGER AS k, (SELECT count(*) FROM d e WHERE e.k >= g.k) AS n FROM (SELECT DISTINCT k FROM d) g")
 _n = lambda m: F.slice(F.split("text", " "), F.lit(1), (C("doc_id") % m).cast("int"))
 _len = lambda m: f"least(doc_id % {m}, len(string_split(text, ' ')))"
 add("d16_term_stats", lambda t: ag.list_stats(t.documents.select(_n(4).alias("tasks"), _n(7).alias("methods")), ["tasks", "methods"]), f"SELECT kind, sum(n)::BIGINT AS total, round(avg(n), 6) AS mean, round(coalesce(stddev_samp(n), 0), 6) AS stdev FROM (SELECT 'tasks' AS kind, {_len(4)} AS n FROM documents UNION ALL SELECT 'methods', {_len(7)} FROM documents) GROUP BY kind")

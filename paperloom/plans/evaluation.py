@@ -13,14 +13,14 @@ PRED = lambda t: t.lineitem.select((C("l_orderkey") % 20).alias("g"), (C("l_quan
 P = "p AS (SELECT l_orderkey % 20 AS g, (l_quantity % 5 + 1)::INTEGER AS y_true, ((l_quantity + l_linenumber % 3) % 5 + 1)::INTEGER AS y_pred, l_discount AS confidence FROM lineitem)"
 BIN = lambda t: PRED(t).select("g", (C("y_true") >= 3).cast("int").alias("y_true"), (C("y_pred") >= 3).cast("int").alias("y_pred"))
 B = f"{P}, b AS (SELECT g, (y_true >= 3)::INTEGER AS y_true, (y_pred >= 3)::INTEGER AS y_pred FROM p)"
-one = lambda name, col, sql: add(name, lambda t: PRED(t).groupBy("g").agg(*[F.round(c, 6).alias(n) for n, c in col.items()]), f"WITH {P} SELECT g, " + ", ".join(f"round({s}, 6) AS {n}" for n, s in sql.items()) + " FROM p GROUP BY g")
-t_, p_ = C("y_true"), C("y_pred")
+one = lambda name, col, sql: add(name, lambda t: PRED(t).groupBy("g").agg(*[F.round(c, 6).alias(n) for n, c in col().items()]), f"WITH {P} SELECT g, " + ", ".join(f"round({s}, 6) AS {n}" for n, s in sql.items()) + " FROM p GROUP BY g")
+t_, p_ = (lambda: C("y_true")), (lambda: C("y_pred"))
 
 add("e1_confusion", lambda t: me.confusion(PRED(t), [1, 2, 3, 4, 5]), f"WITH {P} SELECT a::INTEGER AS y_true, b::INTEGER AS y_pred, count(p.g) AS n FROM range(1, 6) x(a) CROSS JOIN range(1, 6) y(b) LEFT JOIN p ON y_true = a AND y_pred = b GROUP BY a, b")
-one("e2_accuracy", {"v": me.accuracy(t_, p_)}, {"v": "avg((y_true = y_pred)::INT)"})
-one("e3_accuracy_within", {"v": me.accuracy_within(t_, p_, 1)}, {"v": "avg((abs(y_true - y_pred) <= 1)::INT)"})
-one("e4_errors", {"mae": me.mae(t_, p_), "mse": me.mse(t_, p_), "rmse": F.sqrt(me.mse(t_, p_))}, {"mae": "avg(abs(y_true - y_pred))", "mse": "avg((y_true - y_pred) ** 2)", "rmse": "sqrt(avg((y_true - y_pred) ** 2))"})
-one("e5_pearson", {"v": me.correlation(t_.cast("double"), p_.cast("double")), "none": me.correlation(t_.cast("double"), F.lit(1.0))}, {"v": "corr(y_true, y_pred)", "none": "NULL::DOUBLE"})
+one("e2_accuracy", lambda: {"v": me.accuracy(t_(), p_())}, {"v": "avg((y_true = y_pred)::INT)"})
+one("e3_accuracy_within", lambda: {"v": me.accuracy_within(t_(), p_(), 1)}, {"v": "avg((abs(y_true - y_pred) <= 1)::INT)"})
+one("e4_errors", lambda: {"mae": me.mae(t_(), p_()), "mse": me.mse(t_(), p_()), "rmse": F.sqrt(me.mse(t_(), p_()))}, {"mae": "avg(abs(y_true - y_pred))", "mse": "avg((y_true - y_pred) ** 2)", "rmse": "sqrt(avg((y_true - y_pred) ** 2))"})
+one("e5_pearson", lambda: {"v": me.correlation(t_().cast("double"), p_().cast("double")), "none": me.correlation(t_().cast("double"), F.lit(1.0))}, {"v": "corr(y_true, y_pred)", "none": "NULL::DOUBLE"})
 RANKS = "r AS (SELECT g, y_true, y_pred, rank() OVER (PARTITION BY g ORDER BY y_true) + (count(*) OVER (PARTITION BY g, y_true) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY g ORDER BY y_pred) + (count(*) OVER (PARTITION BY g, y_pred) - 1) / 2.0 AS ry FROM p)"
 add("e6_spearman", lambda t: me.spearman(PRED(t), "y_true", "y_pred", ["g"]).select("g", F.round("spearman", 6).alias("v")), f"WITH {P}, {RANKS} SELECT g, round(corr(rx, ry), 6) AS v FROM r GROUP BY g")
 _cls = "c AS (SELECT g, l AS label, count(*) FILTER (y_true = l AND y_pred = l) AS tp, count(*) FILTER (y_true <> l AND y_pred = l) AS fp, count(*) FILTER (y_true = l AND y_pred <> l) AS fn FROM p, range(1, 6) q(l) GROUP BY g, l HAVING count(*) FILTER (y_true = l OR y_pred = l) > 0)"
@@ -52,5 +52,5 @@ _rouge_sql = lambda n: f"WITH w AS (SELECT doc_id, {_w('text')} AS p, {_w(_ref)}
 _rouge_in = lambda t: t.documents.select("doc_id", "text", F.concat_ws(" ", "source", "text").alias("ref"))
 for _n in (1, 2):
     add(f"e18_rouge_{_n}", lambda t, n=_n: me.rouge_n(_rouge_in(t), "doc_id", "text", "ref", n).select("doc_id", F.round("f1", 6).alias("f1")), _rouge_sql(_n))
-add("e18_rouge_l", lambda t: me.rouge_l(t.documents.select("doc_id", TITLE.alias("p"), F.concat_ws(" ", "source", TITLE).alias("r")), "doc_id", "p", "r").select("doc_id", F.round("f1", 6).alias("f1")),
+add("e18_rouge_l", lambda t: me.rouge_l(t.documents.select("doc_id", TITLE().alias("p"), F.concat_ws(" ", "source", TITLE()).alias("r")), "doc_id", "p", "r").select("doc_id", F.round("f1", 6).alias("f1")),
     f"WITH w AS (SELECT doc_id, len({_w(SQL_TITLE)}) AS n FROM documents) SELECT doc_id, round(2 * n / (2 * n + 1), 6)::DOUBLE AS f1 FROM w")

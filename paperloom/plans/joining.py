@@ -22,10 +22,10 @@ add("f5_attach_content", lambda t: _content(t)[1], "SELECT source, count(quality
 add("f6_remaining", lambda t: jn.remaining(t.documents.select("doc_id"), t.labels, "doc_id")[1], "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 add("f7_test_set", lambda t: jn.restrict_to_test_set(t.customer.select(C("c_nationkey").alias("k"), "c_custkey"), t.nation.select((C("n_nationkey") + 10).alias("k")), "k")[0], "SELECT c_nationkey AS k, c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey + 10 FROM nation)")
 add("f7_missing_titles", lambda t: jn.restrict_to_test_set(t.customer.select(C("c_nationkey").alias("k"), "c_custkey"), t.nation.select((C("n_nationkey") + 10).alias("k")), "k")[1], "SELECT DISTINCT n_nationkey + 10 AS k FROM nation WHERE n_nationkey + 10 NOT IN (SELECT c_nationkey FROM customer)")
-add("f8_fuzzy_title_join", lambda t: jn.fuzzy_title_join(t.benchmark.select(F.left("text", F.lit(60)).alias("query")), t.documents.select(TITLE.alias("title"))))
+add("f8_fuzzy_title_join", lambda t: jn.fuzzy_title_join(t.benchmark.select(F.left("text", F.lit(60)).alias("query")), t.documents.select(TITLE().alias("title"))))
 add("f8_levenshtein_join", lambda t: jn.levenshtein_title_join(t.nation.select(C("n_name").alias("query")), t.nation.select(F.concat("n_name", F.lit("x")).alias("title")).unionByName(t.customer.select(C("c_mktsegment").alias("title"))), 2),
     "WITH c AS (SELECT DISTINCT title FROM (SELECT n_name || 'x' AS title FROM nation UNION ALL SELECT c_mktsegment FROM customer)), j AS (SELECT n_name AS query, title, levenshtein(lower(n_name), lower(title))::INTEGER AS distance FROM nation, c) SELECT * FROM j WHERE distance <= 2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, title) <= 5")
-add("f9_validate_title_match", lambda t: jn.validate_title_match(t.documents.select("doc_id", F.left(TITLE, F.lit(60)).alias("a"), F.when(C("doc_id") % 2 > 0, F.concat(F.lit("On "), F.left(TITLE, F.lit(60)))).otherwise(F.lit("Unrelated subject matter 123")).alias("b")), "a", "b").select("doc_id"))
+add("f9_validate_title_match", lambda t: jn.validate_title_match(t.documents.select("doc_id", F.left(TITLE(), F.lit(60)).alias("a"), F.when(C("doc_id") % 2 > 0, F.concat(F.lit("On "), F.left(TITLE(), F.lit(60)))).otherwise(F.lit("Unrelated subject matter 123")).alias("b")), "a", "b").select("doc_id"))
 add("f10_containment_match", lambda t: jn.containment_match(t.nation.select(C("n_name").alias("a_title"), "n_nationkey"), t.customer.select(F.concat(F.lit("the nation_"), (C("c_custkey") % 30).cast("string")).alias("b_title")), "n_nationkey"),
     "WITH b AS (SELECT DISTINCT 'the nation_' || (c_custkey % 30) AS b_title FROM customer) SELECT n_name AS a_title, n_nationkey, b_title FROM nation JOIN b ON contains(b_title, lower(n_name)) OR contains(lower(n_name), b_title) QUALIFY row_number() OVER (PARTITION BY b_title ORDER BY n_nationkey) = 1")
 add("f16_match_aspects", lambda t: jn.match_aspects(t.documents.groupBy("source").agg(F.min("doc_id").alias("paper_id"), F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.left("text", F.lit(200)).alias("x")))), lambda x: x["x"]).alias("reviews")).withColumnRenamed("source", "title"), t.documents.groupBy(F.upper("source").alias("title")).agg(F.min_by(F.left("text", F.lit(200)), "doc_id").alias("review")).withColumn("labels", F.array(F.lit("novelty")))).select("paper_id", "ord", F.array_join("labels", ",").alias("labels")))
@@ -50,4 +50,4 @@ add("f24_contexts_by_reference", lambda t: jn.contexts_by_reference(t.part.selec
 add("i1_concat", lambda t: jn.concat_all([t.customer.select(C("c_name").alias("name"), C("c_acctbal").alias("bal")), t.supplier.select(C("s_name").alias("name")), t.nation.select(C("n_name").alias("name"))]), "SELECT c_name AS name, c_acctbal AS bal FROM customer UNION ALL SELECT s_name, NULL FROM supplier UNION ALL SELECT n_name, NULL FROM nation")
 add("i2_intersection", lambda t: t.orders.select("o_custkey").intersect(t.customer.where("c_acctbal > 5000").select("c_custkey")), "SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 5000")
 add("i3_difference", lambda t: t.customer.select("c_custkey").subtract(t.orders.select("o_custkey")), "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
-add("i4_title_union", lambda t: t.documents.select(tx.clean_title_alpha(TITLE).alias("title")).union(t.benchmark.select(tx.clean_title_alpha(F.left("text", F.lit(100))))).distinct(), rf"SELECT DISTINCT regexp_replace(regexp_replace(replace(lower(regexp_replace(x, '[^\p{{L}}\s]', '', 'g')), 'ß', 'ss'), '\s+', ' ', 'g'), '^ | $', '', 'g') AS title FROM (SELECT {SQL_TITLE} AS x FROM documents UNION ALL SELECT left(text, 100) FROM benchmark)")
+add("i4_title_union", lambda t: t.documents.select(tx.clean_title_alpha(TITLE()).alias("title")).union(t.benchmark.select(tx.clean_title_alpha(F.left("text", F.lit(100))))).distinct(), rf"SELECT DISTINCT regexp_replace(regexp_replace(replace(lower(regexp_replace(x, '[^\p{{L}}\s]', '', 'g')), 'ß', 'ss'), '\s+', ' ', 'g'), '^ | $', '', 'g') AS title FROM (SELECT {SQL_TITLE} AS x FROM documents UNION ALL SELECT left(text, 100) FROM benchmark)")

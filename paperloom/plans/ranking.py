@@ -63,14 +63,14 @@ add("h3_dedup_by_priority", lambda t: rl.dedup_by_priority(_rel(t)).select("quer
 _terms = lambda t, m, n: t.lineitem.where(C("l_linenumber") == n).select((C("l_orderkey") % 500).alias("paper_id"), F.concat(F.lit("t"), (C("l_partkey") % m).cast("string")).alias("term"))
 add("h5_scimon_terms", lambda t: rl.scimon_terms(_terms(t, 90, 1).withColumnRenamed("term", "title"), _terms(t, 50, 2), _terms(t, 70, 3)).select("paper_id", *[F.array_join(c, ",").alias(c) for c in ("citation_titles", "kg_terms", "semantic_terms")]),
     "WITH x AS (SELECT DISTINCT l_orderkey % 500 AS p, 't' || (l_partkey % 90) AS t FROM lineitem WHERE l_linenumber = 1), k AS (SELECT DISTINCT l_orderkey % 500 AS p, 't' || (l_partkey % 50) AS t FROM lineitem WHERE l_linenumber = 2), s AS (SELECT DISTINCT l_orderkey % 500 AS p, 't' || (l_partkey % 70) AS t FROM lineitem WHERE l_linenumber = 3 EXCEPT SELECT p, t FROM k), ids AS (SELECT p FROM x UNION SELECT p FROM k UNION SELECT p FROM s) SELECT p AS paper_id, coalesce((SELECT string_agg(t, ',' ORDER BY t) FROM x WHERE x.p = ids.p), '') AS citation_titles, coalesce((SELECT string_agg(t, ',' ORDER BY t) FROM k WHERE k.p = ids.p), '') AS kg_terms, coalesce((SELECT string_agg(t, ',' ORDER BY t) FROM s WHERE s.p = ids.p), '') AS semantic_terms FROM ids")
-_hit = lambda t, m: t.documents.where(C("doc_id") % m == 0).select(C("doc_id").alias("id"), TITLE.alias("title"), F.when(C("doc_id") % 7 > 0, C("text")).otherwise("").alias("abstract"), C("n_chars").alias("ord"))
+_hit = lambda t, m: t.documents.where(C("doc_id") % m == 0).select(C("doc_id").alias("id"), TITLE().alias("title"), F.when(C("doc_id") % 7 > 0, C("text")).otherwise("").alias("abstract"), C("n_chars").alias("ord"))
 add("h6_combine_results", lambda t: sa.combine_results(_hit(t, 3), _hit(t, 2), 50, "That it").select("id", "title"),
     rf"WITH r AS (SELECT doc_id AS id, {SQL_TITLE} AS title, n_chars AS ord, 0 AS p FROM documents WHERE doc_id % 3 = 0 AND doc_id % 7 > 0 AND text <> '' UNION ALL SELECT doc_id, {SQL_TITLE}, n_chars, 1 FROM documents WHERE doc_id % 2 = 0 AND doc_id % 7 > 0 AND text <> ''), o AS (SELECT * FROM r WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY p, ord) = 1), l AS (SELECT * FROM o ORDER BY p, ord, id LIMIT 50) SELECT id, title FROM l WHERE regexp_replace(lower(title), '\s+', ' ', 'g') <> 'that it'")
 _cnt = lambda c, w: rf"len(list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda x: x IN ({w})))"
-add("h7_fulltext_search", lambda t: sa.fulltext_search(t.documents.select(C("doc_id").alias("id"), TITLE.alias("title"), C("text").alias("abstract"), C("n_chars").alias("citation_count")), "The of", 100),
+add("h7_fulltext_search", lambda t: sa.fulltext_search(t.documents.select(C("doc_id").alias("id"), TITLE().alias("title"), C("text").alias("abstract"), C("n_chars").alias("citation_count")), "The of", 100),
     f"WITH d AS (SELECT doc_id AS id, n_chars AS citation_count, {_cnt(SQL_TITLE, chr(39) + 'the' + chr(39))} + {_cnt(SQL_TITLE, chr(39) + 'of' + chr(39))} AS t, {_cnt('text', chr(39) + 'the' + chr(39))} AS a1, {_cnt('text', chr(39) + 'of' + chr(39))} AS a2, {_cnt(SQL_TITLE, chr(39) + 'the' + chr(39))} AS t1, {_cnt(SQL_TITLE, chr(39) + 'of' + chr(39))} AS t2 FROM documents) SELECT id, citation_count, round(t + (a1 + a2) * 0.4, 6)::DOUBLE AS score FROM d WHERE a1 + t1 > 0 AND a2 + t2 > 0 ORDER BY score DESC, citation_count DESC, id LIMIT 100")
 _n = lambda c: f"(length({c}) - length(replace(lower({c}), 'an', ''))) // 2"
-add("h8_substring_search", lambda t: sa.substring_search(t.documents.select(C("doc_id").alias("id"), TITLE.alias("title"), C("source").alias("authors"), C("text").alias("abstract")), " AN "), f"SELECT * FROM (SELECT doc_id AS id, (10 * ({_n(SQL_TITLE)}) + 5 * ({_n('source')}) + ({_n('text')}))::BIGINT AS score FROM documents) WHERE score > 0")
+add("h8_substring_search", lambda t: sa.substring_search(t.documents.select(C("doc_id").alias("id"), TITLE().alias("title"), C("source").alias("authors"), C("text").alias("abstract")), " AN "), f"SELECT * FROM (SELECT doc_id AS id, (10 * ({_n(SQL_TITLE)}) + 5 * ({_n('source')}) + ({_n('text')}))::BIGINT AS score FROM documents) WHERE score > 0")
 _draw = lambda c, s=0: f"md5('{s}:' || {c})"
 add("h9_sample", lambda t: sa.sample(t.orders.select("o_orderkey", "o_custkey"), 100, "o_orderkey", 7), f"SELECT o_orderkey, o_custkey FROM orders ORDER BY {_draw('o_orderkey', 7)} LIMIT 100")
 add("h10_split", lambda t: sa.split(t.orders.select("o_orderkey"), "o_orderkey", 0.8, 0.1), f"WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY {_draw('o_orderkey')}) AS r, count(*) OVER () AS n FROM orders) SELECT o_orderkey, CASE WHEN r <= floor(n * 0.8::DOUBLE) THEN 'train' WHEN r <= floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'dev' ELSE 'test' END AS split FROM o")

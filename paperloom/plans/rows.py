@@ -47,10 +47,10 @@ add("a3_append_records", lambda t: _round_trip(t, "append", "orders", _orders),
 add("a4_write_records", lambda t: _round_trip(t, "records", "orders", _orders), _orders_sql)
 add("a5_compressed_records", lambda t: _round_trip(t, "gz", "orders", _orders), _orders_sql)
 _span = lambda a, b: F.concat(F.lit(f'[{{"start":{a},"end":'), b.cast("string"), F.lit("}]"))
-_content = F.struct(F.col("text"), F.struct(F.when(C("doc_id") % 5 > 0, _span(0, F.least(C("n_chars"), F.lit(20)))).alias("abstract"), _span(0, F.lit(5)).alias("title"), _span(1, F.lit(3)).alias("venue")).alias("annotations"))
-add("a7_fulltext", lambda t: records.fulltext(t.documents.select(_content.alias("content"))),
+_content = lambda: F.struct(F.col("text"), F.struct(F.when(C("doc_id") % 5 > 0, _span(0, F.least(C("n_chars"), F.lit(20)))).alias("abstract"), _span(0, F.lit(5)).alias("title"), _span(1, F.lit(3)).alias("venue")).alias("annotations"))
+add("a7_fulltext", lambda t: records.fulltext(t.documents.select(_content().alias("content"))),
     "SELECT left(text, least(n_chars, 20)) AS abstract, left(text, 5) AS title, substr(text, 2, 2) AS venue, text FROM documents WHERE doc_id % 5 > 0")
-add("a8_review_table", lambda t: records.review_table(t.documents.select(C("doc_id").alias("paper_id"), TITLE.alias("title"), F.array("lang", "source").alias("authors"), F.when(C("doc_id") % 4 > 0, C("text")).otherwise(" ").alias("rationale"), C("text").alias("rationale_pred"), F.array(F.struct(F.lit("claim").alias("type"), C("source").alias("label")), F.struct(F.lit("method").alias("type"), C("lang").alias("label")), F.struct(F.lit("claim").alias("type"), C("lang").alias("label"))).alias("entities")), ["claim", "method", "experiment"]),
+add("a8_review_table", lambda t: records.review_table(t.documents.select(C("doc_id").alias("paper_id"), TITLE().alias("title"), F.array("lang", "source").alias("authors"), F.when(C("doc_id") % 4 > 0, C("text")).otherwise(" ").alias("rationale"), C("text").alias("rationale_pred"), F.array(F.struct(F.lit("claim").alias("type"), C("source").alias("label")), F.struct(F.lit("method").alias("type"), C("lang").alias("label")), F.struct(F.lit("claim").alias("type"), C("lang").alias("label"))).alias("entities")), ["claim", "method", "experiment"]),
     f"SELECT doc_id AS paper_id, {SQL_TITLE} AS title, lang || ', ' || source AS authors, text AS rationale, text AS rationale_pred, '• ' || source || chr(10) || '• ' || lang AS claim, '• ' || lang AS method, '' AS experiment FROM documents WHERE doc_id % 4 > 0")
 _new = lambda t: t.orders.select((C("o_orderkey") % 20000).alias("o_custkey"), F.lit("NEW").alias("c_name"))
 add("a9_insert_ignore", lambda t: records.insert_ignore(t.customer.select(C("c_custkey").alias("o_custkey"), "c_name"), _new(t), ["o_custkey"]),
@@ -74,11 +74,11 @@ add("b3_valid_annotations", lambda t: fl.valid_annotations(t.documents.select("d
 add("b4_partition_errors", lambda t: fl.partition_errors(t.events.select(F.when(C("event_type") == "error", "<error>").otherwise(C("event_type")).alias("label")), "label")[2],
     "SELECT count(*) FILTER (event_type <> 'error') AS n_good, count(*) FILTER (event_type = 'error') AS n_error, round(100.0 * count(*) FILTER (event_type <> 'error') / count(*), 4) AS n_good_pct, round(100.0 * count(*) FILTER (event_type = 'error') / count(*), 4) AS n_error_pct FROM events")
 add("b5_drop_empty", lambda t: fl.drop_empty(t.documents.select("doc_id", F.when(C("doc_id") % 3 == 0, "").when(C("doc_id") % 3 == 1, "<e>").otherwise(C("text")).alias("x")), "x", ["<e>"]).select("doc_id"), "SELECT doc_id FROM documents WHERE doc_id % 3 = 2 AND text <> '' AND text <> '<e>'")
-_cand_year = F.when(C("o_orderkey") % 7 > 0, F.year("o_orderdate"))
-add("b6_published_not_after", lambda t: t.orders.where(fl.published_not_after(F.lit(1997), F.when(C("o_custkey") % 5 > 0, F.lit(6)), _cand_year, F.when(C("o_orderkey") % 3 > 0, C("o_orderdate").cast("date")))).select("o_orderkey"),
+_cand_year = lambda: F.when(C("o_orderkey") % 7 > 0, F.year("o_orderdate"))
+add("b6_published_not_after", lambda t: t.orders.where(fl.published_not_after(F.lit(1997), F.when(C("o_custkey") % 5 > 0, F.lit(6)), _cand_year(), F.when(C("o_orderkey") % 3 > 0, C("o_orderdate").cast("date")))).select("o_orderkey"),
     "SELECT o_orderkey FROM orders WHERE o_orderkey % 7 > 0 AND (year(o_orderdate) < 1997 OR (year(o_orderdate) = 1997 AND o_custkey % 5 > 0 AND o_orderkey % 3 > 0 AND month(o_orderdate) <= 6))")
-_arx = tx.arxiv_year_month(F.concat(F.lpad((C("o_orderkey") % 30).cast("string"), 2, "0"), F.lpad((C("o_custkey") % 15).cast("string"), 2, "0"), F.lit(".12345")))
-add("b7_year_month", lambda t: t.orders.withColumn("y", F.when(C("o_orderkey") % 2 > 0, F.year("o_orderdate")).otherwise((2000 + C("o_orderkey") % 30).cast("int"))).select("o_orderkey", fl.resolve_year_month(C("y"), C("o_orderdate").cast("date"), _arx).alias("m")).select("o_orderkey", "m.year", "m.month"),
+_arx = lambda: tx.arxiv_year_month(F.concat(F.lpad((C("o_orderkey") % 30).cast("string"), 2, "0"), F.lpad((C("o_custkey") % 15).cast("string"), 2, "0"), F.lit(".12345")))
+add("b7_year_month", lambda t: t.orders.withColumn("y", F.when(C("o_orderkey") % 2 > 0, F.year("o_orderdate")).otherwise((2000 + C("o_orderkey") % 30).cast("int"))).select("o_orderkey", fl.resolve_year_month(C("y"), C("o_orderdate").cast("date"), _arx()).alias("m")).select("o_orderkey", "m.year", "m.month"),
     "WITH o AS (SELECT *, CASE WHEN o_orderkey % 2 > 0 THEN year(o_orderdate) ELSE 2000 + o_orderkey % 30 END AS y, CASE WHEN o_custkey % 15 BETWEEN 1 AND 12 THEN 2000 + o_orderkey % 30 END AS ay FROM orders) SELECT o_orderkey, (CASE WHEN ay = y THEN ay WHEN year(o_orderdate) = y THEN y END)::INTEGER AS year, (CASE WHEN ay = y THEN o_custkey % 15 WHEN year(o_orderdate) = y THEN month(o_orderdate) END)::INTEGER AS month FROM o")
 add("b8_before_year", lambda t: fl.published_before_year(t.orders.select("o_orderkey", F.when(C("o_orderkey") % 5 == 0, 0).when(C("o_orderkey") % 5 > 1, F.year("o_orderdate")).alias("year")), "year", 1998), "SELECT o_orderkey, year(o_orderdate)::INTEGER AS year FROM orders WHERE o_orderkey % 5 > 1 AND year(o_orderdate) < 1998")
 add("b9_threshold", lambda t: fl.threshold(t.lineitem.select("l_orderkey", "l_linenumber", "l_tax"), "l_tax", 0.04), "SELECT l_orderkey, l_linenumber, l_tax FROM lineitem WHERE l_tax >= 0.04")
@@ -86,9 +86,9 @@ add("b10_icase_get", lambda t: t.documents.select("doc_id", fl.icase_get(F.creat
 add("b11_path_get", lambda t: t.events.select("event_id", fl.path_get(F.concat(F.lit('{"a":'), C("props"), F.lit("}")), "a.k", "none").alias("v"), fl.path_get(C("props"), "x.y", "none").alias("w")), "SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS v, 'none' AS w FROM events")
 add("b12_unwrap_value", lambda t: t.events.select("event_id", fl.unwrap_value(F.when(C("event_id") % 2 > 0, C("props")).otherwise(F.concat(F.lit('{"k":{"value":'), C("event_id").cast("string"), F.lit("}}"))), "k").alias("v")), "SELECT event_id, CASE WHEN event_id % 2 > 0 THEN json_extract_string(props, '$.k') ELSE event_id::VARCHAR END AS v FROM events")
 _reply = lambda k, v: F.create_map(F.lit(k), v)
-_replies = F.array(F.when(C("o_orderkey") % 3 > 0, _reply("rating", C("o_orderpriority"))).otherwise(_reply("note", C("o_orderstatus"))), F.when(C("o_orderkey") % 4 > 0, _reply("decision", F.when(C("o_orderstatus") == "F", "Reject").otherwise("Accept"))).otherwise(_reply("note", C("o_orderstatus"))))
-add("b13_submission_valid", lambda t: t.orders.where(fl.submission_valid(_replies, F.lit("x.pdf"), F.when(C("o_orderkey") % 5 > 0, "title"), C("o_orderpriority"), ["rating", "recommendation"])).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey % 4 > 0 AND o_orderkey % 5 > 0")
-add("b14_find_approval", lambda t: t.orders.select("o_orderkey", fl.find_approval(_replies).alias("approved")), "SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN o_orderstatus <> 'F' END AS approved FROM orders")
+_replies = lambda: F.array(F.when(C("o_orderkey") % 3 > 0, _reply("rating", C("o_orderpriority"))).otherwise(_reply("note", C("o_orderstatus"))), F.when(C("o_orderkey") % 4 > 0, _reply("decision", F.when(C("o_orderstatus") == "F", "Reject").otherwise("Accept"))).otherwise(_reply("note", C("o_orderstatus"))))
+add("b13_submission_valid", lambda t: t.orders.where(fl.submission_valid(_replies(), F.lit("x.pdf"), F.when(C("o_orderkey") % 5 > 0, "title"), C("o_orderpriority"), ["rating", "recommendation"])).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey % 4 > 0 AND o_orderkey % 5 > 0")
+add("b14_find_approval", lambda t: t.orders.select("o_orderkey", fl.find_approval(_replies()).alias("approved")), "SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN o_orderstatus <> 'F' END AS approved FROM orders")
 add("b15_conference_parts", lambda t: t.documents.select("doc_id", rt.conference_parts(F.when(C("doc_id") % 2 > 0, F.concat("lang", F.lit("2019"))).otherwise(C("lang")), F.when(C("doc_id") % 3 > 0, F.lit(2001))).alias("p")).select("doc_id", "p.name", "p.year"), "SELECT doc_id, lang AS name, CASE WHEN doc_id % 3 > 0 THEN 2001 WHEN doc_id % 2 > 0 THEN 2019 END AS year FROM documents")
 add("b16_correct_predictions", lambda t: fl.correct_predictions(t.documents.select("doc_id", (C("doc_id") % 5).alias("y_true"), (C("n_chars") % 5).alias("y_pred"), C("text").alias("rationale"), _list(3).alias("related")), "y_true", "y_pred", "rationale", "related").select("doc_id"), r"SELECT doc_id FROM documents WHERE doc_id % 5 = n_chars % 5 AND doc_id % 3 > 0 AND regexp_matches(text, '[^\s]') AND text <> '<error>'")
 add("b17_convert_keys", lambda t: fl.convert_keys(t.documents.select("doc_id", F.struct(C("n_chars"), C("lang").alias("lang_code")).alias("meta_data")), "camel").select("docId", "metaData.nChars", "metaData.langCode"), 'SELECT doc_id AS "docId", n_chars AS "nChars", lang AS "langCode" FROM documents')
@@ -117,13 +117,13 @@ add("b19_concise_edges", lambda t: graphs.concise_edges(*hierarchy(t), ["title",
     "SELECT c_custkey AS paper_id, 'T' || c_custkey AS source, 'A' || c_nationkey AS target FROM customer WHERE c_custkey % 7 > 0 UNION ALL SELECT o_custkey, 'C' || o_orderkey, 'M' || o_orderkey FROM orders WHERE o_orderkey % 11 > 0 UNION ALL SELECT o_custkey, 'M' || o_orderkey, 'E' || o_orderkey FROM orders UNION ALL SELECT o_custkey, 'E' || o_orderkey, 'C' || o_orderkey FROM orders WHERE o_orderkey % 97 = 0 UNION ALL SELECT o_custkey, 'T' || o_custkey, 'C' || o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) AND (o_custkey % 5 > 0 OR o_custkey % 7 = 0)")
 
 # -- C: ratings
-_r9 = (C("doc_id") % 9 + 1).cast("int")
-add("c1_scale_recommendation", lambda t: t.documents.select("doc_id", rt.scale_recommendation(_r9).alias("v")), "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 1 WHEN doc_id % 9 < 5 THEN 2 WHEN doc_id % 9 < 7 THEN 3 ELSE 4 END AS v FROM documents")
+_r9 = lambda: (C("doc_id") % 9 + 1).cast("int")
+add("c1_scale_recommendation", lambda t: t.documents.select("doc_id", rt.scale_recommendation(_r9()).alias("v")), "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 1 WHEN doc_id % 9 < 5 THEN 2 WHEN doc_id % 9 < 7 THEN 3 ELSE 4 END AS v FROM documents")
 add("c3_parse_rating", lambda t: t.orders.select("o_orderkey", rt.parse_rating(F.when(C("o_orderkey") % 3 > 0, C("o_orderpriority")).otherwise(C("o_orderkey").cast("string"))).alias("v")), "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN left(o_orderpriority, 1)::INTEGER END AS v FROM orders")
 add("c4_max_rating", lambda t: t.orders.select("o_orderkey", F.greatest(rt.parse_rating(C("o_orderpriority")), rt.parse_rating(F.concat((C("o_custkey") % 7).cast("string"), F.lit(": ok"))), rt.parse_rating(F.lit("7"))).alias("v")), "SELECT o_orderkey, greatest(left(o_orderpriority, 1)::INTEGER, (o_custkey % 7)::INTEGER) AS v FROM orders")
 add("c5_clamp", lambda t: t.documents.select("doc_id", rt.clamp(C("n_chars"), 100, 1000).cast("long").alias("v")), "SELECT doc_id, greatest(100, least(1000, n_chars))::BIGINT AS v FROM documents")
-_r5 = (C("doc_id") % 5 + 1).cast("int")
-add("c6_rating_mode", lambda t: t.documents.select("doc_id", rt.apply_rating_mode(_r5, "original").alias("original"), rt.apply_rating_mode(_r5, "binary").alias("two"), rt.apply_rating_mode(_r5, "trinary").alias("three")), "SELECT doc_id, (doc_id % 5 + 1)::INTEGER AS original, (doc_id % 5 >= 3)::INTEGER AS two, CASE WHEN doc_id % 5 < 2 THEN 1 WHEN doc_id % 5 = 2 THEN 2 ELSE 3 END AS three FROM documents")
+_r5 = lambda: (C("doc_id") % 5 + 1).cast("int")
+add("c6_rating_mode", lambda t: t.documents.select("doc_id", rt.apply_rating_mode(_r5(), "original").alias("original"), rt.apply_rating_mode(_r5(), "binary").alias("two"), rt.apply_rating_mode(_r5(), "trinary").alias("three")), "SELECT doc_id, (doc_id % 5 + 1)::INTEGER AS original, (doc_id % 5 >= 3)::INTEGER AS two, CASE WHEN doc_id % 5 < 2 THEN 1 WHEN doc_id % 5 = 2 THEN 2 ELSE 3 END AS three FROM documents")
 add("c7_score_to_rating", lambda t: t.lineitem.select("l_orderkey", "l_linenumber", rt.score_to_rating(C("l_discount") * 10).alias("v")), "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 10 < 0.2 THEN 1 WHEN l_discount * 10 < 0.4 THEN 2 WHEN l_discount * 10 < 0.6 THEN 3 WHEN l_discount * 10 < 0.8 THEN 4 ELSE 5 END AS v FROM lineitem")
-add("c8_binary_label", lambda t: t.documents.select("doc_id", rt.binary_label(_r5).alias("v")), "SELECT doc_id, (doc_id % 5 >= 2)::INTEGER AS v FROM documents")
+add("c8_binary_label", lambda t: t.documents.select("doc_id", rt.binary_label(_r5()).alias("v")), "SELECT doc_id, (doc_id % 5 >= 2)::INTEGER AS v FROM documents")
 add("c9_novelty_probability", lambda t: t.lineitem.select("l_orderkey", "l_linenumber", F.round(rt.novelty_probability((C("l_quantity") % 5 + 1).cast("int"), F.when(C("l_tax") > 0, C("l_discount") * 10)), 6).alias("v")), "WITH l AS (SELECT l_orderkey, l_linenumber, (l_quantity % 5 + 1)::INTEGER AS y, CASE WHEN l_tax > 0 THEN l_discount * 10 END AS p FROM lineitem) SELECT l_orderkey, l_linenumber, round((CASE WHEN p IS NULL THEN (CASE WHEN y >= 4 THEN 1.0 ELSE 0.0 END)::DOUBLE WHEN y < 4 THEN least(p, 0.4::DOUBLE) ELSE greatest(p, 0.6::DOUBLE) END), 6) AS v FROM l")

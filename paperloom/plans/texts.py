@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,15 +12,15 @@ from paperloom.functions.fuzzy import fuzzy_partial_ratio, fuzzy_ratio, sequence
 from paperloom.operators import encode, prompts
 from paperloom.plans.base import add
 
-TEXT = F.col("text")
+TEXT = lambda: F.col("text")
 #: A document's title: its text up to the first full stop, or its first 100 characters.
-TITLE = F.when(F.instr("text", ".") > 0, F.substring_index("text", ".", 1)).otherwise(F.left("text", F.lit(100)))
+TITLE = lambda: F.when(F.instr("text", ".") > 0, F.substring_index("text", ".", 1)).otherwise(F.left("text", F.lit(100)))
 SQL_TITLE = "CASE WHEN strpos(text, '.') > 0 THEN split_part(text, '.', 1) ELSE left(text, 100) END"
 
 
-def doc(name: str, column: Column, sql: str) -> None:
-    """A query that applies one function to every document: (doc_id, v)."""
-    add(name, lambda t: t.documents.select("doc_id", column.alias("v")), f"SELECT doc_id, {sql} AS v FROM documents")
+def doc(name: str, column: Callable[[], Column], sql: str) -> None:
+    """A query that applies one function to every document: (doc_id, v). Columns are made only when a session is there."""
+    add(name, lambda t: t.documents.select("doc_id", column().alias("v")), f"SELECT doc_id, {sql} AS v FROM documents")
 
 
 def _squeezed(sql: str) -> str:
@@ -26,89 +28,89 @@ def _squeezed(sql: str) -> str:
 
 
 _fold = lambda s: f"replace(lower({s}), 'ß', 'ss')"
-doc("g1_clean_title", tx.clean_title(TEXT), _squeezed(_fold("text")))
-doc("g2_clean_title_alpha", tx.clean_title_alpha(TEXT), _squeezed(_fold(r"regexp_replace(text, '[^\p{L}\s]', '', 'g')")))
-doc("g3_match_title", tx.match_title(TEXT), rf"array_to_string(list_filter(string_split({_squeezed(r'regexp_replace(' + _fold('text') + r", '[^\p{L}\p{M}\p{Nd}\p{Pc}\s]', ' ', 'g')")}, ' '), lambda w: w NOT IN ('a','an','the','and','or','but','in','on','at','to','for')), ' ')")
-doc("g4_normalise_text", tx.normalise_text(TEXT), r"regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', '', 'g'), '^\s+|\s+$', '', 'g')")
-doc("g5_squash_title", tx.squash_title(TEXT), _fold(r"regexp_replace(text, '\s+', '', 'g')"))
-doc("g6_alpha_ascii", tx.alpha_ascii(TEXT), f"lower({_squeezed(r"regexp_replace(text, '[^a-zA-Z\s]', '', 'g')")})")
-doc("g7_clean_query", tx.clean_query(TEXT), _squeezed(r"regexp_replace(text, '[^\p{L}\p{N}\s]', ' ', 'g')"))
-_numbered = F.concat(F.lit("12 "), F.replace(TEXT, F.lit(". "), F.lit(".\n\n\n7\n3  ")))
+doc("g1_clean_title", lambda: tx.clean_title(TEXT()), _squeezed(_fold("text")))
+doc("g2_clean_title_alpha", lambda: tx.clean_title_alpha(TEXT()), _squeezed(_fold(r"regexp_replace(text, '[^\p{L}\s]', '', 'g')")))
+doc("g3_match_title", lambda: tx.match_title(TEXT()), rf"array_to_string(list_filter(string_split({_squeezed(r'regexp_replace(' + _fold('text') + r", '[^\p{L}\p{M}\p{Nd}\p{Pc}\s]', ' ', 'g')")}, ' '), lambda w: w NOT IN ('a','an','the','and','or','but','in','on','at','to','for')), ' ')")
+doc("g4_normalise_text", lambda: tx.normalise_text(TEXT()), r"regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', '', 'g'), '^\s+|\s+$', '', 'g')")
+doc("g5_squash_title", lambda: tx.squash_title(TEXT()), _fold(r"regexp_replace(text, '\s+', '', 'g')"))
+doc("g6_alpha_ascii", lambda: tx.alpha_ascii(TEXT()), f"lower({_squeezed(r"regexp_replace(text, '[^a-zA-Z\s]', '', 'g')")})")
+doc("g7_clean_query", lambda: tx.clean_query(TEXT()), _squeezed(r"regexp_replace(text, '[^\p{L}\p{N}\s]', ' ', 'g')"))
+_numbered = lambda: F.concat(F.lit("12 "), F.replace(TEXT(), F.lit(". "), F.lit(".\n\n\n7\n3  ")))
 _numbered_sql = "concat('12 ', replace(text, '. ', '.' || chr(10) || chr(10) || chr(10) || '7' || chr(10) || '3  '))"
 _clean_sql = _numbered_sql
 for _p, _r in ((r"(?m)^[0-9]+[ \t\f\r]*", ""), (r"(?m)^[ \t\f\r]*[0-9]+[ \t\f\r]*$", ""), (r"\n{3,}", "\n\n"), (" {2,}", " "), (r"\s+([.!?;:,)\]}])", r"\1")):
     _clean_sql = f"regexp_replace({_clean_sql}, '{_p}', '{_r}', 'g')"
-doc("g8_clean_maintext", tx.clean_maintext(_numbered), rf"array_to_string(list_transform(string_split({_clean_sql}, chr(10) || chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), chr(10) || chr(10))")
-doc("g9_fix_spaces", tx.fix_spaces_before_punctuation(F.regexp_replace(TEXT, r"([.,])", " $1")), r"regexp_replace(regexp_replace(text, '([.,])', ' \1', 'g'), '\s+([.!?;:,)\]}])', '\1', 'g')")
-add("g10_section_number", lambda t: t.documents.select("doc_id", tx.section_number(F.concat(F.col("n_chars").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".1 ").otherwise(". "), TEXT)).alias("v")),
+doc("g8_clean_maintext", lambda: tx.clean_maintext(_numbered()), rf"array_to_string(list_transform(string_split({_clean_sql}, chr(10) || chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), chr(10) || chr(10))")
+doc("g9_fix_spaces", lambda: tx.fix_spaces_before_punctuation(F.regexp_replace(TEXT(), r"([.,])", " $1")), r"regexp_replace(regexp_replace(text, '([.,])', ' \1', 'g'), '\s+([.!?;:,)\]}])', '\1', 'g')")
+add("g10_section_number", lambda t: t.documents.select("doc_id", tx.section_number(F.concat(F.col("n_chars").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".1 ").otherwise(". "), TEXT())).alias("v")),
     "SELECT doc_id, TRY_CAST(split_part(split_part(CASE WHEN doc_id % 3 = 0 THEN n_chars || '.1 ' ELSE n_chars || '. ' END, ' ', 1), '.', 1) AS INTEGER) AS v FROM documents")
-_par = F.regexp_replace(TEXT, r"([a-z]+) ([a-z]+),", "($1 ($2)),")
+_par = lambda: F.regexp_replace(TEXT(), r"([a-z]+) ([a-z]+),", "($1 ($2)),")
 _par_sql = r"regexp_replace(text, '([a-z]+) ([a-z]+),', '(\1 (\2)),', 'g')"
 _no_par = _par_sql
 for _ in range(8):
     _no_par = rf"regexp_replace({_no_par}, '\([^()]*\)', '', 'g')"
-doc("g11_remove_parenthetical", tx.remove_parenthetical(_par), rf"regexp_replace({_squeezed(_no_par)}, '\s+([.!?;:,)\]}}])', '\1', 'g')")
-doc("g12_remove_prefix", tx.remove_prefix_icase(TEXT, "THE "), "CASE WHEN starts_with(lower(text), 'the ') THEN substr(text, 5) ELSE text END")
-_opened = F.concat(F.when(F.col("doc_id") % 3 == 0, "The supporting paper also shows that ").when(F.col("doc_id") % 3 == 1, "The findings from the target paper suggest that ").otherwise(""), F.lower(TEXT))
+doc("g11_remove_parenthetical", lambda: tx.remove_parenthetical(_par()), rf"regexp_replace({_squeezed(_no_par)}, '\s+([.!?;:,)\]}}])', '\1', 'g')")
+doc("g12_remove_prefix", lambda: tx.remove_prefix_icase(TEXT(), "THE "), "CASE WHEN starts_with(lower(text), 'the ') THEN substr(text, 5) ELSE text END")
+_opened = lambda: F.concat(F.when(F.col("doc_id") % 3 == 0, "The supporting paper also shows that ").when(F.col("doc_id") % 3 == 1, "The findings from the target paper suggest that ").otherwise(""), F.lower(TEXT()))
 _kept = "concat(upper(left(lower(text), 1)), substr(lower(text), 2))"
-doc("g13_clean_summary", tx.clean_summary(_opened), f"CASE WHEN doc_id % 3 < 2 THEN {_kept} ELSE lower(text) END")
-doc("g14_truncate_chars", tx.truncate_chars(TEXT, 256, "..."), "CASE WHEN length(text) > 256 THEN left(text, 256) || '...' ELSE text END")
+doc("g13_clean_summary", lambda: tx.clean_summary(_opened()), f"CASE WHEN doc_id % 3 < 2 THEN {_kept} ELSE lower(text) END")
+doc("g14_truncate_chars", lambda: tx.truncate_chars(TEXT(), 256, "..."), "CASE WHEN length(text) > 256 THEN left(text, 256) || '...' ELSE text END")
 _words = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
-add("g15_tokens", lambda t: t.documents.select("doc_id", tx.count_tokens(TEXT).alias("n"), tx.truncate_tokens(TEXT, 50).alias("v")),
+add("g15_tokens", lambda t: t.documents.select("doc_id", tx.count_tokens(TEXT()).alias("n"), tx.truncate_tokens(TEXT(), 50).alias("v")),
     f"SELECT doc_id, len({_words})::BIGINT AS n, CASE WHEN len({_words}) > 50 THEN array_to_string(({_words})[1:50], ' ') ELSE text END AS v FROM documents")
-add("g16_fit_prompt", lambda t: t.documents.select("doc_id", tx.fit_prompt(F.col("source"), TEXT, 40).alias("v")),
+add("g16_fit_prompt", lambda t: t.documents.select("doc_id", tx.fit_prompt(F.col("source"), TEXT(), 40).alias("v")),
     f"SELECT doc_id, CASE WHEN len({_words}) > 39 THEN array_to_string(({_words})[1:39], ' ') ELSE text END AS v FROM documents")
-add("g17_prompt_sizes", lambda t: prompts.size_stats(t.documents.select("lang", tx.render_template("Source: {source}\n{text}", {"source": F.col("source"), "text": TEXT}).alias("prompt")), "prompt", ["lang"]),
+add("g17_prompt_sizes", lambda t: prompts.size_stats(t.documents.select("lang", tx.render_template("Source: {source}\n{text}", {"source": F.col("source"), "text": TEXT()}).alias("prompt")), "prompt", ["lang"]),
     f"WITH p AS (SELECT lang, len({_words.replace('text', 'p')}) AS n FROM (SELECT lang, 'Source: ' || source || chr(10) || text AS p FROM documents)) SELECT lang, count(*)::BIGINT AS count, round(avg(n), 6) AS mean, round(coalesce(stddev_samp(n), 0), 6) AS std, min(n)::DOUBLE AS min, quantile_cont(n, 0.25)::DOUBLE AS p25, quantile_cont(n, 0.5)::DOUBLE AS p50, quantile_cont(n, 0.75)::DOUBLE AS p75, max(n)::DOUBLE AS max FROM p GROUP BY lang")
-add("g18_render_template", lambda t: t.documents.select("doc_id", tx.render_template("Title: {title}\n{{x}}\nSource: {source}\n\n{text}", {"title": TITLE, "source": F.col("source"), "text": TEXT}).alias("v")),
+add("g18_render_template", lambda t: t.documents.select("doc_id", tx.render_template("Title: {title}\n{{x}}\nSource: {source}\n\n{text}", {"title": TITLE(), "source": F.col("source"), "text": TEXT()}).alias("v")),
     f"SELECT doc_id, 'Title: ' || {SQL_TITLE} || chr(10) || '{{x}}' || chr(10) || 'Source: ' || source || chr(10) || chr(10) || text AS v FROM documents")
 _lines_sql = "string_split(text, chr(10))"
 add("g19_lists", lambda t: t.documents.select("doc_id", tx.numbered_list(F.split("text", "\n", -1), prefix="1.", indent=2).alias("numbered"), tx.bullet_list(F.split("text", "\n", -1)).alias("bullets")),
     f"SELECT doc_id, array_to_string(list_transform({_lines_sql}, lambda x, i: '  1.' || i || '. ' || x), chr(10)) AS numbered, array_to_string(list_transform({_lines_sql}, lambda x: '- ' || x), chr(10)) AS bullets FROM documents")
-add("g20_format_related", lambda t: prompts.format_related(t.documents.select(F.col("source").alias("paper_id"), F.col("doc_id").cast("string").alias("related_id"), TITLE.alias("title"), F.lit("semantic").alias("source"), F.col("text").alias("summary"), F.col("n_chars").cast("double").alias("score"), (F.col("doc_id") % 20 + 2000).alias("year"))),
+add("g20_format_related", lambda t: prompts.format_related(t.documents.select(F.col("source").alias("paper_id"), F.col("doc_id").cast("string").alias("related_id"), TITLE().alias("title"), F.lit("semantic").alias("source"), F.col("text").alias("summary"), F.col("n_chars").cast("double").alias("score"), (F.col("doc_id") % 20 + 2000).alias("year"))),
     f"WITH d AS (SELECT *, {SQL_TITLE} AS title, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id::VARCHAR) AS r FROM documents) SELECT source AS paper_id, string_agg('ID: ' || doc_id || chr(10) || 'Title: ' || title || chr(10) || 'Source: semantic' || chr(10) || 'Summary: ' || text || chr(10), chr(10) || chr(10) ORDER BY r) AS related, string_agg('Paper ' || r || ': ' || title || ' (' || (doc_id % 20 + 2000) || ')' || chr(10) || 'Abstract: ' || text, chr(10) || chr(10) ORDER BY r) AS retrieved FROM d GROUP BY source")
-_names = F.slice(F.split(F.regexp_replace(TEXT, r"\s+", " "), " ", -1), F.lit(1), (F.col("doc_id") % 5).cast("int"))
+_names = lambda: F.slice(F.split(F.regexp_replace(TEXT(), r"\s+", " "), " ", -1), F.lit(1), (F.col("doc_id") % 5).cast("int"))
 _names_sql = r"(CASE WHEN doc_id % 5 = 0 THEN [] ELSE (string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '))[1:(doc_id % 5)] END)"
-add("g21_bibliography", lambda t: prompts.bibliography(t.documents.select("source", F.concat(F.lit("k"), "doc_id").alias("citation_key"), TITLE.alias("title"), _names.alias("authors"), F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 30 + 1990).alias("year"), F.col("doc_id").alias("ord")), "source"),
+add("g21_bibliography", lambda t: prompts.bibliography(t.documents.select("source", F.concat(F.lit("k"), "doc_id").alias("citation_key"), TITLE().alias("title"), _names().alias("authors"), F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 30 + 1990).alias("year"), F.col("doc_id").alias("ord")), "source"),
     f"WITH d AS (SELECT *, {SQL_TITLE} AS title, {_names_sql} AS a FROM documents) SELECT source, string_agg('[k' || doc_id || '] ' || title || '. ' || CASE WHEN len(a) = 0 THEN 'Unknown authors' WHEN len(a) <= 2 THEN array_to_string(a, ', ') ELSE a[1] || ' et al.' END || ', ' || CASE WHEN doc_id % 4 > 0 THEN (doc_id % 30 + 1990)::VARCHAR ELSE 'n.d.' END || '.', chr(10) ORDER BY doc_id) AS bibliography FROM d GROUP BY source")
-doc("g22_format_authors", tx.format_authors(_names), f"CASE WHEN len({_names_sql}) <= 3 THEN array_to_string({_names_sql}, ', ') ELSE ({_names_sql})[1] || ', ' || ({_names_sql})[2] || ', ... (' || len({_names_sql}) || ' authors)' END")
+doc("g22_format_authors", lambda: tx.format_authors(_names()), f"CASE WHEN len({_names_sql}) <= 3 THEN array_to_string({_names_sql}, ', ') ELSE ({_names_sql})[1] || ', ' || ({_names_sql})[2] || ', ... (' || len({_names_sql}) || ' authors)' END")
 add("g23_truncate_evidence", lambda t: t.documents.select("doc_id", tx.truncate_evidence(F.concat(F.lit("Supporting evidence:\n"), tx.bullet_list(F.split("text", "\n", -1))), 3).alias("v")),
     f"SELECT doc_id, 'Supporting evidence:' || chr(10) || array_to_string(list_transform(({_lines_sql})[1:3], lambda x: '- ' || x), chr(10)) AS v FROM documents")
-_evidence = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("text"), F.col("source").alias("paper_title")))
-doc("g24_structured_rationale", tx.structured_rationale(TITLE, _evidence, F.slice(_evidence, 1, 1), F.array(F.col("lang")), F.col("source")),
+_evidence = lambda: F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("text"), F.col("source").alias("paper_title")))
+doc("g24_structured_rationale", lambda: tx.structured_rationale(TITLE(), _evidence(), F.slice(_evidence(), 1, 1), F.array(F.col("lang")), F.col("source")),
     f"array_to_string(list_concat(['Paper Summary: ' || {SQL_TITLE}, '', 'Supporting Evidence:'], list_transform({_lines_sql}, lambda x: '- ' || x || ' (from: ' || source || ')'), ['', 'Contradictory Evidence:'], list_transform(({_lines_sql})[1:1], lambda x: '- ' || x || ' (from: ' || source || ')'), ['', 'Key Comparisons:', '- ' || lang, '', 'Conclusion: ' || source]), chr(10))")
-_reply = F.concat(TEXT, F.lit("\n**Label**: "), (F.col("turn") % 7).cast("string"), F.lit("\n"))
+_reply = lambda: F.concat(TEXT(), F.lit("\n**Label**: "), (F.col("turn") % 7).cast("string"), F.lit("\n"))
 _sane = r"regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '(?i)\*{0,2}(?:label|rating)\*{0,2}\s*:\*{0,2}\s*[1-5]') AND regexp_replace(x, '^\s+|\s+$', '', 'g') <> ''), chr(10)), '^\s+|\s+$', '', 'g')"
-add("g25_parse_responses", lambda t: t.conversations.select("conv_id", "turn", tx.parse_label(_reply).alias("p"), tx.parse_rating(F.concat(F.lit("rating: "), F.col("turn").cast("string"))).alias("rating"), tx.parse_label_line(F.concat(TEXT, F.lit("\nLabel: "), (F.col("turn") % 2).cast("string"))).alias("label_line")).select("conv_id", "turn", "p.label", "p.rationale", "rating", "label_line"),
+add("g25_parse_responses", lambda t: t.conversations.select("conv_id", "turn", tx.parse_label(_reply()).alias("p"), tx.parse_rating(F.concat(F.lit("rating: "), F.col("turn").cast("string"))).alias("rating"), tx.parse_label_line(F.concat(TEXT(), F.lit("\nLabel: "), (F.col("turn") % 2).cast("string"))).alias("label_line")).select("conv_id", "turn", "p.label", "p.rationale", "rating", "label_line"),
     f"SELECT conv_id, turn, CASE WHEN turn % 7 BETWEEN 1 AND 5 THEN (turn % 7)::INTEGER END AS label, CASE WHEN turn % 7 BETWEEN 1 AND 5 THEN {_sane} END AS rationale, greatest(1, least(5, left(turn::VARCHAR, 1)::INTEGER)) AS rating, (turn % 2)::INTEGER AS label_line FROM conversations")
 _heads = ["1 Introduction", "2 Related work", "3 Proposed method", "4 Experiments", "5 Conclusion", "A Appendix", "6 Data"]
 add("g26_imrad", lambda t: prompts.imrad(t.documents.select("source", F.element_at(F.array(*map(F.lit, _heads)), (F.col("doc_id") % 7 + 1).cast("int")).alias("heading"), "text", F.col("doc_id").alias("ord")), "source", most=100),
     "WITH d AS (SELECT source, doc_id, text, CASE doc_id % 7 WHEN 0 THEN 'introduction' WHEN 2 THEN 'methods' WHEN 3 THEN 'results' WHEN 4 THEN 'discussion' END AS k FROM documents), j AS (SELECT source, " + ", ".join(f"string_agg(text, chr(10) || chr(10) ORDER BY doc_id) FILTER (k = '{k}') AS {k}" for k in tx.SECTION_KINDS) + " FROM d GROUP BY source) SELECT source, " + ", ".join(f"coalesce(CASE WHEN len({_words.replace('text', k)}) > 100 THEN array_to_string(({_words.replace('text', k)})[1:100], ' ') ELSE {k} END, '[Section not available]') AS {k}" for k in tx.SECTION_KINDS) + " FROM j")
 _phrases = ["the and", "on of", "is esndha", "le la", "die und"]
-doc("g27_any_phrase", tx.any_phrase(TEXT, _phrases), r"regexp_matches(regexp_replace(regexp_replace(lower(regexp_replace(text, '\s+', ' ', 'g')), '[^a-z0-9\s]', '', 'g'), '^\s+|\s+$', '', 'g'), '\b(?:" + "|".join(p.replace(" ", r"\s+") for p in _phrases) + r")\b')")
-add("g28_fuzzy_ratio", lambda t: t.documents.select("doc_id", fuzzy_ratio(TITLE, F.concat(F.reverse(F.col("lang")), TITLE)).alias("v")))
-add("g29_fuzzy_partial_ratio", lambda t: t.documents.select("doc_id", fuzzy_partial_ratio(F.left(TITLE, F.lit(60)), F.concat("source", F.reverse(F.left(TITLE, F.lit(60))))).alias("v")))
-add("g30_sequence_ratio", lambda t: t.documents.select("doc_id", F.round(sequence_ratio(TITLE, F.concat("source", TITLE)), 6).alias("v")))
-_spans = F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit('[{"start":0,"end":5},{"start":'), (F.col("doc_id") % 9).cast("string"), F.lit(',"end":20}]')))
-doc("g31_extract_spans", tx.extract_spans(TEXT, _spans), "CASE WHEN doc_id % 4 > 0 THEN substr(text, 1, 5) || chr(10) || substr(text, (doc_id % 9) + 1, 20 - (doc_id % 9)) END")
-_tex = F.concat(F.lit("% note\n"), F.regexp_replace(TEXT, r"([a-z]+), ", r"\\emph{$1} \\cite{k$1,z} \$x^2\$ "))
+doc("g27_any_phrase", lambda: tx.any_phrase(TEXT(), _phrases), r"regexp_matches(regexp_replace(regexp_replace(lower(regexp_replace(text, '\s+', ' ', 'g')), '[^a-z0-9\s]', '', 'g'), '^\s+|\s+$', '', 'g'), '\b(?:" + "|".join(p.replace(" ", r"\s+") for p in _phrases) + r")\b')")
+add("g28_fuzzy_ratio", lambda t: t.documents.select("doc_id", fuzzy_ratio(TITLE(), F.concat(F.reverse(F.col("lang")), TITLE())).alias("v")))
+add("g29_fuzzy_partial_ratio", lambda t: t.documents.select("doc_id", fuzzy_partial_ratio(F.left(TITLE(), F.lit(60)), F.concat("source", F.reverse(F.left(TITLE(), F.lit(60))))).alias("v")))
+add("g30_sequence_ratio", lambda t: t.documents.select("doc_id", F.round(sequence_ratio(TITLE(), F.concat("source", TITLE())), 6).alias("v")))
+_spans = lambda: F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit('[{"start":0,"end":5},{"start":'), (F.col("doc_id") % 9).cast("string"), F.lit(',"end":20}]')))
+doc("g31_extract_spans", lambda: tx.extract_spans(TEXT(), _spans()), "CASE WHEN doc_id % 4 > 0 THEN substr(text, 1, 5) || chr(10) || substr(text, (doc_id % 9) + 1, 20 - (doc_id % 9)) END")
+_tex = lambda: F.concat(F.lit("% note\n"), F.regexp_replace(TEXT(), r"([a-z]+), ", r"\\emph{$1} \\cite{k$1,z} \$x^2\$ "))
 _tex_sql = r"'% note' || chr(10) || regexp_replace(text, '([a-z]+), ', '\\emph{\1} \\cite{k\1,z} $x^2$ ', 'g')"
 _keys_sql = rf"list_sort(list_distinct(flatten(list_transform(regexp_extract_all({_tex_sql}, '\\cite\{{([^}}]*)\}}', 1), lambda k: string_split(k, ',')))))"
 _bare = rf"regexp_replace({_tex_sql}, '(?m)^[ \t]*%.*(\n|$)', '', 'g')"
 _bare = rf"regexp_replace({_bare}, '\$[^$]*\$', '', 'g')"
 _bare = rf"regexp_replace({_bare}, '\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{{([^{{}}]*)\}}', '\1', 'g')"
-add("g32_tex", lambda t: t.documents.select("doc_id", F.array_join(tx.citation_keys(_tex), ",").alias("keys"), tx.strip_tex(tx.strip_tex_comments(_tex)).alias("bare")),
+add("g32_tex", lambda t: t.documents.select("doc_id", F.array_join(tx.citation_keys(_tex()), ",").alias("keys"), tx.strip_tex(tx.strip_tex_comments(_tex())).alias("bare")),
     rf"SELECT doc_id, array_to_string({_keys_sql}, ',') AS keys, {_squeezed(rf"regexp_replace({_bare}, '\\[a-zA-Z]+\*?|[{{}}]', '', 'g')")} AS bare FROM documents")
-_bib = F.concat(F.lit("\\bibitem{k"), F.col("doc_id").cast("string"), F.lit("} A. Author and B. Writer. \\newblock "), TITLE, F.lit(". \\newblock Venue, "), (F.col("doc_id") % 40 + 1980).cast("string"), F.lit("."))
-add("g33_bibitems", lambda t: prompts.bibitems(t.documents.select("doc_id", _bib.alias("bib")), "bib"),
+_bib = lambda: F.concat(F.lit("\\bibitem{k"), F.col("doc_id").cast("string"), F.lit("} A. Author and B. Writer. \\newblock "), TITLE(), F.lit(". \\newblock Venue, "), (F.col("doc_id") % 40 + 1980).cast("string"), F.lit("."))
+add("g33_bibitems", lambda t: prompts.bibitems(t.documents.select("doc_id", _bib().alias("bib")), "bib"),
     f"SELECT doc_id, 'k' || doc_id AS key, {_squeezed('(' + SQL_TITLE + ')')} AS title, (doc_id % 40 + 1980)::INTEGER AS year, 'A. Author|B. Writer' AS authors FROM documents")
-add("g34_sentences", lambda t: t.documents.select("doc_id", F.posexplode(tx.split_sentences(TEXT)).alias("pos", "sentence")),
+add("g34_sentences", lambda t: t.documents.select("doc_id", F.posexplode(tx.split_sentences(TEXT())).alias("pos", "sentence")),
     r"WITH s AS (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS a FROM documents), f AS (SELECT doc_id, list_filter(a, lambda x: x <> '') AS a FROM s) SELECT doc_id, (i - 1)::INTEGER AS pos, a[i] AS sentence FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM f)")
-_marked = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("# "), F.replace(TEXT, F.lit("\n"), F.lit("\n# ")))).otherwise(TEXT)
-add("g34_markdown_sections", lambda t: t.documents.select("doc_id", F.posexplode(tx.split_markdown(_marked)).alias("pos", "s")).select("doc_id", "pos", "s.heading", "s.text"),
+_marked = lambda: F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("# "), F.replace(TEXT(), F.lit("\n"), F.lit("\n# ")))).otherwise(TEXT())
+add("g34_markdown_sections", lambda t: t.documents.select("doc_id", F.posexplode(tx.split_markdown(_marked())).alias("pos", "s")).select("doc_id", "pos", "s.heading", "s.text"),
     r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS h, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents WHERE doc_id % 3 > 0) SELECT doc_id, pos::INTEGER AS pos, regexp_replace(h, '^\s+|\s+$', '', 'g') AS heading, '' AS text FROM l UNION ALL SELECT doc_id, 0 AS pos, 'Document' AS heading, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM documents WHERE doc_id % 3 = 0")
-_arx = F.concat(F.lpad((F.col("doc_id") % 30).cast("string"), 2, "0"), F.lpad((F.col("doc_id") % 15).cast("string"), 2, "0"), F.lit("."), F.lpad(F.col("n_chars").cast("string"), 5, "0"))
-add("g35_arxiv_year_month", lambda t: t.documents.select("doc_id", tx.arxiv_year_month(_arx).alias("m")).select("doc_id", F.col("m.year").alias("year"), F.col("m.month").alias("month")),
+_arx = lambda: F.concat(F.lpad((F.col("doc_id") % 30).cast("string"), 2, "0"), F.lpad((F.col("doc_id") % 15).cast("string"), 2, "0"), F.lit("."), F.lpad(F.col("n_chars").cast("string"), 5, "0"))
+add("g35_arxiv_year_month", lambda t: t.documents.select("doc_id", tx.arxiv_year_month(_arx()).alias("m")).select("doc_id", F.col("m.year").alias("year"), F.col("m.month").alias("month")),
     "SELECT doc_id, CASE WHEN doc_id % 15 BETWEEN 1 AND 12 THEN (2000 + doc_id % 30)::INTEGER END AS year, CASE WHEN doc_id % 15 BETWEEN 1 AND 12 THEN (doc_id % 15)::INTEGER END AS month FROM documents")
 add("g36_id_from_url", lambda t: t.pages.select("page_id", tx.arxiv_id_from_url(F.col("url")).alias("v")),
     r"SELECT page_id, nullif(regexp_replace(regexp_extract(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '([^/]+)/?$', 1), '(v[0-9]+)?(\.[a-z]+)?$', ''), '') AS v FROM pages")
@@ -122,12 +124,12 @@ add("g39_cosine", lambda t: t.embeddings.select(F.col("vec_id").alias("a_id"), F
 add("g40_safediv", lambda t: t.lineitem.select("l_orderkey", "l_linenumber", F.nanvl(tx.safediv(F.col("l_extendedprice"), F.round(F.col("l_discount") * 100)), F.lit(-1.0)).alias("x")).select("l_orderkey", "l_linenumber", F.round("x", 4).alias("v")),
     "SELECT l_orderkey, l_linenumber, round(CASE WHEN round(l_discount * 100) = 0 THEN -1.0 ELSE l_extendedprice::DOUBLE / round(l_discount * 100)::DOUBLE END, 4) AS v FROM lineitem")
 add("g41_sanitise_json", lambda t: prompts.sanitise(t.events.select("event_id", F.from_json("props", "map<string,string>").alias("props")), list_most=2, text_most=6).select("event_id", F.to_json("props").alias("v")))
-add("g42_ids", lambda t: t.documents.select("doc_id", tx.content_id(TITLE, TEXT).alias("cid"), tx.cache_key(F.col("lang"), F.col("source"), F.col("n_chars")).alias("ck")),
+add("g42_ids", lambda t: t.documents.select("doc_id", tx.content_id(TITLE(), TEXT()).alias("cid"), tx.cache_key(F.col("lang"), F.col("source"), F.col("n_chars")).alias("ck")),
     f"SELECT doc_id, sha256({SQL_TITLE} || text) AS cid, left(sha256(lang || '|' || source || '|' || n_chars), 16) AS ck FROM documents")
 add("g43_longest_by_words", lambda t: prompts.longest_by_words(t.documents, "source", "text", "doc_id"),
     r"WITH w AS (SELECT source, doc_id, len(regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}\p{Pc}]+'))::BIGINT AS n FROM documents) SELECT source, doc_id, n FROM w QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, doc_id) = 1")
-_sent = F.split("text", "\n", -1)
-add("g44_abstract_demo", lambda t: t.documents.select("doc_id", tx.abstract_demo(_sent, F.transform(_sent, lambda x, i: F.when(i % 2 == 0, "background").otherwise("method"))).alias("d")).select("doc_id", "d.background", "d.target"),
+_sent = lambda: F.split("text", "\n", -1)
+add("g44_abstract_demo", lambda t: t.documents.select("doc_id", tx.abstract_demo(_sent(), F.transform(_sent(), lambda x, i: F.when(i % 2 == 0, "background").otherwise("method"))).alias("d")).select("doc_id", "d.background", "d.target"),
     f"SELECT doc_id, array_to_string(list_filter({_lines_sql}, lambda x, i: i % 2 = 1), ' ') AS background, array_to_string(list_filter({_lines_sql}, lambda x, i: i % 2 = 0), ' ') AS target FROM documents")
 add("g45_encode_text", lambda t: encode.hashing_encoder(t.documents.select("doc_id", "text"), "text", 64).select("doc_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("norm")),
     "SELECT doc_id, CASE WHEN regexp_matches(lower(text), '[^\\s]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents")
