@@ -40,7 +40,7 @@ from paperloom.llm.shared import components, cut, parts_for, text_bytes, written
 WORDS = 5
 SIMILAR = 80
 BLOCK_ROWS = 4096
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 SHARD_BYTES = 12_000_000
 HASH_BITS = 48
 MANY = 0xFFFF
