@@ -21,63 +21,114 @@ empty result. Other columns pass through, whatever their names.
 
 from __future__ import annotations
 
-from collections import Counter
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import cut
+from paperloom.llm.shared import cut, forget
 
 ORDER = 5
 QUANTILE = 0.995
 SLACK = 2.0
 PRIOR = 25
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 15_000_000
 BLOCK_ROWS = 20_000
+#: Trusted ids of up to so many rows (of about 16 bytes) are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
+#: Grams are cut from so many words at a time.
+WORDS_AT_ONCE = 50_000
 #: A task hands over its counts when it holds so many distinct words.
-HELD_WORDS = 1_000_000
+HELD_WORDS = 500_000
 
 #: Digits count as one character; the border marks cannot occur in a word.
 _plain = bytes.maketrans(b"123456789^$", b"000000000\x02\x03")
 #: Stands for a word that repeats the one before it: one event, whatever the word.
 AGAIN = b"\x01"
-
-
-def words(text: str) -> list[bytes]:
-    got = text.encode("utf-8", "replace").translate(_plain).split()
-    return [AGAIN if a == b else a for a, b in zip(got, [b"", *got[:-1]], strict=True)]
-
-
-def grams(word: str) -> list[str]:
-    if word == "\x01":
-        return ["^\x01"]
-    s = f"^{word}$"
-    return [s[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(s))]
+REPEAT = "^\x01"
+
+
+class Vocabulary:
+    """Numbers words in order of first sight; number 0 is the repeat of the word before."""
+
+    def __init__(self):
+        self.ids: dict[bytes, int] = defaultdict(itertools.count().__next__)
+        self.ids[AGAIN]
+
+    def read(self, text: str) -> np.ndarray:
+        """The text as word numbers."""
+        got = text.encode("utf-8", "replace").translate(_plain).split()
+        out = np.fromiter(map(self.ids.__getitem__, got), dtype=np.int32, count=len(got))
+        again = out[1:] == out[:-1]
+        out[1:][again] = 0
+        return out
+
+    def names(self) -> set[str]:
+        """Distinct grams of all words."""
+        out = {REPEAT}
+        rest = itertools.islice(self.ids, 1, None)
+        while part := list(itertools.islice(rest, WORDS_AT_ONCE)):
+            out.update(_events([w.decode("utf-8", "replace") for w in part])[0])
+        return out
+
+    def grams(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct grams of all words, each event's gram number, and where each word's events begin."""
+        names: dict[str, int] = {REPEAT: 0}
+        numbers, sizes = [np.zeros(1, dtype=np.int32)], [np.ones(1, dtype=np.int32)]
+        rest = itertools.islice(self.ids, 1, None)
+        while part := list(itertools.islice(rest, WORDS_AT_ONCE)):
+            own, number, size = _events([w.decode("utf-8", "replace") for w in part])
+            numbers.append(np.array([names.setdefault(g, len(names)) for g in own], dtype=np.int32)[number])
+            sizes.append(size)
+        return list(names), np.concatenate(numbers), np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
+
+
+def _events(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct grams of the words, each event's gram number, and the number of events of each word."""
+    marked = "".join([f"^{w}$" for w in words])
+    codes = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    place = np.arange(len(codes))
+    border = codes == ord("^")
+    first = np.maximum.accumulate(np.where(border, place, 0))
+    key = codes.copy()
+    for back in range(1, ORDER):
+        key *= np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(31)
+        inside = place - back >= first
+        key[back:] += np.where(inside[back:], codes[:-back] + np.uint64(1), np.uint64(0))
+    events = place[~border]
+    _, at, number = np.unique(key[events], return_index=True, return_inverse=True)
+    ends = events[at]
+    starts = np.maximum(ends - ORDER + 1, first[ends])
+    names = [marked[a : b + 1] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return names, number.ravel(), np.bincount(np.cumsum(border)[events] - 1, minlength=len(words)).astype(np.int32)
 
 
 def count_grams(trusted: DataFrame) -> DataFrame:
     """``(lang, text)`` -> ``(lang, gram, n)``, summed over all trusted rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, Counter] = {}
+        held: dict[str, tuple[Vocabulary, list]] = {}
 
         def hand_over() -> Iterator[pd.DataFrame]:
-            for lang, seen in held.items():
-                out: Counter = Counter()
-                for w, n in seen.items():
-                    for g in grams(w.decode("utf-8", "replace")):
-                        out[g] += n
-                yield pd.DataFrame({"lang": lang, "gram": list(out), "n": list(out.values())})
+            for lang, (vocabulary, texts) in held.items():
+                names, number, begins = vocabulary.grams()
+                times = np.bincount(np.concatenate(texts), minlength=len(vocabulary.ids))
+                n = np.bincount(number, weights=np.repeat(times, np.diff(begins)), minlength=len(names)).astype(np.int64)
+                yield pd.DataFrame({"lang": lang, "gram": names, "n": n})[n > 0]
             held.clear()
 
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                held.setdefault(lang, Counter()).update(words(text))
-            if sum(map(len, held.values())) > HELD_WORDS:
+                vocabulary, texts = held.setdefault(lang, (Vocabulary(), []))
+                texts.append(vocabulary.read(text))
+            if sum(len(v.ids) for v, _ in held.values()) > HELD_WORDS:
                 yield from hand_over()
         yield from hand_over()
 
@@ -112,38 +163,45 @@ def model(counts: DataFrame) -> DataFrame:
     chain = F.aggregate(steps, F.lit(0.0), lambda p, x: x["own"] + F.when(x["k"] == 1, 0.0).otherwise(x["gamma"] * p))
     logs = parts.groupBy("lang", F.col("whole").alias("gram")).agg(F.ln(chain).alias("logp")).withColumn("bow", F.lit(None).cast("double"))
     bows = sums.select("lang", F.col("ctx").alias("gram"), F.when(F.col("ctx") == "", F.ln(F.col("gamma") / (F.col("types") + 1))).alias("logp"), F.when(F.col("ctx") == "", 0.0).otherwise(F.ln("gamma")).alias("bow"))
-    return logs.unionByName(bows).groupBy("lang", "gram").agg(F.max("logp").alias("logp"), F.max("bow").alias("bow"))
+    return logs.unionByName(bows).groupBy("lang", "gram").agg(F.max("logp").cast("float").alias("logp"), F.max("bow").cast("float").alias("bow"))
 
 
-def pack(rows: DataFrame) -> DataFrame:
-    """``rows`` in blocks: (block, payload). The payload is the block's rows as a compressed Arrow stream.
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, list[pa.RecordBatch]]]:
+    """(block, payload, rows) of what a task reads: up to BLOCK_CHARS bytes or BLOCK_ROWS rows each.
 
-    A block is what a task reads up to BLOCK_CHARS characters; its number is a hash of its payload. Blocks are made twice,
-    once to ask and once to score; a block that finds no answers (its rows came in another order) is an error.
+    The payload is the rows as a compressed Arrow stream, and the block's number is its hash. Blocks are made twice, once
+    to ask and once to score; a block that finds no answers (its rows came in another order) is an error.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, chars, n_rows = [], 0, 0
+    def close(kept: list[pa.RecordBatch]) -> tuple[int, bytes, list[pa.RecordBatch]]:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, kept[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))) as w:
+            for b in kept:
+                w.write_batch(b)
+        payload = sink.getvalue().to_pybytes()
+        return xxhash.xxh3_64_intdigest(payload) >> 1, payload, kept
+
+    kept, size, rows = [], 0, 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            b = batch.slice(at, 1000)
+            kept.append(b)
+            rows += b.num_rows
+            size += b.nbytes
+            if size > BLOCK_CHARS or rows >= BLOCK_ROWS:
+                yield close(kept)
+                kept, size, rows = [], 0, 0
+                pa.default_memory_pool().release_unused()
+    if kept:
+        yield close(kept)
 
-        def close() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, kept[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                for b in kept:
-                    w.write_batch(b)
-            payload = sink.getvalue().to_pybytes()
-            return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(payload) >> 1], pa.int64()), pa.array([payload], pa.binary())], names=["block", "payload"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                b = batch.slice(at, 1000)
-                kept.append(b)
-                n_rows += b.num_rows
-                chars += b.nbytes
-                if chars > BLOCK_CHARS or n_rows >= BLOCK_ROWS:
-                    yield close()
-                    kept, chars, n_rows = [], 0, 0
-        if kept:
-            yield close()
+def pack(rows: DataFrame) -> DataFrame:
+    """``rows(id, lang, text)`` in blocks: (block, payload)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, payload, _ in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([payload], pa.binary())], names=["block", "payload"])
 
     return rows.mapInArrow(run, "block long, payload binary")
 
@@ -152,28 +210,30 @@ def unpack(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
 
-def wanted(blocks: DataFrame) -> DataFrame:
-    """The distinct (lang, gram) each block needs: full grams with all their tails and contexts."""
+def wanted(rows: DataFrame) -> DataFrame:
+    """The distinct (block, lang, gram) each block needs: full grams with all their tails and contexts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for block, payload in zip(batch["block"], batch["payload"], strict=True):
-                seen: dict[str, set] = {}
-                t = unpack(payload)
-                for lang, text in zip(t["lang"], t["text"], strict=True):
-                    seen.setdefault(lang.as_py(), set()).update(words(text.as_py()))
-                for lang, vocabulary in seen.items():
-                    top: set[str] = set()
-                    for w in vocabulary:
-                        top.update(grams(w.decode("utf-8", "replace")))
-                    need = {""}
-                    for g in top:
-                        for i in range(len(g)):
-                            need.add(g[i:])
-                            need.add(g[i:-1])
-                    yield pd.DataFrame({"block": block, "lang": lang, "gram": list(need)})
-
-    return blocks.mapInPandas(run, "block long, lang string, gram string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, kept in _blocks(batches):
+            seen: dict[str, Vocabulary] = {}
+            for b in kept:
+                for lang, text in zip(b["lang"].to_pylist(), b["text"], strict=True):
+                    seen.setdefault(lang, Vocabulary()).read(text.as_py())
+            while seen:
+                lang, vocabulary = seen.popitem()
+                need = {""}
+                for g in vocabulary.names():
+                    for i in range(len(g)):
+                        if g[i:] in need:
+                            break
+                        need.add(g[i:])
+                        need.add(g[i:-1])
+                del vocabulary
+                while need:  # in parts, so that little is held twice
+                    part = [need.pop() for _ in range(min(len(need), 50_000))]
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array([lang] * len(part), pa.string()), pa.array(part, pa.string())], names=["block", "lang", "gram"])
+
+    return rows.mapInArrow(run, "block long, lang string, gram string")
 
 
 def score_blocks(blocks: DataFrame, answers: DataFrame, id_col: str, kind: str) -> DataFrame:
@@ -183,29 +243,29 @@ def score_blocks(blocks: DataFrame, answers: DataFrame, id_col: str, kind: str)
         if left.empty or right.empty:
             raise RuntimeError("a block's rows differ between two reads of the input; write the input to a table first")
         tables: dict[str, tuple[dict, dict]] = {}
-        for lang, part in right.groupby("lang", sort=False):
-            logp = part[part["logp"].notna()]
-            bow = part[part["bow"].notna()]
-            tables[lang] = (dict(zip(logp["gram"], logp["logp"], strict=True)), dict(zip(bow["gram"], bow["bow"], strict=True)))
+        for lang, g, p, w in zip(right["lang"], right["gram"], right["logp"], right["bow"], strict=True):
+            logp, bow = tables.setdefault(lang, ({}, {}))
+            if p == p and p is not None:
+                logp[g] = p
+            if w == w and w is not None:
+                bow[g] = w
         out = []
         for payload in left["payload"]:
             t = unpack(payload)
-            cache: dict[str, dict[bytes, tuple[float, int]]] = {}
+            seen: dict[str, tuple[Vocabulary, list]] = {}
             for key, lang, text in zip(t["id"].to_pylist(), t["lang"].to_pylist(), t["text"], strict=True):
-                if lang not in tables or "" not in tables[lang][0]:
-                    out.append((key, lang, 0, 0.0))
+                vocabulary, texts = seen.setdefault(lang, (Vocabulary(), []))
+                texts.append((key, vocabulary.read(text.as_py())))
+            for lang, (vocabulary, texts) in seen.items():
+                logp, bow = tables.get(lang, ({}, {}))
+                if "" not in logp:
+                    out += [(key, lang, 0, 0.0) for key, _ in texts]
                     continue
-                logp, bow = tables[lang]
-                known = cache.setdefault(lang, {})
-                events, total = 0, 0.0
-                for w, n in Counter(words(text.as_py())).items():
-                    if w not in known:
-                        gs = grams(w.decode("utf-8", "replace"))
-                        known[w] = (sum(_log(g, logp, bow) for g in gs), len(gs))
-                    s, e = known[w]
-                    total += n * s
-                    events += n * e
-                out.append((key, lang, events, total))
+                names, number, begins = vocabulary.grams()
+                logs = np.array([_log(g, logp, bow) for g in names])[number]
+                logs = np.add.reduceat(logs, begins[:-1])
+                events = np.diff(begins)
+                out += [(key, lang, int(events[w].sum()), float(logs[w].sum())) for key, w in texts]
         return pd.DataFrame(out, columns=["id", "lang", "n_events", "logp"])
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, f"id {kind}, lang string, n_events long, logp double")
@@ -227,12 +287,15 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", quant
     """
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(F.col(id_col), "text", "lang")
-    trusted = trusted_ids.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()
+    trusted = cut(trusted_ids.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct())
+    if trusted.count() <= BROADCAST_ROWS:
+        trusted = F.broadcast(trusted)
     counts = count_grams(base.join(trusted, id_col, "left_semi"))
     table = cut(model(counts))
+    forget(docs.sparkSession)  # the model is written: its shuffle files need not wait for the driver's next collection
     rows = base.select(F.struct(F.col(id_col).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.col("lang").isNull().alias("ln")).alias("id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = pack(rows)
-    answers = wanted(blocks).join(table, ["lang", "gram"], "left")
+    answers = wanted(rows).join(table, ["lang", "gram"], "left")
     scored = cut(score_blocks(blocks, answers, "id", f"struct<k:{kind},h:long,ln:boolean>"))
     scored = scored.select(F.col("id.k").alias(id_col), F.col("id.h").alias("text_hash"), F.when(F.col("id.ln"), None).otherwise(F.col("lang")).alias("lang"), F.col("lang").alias("lang_key"), "n_events", F.when(F.col("n_events") > 0, F.exp(-F.col("logp") / F.col("n_events"))).alias("perplexity"))
     good = scored.join(trusted, id_col, "left_semi").where("perplexity is not null")
