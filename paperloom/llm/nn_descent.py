@@ -3,13 +3,18 @@
 Equal vectors are one node. A neighbour graph starts from several sorted random-hyperplane signatures (nodes next to each
 other in one of the orders are compared) and is refined by neighbours-of-neighbours joins: each node gathers its
 neighbours and reverse neighbours and all of these are compared with each other by one small matrix product. Rounds end
-when the number of links stops growing. A sample of nodes is then compared with all vectors (in blocks, nothing else is
-collected); if the recall of its links is below ``RECALL``, the lists are made longer and the rounds go on. Pairs with
-cosine >= 0.9 in double precision are links, all others are dropped.
+when the number of links stops growing. Pairs with cosine >= 0.9 in double precision are links, all others are dropped.
 
-A node whose list holds links only is saturated: it may have more. Its list is enlarged to its whole component. There
-the angle to one pivot settles most pairs (two nodes within half the limit of the pivot are linked); only nodes outside
-that half are compared, chunk by chunk, with the component's members, and counts instead of pairs come out.
+A node whose list holds links only is saturated: it may have more. A link falls out of both lists only if both ends are
+saturated, so the components with saturated nodes are compared with each other: cells of their members whose balls (center
+and widest angle) come within the limit are multiplied, and components with a link between them become one. Lists are then
+enlarged to the whole component. There the angle to one pivot settles most pairs (two nodes within half the limit of the
+pivot are linked); only nodes outside that half are compared, chunk by chunk, with the component's members, and counts
+instead of pairs come out.
+
+The audit compares a sample of nodes with all vectors (in blocks, nothing else is collected). Its links count as found if
+they are in the result: listed, or inside one enlarged component. They do not go into the result. If fewer than
+``RECALL`` are found, the lists are made longer and the rounds go on.
 
 Vectors that are null or zero or hold null or non-finite components have no links. Vectors of different length are
 compared as if filled up with zeros. Repeated rows count as links of each other. Other columns are ignored.
@@ -25,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import components, cut, written
+from paperloom.llm.shared import components, cut, parts_for, written
 
 SIMILAR = 0.9
 LIST = 10
@@ -169,28 +174,87 @@ def audit(nodes: DataFrame, similar: float, sample: int = SAMPLE) -> DataFrame:
     return nodes.select("nid", "u64").mapInPandas(run, "a long, b long").distinct()
 
 
-def descend(nodes: DataFrame, n: int, dim: int, similar: float = SIMILAR, k: int = LIST) -> tuple[DataFrame, DataFrame]:
-    """(graph, links). Links include those of the audit."""
-    truth = cut(audit(nodes, similar))
-    true_links = truth.count()
-    graph = cut(_start(nodes, n, dim, k))
-    for _ in range(2):
-        before = -1
-        for _ in range(ROUNDS):
-            now = graph.agg(F.coalesce(F.sum(F.size(F.filter("near", lambda x: x["s"] >= similar))), F.lit(0)).alias("n")).first()["n"]
-            if now <= before * 1.005 and before >= 0:
-                break
-            before = now
-            graph = cut(_refine(graph, nodes, k))
-        links = cut(_links(graph, nodes, similar))
-        found = truth.join(links, ["a", "b"], "left_semi").count()
-        # links of saturated nodes that are missing here are found by enlarging
-        full = graph.where((F.size("near") >= k) & (F.element_at("near", -1)["s"] >= similar - 1e-3)).select("nid")
-        open_ = truth.join(links, ["a", "b"], "left_anti").join(full.withColumnRenamed("nid", "a"), "a", "left_anti").join(full.withColumnRenamed("nid", "b"), "b", "left_anti").count()
-        if found + open_ == 0 or found >= RECALL * (found + open_) or k > LIST:
+def descend(nodes: DataFrame, n: int, dim: int, similar: float = SIMILAR, k: int = LIST, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(graph, links): lists of ``k``, started anew or from shorter lists, refined until links stop growing."""
+    graph = cut(_start(nodes, n, dim, k)) if known is None else known
+    before = -1
+    for _ in range(ROUNDS):
+        now = graph.agg(F.coalesce(F.sum(F.size(F.filter("near", lambda x: x["s"] >= similar))), F.lit(0)).alias("n")).first()["n"]
+        if now <= before * 1.005 and before >= 0:
             break
-        k *= 2
-    return graph, cut(links.unionByName(truth).distinct()), k
+        before = now
+        graph = cut(_refine(graph, nodes, k))
+    return graph, cut(_links(graph, nodes, similar))
+
+
+def _saturated(graph: DataFrame, k: int, similar: float) -> DataFrame:
+    return graph.where((F.size("near") >= k) & (F.element_at("near", -1)["s"] >= similar - 1e-3)).select("nid")
+
+
+def across(members: DataFrame, similar: float) -> DataFrame | None:
+    """Pairs (a, b) of the roots of ``members(root, nid, u64, ..)`` that have a link between their members; None: one root."""
+    limit = math.acos(similar) + 1e-6
+
+    def ball(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            center, wide = [], []
+            for us in batch["us"]:
+                x = _mat(us, np.float64)
+                c = x.mean(0)
+                c = c / np.sqrt(c @ c) if c @ c > 1e-12 else x[0]
+                center.append(c.tobytes())
+                wide.append(float(np.arccos(np.clip((x @ c).min(), -1.0, 1.0))))
+            yield batch.assign(center=center, wide=wide)[["root", "us", "center", "wide"]]
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for one, two in zip(batch["one"], batch["two"], strict=True):
+                angle = np.arccos(np.clip(_mat([x["center"] for x in one], np.float64) @ _mat([x["center"] for x in two], np.float64).T, -1.0, 1.0))
+                (c1, r1, w1), (c2, r2, w2) = (tuple(np.array([x[f] for x in side]) for f in ("cell", "root", "wide")) for side in (one, two))
+                i, j = np.nonzero((angle <= w1[:, None] + w2[None, :] + limit) & (r1[:, None] < r2[None, :]))
+                yield pd.DataFrame({"c1": c1[i], "c2": c2[j]})
+
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ok = [bool((_mat(x, np.float64) @ _mat(y, np.float64).T >= similar).any()) for x, y in zip(batch["x"], batch["y"], strict=True)]
+            yield batch.loc[np.array(ok, dtype=bool), ["a", "b"]]
+
+    if members.select("root").distinct().limit(2).count() < 2:
+        return None
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    packed = members.join(sizes, "root").groupBy("root", F.pmod(F.xxhash64("nid"), "chunks").alias("chunk")).agg(F.collect_list("u64").alias("us"))
+    cells = written(packed.select("root", "us").mapInPandas(ball, "root long, us array<binary>, center binary, wide double").withColumn("cell", F.monotonically_increasing_id()), "nn-cells")
+    block = F.pmod(F.xxhash64("cell"), F.lit(parts_for(cells.count(), CHUNK)))
+    blocks = written(cells.groupBy(block.alias("block")).agg(F.collect_list(F.struct("cell", "root", "center", "wide")).alias("balls")), "nn-balls")
+    one, two = (blocks.select(F.col("block").alias(f"b{i}"), F.col("balls").alias(n)) for i, n in ((1, "one"), (2, "two")))
+    # roots are ordered inside, so both orders of a pair of blocks are needed
+    pairs = one.select("b1").crossJoin(two.select("b2")).join(one, "b1").join(two, "b2")
+    near = cut(pairs.select("one", "two").mapInPandas(meet, "c1 long, c2 long"))
+    one, two = (cells.select(F.col("cell").alias(c), F.col("root").alias(r), F.col("us").alias(u)) for c, r, u in (("c1", "a", "x"), ("c2", "b", "y")))
+    return cut(near.join(one, "c1").join(two, "c2").mapInPandas(linked, "a long, b long").distinct())
+
+
+def settled(graph: DataFrame, links: DataFrame, nodes: DataFrame, k: int, similar: float) -> tuple[DataFrame, DataFrame]:
+    """(nid, root) of nodes in components, and (root, nid, copies, u64) of the components that hold saturated nodes."""
+    roots = cut(components(links).withColumnRenamed("node", "nid"))
+    own = F.coalesce("root", "nid").alias("root")
+    full = _saturated(graph, k, similar).join(roots, "nid", "left").select(own).distinct()
+    members = nodes.select("nid", "copies", "u64").join(roots, "nid", "left").select(own, "nid", "copies", "u64").join(full, "root", "left_semi")
+    members = written(members, "nn-full")
+    over = across(members, similar)
+    if over is None or over.isEmpty():
+        return roots, members
+    moved = cut(components(over).select(F.col("node").alias("root"), F.col("root").alias("to")))
+    members = members.join(moved, "root", "left").select(F.coalesce("to", "root").alias("root"), "nid", "copies", "u64")
+    inside = members.select("nid", "root")
+    return cut(inside.unionByName(roots.join(inside, "nid", "left_anti").select("nid", "root"))), members
+
+
+def lost(truth: DataFrame, links: DataFrame, members: DataFrame) -> int:
+    """How many of the audit's links the result does not count: neither listed nor inside one enlarged component."""
+    ends = [members.select(F.col("nid").alias(e), F.col("root").alias(f"r{e}")) for e in ("a", "b")]
+    out = truth.join(links, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    return out.where("coalesce(ra <> rb, true)").count()
 
 
 def enlarged(members: DataFrame, similar: float) -> DataFrame:
@@ -238,10 +302,17 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     if dim is None:
         return alone
     nodes = _nodes(good, dim)
-    graph, links, k = descend(nodes, nodes.count(), dim, similar)
-    roots = cut(components(links).withColumnRenamed("node", "nid"))
-    saturated = graph.where((F.size("near") >= k) & (F.element_at("near", -1)["s"] >= similar - 1e-3)).select("nid").join(roots, "nid").select("root").distinct()
-    more = enlarged(roots.join(saturated, "root", "left_semi").join(nodes.select("nid", "copies", "u64"), "nid").select("root", "nid", "copies", "u64"), similar)
+    n = nodes.count()
+    truth = cut(audit(nodes, similar))
+    most_lost = (1 - RECALL) * truth.count()
+    k, graph = LIST, None
+    while True:
+        graph, links = descend(nodes, n, dim, similar, k, graph)
+        roots, members = settled(graph, links, nodes, k, similar)
+        if k > LIST or lost(truth, links, members) <= most_lost:
+            more = enlarged(members, similar)
+            break
+        k *= 2
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     plain = both.join(nodes.select(F.col("nid").alias("b"), "copies"), "b").groupBy(F.col("a").alias("nid")).agg(F.sum("copies").alias("listed"))
     named = nodes.drop("u32", "u64").join(roots, "nid", "left").join(plain, "nid", "left").join(more, "nid", "left")

@@ -172,6 +172,32 @@ def test_near_vectors(spark):
     assert nn_descent.near_duplicates(df.limit(0)).count() == 0
 
 
+def brute_near(x):
+    norm = np.sqrt((x * x).sum(1))
+    on = x @ x.T / (norm[:, None] * norm[None, :]) >= 0.9
+    np.fill_diagonal(on, False)
+    return on.sum(1).tolist(), ngram_join.joined(on).tolist()
+
+
+def near_found(spark, x):
+    df = frame(spark, [(i, [float(f) for f in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in nn_descent.near_duplicates(df).collect()}
+    return [got[i].n_links for i in range(len(x))], [got[i].component_id for i in range(len(x))]
+
+
+def test_near_vectors_between_full_groups(spark, monkeypatch):
+    """Groups whose lists are full of their own members still find each other; nothing comes from the audit."""
+    real = nn_descent.audit
+    monkeypatch.setattr(nn_descent, "audit", lambda nodes, similar: real(nodes, similar, 0))
+    rng = np.random.default_rng(8)
+    a, b = np.zeros(24), np.zeros(24)
+    a[0], b[0], b[1] = 1.0, 0.92, np.sqrt(1 - 0.92**2)
+    x = np.vstack([rng.standard_normal((200, 24)), *[c + 0.01 * rng.standard_normal((60, 24)) for c in (a, b)]])
+    want = brute_near(x)
+    assert len(set(want[1][200:])) == 1 and min(want[0][200:]) > 60
+    assert near_found(spark, x) == want
+
+
 # -- 6
 
 
