@@ -13,8 +13,9 @@ pivot are linked); only nodes outside that half are compared, chunk by chunk, wi
 instead of pairs come out.
 
 The audit compares a sample of nodes with all vectors (in blocks, nothing else is collected). Its links count as found if
-they are in the result: listed, or inside one enlarged component. They do not go into the result. If fewer than
-``RECALL`` are found, the lists are made longer and the rounds go on.
+they are in the result: listed, or inside one enlarged component. They do not go into the result. While fewer than
+``RECALL`` are found, lists and signature orders are doubled and the rounds go on; beyond lists of ``MOST`` all nodes are
+compared with all, in blocks.
 
 Vectors that are null or zero or hold null or non-finite components have no links. Vectors of different length are
 compared as if filled up with zeros. Repeated rows count as links of each other. Other columns are ignored.
@@ -23,6 +24,7 @@ compared as if filled up with zeros. Repeated rows count as links of each other.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,16 +32,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import components, cut, parts_for, written
+from paperloom.llm.shared import components, cut, parts_for, shared_dir, written
 
 SIMILAR = 0.9
 LIST = 10
+MOST = 40
 TABLES = 8
 SPAN = 24
-ROUNDS = 6
 SAMPLE = 400
 RECALL = 0.98
 CHUNK = 512
+BLOCK = 2048
 SEED = 20240101
 
 
@@ -85,18 +88,20 @@ def _merged(lists: DataFrame, k: int) -> DataFrame:
     return lists.groupBy("nid").agg(best.alias("near"))
 
 
-def _start(nodes: DataFrame, n: int, dim: int, k: int) -> DataFrame:
+def _start(nodes: DataFrame, n: int, dim: int, k: int, turn: int = 0) -> DataFrame:
+    """Lists from signature orders: other ones each turn, and twice as many as in the turn before."""
+    tables = TABLES << turn
     bits = max(4, min(60, round(math.log2(max(n, 2) / 8))))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes = np.random.default_rng(SEED).standard_normal((dim, TABLES * bits)).astype(np.float32)
+        planes = np.random.default_rng(SEED + turn).standard_normal((dim, tables * bits)).astype(np.float32)
         weights = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
             if len(batch) == 0:
                 continue
-            on = (_mat(batch["u32"], np.float32) @ planes > 0).reshape(len(batch), TABLES, bits)
+            on = (_mat(batch["u32"], np.float32) @ planes > 0).reshape(len(batch), tables, bits)
             keys = on.astype(np.int64) @ weights
-            for t in range(TABLES):
+            for t in range(tables):
                 yield pd.DataFrame({"t": t, "key": keys[:, t], "nid": batch["nid"], "u32": batch["u32"]})
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,7 +115,7 @@ def _start(nodes: DataFrame, n: int, dim: int, k: int) -> DataFrame:
                     sims[np.arange(len(own)), own - lo] = -2.0
                     yield pd.DataFrame({"nid": ids[own], "near": _top(sims, ids[lo:hi], k)})
 
-    parts = max(8, n * TABLES // 40_000)
+    parts = max(8, n * tables // 40_000)
     keyed = nodes.select("nid", "u32").mapInPandas(sign, "t int, key long, nid long, u32 binary")
     ordered = keyed.repartitionByRange(parts, "t", "key", "nid").sortWithinPartitions("t", "key", "nid")
     return _merged(ordered.mapInPandas(near, LISTS), k)
@@ -174,17 +179,17 @@ def audit(nodes: DataFrame, similar: float, sample: int = SAMPLE) -> DataFrame:
     return nodes.select("nid", "u64").mapInPandas(run, "a long, b long").distinct()
 
 
-def descend(nodes: DataFrame, n: int, dim: int, similar: float = SIMILAR, k: int = LIST, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(graph, links): lists of ``k``, started anew or from shorter lists, refined until links stop growing."""
-    graph = cut(_start(nodes, n, dim, k)) if known is None else known
+def descend(nodes: DataFrame, n: int, dim: int, similar: float = SIMILAR, k: int = LIST, turn: int = 0, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(graph, links): lists of ``k``, started anew and from the lists of the turn before, refined until links stop growing."""
+    graph = _start(nodes, n, dim, k, turn)
+    graph = cut(graph if known is None else _merged(graph.unionByName(known), k))
     before = -1
-    for _ in range(ROUNDS):
+    while True:
         now = graph.agg(F.coalesce(F.sum(F.size(F.filter("near", lambda x: x["s"] >= similar))), F.lit(0)).alias("n")).first()["n"]
         if now <= before * 1.005 and before >= 0:
-            break
+            return graph, cut(_links(graph, nodes, similar))
         before = now
         graph = cut(_refine(graph, nodes, k))
-    return graph, cut(_links(graph, nodes, similar))
 
 
 def _saturated(graph: DataFrame, k: int, similar: float) -> DataFrame:
@@ -234,6 +239,47 @@ def across(members: DataFrame, similar: float) -> DataFrame | None:
     return cut(near.join(one, "c1").join(two, "c2").mapInPandas(linked, "a long, b long").distinct())
 
 
+def _mates(on: np.ndarray, ia: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest row's id that each row and each column of a link matrix is joined with."""
+    last = np.iinfo(np.int64).max
+    la = ia
+    while True:
+        lb = np.where(on, la[:, None], last).min(0)
+        new = np.where(on, lb[None, :], last).min(1)
+        if (new == la).all():
+            return la, lb
+        la = new
+
+
+def every(nodes: DataFrame, n: int, similar: float) -> tuple[DataFrame, DataFrame]:
+    """All nodes with all, a bounded block after the other: (nid, root) and (nid, others) of nodes with links."""
+    spark = nodes.sparkSession
+    blocks = parts_for(n, BLOCK)
+    path = f"{shared_dir(spark).rstrip('/')}/nn-every-{uuid.uuid4().hex}"
+    for at in range(blocks):
+        chosen = nodes.where(F.pmod(F.xxhash64("nid"), F.lit(blocks)) == at).select("nid", "copies", "u64").collect()
+        if not chosen:
+            continue
+        held = spark.sparkContext.broadcast((np.array([r["nid"] for r in chosen]), np.array([r["copies"] for r in chosen]), _mat([r["u64"] for r in chosen], np.float64)))
+
+        def compare(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            ids, copies, q = held.value
+            for batch in batches:
+                for lo in range(0, len(batch), CHUNK):
+                    own, x = batch["nid"].to_numpy()[lo : lo + CHUNK], _mat(list(batch["u64"][lo : lo + CHUNK]), np.float64)
+                    on = (x @ q.T >= similar) & (own[:, None] != ids[None, :])
+                    i, j = np.flatnonzero(on.any(1)), np.flatnonzero(on.any(0))
+                    if len(i):
+                        la, lb = _mates(on[np.ix_(i, j)], own[i])
+                        yield pd.DataFrame({"nid": np.concatenate([own[i], ids[j]]), "others": np.concatenate([on[i] @ copies, 0 * lb]), "mate": np.concatenate([la, lb])})
+
+        nodes.select("nid", "u64").mapInPandas(compare, "nid long, others long, mate long").write.mode("append").parquet(path)
+        held.unpersist()
+    found = spark.read.parquet(path)
+    roots = components(found.select(F.col("nid").alias("a"), F.col("mate").alias("b"))).withColumnRenamed("node", "nid")
+    return cut(roots), cut(found.groupBy("nid").agg(F.sum("others").alias("others")))
+
+
 def settled(graph: DataFrame, links: DataFrame, nodes: DataFrame, k: int, similar: float) -> tuple[DataFrame, DataFrame]:
     """(nid, root) of nodes in components, and (root, nid, copies, u64) of the components that hold saturated nodes."""
     roots = cut(components(links).withColumnRenamed("node", "nid"))
@@ -305,14 +351,17 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     n = nodes.count()
     truth = cut(audit(nodes, similar))
     most_lost = (1 - RECALL) * truth.count()
-    k, graph = LIST, None
+    k, turn, graph, links = LIST, 0, None, truth.where("false")
     while True:
-        graph, links = descend(nodes, n, dim, similar, k, graph)
+        if k > MOST:
+            roots, more = every(nodes, n, similar)
+            break
+        graph, links = descend(nodes, n, dim, similar, k, turn, graph)
         roots, members = settled(graph, links, nodes, k, similar)
-        if k > LIST or lost(truth, links, members) <= most_lost:
+        if lost(truth, links, members) <= most_lost:
             more = enlarged(members, similar)
             break
-        k *= 2
+        k, turn = 2 * k, turn + 1
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     plain = both.join(nodes.select(F.col("nid").alias("b"), "copies"), "b").groupBy(F.col("a").alias("nid")).agg(F.sum("copies").alias("listed"))
     named = nodes.drop("u32", "u64").join(roots, "nid", "left").join(plain, "nid", "left").join(more, "nid", "left")

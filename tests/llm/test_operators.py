@@ -198,6 +198,21 @@ def test_near_vectors_between_full_groups(spark, monkeypatch):
     assert near_found(spark, x) == want
 
 
+@pytest.mark.parametrize("most", [None, 5])
+def test_near_vectors_audit_binds(spark, monkeypatch, most):
+    """A start that finds next to nothing is made wider until the audit holds; without longer lists, all are compared with all."""
+    monkeypatch.setattr(nn_descent, "TABLES", 1)
+    monkeypatch.setattr(nn_descent, "SPAN", 1)
+    if most:
+        monkeypatch.setattr(nn_descent, "MOST", most, raising=False)
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((700, 24))
+    x = np.vstack([base, base + 0.3 * rng.standard_normal((700, 24))])
+    want, got = brute_near(x), near_found(spark, x)
+    assert sum(want[0]) > 1000
+    assert got == want if most else sum(got[0]) >= nn_descent.RECALL * sum(want[0])
+
+
 # -- 6
 
 
