@@ -138,9 +138,14 @@ def kg_neighbours(terms: DataFrame, relations: DataFrame) -> DataFrame:
     return j.groupBy("paper_id", "term").agg(F.array_sort(F.collect_set("tail")).alias("tails"))
 
 
-def base_input_match(sentences: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``sentences(paper_id, relation_id, query_id, embedding)`` (two templates a relation) -> the best node over both."""
-    best = semantic_topk(sentences.select("query_id", "embedding"), nodes.select("node_id", "embedding"), 1)
+def base_input_match(sentences: DataFrame, nodes: DataFrame, apart: bool = False) -> DataFrame:
+    """``sentences(paper_id, relation_id, query_id, embedding)`` (two templates a relation) -> the best node over both.
+
+    With ``apart`` queries are nodes too, and none is its own answer.
+    """
+    best = semantic_topk(sentences.select("query_id", "embedding"), nodes.select("node_id", "embedding"), 2 if apart else 1)
+    if apart:
+        best = best.where("node_id <> query_id")
     j = sentences.select("paper_id", "relation_id", "query_id").join(best, "query_id")
     return j.groupBy("paper_id", "relation_id").agg(F.max_by("node_id", F.struct("score", -F.col("node_id"))).alias("node_id"), F.max("score").alias("score"))
 

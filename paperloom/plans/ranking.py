@@ -30,7 +30,7 @@ _scores = lambda t: rl.citation_scores(t.embeddings.select(C("vec_id").alias("pa
 _cite_sql = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 250), x AS (SELECT DISTINCT l_orderkey % 250 AS paper_id, l_partkey % 250 AS cited, CASE WHEN l_returnflag = 'R' THEN 'negative' ELSE 'positive' END AS polarity FROM lineitem), c AS (SELECT paper_id, polarity, 'title ' || translate(cited::VARCHAR, '0123456789', 'abcdefghij') AS cited_title, " + COS + " AS score FROM x JOIN e q ON q.vec_id = paper_id JOIN e n ON n.vec_id = cited)"
 add("f13_citation_scores", lambda t: _scores(t).where("r <= 5").select("paper_id", "polarity", "cited_title", F.round("score", 4).alias("score")), f"WITH {_cite_sql} SELECT paper_id, polarity, cited_title, round(score, 4) AS score FROM c QUALIFY row_number() OVER (PARTITION BY paper_id, polarity ORDER BY score DESC, cited_title) <= 5")
 add("f25_top_reference_titles", lambda t: rl.top_reference_titles(_scores(t), 1), f"WITH {_cite_sql} SELECT DISTINCT cited_title AS title FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY paper_id, polarity ORDER BY score DESC, cited_title) = 1)")
-add("f14_base_input_match", lambda t: rl.base_input_match(t.embeddings.where("vec_id % 25 = 0").select(F.floor(C("vec_id") / 50).alias("paper_id"), F.floor(C("vec_id") / 50).alias("relation_id"), C("vec_id").alias("query_id"), "embedding"), t.embeddings.where("vec_id % 25 <> 0").select(C("vec_id").alias("node_id"), "embedding")).select("paper_id", "relation_id", "node_id", F.round("score", 4).alias("score")))
+add("f14_base_input_match", lambda t: rl.base_input_match(t.embeddings.where("vec_id % 100 = 0").select(F.floor(C("vec_id") / 200).alias("paper_id"), F.floor(C("vec_id") / 200).alias("relation_id"), C("vec_id").alias("query_id"), "embedding"), t.embeddings.select(C("vec_id").alias("node_id"), "embedding"), apart=True).select("paper_id", "relation_id", "node_id", F.round("score", 4).alias("score")))
 add("f15_kg_neighbours", lambda t: rl.kg_neighbours(t.part.select((C("p_partkey") % 20).alias("paper_id"), C("p_name").alias("term")).distinct(), t.part.select(F.upper("p_name").alias("head"), C("p_type").alias("tail"))).select("paper_id", "term", F.array_join("tails", ",").alias("tails")),
     "SELECT DISTINCT p_partkey % 20 AS paper_id, p_name AS term, tails FROM part JOIN (SELECT p_name AS h, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS tails FROM part GROUP BY 1) ON h = p_name")
 

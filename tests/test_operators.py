@@ -199,3 +199,18 @@ def test_containment(spark):
     a = spark.createDataFrame([("Cat", 1), ("concatenation of lists", 2)], "a_title string, o int")
     b = spark.createDataFrame([("concatenate",), ("lists",), ("dog",)], "b_title string")
     assert {(r.b_title, r.a_title) for r in joins.containment_match(a, b, "o").collect()} == {("concatenate", "Cat"), ("lists", "concatenation of lists")}
+
+
+def table(spark, folder, name, rows, schema):
+    spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+
+
+def test_base_input_match_asks_all_vectors(spark, tmp_path):
+    """Every hundredth vector asks, all others answer, askers too."""
+    from paperloom.plans import registry
+
+    unit = lambda *at: [1.0 if i in at else 0.0 for i in range(6)]
+    rows = [(i, unit(5)) for i in (1, 25, 50)] + [(0, unit(0)), (100, unit(0, 1)), (200, unit(2)), (300, unit(3)), (325, unit(2, 3))]
+    table(spark, tmp_path, "embeddings", rows, "vec_id long, embedding array<double>")
+    got = registry.QUERIES["f14_base_input_match"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(0, 0, 0, 0.7071), (1, 1, 325, 0.7071)]
