@@ -214,3 +214,20 @@ def test_base_input_match_asks_all_vectors(spark, tmp_path):
     table(spark, tmp_path, "embeddings", rows, "vec_id long, embedding array<double>")
     got = registry.QUERIES["f14_base_input_match"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(0, 0, 0, 0.7071), (1, 1, 325, 0.7071)]
+
+
+def document_rows(texts):
+    return [(i, t, "en", "web", len(t)) for i, t in enumerate(texts)]
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_match_aspects_takes_bounded_papers(spark, tmp_path):
+    """Documents of one source are many papers, each of at most 20 documents with an aspect of its own."""
+    from paperloom.plans import registry
+
+    table(spark, tmp_path, "documents", document_rows([f"{i} " * 30 for i in range(45)]), DOCUMENTS)
+    got = registry.QUERIES["f16_match_aspects"](spark, str(tmp_path)).collect()
+    assert sorted((r.paper_id, r.ord) for r in got) == sorted((i // 20 * 20, i % 20) for i in range(45))
+    assert [(r.paper_id, r.labels) for r in sorted(got) if r.ord == 0] == [(0, "novelty"), (20, "novelty"), (40, "novelty")]
