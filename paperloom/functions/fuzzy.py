@@ -30,14 +30,23 @@ def indel_ratio(a: str, b: str) -> float:
 
 
 def partial(a: str, b: str) -> float:
-    """Best ratio of the shorter text against windows of the longer (also those cut off at its ends)."""
+    """Best ratio of the shorter text against windows of the longer (also those cut off at its ends).
+
+    A window some steps on has at most so many more characters in common: windows that can't be better are passed over.
+    """
     short, long_ = (a, b) if len(a) <= len(b) else (b, a)
     if not short:
         return 100.0 if not long_ else 0.0
     if short in long_:
         return 100.0
     n = len(short)
-    return max(indel_ratio(short, long_[max(0, i) : i + n]) for i in range(1 - n, len(long_)))
+    best, at, common = 0.0, 1 - n, 0
+    for i in range(1 - n, len(long_)):
+        window = long_[max(0, i) : i + n]
+        if 200.0 * min(common + i - at + (i == 1 - n), len(window)) / (n + len(window)) > best:
+            at, common = i, lcs_length(short, window)
+            best = max(best, 200.0 * common / (n + len(window)))
+    return best
 
 
 def _pairs(score, kind: str):
@@ -54,6 +63,22 @@ def _pairs(score, kind: str):
 
 fuzzy_ratio = _pairs(lambda a, b: round(indel_ratio(a, b)), "int")
 fuzzy_partial_ratio = _pairs(lambda a, b: round(partial(a, b)), "int")
+
+
+def _close(least: float):
+    """The sequence ratio where it is at least ``least``, else 0: bounds that are cheap to get come first."""
+
+    def score(a: str, b: str) -> float:
+        m = difflib.SequenceMatcher(None, a.lower(), b.lower())
+        return r if m.real_quick_ratio() >= least and m.quick_ratio() >= least and (r := m.ratio()) >= least else 0.0
+
+    return score
+
+
+def sequence_ratio_from(least: float, a: Column | str, b: Column | str) -> Column:
+    return _pairs(_close(least), "double")(a, b)
+
+
 sequence_ratio = _pairs(lambda a, b: difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio(), "double")
 
 

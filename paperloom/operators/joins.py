@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
-from paperloom.functions.fuzzy import fuzzy_partial_ratio, fuzzy_ratio, sequence_ratio
+from paperloom.functions.fuzzy import fuzzy_partial_ratio, fuzzy_ratio, sequence_ratio_from
 from paperloom.operators.aggregate import first_by
 
 
@@ -103,7 +103,7 @@ def match_aspects(papers: DataFrame, aspects: DataFrame, least: float = 0.8) ->
     """
     p = papers.select("paper_id", tx.squash_title(F.col("title")).alias("t"), F.posexplode("reviews").alias("ord", "text"))
     a = aspects.select(tx.squash_title(F.col("title")).alias("t"), "review", "labels")
-    j = p.join(a, "t", "left").withColumn("score", sequence_ratio("text", "review"))
+    j = p.join(a, "t", "left").withColumn("score", sequence_ratio_from(least, "text", "review"))
     best = first_by(j.where("review is not null"), ["paper_id", "review"], F.desc("score"), "ord").where(F.col("score") >= least)
     out = p.select("paper_id", "ord").join(best.groupBy("paper_id", "ord").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels")), ["paper_id", "ord"], "left")
     return out.withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))

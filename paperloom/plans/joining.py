@@ -22,14 +22,14 @@ add("f5_attach_content", lambda t: _content(t)[1], "SELECT source, count(quality
 add("f6_remaining", lambda t: jn.remaining(t.documents.select("doc_id"), t.labels, "doc_id")[1], "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 add("f7_test_set", lambda t: jn.restrict_to_test_set(t.customer.select(C("c_nationkey").alias("k"), "c_custkey"), t.nation.select((C("n_nationkey") + 10).alias("k")), "k")[0], "SELECT c_nationkey AS k, c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey + 10 FROM nation)")
 add("f7_missing_titles", lambda t: jn.restrict_to_test_set(t.customer.select(C("c_nationkey").alias("k"), "c_custkey"), t.nation.select((C("n_nationkey") + 10).alias("k")), "k")[1], "SELECT DISTINCT n_nationkey + 10 AS k FROM nation WHERE n_nationkey + 10 NOT IN (SELECT c_nationkey FROM customer)")
-add("f8_fuzzy_title_join", lambda t: jn.fuzzy_title_join(t.benchmark.select(F.left("text", F.lit(60)).alias("query")), t.documents.select(TITLE().alias("title"))))
+add("f8_fuzzy_title_join", lambda t: jn.fuzzy_title_join(t.benchmark.select(TITLE().alias("query")), t.documents.select(TITLE().alias("title"))))
 add("f8_levenshtein_join", lambda t: jn.levenshtein_title_join(t.nation.select(C("n_name").alias("query")), t.nation.select(F.concat("n_name", F.lit("x")).alias("title")).unionByName(t.customer.select(C("c_mktsegment").alias("title"))), 2),
     "WITH c AS (SELECT DISTINCT title FROM (SELECT n_name || 'x' AS title FROM nation UNION ALL SELECT c_mktsegment FROM customer)), j AS (SELECT n_name AS query, title, levenshtein(lower(n_name), lower(title))::INTEGER AS distance FROM nation, c) SELECT * FROM j WHERE distance <= 2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, title) <= 5")
-add("f9_validate_title_match", lambda t: jn.validate_title_match(t.documents.select("doc_id", F.left(TITLE(), F.lit(60)).alias("a"), F.when(C("doc_id") % 2 > 0, F.concat(F.lit("On "), F.left(TITLE(), F.lit(60)))).otherwise(F.lit("Unrelated subject matter 123")).alias("b")), "a", "b").select("doc_id"))
+add("f9_validate_title_match", lambda t: jn.validate_title_match(t.documents.select("doc_id", TITLE().alias("a"), F.when(C("doc_id") % 2 > 0, F.concat(F.lit("On "), TITLE())).otherwise(F.lit("Unrelated subject matter 123")).alias("b")), "a", "b").select("doc_id"))
 add("f10_containment_match", lambda t: jn.containment_match(t.nation.select(C("n_name").alias("a_title"), "n_nationkey"), t.customer.select(F.concat(F.lit("the nation_"), (C("c_custkey") % 30).cast("string")).alias("b_title")), "n_nationkey"),
     "WITH b AS (SELECT DISTINCT 'the nation_' || (c_custkey % 30) AS b_title FROM customer) SELECT n_name AS a_title, n_nationkey, b_title FROM nation JOIN b ON contains(b_title, lower(n_name)) OR contains(lower(n_name), b_title) QUALIFY row_number() OVER (PARTITION BY b_title ORDER BY n_nationkey) = 1")
 PAPER = lambda: F.concat(F.lit("paper "), F.floor(C("doc_id") / 20).cast("string"))  # noqa: E731  # of at most 20 documents
-add("f16_match_aspects", lambda t: jn.match_aspects(t.documents.groupBy(PAPER().alias("title")).agg(F.min("doc_id").alias("paper_id"), F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.left("text", F.lit(200)).alias("x")))), lambda x: x["x"]).alias("reviews")), t.documents.groupBy(F.upper(PAPER()).alias("title")).agg(F.min_by(F.left("text", F.lit(200)), "doc_id").alias("review")).withColumn("labels", F.array(F.lit("novelty")))).select("paper_id", "ord", F.array_join("labels", ",").alias("labels")))
+add("f16_match_aspects", lambda t: jn.match_aspects(t.documents.groupBy(PAPER().alias("title")).agg(F.min("doc_id").alias("paper_id"), F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.col("text").alias("x")))), lambda x: x["x"]).alias("reviews")), t.documents.groupBy(F.upper(PAPER()).alias("title")).agg(F.min_by("text", "doc_id").alias("review")).withColumn("labels", F.array(F.lit("novelty")))).select("paper_id", "ord", F.array_join("labels", ",").alias("labels")))
 _cat = lambda t, lo, hi, name: t.part.where((C("p_partkey") % 10).between(lo, hi)).select("p_partkey", F.when(C("p_partkey") % 3 > 0, C("p_name")).alias("p_name"), F.array(F.lit(name)).alias("tags"), F.struct(F.when(F.lit(name) == "b", C("p_brand")).alias("brand"), C("p_type").alias("kind")).alias("more"))
 add("f17_merge_catalogues", lambda t: jn.merge_catalogues(_cat(t, 0, 6, "a"), _cat(t, 4, 9, "b").withColumn("extra", F.lit(1)), "p_partkey").select("p_partkey", "p_name", F.array_join("tags", ",").alias("tags"), "more.brand", "more.kind", "extra"),
     "SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_name END AS p_name, CASE WHEN p_partkey % 10 < 4 THEN 'a' WHEN p_partkey % 10 > 6 THEN 'b' ELSE 'a,b' END AS tags, CASE WHEN p_partkey % 10 >= 4 THEN p_brand END AS brand, p_type AS kind, CASE WHEN p_partkey % 10 >= 4 THEN 1 END AS extra FROM part")

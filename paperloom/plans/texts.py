@@ -89,7 +89,7 @@ add("g26_imrad", lambda t: prompts.imrad(t.documents.select("source", F.element_
 _phrases = ["the and", "on of", "is esndha", "le la", "die und"]
 doc("g27_any_phrase", lambda: tx.any_phrase(TEXT(), _phrases), r"regexp_matches(regexp_replace(regexp_replace(lower(regexp_replace(text, '\s+', ' ', 'g')), '[^a-z0-9\s]', '', 'g'), '^\s+|\s+$', '', 'g'), '\b(?:" + "|".join(p.replace(" ", r"\s+") for p in _phrases) + r")\b')")
 add("g28_fuzzy_ratio", lambda t: t.documents.select("doc_id", fuzzy_ratio(TITLE(), F.concat(F.reverse(F.col("lang")), TITLE())).alias("v")))
-add("g29_fuzzy_partial_ratio", lambda t: t.documents.select("doc_id", fuzzy_partial_ratio(F.left(TITLE(), F.lit(60)), F.concat("source", F.reverse(F.left(TITLE(), F.lit(60))))).alias("v")))
+add("g29_fuzzy_partial_ratio", lambda t: t.documents.select("doc_id", fuzzy_partial_ratio(TITLE(), F.concat("source", F.reverse(TITLE()))).alias("v")))
 add("g30_sequence_ratio", lambda t: t.documents.select("doc_id", F.round(sequence_ratio(TITLE(), F.concat("source", TITLE())), 6).alias("v")))
 _spans = lambda: F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit('[{"start":0,"end":5},{"start":'), (F.col("doc_id") % 9).cast("string"), F.lit(',"end":20}]')))
 doc("g31_extract_spans", lambda: tx.extract_spans(TEXT(), _spans()), "CASE WHEN doc_id % 4 > 0 THEN substr(text, 1, 5) || chr(10) || substr(text, (doc_id % 9) + 1, 20 - (doc_id % 9)) END")

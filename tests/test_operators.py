@@ -1,6 +1,7 @@
 """Metrics, tournaments, graphs, sources and streams on small rows."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -231,3 +232,27 @@ def test_match_aspects_takes_bounded_papers(spark, tmp_path):
     got = registry.QUERIES["f16_match_aspects"](spark, str(tmp_path)).collect()
     assert sorted((r.paper_id, r.ord) for r in got) == sorted((i // 20 * 20, i % 20) for i in range(45))
     assert [(r.paper_id, r.labels) for r in sorted(got) if r.ord == 0] == [(0, "novelty"), (20, "novelty"), (40, "novelty")]
+
+
+def test_titles_are_compared_whole(spark, tmp_path):
+    """Titles and texts that differ only far behind: matches and scores are those of the whole."""
+    from paperloom.functions.fuzzy import indel_ratio, partial
+    from paperloom.plans import registry
+
+    head = "signal graph paper method result under river stone light sound "
+    texts = [head + tail * 9 + ". More of it." for tail in ("alpha beta ", "zygote quux ")] + ["short one. x", head * 4 + "q" * 400, head * 4 + "z" * 400]
+    table(spark, tmp_path, "documents", document_rows(texts), DOCUMENTS)
+    table(spark, tmp_path, "benchmark", [(0, texts[0])], "item_id long, text string")
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    titles = [t.split(".")[0] if "." in t else t[:100] for t in texts]
+    assert [(r.query, r.title, r.score) for r in run("f8_fuzzy_title_join")] == [(titles[0], titles[0], 100)]
+    assert {r.doc_id: r.v for r in run("g29_fuzzy_partial_ratio")} == {i: round(partial(t, "web" + t[::-1])) for i, t in enumerate(titles)}
+    assert [r.labels for r in sorted(run("f16_match_aspects"))] == ["novelty", "", "", "", ""]
+    assert {1, 3} <= {r.doc_id for r in run("f9_validate_title_match")}
+    # windows that are passed over are never the best
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randint(1, 25))) for _ in range(2))
+        a, b = sorted((a, b), key=len)
+        want = 100.0 if a in b else max(indel_ratio(a, b[max(0, i) : i + len(a)]) for i in range(1 - len(a), len(b)))
+        assert partial(a, b) == want
