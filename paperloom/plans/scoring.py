@@ -33,8 +33,8 @@ M = "m AS (SELECT event_id AS seq, event_type AS metric, 'u' || (user_id % 12) A
 add("j7_head_to_head", lambda t: to.head_to_head(MATCHES(t)), f"WITH {M}, i AS (SELECT DISTINCT metric, item FROM s) SELECT a.metric, a.item, b.item AS other, count(*) FILTER (w = 1) AS wins, count(*) FILTER (w = 0.5) AS ties, count(*) FILTER (w = 0) AS losses FROM i a JOIN i b ON a.metric = b.metric AND a.item <> b.item LEFT JOIN s ON s.metric = a.metric AND s.item = a.item AND s.other = b.item GROUP BY ALL")
 _r = lambda d, c: d.withColumn(c, F.round(c, 4))
 add("j8_elo", lambda t: _r(to.elo(MATCHES(t)), "rating"))
-add("j9_melo", lambda t: _r(to.melo(MATCHES(t), 5), "rating"))
-add("j10_bradley_terry", lambda t: _r(to.bradley_terry(MATCHES(t), 12), "strength"))
+add("j9_melo", lambda t: _r(to.melo(MATCHES(t)), "rating"))
+add("j10_bradley_terry", lambda t: _r(to.bradley_terry(MATCHES(t)), "strength"))
 _ranks = lambda t: t.events.groupBy(C("event_type").alias("metric"), (C("user_id") % 12).alias("item")).agg(F.count("*").alias("n"))
 add("j11_overall_ranks", lambda t: to.overall_ranks(_ranks(t).withColumn("rank", F.row_number().over(to.Window.partitionBy("metric").orderBy(F.desc("n"), "item")))).select("item", "mean_rank", "median_rank", "best", "worst", F.array_join(F.transform(F.map_entries("by_metric"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("by_metric")), "WITH c AS (SELECT event_type AS metric, user_id % 12 AS item, count(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY n DESC, item)::INTEGER AS rank FROM c) SELECT item, round(avg(rank), 6) AS mean_rank, median(rank)::DOUBLE AS median_rank, min(rank) AS best, max(rank) AS worst, string_agg(metric || '=' || rank, ',' ORDER BY metric) AS by_metric FROM r GROUP BY item")
 add("j12_rationale_tokens", lambda t: to.rationale_token_stats(MATCHES(t)), r"WITH m AS (SELECT 'u' || (user_id % 12) AS a, 'u' || ((user_id % 12 + 1 + event_id % 11) % 12) AS b, len(list_filter(regexp_split_to_array(props, '\s+'), lambda x: x <> '')) AS n FROM events), x AS (SELECT a AS item, n FROM m UNION ALL SELECT b, n + 1 FROM m) SELECT item, count(*) AS count, round(avg(n), 6) AS mean, median(n)::DOUBLE AS median, round(coalesce(stddev_samp(n), 0), 6) AS stdev, min(n)::BIGINT AS min, max(n)::BIGINT AS max FROM x GROUP BY item")

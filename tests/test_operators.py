@@ -256,3 +256,17 @@ def test_titles_are_compared_whole(spark, tmp_path):
         a, b = sorted((a, b), key=len)
         want = 100.0 if a in b else max(indel_ratio(a, b[max(0, i) : i + len(a)]) for i in range(1 - len(a), len(b)))
         assert partial(a, b) == want
+
+
+def test_strengths_and_trials_take_the_defaults(spark, monkeypatch):
+    """No fewer rounds or shuffles than the operators' own."""
+    from paperloom.plans import registry, scoring
+
+    asked = []
+    made = lambda *a, **b: asked.append((a[1:], b)) or spark.range(1).selectExpr("1.23456 AS strength", "1.23456 AS rating")
+    monkeypatch.setattr(scoring, "MATCHES", lambda t: None)
+    for name in ("bradley_terry", "melo"):
+        monkeypatch.setattr(tournament, name, made)
+    for name in ("j10_bradley_terry", "j9_melo"):
+        registry.QUERIES[name](spark, "")
+    assert asked == [((), {}), ((), {})]
