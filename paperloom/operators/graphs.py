@@ -6,10 +6,13 @@ handled together.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
+from paperloom.workspace import cut
 
 #: Node types, the chain of levels, and the types that stand alone, below the title, and without children.
 TYPES = ["title", "primary_area", "keyword", "tldr", "claim", "method", "experiment"]
@@ -73,31 +76,27 @@ def validate_graphs(ent: DataFrame, rel: DataFrame, papers: DataFrame, cycles: b
     return errors.unionByName(empty).unionByName(valid)
 
 
-def topological_levels(rel: DataFrame, nodes: DataFrame | None = None, most: int = 1000) -> DataFrame:
+def topological_levels(rel: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(paper_id, label, level): rounds of peeling nodes without remaining incoming edges; null for nodes on or behind cycles.
 
-    Each round is a few joins over the remaining edges with a checkpoint; the driver sees a count.
+    Each round is a few joins over the remaining edges with a checkpoint; the driver sees a count. There are as many
+    rounds as the deepest graph has levels.
     """
-    spark = rel.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
     e = rel.select("paper_id", "source", "target").distinct()
     ends = e.select("paper_id", F.col("source").alias("label")).unionByName(e.select("paper_id", F.col("target").alias("label")))
     if nodes is not None:
         ends = ends.unionByName(nodes.select("paper_id", "label"))
-    left = ends.distinct().checkpoint()
+    left = cut(ends.distinct())
     done = None
-    for level in range(most):
+    for level in itertools.count():
         targets = e.select("paper_id", F.col("target").alias("label"))
-        free = left.join(targets, ["paper_id", "label"], "left_anti").withColumn("level", F.lit(level)).checkpoint()
+        free = cut(left.join(targets, ["paper_id", "label"], "left_anti").withColumn("level", F.lit(level)))
         if free.isEmpty():
             break
         done = free if done is None else done.unionByName(free)
         gone = free.select("paper_id", "label")
-        left = left.join(gone, ["paper_id", "label"], "left_anti").checkpoint()
-        e = e.join(gone.withColumnRenamed("label", "source"), ["paper_id", "source"], "left_anti").checkpoint()
+        left = cut(left.join(gone, ["paper_id", "label"], "left_anti"))
+        e = cut(e.join(gone.withColumnRenamed("label", "source"), ["paper_id", "source"], "left_anti"))
     rest = left.withColumn("level", F.lit(None).cast("int"))
     return rest if done is None else done.unionByName(rest)
 

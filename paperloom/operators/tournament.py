@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom import workspace
 from paperloom.functions import text as tx
 
 ELO_ROW = "metric string, item string, rating double, wins long, losses long, ties long"
@@ -83,11 +84,6 @@ def bradley_terry(matches: DataFrame, most: int = 100, close: float = 1e-6, comp
     s = wins.select("metric", "item", "wins", F.lit(1.0).alias("s"))
     done: DataFrame | None = None
     w = Window.partitionBy("metric")
-    spark = matches.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
     for _ in range(most):
         o = s.select("metric", F.col("item").alias("other"), F.greatest("s", F.lit(1e-10)).alias("so"))
         x = pairs.join(s.select("metric", "item", F.greatest("s", F.lit(1e-10)).alias("si")), ["metric", "item"]).join(o, ["metric", "other"])
@@ -100,7 +96,8 @@ def bradley_terry(matches: DataFrame, most: int = 100, close: float = 1e-6, comp
             n = n.withColumn("new", F.when(wide, 0.1 * F.max("new").over(w) + F.sqrt("new")).otherwise(F.col("new")))
         n = n.withColumn("new", F.when(F.sum("new").over(w) > 0, F.col("new") * F.count("*").over(w) / F.sum("new").over(w)).otherwise(F.col("new")))
         # a metric that has come to rest keeps what it had
-        s = n.select("metric", "item", "wins", F.when(F.col("move") < close, F.col("s")).otherwise(F.col("new")).alias("s"), "move").checkpoint()
+        s = n.select("metric", "item", "wins", F.when(F.col("move") < close, F.col("s")).otherwise(F.col("new")).alias("s"), "move")
+        s = workspace.cut(s)
         done = s
         if (s.agg(F.max("move")).first()[0] or 0.0) < close:
             break

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paperloom import workspace
 from paperloom.functions import ratings as rt
 from paperloom.functions import text as tx
 from paperloom.operators import filters as fl
@@ -19,12 +20,8 @@ C = F.col
 
 def _round_trip(t, kind: str, table: str, columns: list[str]):
     """Write a table to the shared folder and read it with the reader under test."""
-    import tempfile
-    import uuid
-
     spark = t.spark
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
-    path = f"{root}/records-{uuid.uuid4().hex}"
+    path = workspace.new_path(spark, "records")
     df = getattr(t, table).select(*columns)
     schema = ", ".join(f"{n} {k}" for n, k in df.dtypes)
     if kind == "records":
