@@ -24,7 +24,6 @@ compared as if filled up with zeros. Repeated rows count as links of each other.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import components, cut, parts_for, shared_dir, written
+from paperloom.llm.shared import components, cut, new_path, parts_for, written
 
 SIMILAR = 0.9
 LIST = 10
@@ -255,7 +254,7 @@ def every(nodes: DataFrame, n: int, similar: float) -> tuple[DataFrame, DataFram
     """All nodes with all, a bounded block after the other: (nid, root) and (nid, others) of nodes with links."""
     spark = nodes.sparkSession
     blocks = parts_for(n, BLOCK)
-    path = f"{shared_dir(spark).rstrip('/')}/nn-every-{uuid.uuid4().hex}"
+    path = new_path(spark, "nn-every")
     for at in range(blocks):
         chosen = nodes.where(F.pmod(F.xxhash64("nid"), F.lit(blocks)) == at).select("nid", "copies", "u64").collect()
         if not chosen:

@@ -3,20 +3,27 @@
 Counts. Words of trusted texts (``^word$``) give one gram an event: the character with up to four characters before it.
 Tasks count their own words first, so what is shuffled are distinct (language, gram) counts, not text. Lower orders take
 continuation counts, discounts come from the counts of counts of each language and order, and all orders meet in joins on
-(language, gram): one table of log-probabilities and back-off weights.
+(language, gram): one table of log-probabilities and back-off weights. Contexts stop at word borders, so the order of
+words has no effect on a text's score, but for a word that repeats the word before it: that is one event of its own
+kind, so runs of one word are as unlikely as they are rare.
 
-Scores. The table is never broadcast. Texts are packed into blocks, every block asks for the distinct grams it
-needs (a join with the sharded table), and the answers meet the block again, so memory is bounded by a block.
-
-A word that repeats the word before it is one event of its own kind, so runs of one word are as unlikely as they are rare.
+Scores. The table is never broadcast: it is dealt into shards by a 64-bit key of (language, gram). Texts are packed into
+blocks: distinct words, and for each text which of them it holds and how often. A block asks every shard once for the
+distinct grams it needs (sorted keys, packed), the shard answers with as many log-probabilities and back-off weights,
+and the answers meet the block again, so memory is bounded by a block or a shard, and a frequent gram is asked for once
+a block.
 
 Decision. A text's excess is its log-perplexity over its language's trusted mean, shrunk for short texts by
-n / (n + PRIOR). It is compared with a quantile of the trusted texts' excesses in that language, times ``SLACK``. A text in
-a language without trusted rows, or without words, is kept.
+n / (n + PRIOR). It is rejected if that is above the ``QUANTILE`` of the trusted texts' excesses in that language (the
+smallest excess that at least this share does not exceed). Sums are made in fixed point, so decisions do not depend on
+the order of rows. A text in a language without trusted rows, or without words, is kept.
 
 Null languages are a language of their own (``""``). Null and empty texts have perplexity null and are kept. Repeated
-rows are judged alike. Words are runs without ASCII white space; digits count as one character. An empty table gives an
-empty result. Other columns pass through, whatever their names.
+rows are judged alike; a text whose excess equals the threshold is kept. Words are runs without ASCII white space;
+digits count as one character. An empty table gives an empty result. Other columns are ignored, whatever their names.
+
+Blocks are made twice, once to ask and once to score, from the same partitions of the input; a retry reads the same
+rows again if the input is a table. If a block comes out differently the job fails, it never scores with wrong answers.
 """
 
 from __future__ import annotations
@@ -29,17 +36,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import cut, forget
+from paperloom.llm.shared import cut, forget, parts_for, text_bytes
 
 ORDER = 5
-QUANTILE = 0.995
-SLACK = 2.0
+QUANTILE = 0.9995
 PRIOR = 25
 BLOCK_CHARS = 15_000_000
 BLOCK_ROWS = 20_000
+#: Bytes of text to a shard of the gram table and of the requests for it.
+SHARD_BYTES = 24_000_000
+#: Units of the fixed-point sums: of an event's log-probability, and of a text's excess.
+LOG_UNIT, EXCESS_UNIT = 1 << 24, 1_000_000
 #: Trusted ids of up to so many rows (of about 16 bytes) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Grams are cut from so many words at a time.
@@ -52,6 +62,8 @@ _plain = bytes.maketrans(b"123456789^$", b"000000000\x02\x03")
 #: Stands for a word that repeats the one before it: one event, whatever the word.
 AGAIN = b"\x01"
 REPEAT = "^\x01"
+#: What tells a row apart: its id, a hash of its text, whether its language is null.
+KEYS = ["k", "h", "ln"]
 
 
 class Vocabulary:
@@ -69,14 +81,6 @@ class Vocabulary:
         out[1:][again] = 0
         return out
 
-    def names(self) -> set[str]:
-        """Distinct grams of all words."""
-        out = {REPEAT}
-        rest = itertools.islice(self.ids, 1, None)
-        while part := list(itertools.islice(rest, WORDS_AT_ONCE)):
-            out.update(_events([w.decode("utf-8", "replace") for w in part])[0])
-        return out
-
     def grams(self) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct grams of all words, each event's gram number, and where each word's events begin."""
         names: dict[str, int] = {REPEAT: 0}
@@ -89,25 +93,121 @@ class Vocabulary:
         return list(names), np.concatenate(numbers), np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
 
 
+def _mark(words: list[str]) -> str:
+    return "".join([REPEAT if w == "\x01" else f"^{w}$" for w in words])
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
+def _step(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Keys of grams with one more character in front."""
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + codes + np.uint64(1)
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _seed(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "replace")))
+
+
+def _ends(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All character codes of the marked words, where their events end, how long each gram is, and each word's events."""
+    codes = _codes(_mark(words))
+    border = codes == ord("^")
+    first = np.maximum.accumulate(np.where(border, np.arange(len(codes)), 0))
+    ends = np.flatnonzero(~border)
+    depth = np.minimum(ends - first[ends] + 1, ORDER)
+    return codes, ends, depth, np.bincount(np.cumsum(border)[ends] - 1, minlength=len(words)).astype(np.int32)
+
+
+def _full_keys(codes: np.ndarray, ends: np.ndarray, depth: np.ndarray, seed: np.uint64) -> np.ndarray:
+    h = np.full(len(ends), seed, dtype=np.uint64)
+    for back in range(ORDER):
+        on = depth > back
+        h[on] = _step(h[on], codes[ends[on] - back])
+    return h
+
+
 def _events(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct grams of the words, each event's gram number, and the number of events of each word."""
-    marked = "".join([f"^{w}$" for w in words])
-    codes = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    place = np.arange(len(codes))
-    border = codes == ord("^")
-    first = np.maximum.accumulate(np.where(border, place, 0))
-    key = codes.copy()
-    for back in range(1, ORDER):
-        key *= np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(31)
-        inside = place - back >= first
-        key[back:] += np.where(inside[back:], codes[:-back] + np.uint64(1), np.uint64(0))
-    events = place[~border]
-    _, at, number = np.unique(key[events], return_index=True, return_inverse=True)
-    ends = events[at]
-    starts = np.maximum(ends - ORDER + 1, first[ends])
-    names = [marked[a : b + 1] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-    return names, number.ravel(), np.bincount(np.cumsum(border)[events] - 1, minlength=len(words)).astype(np.int32)
+    codes, ends, depth, sizes = _ends(words)
+    marked = _mark(words)
+    _, at, number = np.unique(_full_keys(codes, ends, depth, np.uint64(0)), return_index=True, return_inverse=True)
+    names = [marked[b - d + 1 : b + 1] for b, d in zip(ends[at].tolist(), depth[at].tolist(), strict=True)]
+    return names, number.ravel(), sizes
+
+
+class Grams:
+    """A vocabulary's events as numbered distinct grams, with the keys of their tails and contexts."""
+
+    def __init__(self, words: list[str], lang: str):
+        keys, chars, depths, numbers, sizes = [], [], [], [], []
+        seed = _seed(lang)
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            codes, ends, depth, size = _ends(words[at : at + WORDS_AT_ONCE])
+            own, first, number = np.unique(_full_keys(codes, ends, depth, seed), return_index=True, return_inverse=True)
+            ends, depth = ends[first], depth[first]
+            got = np.zeros((len(own), ORDER), dtype=np.uint32)
+            for back in range(ORDER):
+                on = depth > back
+                got[on, back] = codes[ends[on] - back]
+            numbers.append((number.ravel() + sum(map(len, keys))).astype(np.int32))
+            keys.append(own)
+            chars.append(got)
+            depths.append(depth.astype(np.int8))
+            sizes.append(size)
+        _, first, merged = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        #: Each event's gram, where each word's events begin, and the length and characters (last one first) of each gram.
+        self.number = merged.ravel().astype(np.int32)[np.concatenate(numbers)]
+        self.sizes = np.concatenate(sizes)
+        self.depth, self.chars = np.concatenate(depths)[first], np.concatenate(chars)[first]
+        self.seed = seed
+
+    def tails(self) -> list[np.ndarray]:
+        """Keys of each gram's last 0, 1, .. ORDER characters (of shorter grams whatever comes out)."""
+        return self._keys(0)
+
+    def contexts(self) -> list[np.ndarray]:
+        """Keys of the 0, 1, .. ORDER - 1 characters before each gram's last one."""
+        return self._keys(1)
+
+    def _keys(self, skip: int) -> list[np.ndarray]:
+        h = np.full(len(self.depth), self.seed, dtype=np.uint64)
+        out = [_spread(h)]
+        for back in range(skip, ORDER):
+            h = _step(h, self.chars[:, back].astype(np.uint64))
+            out.append(_spread(h))
+        return out
+
+    def wanted(self) -> np.ndarray:
+        """Sorted distinct keys of all tails and contexts."""
+        tails = [k[self.depth >= n] for n, k in enumerate(self.tails())]
+        contexts = [k[self.depth > n] for n, k in enumerate(self.contexts())]
+        return np.unique(np.concatenate(tails + contexts))
+
+    def logs(self, keys: np.ndarray, logp: np.ndarray, bow: np.ndarray) -> np.ndarray | None:
+        """Log-probability of each word in fixed point; None if the model does not know the language.
+
+        ``keys`` are sorted; what the model lacks is NaN. A gram that was not seen gets its context's back-off weight
+        and the log-probability of its next shorter tail.
+        """
+        tails, contexts = self.tails(), self.contexts()
+        base = logp[np.searchsorted(keys, tails[0][:1])]
+        if np.isnan(base).all():
+            return None
+        p = np.full(len(self.depth), float(base[0]))
+        for n in range(1, ORDER + 1):
+            on = np.flatnonzero(self.depth >= n)
+            seen = logp[np.searchsorted(keys, tails[n][on])].astype(np.float64)
+            back = np.nan_to_num(bow[np.searchsorted(keys, contexts[n - 1][on])].astype(np.float64), nan=0.0)
+            p[on] = np.where(np.isnan(seen), back + p[on], seen)
+        units = np.rint(p * LOG_UNIT).astype(np.int64)[self.number]
+        return np.add.reduceat(units, np.concatenate([[0], np.cumsum(self.sizes[:-1], dtype=np.int64)]))
 
 
 def count_grams(trusted: DataFrame) -> DataFrame:
@@ -166,141 +266,252 @@ def model(counts: DataFrame) -> DataFrame:
     return logs.unionByName(bows).groupBy("lang", "gram").agg(F.max("logp").cast("float").alias("logp"), F.max("bow").cast("float").alias("bow"))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, list[pa.RecordBatch]]]:
-    """(block, payload, rows) of what a task reads: up to BLOCK_CHARS bytes or BLOCK_ROWS rows each.
+def _squeezed(values: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
 
-    The payload is the rows as a compressed Arrow stream, and the block's number is its hash. Blocks are made twice, once
-    to ask and once to score; a block that finds no answers (its rows came in another order) is an error.
-    """
 
-    def close(kept: list[pa.RecordBatch]) -> tuple[int, bytes, list[pa.RecordBatch]]:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, kept[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))) as w:
-            for b in kept:
-                w.write_batch(b)
-        payload = sink.getvalue().to_pybytes()
-        return xxhash.xxh3_64_intdigest(payload) >> 1, payload, kept
+def _expanded(data: bytes, kind: type) -> np.ndarray:
+    import zstandard
 
-    kept, size, rows = [], 0, 0
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+class Block:
+    """Some rows of one task: by language the distinct words, the rows' ids and which words each row holds."""
+
+    def __init__(self, bags: bool):
+        self.bags = bags
+        self.langs: dict[str, tuple[Vocabulary, list[pa.RecordBatch], list[tuple[np.ndarray, np.ndarray]]]] = {}
+        self.chars = self.rows = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        rows: dict[str, list[int]] = defaultdict(list)
+        for i, lang in enumerate(batch["lang"].to_pylist()):
+            rows[lang].append(i)
+        texts = batch["text"]
+        for lang, own in rows.items():
+            vocabulary, ids, words = self.langs.setdefault(lang, (Vocabulary(), [], []))
+            ids.append(batch.select(KEYS).take(pa.array(own)))
+            for i in own:
+                got = vocabulary.read(texts[i].as_py())
+                if self.bags:
+                    words.append(np.unique(got, return_counts=True))
+        self.chars += batch.nbytes
+        self.rows += batch.num_rows
+
+    def number(self) -> int:
+        """A hash of the block's ids and words: the same each time the same rows are read."""
+        h = xxhash.xxh3_64()
+        for lang in sorted(self.langs):
+            vocabulary, ids, _ = self.langs[lang]
+            h.update(repr((lang, len(vocabulary.ids))).encode())
+            h.update(b"\n".join(vocabulary.ids))
+            h.update(_ipc(ids))
+        return h.intdigest() >> 1
+
+
+def _ipc(ids: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, ids[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(pa.Table.from_batches(ids).combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _words(vocabulary: Vocabulary) -> list[str]:
+    return [w.decode("utf-8", "replace") for w in vocabulary.ids]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], bags: bool) -> Iterator[Block]:
+    """What a task reads in blocks of up to BLOCK_CHARS bytes or BLOCK_ROWS rows."""
+    block = Block(bags)
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
-            b = batch.slice(at, 1000)
-            kept.append(b)
-            rows += b.num_rows
-            size += b.nbytes
-            if size > BLOCK_CHARS or rows >= BLOCK_ROWS:
-                yield close(kept)
-                kept, size, rows = [], 0, 0
+            block.add(batch.slice(at, 1000))
+            if block.chars > BLOCK_CHARS or block.rows >= BLOCK_ROWS:
+                yield block
+                block = Block(bags)
                 pa.default_memory_pool().release_unused()
-    if kept:
-        yield close(kept)
+    if block.rows:
+        yield block
 
 
-def pack(rows: DataFrame) -> DataFrame:
-    """``rows(id, lang, text)`` in blocks: (block, payload)."""
+def requests(rows: DataFrame, shards: int) -> DataFrame:
+    """(shard, block, keys): which grams each block needs, full grams with all their tails and contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, payload, _ in _blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([payload], pa.binary())], names=["block", "payload"])
+        for block in _blocks(batches, bags=False):
+            number = block.number()
+            wanted = []
+            for lang in sorted(block.langs):
+                wanted.append(Grams(_words(block.langs.pop(lang)[0]), lang).wanted())
+            keys = np.unique(np.concatenate(wanted))
+            shard, begins = np.unique(_shard(keys, shards), return_index=True)
+            parts = np.split(keys, begins[1:])
+            packed = [_squeezed(np.diff(p, prepend=np.uint64(0))) for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array([number] * len(parts), pa.int64()), pa.array(packed, pa.binary())], names=["shard", "block", "keys"])
 
-    return rows.mapInArrow(run, "block long, payload binary")
+    return rows.mapInArrow(run, "shard int, block long, keys binary")
 
 
-def unpack(payload: bytes) -> pa.Table:
-    return pa.ipc.open_stream(payload).read_all()
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Which range of the keys a key falls into."""
+    return np.minimum((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.uint64(shards - 1)).astype(np.int32)
 
 
-def wanted(rows: DataFrame) -> DataFrame:
-    """The distinct (block, lang, gram) each block needs: full grams with all their tails and contexts."""
+def dealt(table: DataFrame, shards: int) -> DataFrame:
+    """(shard, key, logp, bow): the gram table by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, kept in _blocks(batches):
-            seen: dict[str, Vocabulary] = {}
-            for b in kept:
-                for lang, text in zip(b["lang"].to_pylist(), b["text"], strict=True):
-                    seen.setdefault(lang, Vocabulary()).read(text.as_py())
-            while seen:
-                lang, vocabulary = seen.popitem()
-                need = {""}
-                for g in vocabulary.names():
-                    for i in range(len(g)):
-                        if g[i:] in need:
-                            break
-                        need.add(g[i:])
-                        need.add(g[i:-1])
-                del vocabulary
-                while need:  # in parts, so that little is held twice
-                    part = [need.pop() for _ in range(min(len(need), 50_000))]
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array([lang] * len(part), pa.string()), pa.array(part, pa.string())], names=["block", "lang", "gram"])
-
-    return rows.mapInArrow(run, "block long, lang string, gram string")
-
-
-def score_blocks(blocks: DataFrame, answers: DataFrame, id_col: str, kind: str) -> DataFrame:
-    """Per row: id, lang, n_events and logp, the natural log-likelihood of the whole text."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            raise RuntimeError("a block's rows differ between two reads of the input; write the input to a table first")
-        tables: dict[str, tuple[dict, dict]] = {}
-        for lang, g, p, w in zip(right["lang"], right["gram"], right["logp"], right["bow"], strict=True):
-            logp, bow = tables.setdefault(lang, ({}, {}))
-            if p == p and p is not None:
-                logp[g] = p
-            if w == w and w is not None:
-                bow[g] = w
-        out = []
-        for payload in left["payload"]:
-            t = unpack(payload)
-            seen: dict[str, tuple[Vocabulary, list]] = {}
-            for key, lang, text in zip(t["id"].to_pylist(), t["lang"].to_pylist(), t["text"], strict=True):
-                vocabulary, texts = seen.setdefault(lang, (Vocabulary(), []))
-                texts.append((key, vocabulary.read(text.as_py())))
-            for lang, (vocabulary, texts) in seen.items():
-                logp, bow = tables.get(lang, ({}, {}))
-                if "" not in logp:
-                    out += [(key, lang, 0, 0.0) for key, _ in texts]
-                    continue
-                names, number, begins = vocabulary.grams()
-                logs = np.array([_log(g, logp, bow) for g in names])[number]
-                logs = np.add.reduceat(logs, begins[:-1])
-                events = np.diff(begins)
-                out += [(key, lang, int(events[w].sum()), float(logs[w].sum())) for key, w in texts]
-        return pd.DataFrame(out, columns=["id", "lang", "n_events", "logp"])
+        for batch in batches:
+            grams, langs = batch["gram"].to_pylist(), batch["lang"].to_pylist()
+            seeds = {lang: _seed(lang) for lang in set(langs)}
+            codes, size = _codes("".join(grams)), np.array([len(g) for g in grams], dtype=np.int64)
+            ends = np.cumsum(size) - 1
+            h = np.array([seeds[x] for x in langs], dtype=np.uint64)
+            for back in range(ORDER):
+                on = size > back
+                h[on] = _step(h[on], codes[ends[on] - back])
+            h = _spread(h)
+            yield pa.RecordBatch.from_arrays([pa.array(_shard(h, shards)), pa.array(h.view(np.int64)), batch["logp"], batch["bow"]], names=["shard", "key", "logp", "bow"])
+
+    return table.select("lang", "gram", "logp", "bow").mapInArrow(run, "shard int, key long, logp float, bow float")
+
+
+def answers(asked: DataFrame, table: DataFrame) -> DataFrame:
+    """(block, shard, logp, bow): for the keys a block asks a shard for, in their order; NaN for what the table lacks."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = right["key"].to_numpy().view(np.uint64)
+        order = np.argsort(known)
+        known = np.append(known[order], np.uint64(2**64 - 1))
+        values = [np.append(right[c].to_numpy().astype(np.float32)[order], np.float32("nan")) for c in ("logp", "bow")]
+        out: dict[str, list] = {"block": left["block"].to_pylist(), "shard": left["shard"].to_pylist(), "logp": [], "bow": []}
+        for packed in left["keys"]:
+            keys = np.cumsum(_expanded(packed.as_py(), np.uint64), dtype=np.uint64)
+            at = np.searchsorted(known, keys)
+            met = known[at] == keys
+            for name, of in zip(("logp", "bow"), values, strict=True):
+                out[name].append(_squeezed(np.where(met, of[at], np.float32("nan"))))
+        return pa.table({"block": pa.array(out["block"], pa.int64()), "shard": pa.array(out["shard"], pa.int32()), "logp": pa.array(out["logp"], pa.binary()), "bow": pa.array(out["bow"], pa.binary())})
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, f"id {kind}, lang string, n_events long, logp double")
+    return asked.groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(run, "block long, shard int, logp binary, bow binary")
 
 
-def _log(g: str, logp: dict, bow: dict) -> float:
-    """Log-probability of the last character of ``g``; found by backing off, and kept for the next time."""
-    got = logp.get(g)
-    if got is None:
-        got = (bow.get(g[:-1], 0.0) if len(g) > 1 else 0.0) + _log(g[1:], logp, bow) if g else logp[""]
-        logp[g] = got
-    return got
+PACKED = "block long, lang string, ids binary, words binary, sizes binary, held binary, times binary"
 
 
-def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def pack(rows: DataFrame) -> DataFrame:
+    """``rows(k, h, ln, lang, text)`` in blocks, one row a block and language: the words, and for each text which it holds and how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        for block in _blocks(batches, bags=True):
+            number = block.number()
+            out = []
+            while block.langs:
+                lang, (vocabulary, ids, bags) = block.langs.popitem()
+                sizes = np.array([len(held) for held, _ in bags], dtype=np.uint32)
+                held = np.concatenate([np.diff(held, prepend=0) for held, _ in bags]).astype(np.uint32)
+                times = np.concatenate([n for _, n in bags]).astype(np.uint32)
+                words = zstandard.ZstdCompressor(level=9).compress(b"\n".join(vocabulary.ids))
+                out.append({"block": number, "lang": lang, "ids": _ipc(ids), "words": words, "sizes": _squeezed(sizes), "held": _squeezed(held), "times": _squeezed(times)})
+                del vocabulary, ids, bags
+            yield from pa.Table.from_pylist(out, schema=pa.schema([(c, {"long": pa.int64(), "string": pa.string()}.get(k, pa.binary())) for c, k in (x.split() for x in PACKED.split(", "))])).to_batches()
+
+    return rows.mapInArrow(run, PACKED)
+
+
+def score_blocks(blocks: DataFrame, answered: DataFrame, kind: str) -> DataFrame:
+    """Per row: k, h, ln (see ``judge``), lang, n_events and units, the natural log-likelihood of the whole text in fixed point."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        import zstandard
+
+        got = {s: (p, b) for s, p, b in zip(right["shard"].to_pylist(), right["logp"].to_pylist(), right["bow"].to_pylist(), strict=True)}
+        logp, bow = (np.concatenate([_expanded(got[s][i], np.float32) for s in sorted(got)]) if got else np.empty(0, np.float32) for i in (0, 1))
+        del got
+        texts = [(r["lang"], Grams(zstandard.ZstdDecompressor().decompress(r["words"]).decode("utf-8", "replace").split("\n"), r["lang"]), r) for r in left.to_pylist()]
+        keys = np.unique(np.concatenate([grams.wanted() for _, grams, _ in texts])) if texts else np.empty(0, np.uint64)
+        if len(keys) != len(logp):
+            raise RuntimeError("a block's rows differ between two reads of the input; write the input to a table first")
+        out = []
+        for lang, grams, r in texts:
+            ids = pa.ipc.open_stream(r["ids"]).read_all()
+            events, units = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
+            word_units = grams.logs(keys, logp, bow)
+            if word_units is not None:
+                sizes, times = _expanded(r["sizes"], np.uint32).astype(np.int64), _expanded(r["times"], np.uint32).astype(np.int64)
+                begins = np.cumsum(sizes) - sizes
+                steps = np.cumsum(_expanded(r["held"], np.uint32).astype(np.int64))
+                before = np.append(0, steps)[begins]
+                held = steps - np.repeat(before, sizes)
+                total = lambda per_word: np.diff(np.append(0, np.cumsum(per_word[held] * times))[np.append(begins, len(held))])  # noqa: B023, E731
+                events, units = total(grams.sizes.astype(np.int64)), total(word_units)
+            for name, values in (("lang", pa.array([lang] * len(ids), pa.string())), ("n_events", pa.array(events)), ("units", pa.array(units))):
+                ids = ids.append_column(name, values)
+            out.append(ids)
+        return pa.concat_tables(out)
+
+    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, f"k {kind}, h long, ln boolean, lang string, n_events long, units long")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` (a checkpoint), marked for broadcast if it has at most ``BROADCAST_ROWS`` rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def limits(good: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """(lang_key, mean, threshold) of trusted rows ``(lang_key, n_events, log_perplexity)``.
+
+    Means are sums in fixed point, and the quantile is found in a table of counts by language and excess (in steps of one
+    ``EXCESS_UNIT``-th), so no task sees all rows of a language: the smallest excess that a share ``quantile`` of the
+    rows does not exceed.
+    """
+    units = F.round(F.col("log_perplexity") * EXCESS_UNIT).cast("long")
+    means = cut(good.groupBy("lang_key").agg((F.sum(units) / F.count("*") / EXCESS_UNIT).alias("mean")))
+    steps = good.join(_small(means), "lang_key").groupBy("lang_key", F.round(excess() * EXCESS_UNIT).cast("long").alias("step")).agg(F.count("*").alias("n"))
+    # counts of equal ranges of 1000 steps come first, so that a window sees a bounded number of rows of a language
+    steps = cut(steps.withColumn("range", F.floor(F.col("step") / 1000)))
+    by = Window.partitionBy("lang_key").orderBy("range")
+    ranges = steps.groupBy("lang_key", "range").agg(F.sum("n").alias("rows"))
+    ranges = ranges.withColumn("upto", F.sum("rows").over(by)).withColumn("all", F.sum("rows").over(Window.partitionBy("lang_key")))
+    met = ranges.where((F.col("upto") >= F.col("all") * quantile) & (F.col("upto") - F.col("rows") < F.col("all") * quantile)).withColumn("before", F.col("upto") - F.col("rows"))
+    inside = steps.join(_small(cut(met.select("lang_key", "range", "before", "all"))), ["lang_key", "range"])
+    inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("lang_key").orderBy("step")))
+    found = inside.where(F.col("upto") >= F.col("all") * quantile).groupBy("lang_key").agg((F.min("step") / EXCESS_UNIT).alias("threshold"))
+    return cut(means.join(found, "lang_key"))
+
+
+def excess() -> Column:
+    return (F.col("log_perplexity") - F.col("mean")) * F.col("n_events") / (F.col("n_events") + PRIOR)
+
+
+def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", quantile: float = QUANTILE) -> DataFrame:
     """(id_col, text_hash, lang, n_events, perplexity, excess, threshold, keep): one row a row of ``docs``.
 
     ``docs`` needs id_col, text, lang; ``trusted_ids`` holds the ids of trusted rows. (id, text_hash, lang) tells rows apart.
     """
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(F.col(id_col), "text", "lang")
-    trusted = cut(trusted_ids.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct())
-    if trusted.count() <= BROADCAST_ROWS:
-        trusted = F.broadcast(trusted)
-    counts = count_grams(base.join(trusted, id_col, "left_semi"))
-    table = cut(model(counts))
+    trusted = _small(cut(trusted_ids.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()))
+    shards = parts_for(text_bytes(base), SHARD_BYTES)
+    table = cut(model(count_grams(base.join(trusted, id_col, "left_semi"))))
     forget(docs.sparkSession)  # the model is written: its shuffle files need not wait for the driver's next collection
-    rows = base.select(F.struct(F.col(id_col).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.col("lang").isNull().alias("ln")).alias("id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = pack(rows)
-    answers = wanted(rows).join(table, ["lang", "gram"], "left")
-    scored = cut(score_blocks(blocks, answers, "id", f"struct<k:{kind},h:long,ln:boolean>"))
-    scored = scored.select(F.col("id.k").alias(id_col), F.col("id.h").alias("text_hash"), F.when(F.col("id.ln"), None).otherwise(F.col("lang")).alias("lang"), F.col("lang").alias("lang_key"), "n_events", F.when(F.col("n_events") > 0, F.exp(-F.col("logp") / F.col("n_events"))).alias("perplexity"))
-    good = scored.join(trusted, id_col, "left_semi").where("perplexity is not null")
-    means = good.groupBy("lang_key").agg(F.avg(F.ln("perplexity")).alias("mean"))
-    excess = (F.ln("perplexity") - F.col("mean")) * F.col("n_events") / (F.col("n_events") + PRIOR)
-    limits = good.join(means, "lang_key").groupBy("lang_key").agg(F.first("mean").alias("mean"), (F.percentile_approx(excess, quantile, 10_000) * slack).alias("threshold"))
-    out = scored.join(limits, "lang_key", "left").withColumn("excess", excess).drop("lang_key", "mean")
-    return out.withColumn("keep", F.coalesce(F.col("excess") <= F.col("threshold"), F.lit(True)))
+    text = F.coalesce("text", F.lit(""))
+    rows = base.select(F.col(id_col).alias("k"), F.xxhash64(text).alias("h"), F.col("lang").isNull().alias("ln"), F.coalesce("lang", F.lit("")).alias("lang"), text.alias("text"))
+    answered = answers(requests(rows, shards), dealt(table, shards))
+    scored = cut(score_blocks(pack(rows), answered, kind))
+    forget(docs.sparkSession)
+    lang = F.when(~F.col("ln"), F.col("lang")).alias("lang")
+    log_perplexity = F.when(F.col("n_events") > 0, -F.col("units") / LOG_UNIT / F.col("n_events")).alias("log_perplexity")
+    scored = scored.select(F.col("k").alias(id_col), F.col("h").alias("text_hash"), lang, F.col("lang").alias("lang_key"), "n_events", log_perplexity)
+    good = scored.join(trusted, id_col, "left_semi").where("log_perplexity is not null")
+    # one row a language
+    out = scored.join(_small(limits(good, quantile)), "lang_key", "left").withColumn("excess", F.round(F.round(excess() * EXCESS_UNIT) / EXCESS_UNIT, 6))
+    out = out.withColumn("perplexity", F.exp("log_perplexity")).withColumn("keep", F.coalesce(F.col("excess") <= F.col("threshold"), F.lit(True)))
+    return out.select(id_col, "text_hash", "lang", "n_events", "perplexity", "excess", "threshold", "keep")

@@ -1,50 +1,15 @@
-"""What several operators share: the shared folder, block sizing and connected components."""
+"""What several operators share: block sizing and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import gc
 import math
-import shutil
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own_dir: list[str] = []
+from paperloom.workspace import clean_up, cut, forget, mark, new_path, shared_dir, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a folder of our own only where that is unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if d is None:
-        if not _own_dir:
-            _own_dir.append(tempfile.mkdtemp(prefix="spark-"))
-            atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-        d = _own_dir[0]
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
-    return d
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: an eager checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it again."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def forget(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of frames that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+__all__ = ["clean_up", "components", "cut", "forget", "mark", "new_path", "parts_for", "shared_dir", "text_bytes", "written"]
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> int:
@@ -61,7 +26,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Returns ``(node, root)``: root is the smallest node of the component. Nodes without edges do not appear; nulls and
     loops are dropped, repeated edges count once. Each round is a min-aggregation and a join, with a checkpoint, and
-    the driver sees only a count and a sum. The number of rounds grows with the logarithm of the longest path.
+    the driver sees only a count and a sum. The number of rounds grows with the logarithm of the longest path; if they
+    are not enough it is an error, never a partial result.
     """
     e = edges.select(F.col("a"), F.col("b")).where("a is not null and b is not null and a <> b")
     e = cut(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -79,4 +45,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

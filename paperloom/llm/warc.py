@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import cut, shared_dir, written
+from paperloom.llm.shared import cut, new_path, written
 
 LEAST_BYTES = 1000
 ARCHIVE_BYTES = 32 << 20
@@ -188,7 +188,7 @@ def read_archives(archives: DataFrame, dst: str) -> DataFrame:
 def round_trip(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Write ``pages`` as archives in the shared folder, normalise them and read every record back."""
     spark = pages.sparkSession
-    root = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    root = new_path(spark, "warc")
     if "://" not in root and not root.startswith("file:"):
         root = f"file://{root}"
     write_archives(plan_records(pages, least_bytes), f"{root}/whole")
