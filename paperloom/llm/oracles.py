@@ -3,20 +3,36 @@
 from __future__ import annotations
 
 _W = r"[^\x20\x09-\x0D]+"
+_LUHN = "list_sum(list_transform(string_split(reverse(g), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INTEGER WHEN c::INTEGER > 4 THEN 2 * c::INTEGER - 9 ELSE 2 * c::INTEGER END)) % 10 = 0"
+_PLAIN = "replace(v, ' ', '')"
+_MOD97 = f"list_reduce(list_transform(string_split({_PLAIN}[5:] || {_PLAIN}[1:4], ''), lambda c: CASE WHEN ascii(c) < 65 THEN ascii(c) - 48 ELSE ascii(c) - 55 END), lambda a, b: (CASE WHEN b < 10 THEN a * 10 + b ELSE a * 100 + b END) % 97) = 1"
+_BANK = "iban|bank|account|konto|compte|cuenta"
+#: Pattern, what makes a match valid, points and context words.
 _PII = {
-    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
-    "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(p AS HUGEINT), 1000) > 255)) = 0"),
-    "card": (r"[0-9](?:[\x20-]?[0-9])+", "length(g) BETWEEN 12 AND 19 AND list_sum(list_transform(string_split(reverse(g), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INTEGER WHEN c::INTEGER > 4 THEN 2 * c::INTEGER - 9 ELSE 2 * c::INTEGER END)) % 10 = 0"),
-    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(g) BETWEEN 9 AND 15"),
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", 70, "mail|contact|kontakt|correo|courriel"),
+    "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(p AS HUGEINT), 1000) > 255)) = 0", 60, "host|server|address|login"),
+    "card": (r"[0-9](?:[\x20-]?[0-9])+", f"length(g) BETWEEN 12 AND 19 AND {_LUHN}", 90, "card|visa|credit|karte|carte|tarjeta|payment"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(g) BETWEEN 9 AND 15", 60, "phone|call|mobile|fax|telefon"),
+    "iban": (r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", _MOD97, 90, _BANK),
+    "account": ("[0-9]+", "length(g) BETWEEN 8 AND 17", 40, f"{_BANK}|kunde"),
+    "secret": ("[A-Za-z0-9+/_=-]{20,}", "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')", 40, "token|secret|password|passwd|api.?key|access.?key|credential"),
 }
 _sum = lambda x: f"coalesce(list_sum(list_transform({x}, lambda x: length(x))), 0)"
+_hit = lambda p: f"regexp_extract_all(t, '{p}') AS h, regexp_split_to_array(t, '{p}') AS p"
+_at = f"list_transform(range(1, len(h) + 1), lambda i: {_sum('p[1:i]')} + {_sum('h[1:i-1]')})"
+_has = lambda words: f"regexp_matches(near, '(?i){words}')"
 _found = " UNION ALL ".join(
-    f"SELECT doc_id, '{k}' AS k, {n} AS r, st AS s, st + length(v) AS e FROM (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS g FROM (SELECT doc_id, unnest(list_transform(range(1, len(h) + 1), lambda i: {_sum('p[1:i]')} + {_sum('h[1:i-1]')})) AS st, unnest(h) AS v FROM (SELECT doc_id, regexp_extract_all(t, '{pat}') AS h, regexp_split_to_array(t, '{pat}') AS p FROM d))) WHERE {ok}"
-    for n, (k, (pat, ok)) in enumerate(_PII.items())
+    f"""SELECT doc_id, '{k}' AS k, {n} AS r, st AS s, st + length(v) AS e, greatest(0, least(100, {points} + CASE WHEN {_has(words)} THEN 30 ELSE 0 END - CASE WHEN {_has('example|sample|version|isbn|checksum|commit')} THEN 40 ELSE 0 END)) AS score
+FROM (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS g, substring(t, greatest(st - 39, 1)::BIGINT, least(st, 40)::BIGINT) AS near FROM (SELECT doc_id, t, unnest({_at}) AS st, unnest(h) AS v FROM (SELECT doc_id, t, {_hit(pat)} FROM d))) WHERE {ok}"""
+    for n, (k, (pat, ok, points, words)) in enumerate(_PII.items())
 )
+_BASE = list(_PII)[:4]
+_join = lambda what, also="": f"string_agg({what}, ',' ORDER BY s, r){also}"
 
 ORACLE = {
-    "op3_personal_data": f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({_found}), g AS (SELECT doc_id, {', '.join(f"count(*) FILTER (k = '{k}') AS n_{k}" for k in _PII)}, string_agg(k || ':' || s || ':' || e, ',' ORDER BY s, r) AS spans FROM f GROUP BY doc_id) SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in _PII)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON d.doc_id = g.doc_id",
+    "op3_personal_data": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS (SELECT *, k || ':' || s || ':' || e AS line FROM ({_found}) WHERE r < 4 OR score >= 60),
+g AS (SELECT doc_id, {', '.join(f"count(*) FILTER (k = '{k}') AS n_{k}" for k in _BASE)}, {_join('line', ' FILTER (r < 4)')} AS base, {_join('line')} AS spans, {_join('score::VARCHAR')} AS scores FROM f GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in _BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN g ON d.doc_id = g.doc_id""",
     "op5_nn_descent": """WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) >= 0.9),
 r AS (SELECT vec_id AS id, vec_id AS root FROM e UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id), c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, id = component_id AS kept FROM c LEFT JOIN n ON n.a = id""",
