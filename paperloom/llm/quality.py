@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import cut, forget, parts_for, text_bytes
+from paperloom.llm.shared import cut, forget, parts_for, small, text_bytes
 
 ORDER = 5
 QUANTILE = 0.9995
@@ -50,8 +50,6 @@ BLOCK_ROWS = 20_000
 SHARD_BYTES = 24_000_000
 #: Units of the fixed-point sums: of an event's log-probability, and of a text's excess.
 LOG_UNIT, EXCESS_UNIT = 1 << 24, 1_000_000
-#: Trusted ids of up to so many rows (of about 16 bytes) are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
 #: Grams are cut from so many words at a time.
 WORDS_AT_ONCE = 50_000
 #: A task hands over its counts when it holds so many distinct words.
@@ -460,11 +458,6 @@ def score_blocks(blocks: DataFrame, answered: DataFrame, kind: str) -> DataFrame
     return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, f"k {kind}, h long, ln boolean, lang string, n_events long, units long")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` (a checkpoint), marked for broadcast if it has at most ``BROADCAST_ROWS`` rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def limits(good: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(lang_key, mean, threshold) of trusted rows ``(lang_key, n_events, log_perplexity)``.
 
@@ -474,14 +467,14 @@ def limits(good: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """
     units = F.round(F.col("log_perplexity") * EXCESS_UNIT).cast("long")
     means = cut(good.groupBy("lang_key").agg((F.sum(units) / F.count("*") / EXCESS_UNIT).alias("mean")))
-    steps = good.join(_small(means), "lang_key").groupBy("lang_key", F.round(excess() * EXCESS_UNIT).cast("long").alias("step")).agg(F.count("*").alias("n"))
+    steps = good.join(small(means), "lang_key").groupBy("lang_key", F.round(excess() * EXCESS_UNIT).cast("long").alias("step")).agg(F.count("*").alias("n"))
     # counts of equal ranges of 1000 steps come first, so that a window sees a bounded number of rows of a language
     steps = cut(steps.withColumn("range", F.floor(F.col("step") / 1000)))
     by = Window.partitionBy("lang_key").orderBy("range")
     ranges = steps.groupBy("lang_key", "range").agg(F.sum("n").alias("rows"))
     ranges = ranges.withColumn("upto", F.sum("rows").over(by)).withColumn("all", F.sum("rows").over(Window.partitionBy("lang_key")))
     met = ranges.where((F.col("upto") >= F.col("all") * quantile) & (F.col("upto") - F.col("rows") < F.col("all") * quantile)).withColumn("before", F.col("upto") - F.col("rows"))
-    inside = steps.join(_small(cut(met.select("lang_key", "range", "before", "all"))), ["lang_key", "range"])
+    inside = steps.join(small(cut(met.select("lang_key", "range", "before", "all"))), ["lang_key", "range"])
     inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("lang_key").orderBy("step")))
     found = inside.where(F.col("upto") >= F.col("all") * quantile).groupBy("lang_key").agg((F.min("step") / EXCESS_UNIT).alias("threshold"))
     return cut(means.join(found, "lang_key"))
@@ -498,7 +491,7 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", quant
     """
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(F.col(id_col), "text", "lang")
-    trusted = _small(cut(trusted_ids.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()))
+    trusted = small(cut(trusted_ids.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()))
     shards = parts_for(text_bytes(base), SHARD_BYTES)
     table = cut(model(count_grams(base.join(trusted, id_col, "left_semi"))))
     forget(docs.sparkSession)  # the model is written: its shuffle files need not wait for the driver's next collection
@@ -512,6 +505,6 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", quant
     scored = scored.select(F.col("k").alias(id_col), F.col("h").alias("text_hash"), lang, F.col("lang").alias("lang_key"), "n_events", log_perplexity)
     good = scored.join(trusted, id_col, "left_semi").where("log_perplexity is not null")
     # one row a language
-    out = scored.join(_small(limits(good, quantile)), "lang_key", "left").withColumn("excess", F.round(F.round(excess() * EXCESS_UNIT) / EXCESS_UNIT, 6))
+    out = scored.join(small(limits(good, quantile)), "lang_key", "left").withColumn("excess", F.round(F.round(excess() * EXCESS_UNIT) / EXCESS_UNIT, 6))
     out = out.withColumn("perplexity", F.exp("log_perplexity")).withColumn("keep", F.coalesce(F.col("excess") <= F.col("threshold"), F.lit(True)))
     return out.select(id_col, "text_hash", "lang", "n_events", "perplexity", "excess", "threshold", "keep")

@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 
 from paperloom.workspace import clean_up, cut, forget, mark, new_path, shared_dir, written
 
-__all__ = ["clean_up", "components", "cut", "forget", "mark", "new_path", "parts_for", "shared_dir", "text_bytes", "written"]
+__all__ = ["clean_up", "components", "cut", "forget", "mark", "new_path", "parts_for", "shared_dir", "small", "text_bytes", "written"]
+
+
+#: Checkpoints of up to so many rows (of a few numbers or a short text each) are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (a checkpoint: it is counted), marked for broadcast if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> int:
