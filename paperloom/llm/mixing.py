@@ -1,12 +1,13 @@
-"""Mixing sources to target weights: hash-random keys, range buckets within each source, distributed prefix sums.
+"""Mixing sources to target weights: hash-random keys, ranges within each source, distributed prefix sums, an exact cut.
 
-Every row gets a key from a hash of its id and a seed. Keys fall into equal ranges; sums per (source, range) give each
-range its offset, and a running sum inside a range gives each row its place, so no task ever sees a whole source. A
-source's budget is met exactly: whole epochs first, then rows in key order up to the cut, where the last row is taken
-in part.
+Every row gets a key from a hash of its id and a seed, and keys fall into equal ranges. Sums per (source, range) and per
+run of ranges give each range its place, so no task ever sees a whole source. A source's budget is met exactly: whole
+epochs first, then rows in key order up to the cut. The cut lies in one range of a source; only the keys and sizes of
+that range's rows are sorted. What comes out is one row a source, so the rows themselves are never shuffled.
 
-Null sources form one source (last in order); null ids share one key; rows with equal ids are ordered by size. Sources
-without words get target 0. An empty table gives an empty result. Other columns pass through.
+Null sources form one source (last in order). A row with a null id gets its key from all of its columns. Rows that agree
+in key and size (repeated ids) share what is left at the cut evenly, rounded down. Sources without words get target 0.
+An empty table gives an empty result. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import parts_for
+from paperloom.llm.shared import cut, parts_for, small
 
 #: Fixed values of the mixing contract.
 WEIGHTS = (5, 2, 1)
@@ -24,7 +25,8 @@ SHARE = 1.5
 MOST_EPOCHS = 2
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
+RUN_RANGES = 1_000
 
 
 def with_sizes(df: DataFrame, text: str = "text", out: str = "size") -> DataFrame:
@@ -51,6 +53,35 @@ def targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     return t.select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("w")), F.col("cap")).alias("target"))
 
 
+def _cuts(sums: DataFrame, rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """Where each source's last epoch ends: (source, cut_key, cut_size, cut_share), the last for each row at the cut.
+
+    ``sums(source, range, words)``, ``rows(source, range, key, size)``, ``goals(source, rest)``. The range is found in
+    runs of ``RUN_RANGES`` ranges first, so every window is over a bounded number of rows.
+    """
+
+    def found(parts: DataFrame, by: list[str], order: list[str], goals: DataFrame) -> DataFrame:
+        """The one part of each source in which the running sum passes ``rest``; ``rest`` is then what is left inside."""
+        before = F.sum("words").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+        parts = parts.withColumn("before", F.coalesce(before, F.lit(0)))
+        g = goals.withColumnRenamed("source", "__s")
+        met = parts.join(g, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+        met = met.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
+        return cut(met.withColumn("rest", F.col("rest") - F.col("before")).drop("before"))
+
+    def inside(table: DataFrame, met: DataFrame, key: str) -> DataFrame:
+        m = small(met.select(F.col("source").alias("__s"), F.col(key).alias("__k")))
+        return table.join(m, F.col("source").eqNullSafe(F.col("__s")) & (F.col(key) == F.col("__k"))).drop("__s", "__k")
+
+    sums = sums.withColumn("run", F.floor(F.col("range") / RUN_RANGES))
+    run = found(sums.groupBy("source", "run").agg(F.sum("words").alias("words")), ["source"], ["run"], small(goals))
+    goals = small(run.select("source", "rest"))
+    one = found(inside(sums, run, "run"), ["source"], ["range"], goals)
+    equal = inside(rows, one, "range").groupBy("source", "key", "size").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+    at = found(equal, ["source"], ["key", "size"], small(one.select("source", "rest")))
+    return at.select("source", F.col("key").alias("cut_key"), F.col("size").alias("cut_size"), F.floor(F.col("rest") / F.col("n")).alias("cut_share"))
+
+
 def mix(df: DataFrame, rows: int, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, seed: str = SEED, id_col: str = "doc_id") -> DataFrame:
     """``df`` has ``source``, ``size`` and ``id_col``; ``rows`` is its number of rows (for the number of ranges).
 
@@ -58,19 +89,19 @@ def mix(df: DataFrame, rows: int, weights: Sequence[float] = WEIGHTS, share: flo
     (columns of these three names are replaced).
     """
     ranges = parts_for(rows, RANGE_ROWS)
-    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(f":{seed}")))
     df = df.drop("source_size", "target", "taken")
-    keyed = df.withColumn("__key", key).withColumn("__range", F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("double") * ranges / 2**32).cast("long"))
-    sums = keyed.groupBy("source", "__range").agg(F.sum("size").alias("__size"))
-    totals = sums.groupBy("source").agg(F.sum("__size").alias("source_size"))
-    run = Window.partitionBy("source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("__offset", F.coalesce(F.sum("__size").over(run), F.lit(0))).drop("__size")
-    t = targets(totals, weights, share, most).withColumnRenamed("source", "__s1")
-    offsets = offsets.join(t, F.col("source").eqNullSafe(F.col("__s1"))).drop("__s1")
-    offsets = offsets.withColumnRenamed("source", "__s2").withColumnRenamed("__range", "__r2")
-    placed = keyed.join(offsets, (F.col("__range") == F.col("__r2")) & F.col("source").eqNullSafe(F.col("__s2"))).drop("__s2", "__r2")
-    before = F.col("__offset") + F.coalesce(F.sum("size").over(Window.partitionBy("source", "__range").orderBy("__key", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    unnamed = F.concat(F.lit("null:"), F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns]).cast("string"))
+    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), unnamed), F.lit(f":{seed}")))
+    place = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") * ranges / 2**32).cast("long")
+    slim = cut(df.select("source", key.alias("key"), "size").withColumn("range", place))
+    sums = cut(slim.groupBy("source", "range").agg(F.sum("size").alias("words")))
+    t = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.floor(F.col("target")).cast("long") - epochs * F.col("source_size")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("__before")))
-    return placed.withColumn("__before", before).withColumn("taken", taken.cast("long")).drop("__before", "__offset", "__key", "__range")
+    t = cut(t.withColumn("epochs", epochs).withColumn("rest", F.floor("target").cast("long") - F.col("epochs") * F.col("source_size")))
+    c = _cuts(sums, slim, t.select("source", "rest")).withColumnRenamed("source", "__s")
+    plan = t.join(small(c), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s", "rest").withColumnRenamed("source", "__source")
+    out = df.withColumn("__key", key).join(small(cut(plan)), F.col("source").eqNullSafe(F.col("__source")))
+    at, own = F.struct(F.col("cut_key"), F.col("cut_size")), F.struct(F.col("__key"), F.col("size"))
+    more = F.when(F.col("cut_key").isNull(), 0).when(own < at, F.col("size")).when(own == at, F.col("cut_share")).otherwise(0)
+    taken = (F.col("epochs") * F.col("size") + more).cast("long")
+    return out.withColumn("taken", taken).drop("__source", "__key", "epochs", "cut_key", "cut_size", "cut_share")
