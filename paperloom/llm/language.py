@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.llm.shared import cut, small
+
 BUCKETS = 1 << 14
 PER_LANG = 300
 MOST_ROWS = 4000
@@ -73,18 +75,27 @@ def fit(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> dict | None:
-    rows = docs.where(F.col(lang).isNotNull() & ~held_out(id_col) & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("y"), letters(F.col(text)).alias("t"), F.xxhash64(F.col(id_col), F.lit(7)).alias("h"))
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("h", F.xxhash64("t")))).where(F.col("n") <= PER_LANG)
-    rows = rows.orderBy("n", "h", "y").limit(MOST_ROWS)
+    """The model, from the ``PER_LANG`` rows a language with the smallest hashes (``None`` without labelled rows).
+
+    Rows are counted by language first; then only rows whose hash lies below their language's share (twice the wanted
+    number on average) are turned into presence bits, where they are read. Texts are never shuffled.
+    """
+    rows = docs.where(F.col(lang).isNotNull() & ~held_out(id_col) & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("y"), F.col(text).alias("t"), F.col(id_col).cast("string").alias("i"))
+    counts = small(cut(rows.groupBy("y").agg(F.count("*").alias("all"))), MOST_ROWS)
+    rows = rows.withColumn("h", F.xxhash64("i", F.lit(7))).join(counts, "y")
+    rows = rows.where(F.pmod("h", F.lit(1 << 40)) * F.col("all") <= F.lit(2 * PER_LANG) * F.lit(1 << 40)).select("y", "h", letters(F.col("t")).alias("t"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), BATCH):
                 b = batch.iloc[at : at + BATCH]
                 packed = np.packbits(presence(list(b["t"])).astype(np.uint8), axis=1)
-                yield pd.DataFrame({"y": b["y"].to_numpy(), "h": b["h"].to_numpy(), "n": b["n"].to_numpy(), "bits": [p.tobytes() for p in packed]})
+                yield pd.DataFrame({"y": b["y"].to_numpy(), "h": b["h"].to_numpy(), "bits": [p.tobytes() for p in packed]})
 
-    got = sorted(rows.mapInPandas(pack, "y string, h long, n int, bits binary").collect(), key=lambda r: (r["n"], r["h"], r["y"]))
+    packed = rows.mapInPandas(pack, "y string, h long, bits binary")
+    order = Window.partitionBy("y").orderBy(F.pmod("h", F.lit(1 << 40)), "h", F.xxhash64("bits"))
+    packed = packed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANG)
+    got = packed.orderBy("n", "h", "y").limit(MOST_ROWS).collect()
     if not got:
         return None
     bits = np.unpackbits(np.array([np.frombuffer(r["bits"], dtype=np.uint8) for r in got]), axis=1).astype(np.float32)
