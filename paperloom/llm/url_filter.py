@@ -1,8 +1,13 @@
 """URL filter: rules first, then a character language-model ratio for the rest.
 
 Two interpolated variable-order Markov models (Witten-Bell smoothing) are counted from the URLs that rules accept and
-reject; a URL's score is the difference of its log-likelihoods per character, and the threshold is calibrated to where
-both labelled sets have the same distance in standard deviations. Only DataFrame functions are used.
+reject; a URL's score is the difference of its log-likelihoods per character. One labelled URL of ``HOLD`` (by checksum)
+is not counted: on these the threshold is calibrated, to where both labelled sets have the same distance in standard
+deviations (on all labelled URLs if the held-out ones lack a label). Scores are whole millionths and all sums are of
+whole numbers, so nothing depends on the order of rows. Only DataFrame functions are used.
+
+Texts meet the table of gram scores in a join. Grams that occur very often are few by their number, so they are
+broadcast; the join by shuffle is for the others, none of which can be hot.
 
 A null URL, or one without ``://``, has empty host and path and meets no rule; its text is what there is. Equal URLs
 share one score. With no accepted (or no rejected) examples every other URL gets the label that has examples, and
@@ -14,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import cut
+from paperloom.llm.shared import cut, parts_for
 
 #: The rules (verdict, host, path start).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -22,9 +27,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORDER = 5
 OWN = ["text", "host", "path", "rule", "rule_verdict", "verdict", "score", "threshold"]
 START, END = "\x02", "\x03"
-#: A table of gram scores of up to so many rows (of about 50 bytes) is broadcast; beyond that the join is shuffled, salted.
-BROADCAST_ROWS = 1_000_000
-SALTS = 8
+HOLD = 5
+UNIT = 1_000_000
+#: At most so many gram scores (of about 50 bytes) are broadcast: all of them if they are no more, else the most frequent.
+BROADCAST_ROWS = 500_000
+#: Distinct texts to a task when they are cut into grams.
+TEXTS_ROWS = 5_000
 
 
 def parts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -69,30 +77,56 @@ def gram_scores(counts: DataFrame) -> DataFrame:
     return below.select("gram", (F.ln("p_acc") - F.ln("p_rej")).alias("llr"))
 
 
+def held_out(text: Column) -> Column:
+    """Texts that the models do not learn from."""
+    return F.crc32(text) % HOLD == 0
+
+
+def _met(rows: DataFrame, llr: DataFrame) -> DataFrame:
+    """``rows(tid, gram)`` with the gram's score in units: frequent grams by broadcast, the others by shuffle."""
+    llr = llr.select("gram", "n", F.round(F.col("llr") * UNIT * 1000).cast("long").alias("units"))
+    if llr.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(llr.drop("n")), "gram").select("tid", "units")
+    # fewer than BROADCAST_ROWS grams can occur more often than this
+    often = llr.agg(F.sum("n")).first()[0] / BROADCAST_ROWS
+    hot = rows.join(F.broadcast(llr.where(F.col("n") > often).drop("n")), "gram", "left")
+    cold = hot.where("units is null").select("tid", "gram").join(llr.where(F.col("n") <= often).drop("n"), "gram")
+    return hot.where("units is not null").unionByName(cold).select("tid", "units")
+
+
+def _threshold(scored: DataFrame) -> float:
+    """From ``scored(acc, rej, held, units)``: exact sums of whole numbers over the held-out texts, or over all."""
+    wide = F.col("units").cast("decimal(38,0)")
+    sums = []
+    for name, weight in (("acc", F.col("acc")), ("rej", F.col("rej"))):
+        for part, w in (("held", F.when(F.col("held"), weight).otherwise(0)), ("all", weight)):
+            w = w.cast("decimal(38,0)")
+            sums += [F.sum(w).alias(f"n_{name}_{part}"), F.sum((w * wide).cast("decimal(38,0)")).alias(f"s_{name}_{part}"), F.sum((w * wide * wide).cast("decimal(38,0)")).alias(f"q_{name}_{part}")]
+    s = scored.agg(*sums).first()
+    part = "held" if s["n_acc_held"] and s["n_rej_held"] else "all"
+    n = {c: int(s[f"n_{c}_{part}"] or 0) for c in ("acc", "rej")}
+    if not (n["acc"] and n["rej"]):
+        return float("inf") if n["rej"] else float("-inf")
+    mean = {c: int(s[f"s_{c}_{part}"]) / n[c] for c in n}
+    sd = {c: max(int(s[f"q_{c}_{part}"]) / n[c] - mean[c] ** 2, 1.0) ** 0.5 for c in n}
+    return (mean["acc"] * sd["rej"] + mean["rej"] * sd["acc"]) / (sd["acc"] + sd["rej"]) / UNIT
+
+
 def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """Adds host, path, rule, verdict, score and threshold to every row of ``pages``."""
     p = parts(pages.drop(*[c for c in OWN if c != url]), url)
     p = p.withColumn("rule", rule_column("name", rules)).withColumn("rule_verdict", rule_column("verdict", rules))
     texts = cut(p.groupBy("text").agg(F.count_if(F.col("rule_verdict") == "allow").alias("acc"), F.count_if(F.col("rule_verdict") == "block").alias("rej")))
-    texts = cut(texts.withColumn("tid", F.monotonically_increasing_id()))
-    llr = cut(gram_scores(_grams(texts).groupBy("gram").agg(F.sum("acc").alias("acc"), F.sum("rej").alias("rej"))))
+    texts = texts.repartition(parts_for(texts.count(), TEXTS_ROWS), "text")
+    texts = cut(texts.withColumn("tid", F.monotonically_increasing_id()).withColumn("held", held_out(F.col("text"))))
+    learned = texts.withColumns({c: F.when(F.col("held"), 0).otherwise(F.col(c)) for c in ("acc", "rej")})
+    counts = cut(_grams(learned).groupBy("gram").agg(F.sum("acc").alias("acc"), F.sum("rej").alias("rej"), F.count("*").alias("n")))
+    llr = cut(gram_scores(counts).join(counts.select("gram", "n"), "gram"))
     rows = _grams(texts.select("tid", "text")).select("tid", "gram")
-    if llr.count() <= BROADCAST_ROWS:
-        met = rows.join(F.broadcast(llr), "gram")
-    else:
-        salted = llr.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = rows.withColumn("salt", F.pmod("tid", F.lit(SALTS)).cast("int")).join(salted, ["gram", "salt"])
-    # a sum in fixed point does not depend on the order of the rows
-    scores = met.groupBy("tid").agg((F.sum(F.round(F.col("llr") * 1e9).cast("long")) / F.count("*") / 1e9).alias("score"))
-    scored = cut(texts.join(scores, "tid").select("text", "acc", "rej", "score"))
-    stat = lambda c: (
-        F.sum(c).alias(f"n_{c}"), F.try_divide(F.sum(F.col(c) * F.col("score")), F.sum(c)).alias(f"m_{c}"), F.try_divide(F.sum(F.col(c) * F.col("score") * F.col("score")), F.sum(c)).alias(f"q_{c}"))
-    s = scored.agg(*stat("acc"), *stat("rej")).first()
-    if s["n_acc"] and s["n_rej"]:
-        sd_a, sd_r = (max(s[f"q_{c}"] - s[f"m_{c}"] ** 2, 1e-12) ** 0.5 for c in ("acc", "rej"))
-        threshold = (s["m_acc"] * sd_r + s["m_rej"] * sd_a) / (sd_a + sd_r)
-    else:
-        threshold = float("inf") if s["n_rej"] else float("-inf")
+    scores = _met(rows, llr).groupBy("tid").agg((F.sum("units") / F.count("*") / 1000).alias("mean"))
+    scored = cut(texts.join(scores, "tid").select("text", "acc", "rej", "held", F.round("mean").cast("long").alias("units")))
+    threshold = _threshold(scored)
+    scored = scored.withColumn("score", F.col("units") / UNIT)
     judged = scored.select(F.col("text").alias("__t"), "score")
     out = p.join(judged, p["text"] == judged["__t"], "left").drop("__t", "text")
     by_model = F.when(F.col("score") >= threshold, F.lit("allow")).otherwise(F.lit("block"))
