@@ -10,9 +10,10 @@ A document's set holds its distinct ``WORDS``-word shingles as 64-bit hashes; tw
 2. Equal sets are one class; only one text of each surviving class is read again.
 3. Over these classes the rows are cut to prefixes in order of column frequency (rarest first): linked sets share a
    column of their prefixes and have sizes within a factor. Classes that share one, directly or by others, form a group;
-   each group is dealt into chunks, and every pair of chunks is multiplied: overlaps are accumulated over blocks of
-   columns, pairs below the bound are discarded in the task, and only links that join classes come out, so the rows made
-   grow with the classes and chunks, not with the pairs.
+   each group is dealt into chunks by band of size. Chunks of a band and of neighbouring bands are multiplied, others are
+   discarded by size before. Inside a task the incidence of a pair of chunks is multiplied over blocks of columns (each
+   block as a dense 0/1 matrix), overlaps are accumulated, pairs below the bound are discarded, and only links that join
+   classes come out, so the rows made grow with the classes and pairs of chunks, not with the pairs of classes.
 4. Links of classes become components; each document gets the smallest id of its component.
 
 No links between different texts that join two components are lost: every pair of classes that shares a prefix column is
@@ -273,13 +274,34 @@ def class_links(sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
     ends = prefix.groupBy("h", "band").agg(F.min("cid").alias("a"), F.max("cid").alias("hi")).where("a < hi").drop("hi")
     near = prefix.join(ends, ["h", "band"]).where("cid <> a").select("a", F.col("cid").alias("b")).distinct()
     groups = cut(components(near).withColumnRenamed("node", "cid").withColumnRenamed("root", "grp"))
-    sized = sets.select("cid", "n").join(groups, "cid").groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("chunks"))
-    rows = sets.join(groups, "cid").join(sized, "grp").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")))
-    chunks = written(rows.groupBy("grp", "chunk").agg(F.collect_list(F.struct("cid", "hashes")).alias("sets")), "shingle-chunks")
-    one, two = (chunks.select("grp", F.col("chunk").alias(f"c{i}"), F.col("sets").alias(n)) for i, n in ((1, "one"), (2, "two")))
-    alone = chunks.select(F.col("sets").alias("one"), F.array().cast(dict(chunks.dtypes)["sets"]).alias("two"))
-    pairs = one.join(two, "grp").where("c1 < c2").select("one", "two")
-    return alone.unionByName(pairs).repartition(parts_for(sets.count(), 500, 8)).mapInArrow(_product(similar), "a long, b long")
+    rows = sets.join(groups, "cid").withColumn("band", band)
+    sized = cut(rows.groupBy("grp", "band").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks")))
+    place = F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int").alias("chunk")
+    rows = rows.join(sized, ["grp", "band"]).select("cid", "hashes", "grp", "band", place)
+    chunks = written(rows.groupBy("grp", "band", "chunk").agg(F.collect_list(F.struct("cid", "hashes")).alias("sets")), "shingle-chunks")
+    pairs = chunk_pairs(sized)
+    one, two = (chunks.select("grp", F.col("band").alias(f"b{i}"), F.col("chunk").alias(f"c{i}"), F.col("sets").alias(n)) for i, n in ((1, "one"), (2, "two")))
+    itself = (F.col("b1") == F.col("b2")) & (F.col("c1") == F.col("c2"))
+    met = pairs.join(one, ["grp", "b1", "c1"]).join(two, ["grp", "b2", "c2"])
+    met = met.withColumn("two", F.when(itself, F.array().cast(dict(chunks.dtypes)["sets"])).otherwise(F.col("two")))
+    return met.select("one", "two").mapInArrow(_product(similar), "a long, b long")
+
+
+def chunk_pairs(sized: DataFrame) -> DataFrame:
+    """(grp, b1, c1, b2, c2) of the pairs of chunks to multiply, from ``sized(grp, band, chunks)``.
+
+    A chunk meets the later chunks of its band and all chunks of the next one, as other sizes cannot link, and
+    itself. These rows are numbers only and are dealt by chunk before they are many, so one large group's
+    pairs are made, joined and multiplied by many tasks.
+    """
+    first = sized.select("grp", F.col("band").alias("b1"), F.col("chunks").alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c1"))
+    after = sized.select("grp", (F.col("band") - 1).alias("b1"), F.col("chunks").alias("next"))
+    first = first.join(after, ["grp", "b1"], "left").repartition("grp", "b1", "c1")
+    numbers = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+    same = F.transform(numbers(F.col("c1") + 1, F.col("own") - 1), lambda c: F.struct(F.col("b1").alias("b2"), c.alias("c2")))
+    other = F.transform(numbers(F.lit(0), F.coalesce("next", F.lit(0)) - 1), lambda c: F.struct((F.col("b1") + 1).alias("b2"), c.alias("c2")))
+    alone = F.array(F.struct(F.col("b1").alias("b2"), F.col("c1").alias("c2")))
+    return first.select("grp", "b1", "c1", F.explode(F.concat(alone, same, other)).alias("x")).select("grp", "b1", "c1", "x.b2", "x.c2")
 
 
 def join_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = WORDS, similar: int = SIMILAR) -> DataFrame:
