@@ -6,14 +6,15 @@ neighbours and reverse neighbours and all of these are compared with each other
 when the number of links stops growing. Pairs with cosine >= 0.9 in double precision are links, all others are dropped.
 
 A node whose list holds links only is saturated: it may have more. A link falls out of both lists only if both ends are
-saturated, so the components with saturated nodes are compared with each other: cells of their members whose balls (center
-and widest angle) come within the limit are multiplied, and components with a link between them become one. Lists are then
-enlarged to the whole component. There the angle to one pivot settles most pairs (two nodes within half the limit of the
+saturated, so the components with saturated nodes are compared with each other: each is a ball around one of its members
+(the pivot), the pivots get neighbour lists by a descent of their own, balls within reach are multiplied chunk by chunk, and
+components with a link between them become one. Lists are then enlarged to the whole component. There the angle to one pivot settles most pairs (two nodes within half the limit of the
 pivot are linked); only nodes outside that half are compared, chunk by chunk, with the component's members, and counts
 instead of pairs come out.
 
 The audit compares a sample of nodes with all vectors (in blocks, nothing else is collected). Its links count as found if
-they are in the result: listed, or inside one enlarged component. They do not go into the result. While fewer than
+they are in the result: listed, or inside one enlarged component. They do not go into the result. Each turn draws other
+nodes. While fewer than
 ``RECALL`` are found, lists and signature orders are doubled and the rounds go on; beyond lists of ``MOST`` all nodes are
 compared with all, in blocks.
 
@@ -160,9 +161,9 @@ def _links(graph: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInPandas(check, "a long, b long")
 
 
-def audit(nodes: DataFrame, similar: float, sample: int = SAMPLE) -> DataFrame:
+def audit(nodes: DataFrame, similar: float, turn: int = 0, sample: int = SAMPLE) -> DataFrame:
     """All links (a, b) of a bounded sample of nodes (by hash), found by comparing it with every vector."""
-    chosen = nodes.orderBy(F.xxhash64("nid", F.lit(SEED))).limit(sample).select("nid", "u64").collect()
+    chosen = nodes.orderBy(F.xxhash64("nid", F.lit(SEED + turn))).limit(sample).select("nid", "u64").collect()
     held = nodes.sparkSession.sparkContext.broadcast((np.array([r["nid"] for r in chosen]), _mat([r["u64"] for r in chosen], np.float64) if chosen else np.zeros((0, 1))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,47 +196,56 @@ def _saturated(graph: DataFrame, k: int, similar: float) -> DataFrame:
     return graph.where((F.size("near") >= k) & (F.element_at("near", -1)["s"] >= similar - 1e-3)).select("nid")
 
 
-def across(members: DataFrame, similar: float) -> DataFrame | None:
-    """Pairs (a, b) of the roots of ``members(root, nid, u64, ..)`` that have a link between their members; None: one root."""
-    limit = math.acos(similar) + 1e-6
+def chunk_pairs(sized: DataFrame) -> DataFrame:
+    """(a, c1, b, c2): every chunk of ``a`` with every chunk of ``b``, from ``sized(a, na, b, nb)``; rows of numbers only.
 
-    def ball(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            center, wide = [], []
-            for us in batch["us"]:
-                x = _mat(us, np.float64)
-                c = x.mean(0)
-                c = c / np.sqrt(c @ c) if c @ c > 1e-12 else x[0]
-                center.append(c.tobytes())
-                wide.append(float(np.arccos(np.clip((x @ c).min(), -1.0, 1.0))))
-            yield batch.assign(center=center, wide=wide)[["root", "us", "center", "wide"]]
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    They are dealt by chunk before they are many, so one large component's pairs are made and compared by many tasks.
+    """
+    first = sized.select("a", "b", "nb", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("c1")).repartition("a", "b", "c1")
+    return first.select("a", "c1", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("c2"))
+
+
+def dealt(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their angle to the pivot (the component's root) and their chunk; and (root, chunks, wide)."""
+
+    def angles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for one, two in zip(batch["one"], batch["two"], strict=True):
-                angle = np.arccos(np.clip(_mat([x["center"] for x in one], np.float64) @ _mat([x["center"] for x in two], np.float64).T, -1.0, 1.0))
-                (c1, r1, w1), (c2, r2, w2) = (tuple(np.array([x[f] for x in side]) for f in ("cell", "root", "wide")) for side in (one, two))
-                i, j = np.nonzero((angle <= w1[:, None] + w2[None, :] + limit) & (r1[:, None] < r2[None, :]))
-                yield pd.DataFrame({"c1": c1[i], "c2": c2[j]})
+            if len(batch):
+                c = np.einsum("ij,ij->i", _mat(batch["u64"], np.float64), _mat(batch["pivot"], np.float64))
+                yield batch.drop(columns=["pivot"]).assign(angle=np.arccos(np.clip(c, -1.0, 1.0)))
+
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    pivots = members.where("nid = root").select("root", F.col("u64").alias("pivot"))
+    m = members.select("root", "nid", "copies", "u64").join(pivots, "root").mapInPandas(angles, "root long, nid long, copies long, u64 binary, angle double")
+    m = written(m.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("nid"), "chunks").cast("int")), "nn-members")
+    return m, cut(m.groupBy("root").agg(F.max("chunks").alias("chunks"), F.max("angle").alias("wide")))
+
+
+def across(members: DataFrame, nodes: DataFrame, dim: int, similar: float, k: int, turn: int) -> DataFrame | None:
+    """Pairs (a, b) of the roots of ``members(root, nid, u64, ..)`` that have a link between their members; None: one root.
+
+    Each component is one ball (its pivot and widest angle). Neighbour lists of the pivots come from a descent of their
+    own, and pairs of balls within reach of each other are compared chunk by chunk.
+    """
+    limit = math.acos(similar) + 1e-6
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ok = [bool((_mat(x, np.float64) @ _mat(y, np.float64).T >= similar).any()) for x, y in zip(batch["x"], batch["y"], strict=True)]
             yield batch.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
-    if members.select("root").distinct().limit(2).count() < 2:
+    m, balls = dealt(members)
+    n = balls.count()
+    if n < 2:
         return None
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    packed = members.join(sizes, "root").groupBy("root", F.pmod(F.xxhash64("nid"), "chunks").alias("chunk")).agg(F.collect_list("u64").alias("us"))
-    cells = written(packed.select("root", "us").mapInPandas(ball, "root long, us array<binary>, center binary, wide double").withColumn("cell", F.monotonically_increasing_id()), "nn-cells")
-    block = F.pmod(F.xxhash64("cell"), F.lit(parts_for(cells.count(), CHUNK)))
-    blocks = written(cells.groupBy(block.alias("block")).agg(F.collect_list(F.struct("cell", "root", "center", "wide")).alias("balls")), "nn-balls")
-    one, two = (blocks.select(F.col("block").alias(f"b{i}"), F.col("balls").alias(n)) for i, n in ((1, "one"), (2, "two")))
-    # roots are ordered inside, so both orders of a pair of blocks are needed
-    pairs = one.select("b1").crossJoin(two.select("b2")).join(one, "b1").join(two, "b2")
-    near = cut(pairs.select("one", "two").mapInPandas(meet, "c1 long, c2 long"))
-    one, two = (cells.select(F.col("cell").alias(c), F.col("root").alias(r), F.col("us").alias(u)) for c, r, u in (("c1", "a", "x"), ("c2", "b", "y")))
-    return cut(near.join(one, "c1").join(two, "c2").mapInPandas(linked, "a long, b long").distinct())
+    pivots = written(balls.select(F.col("root").alias("nid")).join(nodes, "nid"), "nn-pivots")
+    graph, _ = descend(pivots, n, dim, similar, 2 * k, turn)
+    near = graph.select("nid", F.explode("near").alias("x")).select(F.least("nid", "x.o").alias("a"), F.greatest("nid", "x.o").alias("b"), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("x.s").cast("double")))).alias("angle"))
+    ends = [balls.select(F.col("root").alias(e), F.col("wide").alias(f"w{e}"), F.col("chunks").alias(f"n{e}")) for e in ("a", "b")]
+    near = near.join(ends[0], "a").join(ends[1], "b").where(F.col("angle") <= limit + 1e-3 + F.col("wa") + F.col("wb")).select("a", "na", "b", "nb").distinct()
+    packed = m.groupBy("root", "chunk").agg(F.collect_list("u64").alias("us"))
+    one, two = (packed.select(F.col("root").alias(r), F.col("chunk").alias(c), F.col("us").alias(u)) for r, c, u in (("a", "c1", "x"), ("b", "c2", "y")))
+    return cut(chunk_pairs(near).join(one, ["a", "c1"]).join(two, ["b", "c2"]).mapInPandas(linked, "a long, b long").distinct())
 
 
 def _mates(on: np.ndarray, ia: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,14 +289,14 @@ def every(nodes: DataFrame, n: int, similar: float) -> tuple[DataFrame, DataFram
     return cut(roots), cut(found.groupBy("nid").agg(F.sum("others").alias("others")))
 
 
-def settled(graph: DataFrame, links: DataFrame, nodes: DataFrame, k: int, similar: float) -> tuple[DataFrame, DataFrame]:
+def settled(graph: DataFrame, links: DataFrame, nodes: DataFrame, dim: int, k: int, turn: int, similar: float) -> tuple[DataFrame, DataFrame]:
     """(nid, root) of nodes in components, and (root, nid, copies, u64) of the components that hold saturated nodes."""
     roots = cut(components(links).withColumnRenamed("node", "nid"))
     own = F.coalesce("root", "nid").alias("root")
     full = _saturated(graph, k, similar).join(roots, "nid", "left").select(own).distinct()
     members = nodes.select("nid", "copies", "u64").join(roots, "nid", "left").select(own, "nid", "copies", "u64").join(full, "root", "left_semi")
     members = written(members, "nn-full")
-    over = across(members, similar)
+    over = across(members, nodes, dim, similar, k, turn)
     if over is None or over.isEmpty():
         return roots, members
     moved = cut(components(over).select(F.col("node").alias("root"), F.col("root").alias("to")))
@@ -306,12 +316,6 @@ def enlarged(members: DataFrame, similar: float) -> DataFrame:
     """Exact number of linked rows inside each component: ``members(root, nid, copies, u64)`` -> (nid, others)."""
     half = math.acos(similar) / 2 - 1e-6
 
-    def angles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                c = np.einsum("ij,ij->i", _mat(batch["u64"], np.float64), _mat(batch["pivot"], np.float64))
-                yield batch.drop(columns=["pivot"]).assign(inner=np.arccos(np.clip(c, -1.0, 1.0)) <= half)
-
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for outer, other in zip(batch["outer"], batch["other"], strict=True):
@@ -322,14 +326,13 @@ def enlarged(members: DataFrame, similar: float) -> DataFrame:
                 on = (a @ b.T >= similar) & (ia[:, None] != ib[None, :])
                 yield pd.DataFrame({"nid": np.concatenate([ia, ib[inner]]), "others": np.concatenate([on @ nb, na @ on[:, inner]])})
 
-    pivots = members.where("nid = root").select("root", F.col("u64").alias("pivot"))
-    m = members.join(pivots, "root").mapInPandas(angles, "root long, nid long, copies long, u64 binary, inner boolean")
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    m = written(m.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("nid"), "chunks")), "nn-members")
+    m, balls = dealt(members)
+    m = m.withColumn("inner", F.col("angle") <= half)
     inside = m.where("inner").groupBy("root").agg(F.sum("copies").alias("all_inner"))
     base = m.where("inner").join(inside, "root").select("nid", (F.col("all_inner") - F.col("copies")).alias("others"))
-    packed = lambda d, name: d.groupBy("root", "chunk").agg(F.collect_list(F.struct("nid", "copies", "inner", "u64")).alias(name)).drop("chunk")
-    pairs = packed(m.where("not inner"), "outer").join(packed(m, "other"), "root")
+    packed = lambda d, root, chunk, name: d.groupBy(F.col("root").alias(root), F.col("chunk").alias(chunk)).agg(F.collect_list(F.struct("nid", "copies", "inner", "u64")).alias(name))
+    sized = balls.select(F.col("root").alias("a"), F.col("chunks").alias("na"), F.col("root").alias("b"), F.col("chunks").alias("nb"))
+    pairs = chunk_pairs(sized).join(packed(m.where("not inner"), "a", "c1", "outer"), ["a", "c1"]).join(packed(m, "b", "c2", "other"), ["b", "c2"])
     rest = pairs.select("outer", "other").mapInPandas(compare, "nid long, others long")
     return base.unionByName(rest).groupBy("nid").agg(F.sum("others").alias("others"))
 
@@ -348,16 +351,15 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector: str = "embedd
         return alone
     nodes = _nodes(good, dim)
     n = nodes.count()
-    truth = cut(audit(nodes, similar))
-    most_lost = (1 - RECALL) * truth.count()
-    k, turn, graph, links = LIST, 0, None, truth.where("false")
+    k, turn, graph, links = LIST, 0, None, nodes.select(F.col("nid").alias("a"), F.col("nid").alias("b")).where("false")
     while True:
         if k > MOST:
             roots, more = every(nodes, n, similar)
             break
         graph, links = descend(nodes, n, dim, similar, k, turn, graph)
-        roots, members = settled(graph, links, nodes, k, similar)
-        if lost(truth, links, members) <= most_lost:
+        roots, members = settled(graph, links, nodes, dim, k, turn, similar)
+        truth = cut(audit(nodes, similar, turn))
+        if lost(truth, links, members) <= (1 - RECALL) * truth.count():
             more = enlarged(members, similar)
             break
         k, turn = 2 * k, turn + 1

@@ -229,7 +229,7 @@ def near_found(spark, x):
 def test_near_vectors_between_full_groups(spark, monkeypatch):
     """Groups whose lists are full of their own members still find each other; nothing comes from the audit."""
     real = nn_descent.audit
-    monkeypatch.setattr(nn_descent, "audit", lambda nodes, similar: real(nodes, similar, 0))
+    monkeypatch.setattr(nn_descent, "audit", lambda nodes, similar, turn: real(nodes, similar, turn, 0))
     rng = np.random.default_rng(8)
     a, b = np.zeros(24), np.zeros(24)
     a[0], b[0], b[1] = 1.0, 0.92, np.sqrt(1 - 0.92**2)
@@ -239,6 +239,21 @@ def test_near_vectors_between_full_groups(spark, monkeypatch):
     assert near_found(spark, x) == want
 
 
+def test_near_vectors_pairs_of_full_groups(spark):
+    """Many pairs of tight groups, each larger than a list, 0.93 apart: every link and component is found."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for _ in range(100):
+        a, b = (v / np.sqrt(v @ v) for v in rng.standard_normal((2, 64)))
+        b = b - (a @ b) * a
+        b = 0.93 * a + np.sqrt(1 - 0.93**2) * b / np.sqrt(b @ b)
+        rows += [c + 0.0005 * rng.standard_normal((12, 64)) for c in (a, b)]
+    x = np.vstack(rows)
+    want = brute_near(x)
+    assert len(set(want[1])) == 100 and set(want[0]) == {23}
+    assert near_found(spark, x) == want
+
+
 @pytest.mark.parametrize("most", [None, 5])
 def test_near_vectors_audit_binds(spark, monkeypatch, most):
     """A start that finds next to nothing is made wider until the audit holds; without longer lists, all are compared with all."""
