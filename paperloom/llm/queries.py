@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import decontaminate, language, mixing, ngram_join, nn_descent, pii, quality, tokens, url_filter, warc
 from paperloom.llm.oracles import ORACLE
-from paperloom.llm.shared import cut
+from paperloom.llm.shared import cut, written
 
 QUERIES = {}
 __all__ = ["ORACLE", "QUERIES"]
@@ -66,10 +66,12 @@ QUERIES["op2_language"] = op2_language
 
 
 def op4_token_counts(spark, sf_dir):
-    """Counts before and after the edits that redact personal data."""
-    docs = pii.find_personal_data(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Trees of all documents are kept as a table; the edits that redact personal data are applied to what it holds."""
+    stored = written(tokens.build_trees(_read(spark, sf_dir, "documents").select("doc_id", "text")), "token-trees")
+    found = pii.find_personal_data(stored)
     edits = F.transform("pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("replacement")))
-    return tokens.counted(docs, edits).select("doc_id", "n_tokens", "n_tokens_edited", "n_leaves", "chars_again")
+    edited = tokens.edit_trees(found.withColumn("edits", edits).drop("pii"), "edits")
+    return edited.select("doc_id", "n_tokens", "n_tokens_edited", "n_leaves", "chars_again", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
 
 
 QUERIES["op4_token_counts"] = op4_token_counts

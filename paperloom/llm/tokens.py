@@ -5,10 +5,14 @@ the sums. Blocks are cut before a blank that stands between two letters; such a
 counts of the blocks add up to the count of the whole text. An edit re-encodes only the blocks it touches plus one block
 of context on either side, and updates the sums on the paths to the root; the other blocks are never encoded again.
 
+``build_trees`` encodes whole texts once; its result is kept as a table. ``edit_trees`` takes rows of that table with edits,
+in the same or any later job, and encodes only what they touch; its result can be kept and edited again.
+
 Every document is handled by itself, whatever its length, in Arrow batches: no shuffle, no hot key. Null and empty texts
 have one empty leaf and 0 tokens. Null or empty edit lists change nothing. Edits are (start, end, replacement) in code
 points of the old text; they are clipped to the text, and an edit that overlaps an earlier one is clipped to what
-is left. Equal rows give equal results; extra columns are ignored.
+is left. Equal rows give equal results. Extra columns pass through; those named as an added
+one are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -141,29 +145,59 @@ def apply_whole(text: str, edits: list[tuple[int, int, str]], leaves: int, count
     return new, [len(b) for b in made], build([count(b) for b in made]), len(new)
 
 
-def counted(docs: DataFrame, edits: Column, id_col: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Trees before and after ``edits`` (array of struct start, end, replacement): one row a document.
+TREE = {"n_tokens": "long", "leaf_chars": "array<int>", "tree": "array<int>"}
+EDITED = {"n_tokens_edited": "long", "n_leaves": "int", "chars_again": "long"}
 
-    id, n_tokens, n_tokens_edited, n_leaves, chars_again (characters encoded again), leaf_chars and tree (after the edits).
-    """
-    spark = docs.sparkSession
+
+def _added(df: DataFrame, make: Callable[[pd.DataFrame, Callable[[str], int]], dict], columns: dict[str, str], vocabulary: str) -> DataFrame:
+    """``df`` with columns that ``make`` works out for a batch."""
     with open(vocabulary, "rb") as f:
-        held = spark.sparkContext.broadcast(f.read())  # one file of fixed size
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).cast("string").alias(id_col), F.coalesce(F.col(text), F.lit("")).alias("t"), edits.cast("array<struct<start:int,end:int,replacement:string>>").alias("e"))
+        held = df.sparkSession.sparkContext.broadcast(f.read())  # one file of fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = counter(held.value)
         for batch in batches:
-            out = []
-            for key, t, e in zip(batch[id_col], batch["t"], batch["e"], strict=True):
-                made = blocks(t)
-                lengths, tree = [len(b) for b in made], build([count(b) for b in made])
-                before, again = tree[1], 0
-                if e is not None and len(e):
-                    _, lengths, tree, again = apply_edits(t, lengths, tree, [(x["start"], x["end"], x["replacement"]) for x in e], count)
-                out.append((key, before, tree[1], len(made), again, lengths, tree))
-            yield pd.DataFrame(out, columns=[id_col, "n_tokens", "n_tokens_edited", "n_leaves", "chars_again", "leaf_chars", "tree"])
-
-    got = rows.mapInPandas(run, f"{id_col} string, n_tokens long, n_tokens_edited long, n_leaves int, chars_again long, leaf_chars array<int>, tree array<int>")
-    return got.withColumn(id_col, F.col(id_col).cast(kind))
+            yield batch.assign(**{k: pd.Series(v, index=batch.index, dtype=None if len(v) else object) for k, v in make(batch, count).items()})[names]
+
+    kinds = {k: v for k, v in df.dtypes if k not in columns} | columns
+    names = list(kinds)
+    return df.select(*[f"`{c}`" for c in df.columns]).mapInPandas(run, ", ".join(f"`{k}` {v}" for k, v in kinds.items()))
+
+
+def build_trees(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """``docs`` with n_tokens, leaf_chars and tree: every text is encoded once, block by block."""
+
+    def make(batch: pd.DataFrame, count: Callable[[str], int]) -> dict:
+        made = [blocks(t or "") for t in batch[text]]
+        trees = [build([count(b) for b in m]) for m in made]
+        return {"n_tokens": [t[1] for t in trees], "leaf_chars": [[len(b) for b in m] for m in made], "tree": trees}
+
+    return _added(docs, make, TREE, vocabulary)
+
+
+def edit_trees(stored: DataFrame, edits: str, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """Rows of ``build_trees`` with the column ``edits`` (array of struct start, end, replacement) applied.
+
+    text, leaf_chars and tree are then those after the edits; n_tokens stays. Adds n_tokens_edited, n_leaves and
+    chars_again (characters encoded again).
+    """
+
+    def make(batch: pd.DataFrame, count: Callable[[str], int]) -> dict:
+        out: dict[str, list] = {k: [] for k in ("text", "leaf_chars", "tree", *EDITED)}
+        for t, lengths, tree, e in zip(batch[text], batch["leaf_chars"], batch["tree"], batch[edits], strict=True):
+            again, lengths, tree = 0, [int(x) for x in lengths], [int(x) for x in tree]
+            if e is not None and len(e):
+                t, lengths, tree, again = apply_edits(t or "", lengths, tree, [(x["start"], x["end"], x["replacement"]) for x in e], count)
+            for k, v in zip(out, (t, lengths, tree, tree[1], len(lengths), again), strict=True):
+                out[k].append(v)
+        return {text if k == "text" else k: v for k, v in out.items()}
+
+    kind = "array<struct<start:int,end:int,replacement:string>>"
+    return _added(stored.withColumn(edits, F.col(f"`{edits}`").cast(kind)), make, {text: "string", "leaf_chars": "array<int>", "tree": "array<int>"} | EDITED, vocabulary)
+
+
+def counted(docs: DataFrame, edits: Column, id_col: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """Both steps in one job: id, n_tokens, n_tokens_edited, n_leaves, chars_again, leaf_chars and tree of each document."""
+    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").alias("__text"), edits.alias("__edits"))
+    got = edit_trees(build_trees(rows, "__text", vocabulary), "__edits", "__text", vocabulary)
+    return got.select(id_col, "n_tokens", "n_tokens_edited", "n_leaves", "chars_again", "leaf_chars", "tree")

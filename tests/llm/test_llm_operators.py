@@ -84,6 +84,31 @@ def test_language(spark):
     assert {r.lang_pred for r in language.predict(df, None).collect()} == {"und"}
 
 
+def test_language_by_plain_numpy(spark):
+    """Kernel, Nyström map and ridge regression written out by sets and full matrices give the same scores."""
+    rng = random.Random(13)
+    rows = [(i, " ".join("".join(rng.choice(a) for _ in range(rng.randint(1, 6))) for _ in range(20)), lang) for i in range(60) for lang, a in [rng.choice([("aa", "abcdef"), ("bb", "defghi"), ("cc", "ghijkl")])]]
+    df = frame(spark, rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash")).withColumn("t", F.lit("clash")).withColumn("h", F.lit(1))
+    model = language.train(df)
+    got = {r.doc_id: r for r in language.predict(df, model).collect()}
+    grams = lambda t: frozenset(int(b) for b in np.flatnonzero(language.presence([f" {t} "])[0]))
+    sets = {i: grams(t) for i, t, _ in rows}
+    kernel = lambda a, b: len(a & b) / (max(len(a), 1) * max(len(b), 1)) ** 0.5
+    learned = [(i, lang) for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    marks = [frozenset(np.flatnonzero(np.unpackbits(z)).tolist()) for z in model["z"]]
+    assert sorted(map(sorted, marks)) == sorted(sorted(sets[i]) for i, _ in learned)
+    kz = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(kz)
+    root = vectors @ np.diag(np.maximum(values, 1e-6) ** -0.5) @ vectors.T
+    phi = lambda s: np.append(np.array([kernel(s, m) for m in marks]) @ root, 1.0)
+    x = np.array([phi(sets[i]) for i, _ in learned])
+    y = np.array([[float(lang == n) for n in model["names"]] for _, lang in learned])
+    w = np.linalg.solve(x.T @ x + language.RIDGE * np.eye(x.shape[1]), x.T @ y)
+    for i, _, _ in rows:
+        s = phi(sets[i]) @ w
+        assert got[i].lang_pred == model["names"][int(s.argmax())] and got[i].score == pytest.approx(np.clip(s.max(), 0, 1), abs=2e-3)
+
+
 # -- 3
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -189,6 +214,26 @@ def test_token_counts(spark):
     assert 0 < tokens.counted(long_, F.col("e")).first()["chars_again"] < 4000
 
 
+def test_trees_are_kept(spark, tmp_path):
+    """A second job edits stored trees: only touched blocks are encoded, edits of edits add up, names may clash."""
+    count = tokens.counter(open(tokens.VOCABULARY, "rb").read())
+    long_ = "some words in a row " * 3000
+    rows = [(1, long_, "x"), (2, None, None), (3, "", "y"), (4, long_, "z")]
+    df = frame(spark, rows, "doc_id long, text string, tree string").withColumn("n_tokens", F.lit("clash")).withColumn("count", F.lit(1))
+    tokens.build_trees(df).write.parquet(str(tmp_path / "trees"))
+    kind = "array<struct<start:int,end:int,replacement:string>>"
+    change = lambda d, at: d.withColumn("e", F.when(F.col("doc_id") == 1, F.array(F.struct(F.lit(at).alias("start"), F.lit(at + 5).alias("end"), F.lit("other").alias("replacement")))).cast(kind))
+    stored = spark.read.parquet(str(tmp_path / "trees"))
+    tokens.edit_trees(change(stored, 30_000), "e").write.parquet(str(tmp_path / "once"))
+    twice = {r.doc_id: r for r in tokens.edit_trees(change(spark.read.parquet(str(tmp_path / "once")), 100), "e").collect()}
+    new = long_[:100] + "other" + long_[105:30_000] + "other" + long_[30_005:]
+    assert twice[1].text == new and twice[1].n_tokens_edited == twice[1].tree[1] == count(new)
+    assert 0 < twice[1].chars_again < 4000 and twice[4].chars_again == 0
+    assert twice[4].n_tokens_edited == twice[4].n_tokens == count(long_) and twice[1]["count"] == 1
+    assert twice[2].text is None and twice[2].n_tokens_edited == twice[3].n_tokens_edited == 0
+    assert tokens.edit_trees(change(tokens.build_trees(df.limit(0)), 5), "e").count() == 0
+
+
 # -- 5
 
 
