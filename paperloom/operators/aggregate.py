@@ -75,15 +75,25 @@ def unique_references(papers: DataFrame, refs: str, key: str) -> DataFrame:
     return first_by(r, ["clean"], key, "pos")
 
 
+def _first_record(df: DataFrame, key: str, order_by: str, but: list[str]) -> Column:
+    """Aggregate: all fields of a group's first row but those that are gathered."""
+    return F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in (key, *but)]), order_by).alias("__first")
+
+
 def merge_areas(results: DataFrame, order_by: str) -> DataFrame:
-    """``(paper_id, title, abstract, area)``: one row a paper, first row's fields, sorted set of areas."""
+    """``(paper_id, title, abstract, area, ...)``: one row a paper, all fields of its first row, sorted set of areas."""
     r = results.where(F.coalesce("abstract", F.lit("")) != "")
-    return r.groupBy("paper_id").agg(F.min_by("title", order_by).alias("title"), F.array_sort(F.collect_set("area")).alias("areas"))
+    return r.groupBy("paper_id").agg(_first_record(r, "paper_id", order_by, ["area"]), F.array_sort(F.collect_set("area")).alias("areas")).select("paper_id", "__first.*", "areas")
 
 
 def merge_recommendations(recs: DataFrame, order_by: str) -> DataFrame:
-    """``(paper_id, title, source_peer, source_s2)``: first row a paper and both sorted sets of sources; nulls are skipped."""
-    return recs.groupBy("paper_id").agg(F.min_by("title", order_by).alias("title"), F.array_sort(F.collect_set("source_peer")).alias("sources_peer"), F.array_sort(F.collect_set("source_s2")).alias("sources_s2"))
+    """``(paper_id, source_peer, source_s2, ...)``: all fields of a paper's first row and both sorted sets of sources.
+
+    Null sources are skipped.
+    """
+    sets = [F.array_sort(F.collect_set(c)).alias(n) for c, n in (("source_peer", "sources_peer"), ("source_s2", "sources_s2"))]
+    merged = recs.groupBy("paper_id").agg(_first_record(recs, "paper_id", order_by, ["source_peer", "source_s2"]), *sets)
+    return merged.select("paper_id", "__first.*", "sources_peer", "sources_s2")
 
 
 def reference_polarity(contexts: DataFrame, keys: list[str], polarity: str) -> DataFrame:

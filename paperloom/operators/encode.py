@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 
 
 def hashing_encoder(df: DataFrame, text: str, dim: int = 256, out: str = "embedding") -> DataFrame:
-    """Signed feature hashing of lower-cased words with log counts, normalised; a text without words is all zeros."""
-    from pyspark.ml.feature import HashingTF, Normalizer
+    """Word counts hashed into ``dim`` places, weighted by inverse document frequency over ``df``, as unit vectors.
+
+    A text without words (or with words that every text has) is all zeros. The frequencies are one pass over ``df`` with
+    ``dim`` numbers as result.
+    """
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
     words = df.withColumn("__words", F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""))
-    tf = HashingTF(numFeatures=dim, inputCol="__words", outputCol="__tf").transform(words)
-    unit = Normalizer(p=2.0, inputCol="__tf", outputCol="__unit").transform(tf)
-    return unit.withColumn(out, vector_to_array("__unit").cast("array<float>")).drop("__words", "__tf", "__unit")
+    counts = HashingTF(numFeatures=dim, inputCol="__words", outputCol="__tf").transform(words)
+    weighted = IDF(inputCol="__tf", outputCol="__weighted").fit(counts).transform(counts)
+    unit = Normalizer(p=2.0, inputCol="__weighted", outputCol="__unit").transform(weighted)
+    return unit.withColumn(out, vector_to_array("__unit").cast("array<float>")).drop("__words", "__tf", "__weighted", "__unit")
 
 
 def encode_with(df: DataFrame, text: str, encoder: Callable[[pd.Series], pd.Series], name: str, out: str = "embedding") -> DataFrame:

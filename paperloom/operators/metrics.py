@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -169,14 +171,19 @@ def sentence_agreement(sentences: DataFrame, predicted: DataFrame, key: str) ->
 
 
 def rouge_n(df: DataFrame, key: str, pred: str, ref: str, n: int) -> DataFrame:
-    """(key, f1) of n-gram overlaps of lower-cased words (no stemming), from joined multiset counts."""
-    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    grams = lambda c: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(c) - n, F.lit(0))), lambda i: i + n <= F.size(c)), lambda i: F.array_join(F.slice(c, i + 1, n), " "))
-    w = df.select(key, words(F.col(pred)).alias("p"), words(F.col(ref)).alias("r"))
-    counts = lambda c: w.select(key, F.explode(grams(F.col(c))).alias("g")).groupBy(key, "g").agg(F.count("*").alias(c))
-    both = counts("p").join(counts("r"), [key, "g"]).groupBy(key).agg(F.sum(F.least("p", "r")).alias("both"))
-    sizes = w.select(key, F.greatest(F.size("p") - n + 1, F.lit(0)).alias("np"), F.greatest(F.size("r") - n + 1, F.lit(0)).alias("nr"))
-    return sizes.join(both, key, "left").select(key, ratio0(2 * F.coalesce("both", F.lit(0)), F.col("np") + F.col("nr")).alias("f1"))
+    """(key, f1) of n-gram overlaps of lower-cased words (no stemming): multiset counts within each row, no shuffle."""
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            p, r = (Counter(zip(*[v[i:] for i in range(n)], strict=False)) for v in (list(x), list(y)))
+            total = p.total() + r.total()
+            out.append(2.0 * (p & r).total() / total if total else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return df.select(key, score(words(F.col(pred)), words(F.col(ref))).alias("f1"))
 
 
 def rouge_l(df: DataFrame, key: str, pred: str, ref: str) -> DataFrame:
@@ -187,6 +194,8 @@ def rouge_l(df: DataFrame, key: str, pred: str, ref: str) -> DataFrame:
         for x, y in zip(a, b, strict=True):
             ids: dict[str, str] = {}
             p, r = ([ids.setdefault(w, len(ids)) for w in v] for v in (x, y))
+            if len(p) > len(r):
+                p, r = r, p
             out.append(2.0 * lcs_length(p, r) / (len(p) + len(r)) if len(p) + len(r) else 0.0)
         return pd.Series(out)
 

@@ -56,22 +56,35 @@ def bibitems(df: DataFrame, column: str) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "__b"], F.regexp_extract("__b", r"^\\bibitem(?:\[[^\]]*\])?\{([^}]*)\}", 1).alias("key"), title.alias("title"), year.alias("year"), authors.alias("authors"))
 
 
-def sanitise(df: DataFrame, list_most: int = 50, text_most: int = 1000) -> DataFrame:
-    """Cut the number of list and map entries and the length of keys and texts of every nested column."""
+def sanitise(df: DataFrame, list_most: int = 50, text_most: int = 1000, depth_most: int = 6, key_most: int | None = None) -> DataFrame:
+    """Cut every nested column: entries of lists and maps, lengths of texts and of map keys, and levels of nesting.
+
+    Maps keep their first entries by key; of keys that become equal when cut the first stays. What lies deeper than
+    ``depth_most`` levels (lists, maps and structs count) becomes the text ``...``.
+    """
     from pyspark.sql import types as T
 
-    def fix(c: Column, kind: T.DataType) -> Column:
+    keys = key_most or text_most
+
+    def entries(c: Column) -> Column:
+        """Sorted entries with cut keys, the first of equal ones."""
+        cut = F.transform(F.array_sort(F.map_entries(c)), lambda e: F.struct(F.left(e["key"].cast("string"), F.lit(keys)).alias("key"), e["value"].alias("value")))
+        return F.filter(cut, lambda e, i: (i == 0) | ~F.exists(F.slice(cut, 1, i), lambda x: x["key"] == e["key"]))
+
+    def fix(c: Column, kind: T.DataType, depth: int) -> Column:
         if isinstance(kind, T.StringType):
             return F.left(c, F.lit(text_most))
+        if not isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            return c
+        if depth >= depth_most:
+            return F.when(c.isNotNull(), F.lit("..."))
         if isinstance(kind, T.ArrayType):
-            return F.transform(F.slice(c, 1, list_most), lambda x: fix(x, kind.elementType))
+            return F.transform(F.slice(c, 1, list_most), lambda x: fix(x, kind.elementType, depth + 1))
         if isinstance(kind, T.MapType):
-            return F.map_from_entries(F.transform(F.slice(F.array_sort(F.map_entries(c)), 1, list_most), lambda e: F.struct(e["key"].alias("key"), fix(e["value"], kind.valueType).alias("value"))))
-        if isinstance(kind, T.StructType):
-            return F.struct(*[fix(c[f.name], f.dataType).alias(f.name) for f in kind.fields])
-        return c
+            return F.map_from_entries(F.transform(F.slice(entries(c), 1, list_most), lambda e: F.struct(e["key"].alias("key"), fix(e["value"], kind.valueType, depth + 1).alias("value"))))
+        return F.when(c.isNotNull(), F.struct(*[fix(c[f.name], f.dataType, depth + 1).alias(f.name) for f in kind.fields]))
 
-    return df.select(*[fix(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
+    return df.select(*[fix(F.col(f"`{f.name}`"), f.dataType, 1).alias(f.name) for f in df.schema.fields])
 
 
 def longest_by_words(df: DataFrame, key: str, text: str, order_by: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,67 +11,81 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
 
-#: A query block (id and vector) of up to so many rows is sent to every task that scans the nodes.
-QUERY_BLOCK = 5_000
+#: Vectors to a block of queries and to a block of nodes; one task holds one of each.
+BLOCK = 2_048
 
 
-def semantic_topk(queries: DataFrame, nodes: DataFrame, k: int, group: list[str] | None = None, legacy: bool = False) -> DataFrame:
+def _blocked(df: DataFrame, key: str, columns: list[str], name: str) -> DataFrame:
+    """(block, name): rows with a vector in blocks of about ``BLOCK``, by a hash of the key."""
+    df = df.where(F.col("embedding").isNotNull())
+    blocks = max(1, -(-df.count() // BLOCK))
+    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias(f"{name}_block")).agg(F.collect_list(F.struct(key, *columns)).alias(name))
+
+
+def _scored(queries: DataFrame, nodes: DataFrame, group: list[str], choose: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(query_id, group, node_id, score) of what ``choose`` takes from each block of scores (queries by nodes).
+
+    The queries are a stated set that meets all nodes: every block of queries is paired with every block of nodes, and
+    a pair is one matrix product in a task. Nothing passes through the driver but two counts.
+    """
+    kinds = dict(nodes.dtypes)
+    q, n = _blocked(queries, "query_id", ["embedding"], "q"), _blocked(nodes, "node_id", ["embedding", *group], "n")
+    numbers = q.select(F.collect_set("q_block").alias("all"))  # one number a block of queries
+    pairs = n.join(F.broadcast(numbers)).withColumn("q_block", F.explode("all")).drop("all").join(q, "q_block")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for asking, answering in zip(batch["q"], batch["n"], strict=True):
+                a = np.array([x["embedding"] for x in asking], dtype=np.float64)
+                ids = np.array([x["query_id"] for x in asking])
+                by: dict[tuple, list] = {}
+                for x in answering:
+                    by.setdefault(tuple(x[g] for g in group), []).append(x)
+                for values, members in by.items():
+                    members.sort(key=lambda x: x["node_id"])
+                    b = np.array([x["embedding"] for x in members], dtype=np.float64)
+                    s = np.clip((a @ b.T) / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :] + 1e-8), 0.0, 1.0)
+                    i, j = choose(s)
+                    made = {"query_id": ids[i], **{g: [v] * len(i) for g, v in zip(group, values, strict=True)}}
+                    yield pd.DataFrame(made | {"node_id": np.array([x["node_id"] for x in members])[j], "score": s[i, j]})
+
+    schema = ", ".join([f"query_id {dict(queries.dtypes)['query_id']}", *[f"{g} {kinds[g]}" for g in group], f"node_id {kinds['node_id']}", "score double"])
+    return pairs.select("q", "n").mapInPandas(run, schema)
+
+
+def semantic_topk(queries: DataFrame, nodes: DataFrame, k: int, group: list[str] | None = None, legacy: bool = False, apart: bool = False) -> DataFrame:
     """``queries(query_id, embedding)``, ``nodes(node_id, embedding[, group])``: (query_id, group, node_id, score, r).
 
-    Exact cosine clipped to [0, 1], best ``k`` a query (and group), ties by node id. Queries are taken in blocks of
-    bounded size; a task keeps the best ``k`` of its nodes, so what is shuffled is queries x tasks x k rows.
+    Exact cosine clipped to [0, 1], best ``k`` a query (and group), ties by node id. A pair of blocks gives at most ``k``
+    nodes a query and group, so what is shuffled is queries x blocks of nodes x k rows. With ``apart`` no query is its
+    own answer.
     """
     group = group or []
-    spark = queries.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    id_type, node_type = dict(queries.dtypes)["query_id"], dict(nodes.dtypes)["node_id"]
-    kinds = dict(nodes.dtypes)
-    out = None
-    for block in range(blocks):
-        part = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
-        part = part if blocks == 1 else part.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        rows = part.collect()  # one block of queries
-        if not rows:
-            continue
-        q = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        held = spark.sparkContext.broadcast(([r["query_id"] for r in rows], q, np.sqrt((q * q).sum(1))))
-
-        def best(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, q, norms = held.value
-            for batch in batches:
-                for key, part in batch.groupby(group, sort=False) if group else [((), batch)]:
-                    part = part.sort_values("node_id")
-                    x = np.array(part["embedding"].tolist(), dtype=np.float64)
-                    if not len(x):
-                        continue
-                    s = np.clip((q @ x.T) / (norms[:, None] * np.sqrt((x * x).sum(1))[None, :] + 1e-8), 0.0, 1.0)
-                    top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    nodes_ = part["node_id"].to_numpy()
-                    for i, t in enumerate(top):
-                        made = {"query_id": [ids[i]] * len(t), "node_id": nodes_[t], "score": s[i, t]}
-                        for g, v in zip(group, key if isinstance(key, tuple) else (key,), strict=True):
-                            made[g] = [v] * len(t)
-                        yield pd.DataFrame(made)[["query_id", *group, "node_id", "score"]]
-
-        schema = ", ".join([f"query_id {id_type}", *[f"{g} {kinds[g]}" for g in group], f"node_id {node_type}", "score double"])
-        got = nodes.where(F.col("embedding").isNotNull()).select("node_id", "embedding", *group).mapInPandas(best, schema)
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        kinds_sql = [f"cast(null as {id_type}) query_id", *[f"cast(null as {kinds[g]}) {g}" for g in group], f"cast(null as {node_type}) node_id", "cast(null as double) score"]
-        out = spark.range(0).selectExpr(*kinds_sql)
+    most = k + 1 if apart else k
+
+    def best(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        top = np.argsort(-s, axis=1, kind="stable")[:, :most]
+        return np.repeat(np.arange(len(s)), top.shape[1]), top.ravel()
+
+    out = _scored(queries, nodes, group, best)
+    out = out.where("node_id <> query_id") if apart else out
     out = out.withColumn("r", F.row_number().over(Window.partitionBy("query_id", *group).orderBy(F.desc("score"), "node_id"))).where(F.col("r") <= k)
     # the angular distance d of unit vectors gives the old score 1 - d / 2
     return out.withColumn("legacy_score", 1 - F.sqrt(2 - 2 * F.col("score")) / 2) if legacy else out
 
 
-def vector_search(queries: DataFrame, sentences: DataFrame, k: int = 5, threshold: float = 0.6) -> DataFrame:
-    return semantic_topk(queries, sentences, k).where(F.col("score") >= threshold)
+def semantic_above(queries: DataFrame, nodes: DataFrame, threshold: float, group: list[str] | None = None) -> DataFrame:
+    """(query_id, group, node_id, score) of all nodes with at least this score."""
+    return _scored(queries, nodes, group or [], lambda s: np.nonzero(s >= threshold))
+
 
+def vector_search(queries: DataFrame, sentences: DataFrame, k: int = 5, threshold: float = 0.6, apart: bool = False) -> DataFrame:
+    return semantic_topk(queries, sentences, k, apart=apart).where(F.col("score") >= threshold)
 
-def find_best(queries: DataFrame, sentences: DataFrame, threshold: float = 0.6) -> DataFrame:
+
+def find_best(queries: DataFrame, sentences: DataFrame, threshold: float = 0.6, apart: bool = False) -> DataFrame:
     """One row a query; node and score are null if nothing reaches the threshold."""
-    return queries.select("query_id").join(vector_search(queries, sentences, 1, threshold).drop("r"), "query_id", "left")
+    return queries.select("query_id").join(vector_search(queries, sentences, 1, threshold, apart).drop("r"), "query_id", "left")
 
 
 def topk_per_group(df: DataFrame, group: list[str], score: str, k: int, tie: str) -> DataFrame:
@@ -81,12 +95,21 @@ def topk_per_group(df: DataFrame, group: list[str], score: str, k: int, tie: str
 def citation_scores(papers: DataFrame, refs: DataFrame, vectors: DataFrame) -> DataFrame:
     """``papers(paper_id, title)``, ``refs(paper_id, cited_title, polarity)``, ``vectors(title, embedding)``: scored, ranked edges.
 
-    Titles are cleaned to letters and looked up once each.
+    Titles are cleaned to letters and looked up once each; vectors join last and meet in batches.
     """
+
+    @F.pandas_udf("double")
+    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+        if a.empty:
+            return pd.Series([], dtype="float64")
+        x, y = np.stack(a.to_list()).astype(np.float64), np.stack(b.to_list()).astype(np.float64)
+        norms = np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y))
+        return pd.Series(np.clip(np.einsum("ij,ij->i", x, y) / (norms + 1e-8), 0.0, 1.0))
+
     v = vectors.select(tx.clean_title_alpha(F.col("title")).alias("t"), "embedding").dropDuplicates(["t"])
     p = papers.select("paper_id", tx.clean_title_alpha(F.col("title")).alias("t")).join(v, "t").select("paper_id", F.col("embedding").alias("a"))
     r = refs.withColumn("t", tx.clean_title_alpha(F.col("cited_title"))).join(v, "t").drop("t")
-    s = r.join(p, "paper_id").select("paper_id", "polarity", "cited_title", tx.cosine(F.col("a"), F.col("embedding")).alias("score"))
+    s = r.join(p, "paper_id").select("paper_id", "polarity", "cited_title", cosine("a", "embedding").alias("score"))
     return s.withColumn("r", F.row_number().over(Window.partitionBy("paper_id", "polarity").orderBy(F.desc("score"), "cited_title")))
 
 
@@ -143,9 +166,7 @@ def base_input_match(sentences: DataFrame, nodes: DataFrame, apart: bool = False
 
     With ``apart`` queries are nodes too, and none is its own answer.
     """
-    best = semantic_topk(sentences.select("query_id", "embedding"), nodes.select("node_id", "embedding"), 2 if apart else 1)
-    if apart:
-        best = best.where("node_id <> query_id")
+    best = semantic_topk(sentences.select("query_id", "embedding"), nodes.select("node_id", "embedding"), 1, apart=apart)
     j = sentences.select("paper_id", "relation_id", "query_id").join(best, "query_id")
     return j.groupBy("paper_id", "relation_id").agg(F.max_by("node_id", F.struct("score", -F.col("node_id"))).alias("node_id"), F.max("score").alias("score"))
 

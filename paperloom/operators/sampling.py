@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,24 +55,54 @@ def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
 def split(df: DataFrame, key: str, train: float, dev: float, seed: int = 0) -> DataFrame:
     """Adds ``split``: train, dev or test. Numbers below 1 are shares, others counts; the rest is test.
 
-    The cut keys are the n-th smallest draws, so no window over all rows is needed.
+    The cut keys are the n-th smallest draws; they are found by counting draws by their first digits (see ``_nth``).
     """
     n = df.count()
     a, b = (int(n * x) if x < 1 else int(x) for x in (train, dev))
     d = df.withColumn("__d", F.concat(draw(key, seed), F.col(key).cast("string")))
-    ends = [d.orderBy("__d").limit(m).agg(F.max("__d")).first()[0] if m else None for m in (a, min(n, a + b))]
-    le = lambda e: F.lit(False) if e is None else F.col("__d") <= e
-    return d.withColumn("split", F.when(le(ends[0]), "train").when(le(ends[1]), "dev").otherwise("test")).drop("__d")
+    ends = _nth(d.select(F.lit(0).alias("g"), "__d"), d.sparkSession.createDataFrame([(0, i, min(n, m)) for i, m in enumerate((a, a + b)) if m], "g int, i int, n long"))
+    at = {r["i"]: r["d"] for r in ends.collect()}  # two rows at most
+    le = lambda i: F.lit(False) if i not in at else F.col("__d") <= at[i]
+    return d.withColumn("split", F.when(le(0), "train").when(le(1), "dev").otherwise("test")).drop("__d")
+
+
+def _nth(draws: DataFrame, wanted: DataFrame, digits: int = 4) -> DataFrame:
+    """(g, i, d): for each row of ``wanted(g, i, n)`` the ``n``-th smallest (or last) of ``draws(g, __d)``.
+
+    Draws are counted by their first digits first; only those that share the right digits with the n-th one are sorted,
+    so no task sees a whole group.
+    """
+    part = F.left("__d", F.lit(digits))
+    counts = draws.groupBy("g", part.alias("part")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("g").orderBy("part"))
+    counts = counts.withColumn("upto", upto).withColumn("all", F.sum("c").over(Window.partitionBy("g")))
+    n = F.least("n", "all")
+    right = counts.join(wanted, "g").where((F.col("upto") >= n) & (F.col("upto") - F.col("c") < n)).select("g", "part", "i", (n - F.col("upto") + F.col("c")).alias("n"))
+    near = draws.withColumn("part", part).join(right, ["g", "part"])
+    place = F.row_number().over(Window.partitionBy("g", "i").orderBy("__d"))
+    return near.withColumn("place", place).where("place = n").select("g", "i", F.col("__d").alias("d"))
+
 
+def capped(df: DataFrame, group: str, key: str, most: Mapping | int, seed: int = 0) -> DataFrame:
+    """At most so many drawn rows of a group: a number, or one by group (few groups; those without a number get none).
 
-def capped(df: DataFrame, group: str, key: str, n: Column, seed: int = 0) -> DataFrame:
-    """At most ``n`` (a column of the group) drawn rows a group."""
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(draw(key, seed), key))).where(F.col("__r") <= n).drop("__r")
+    Null is a group. Rows of equal key are drawn together, so the last key drawn may bring more than one row.
+    """
+    d = df.withColumn("__d", F.concat(draw(key, seed), F.col(key).cast("string")))
+    own = F.struct(F.col(group)).alias("g")  # structs of nulls are equal
+    sizes = d.groupBy(group).agg(F.count("*").alias("all"))
+    if isinstance(most, Mapping):
+        sizes = sizes.withColumn("n", F.create_map(*[F.lit(x) for kv in most.items() for x in kv])[F.col(group)] if most else F.lit(0))
+    else:
+        sizes = sizes.withColumn("n", F.lit(most))
+    wanted = sizes.where("n > 0").select(own, F.lit(0).alias("i"), F.col("n").cast("long"))
+    ends = _nth(d.select(own, "__d"), wanted).select(F.col("g").alias("__g"), F.col("d").alias("__end"))
+    return d.withColumn("__g", own).join(ends, "__g").where(F.col("__d") <= F.col("__end")).select(df.columns)
 
 
 def balance(df: DataFrame, group: str, main, key: str, seed: int = 0) -> DataFrame:
     """No class larger than the main class."""
-    return capped(df, group, key, F.lit(df.where(F.col(group) == main).count()), seed)
+    return capped(df, group, key, df.where(F.col(group) == main).count(), seed)
 
 
 def downsample(df: DataFrame, group: str, ratios: str, key: str, count: int | None = None, seed: int = 0) -> DataFrame:
@@ -85,10 +117,7 @@ def downsample(df: DataFrame, group: str, ratios: str, key: str, count: int | No
         want[max(range(len(want)), key=lambda i: want[i])] += count - sum(want)
     if any(w > n for w, (_, n) in zip(want, sizes, strict=True)):
         raise ValueError("a class has too few rows")
-    limit = F.lit(0)
-    for w, (name, _) in zip(want, sizes, strict=True):
-        limit = F.when(F.col(group) == name, w).otherwise(limit)
-    return capped(df, group, key, limit, seed)
+    return capped(df, group, key, {name: w for w, (name, _) in zip(want, sizes, strict=True)}, seed)
 
 
 def sample_contexts(papers: DataFrame, contexts: str, n: int, key: str, seed: int = 0) -> DataFrame:
@@ -100,7 +129,7 @@ def sample_contexts(papers: DataFrame, contexts: str, n: int, key: str, seed: in
 
 def stratified(df: DataFrame, group: str, n: int, classes: int, key: str, seed: int = 0) -> DataFrame:
     """n / classes drawn rows of each class."""
-    return capped(df, group, key, F.lit(n // classes), seed)
+    return capped(df, group, key, n // classes, seed)
 
 
 def evidence_quota(evidence: DataFrame, key: str, order_by: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
 from paperloom.functions.ratings import clamp, novelty_probability, score_to_rating
+from paperloom.operators.encode import hashing_encoder
 from paperloom.operators.sampling import draw
 
 
@@ -38,11 +41,12 @@ def nova_grid(acus: DataFrame, matches: DataFrame, labels: DataFrame, grid: Data
     return s.groupBy(*keys).agg(F.round(F.avg((F.col("rating") == F.col("label")).cast("double")), 6).alias("accuracy")).orderBy(F.desc("accuracy"), *keys)
 
 
-def nova_index(papers: DataFrame, acus: str, n_papers: int, n_sentences: int, seed: int = 0) -> DataFrame:
-    """(paper_id, sentence_id, sentence): drawn sentences of drawn papers."""
+def nova_index(papers: DataFrame, acus: str, n_papers: int, n_sentences: int, seed: int = 0, encoder: Callable[[DataFrame, str], DataFrame] = hashing_encoder) -> DataFrame:
+    """(paper_id, sentence_id, sentence, embedding): drawn sentences of drawn papers, encoded."""
     p = papers.orderBy(draw("paper_id", seed), "paper_id").limit(n_papers)
     s = p.select("paper_id", F.posexplode(acus).alias("pos", "sentence")).withColumn("sentence_id", F.concat_ws("-", "paper_id", "pos"))
-    return s.orderBy(draw("sentence_id", seed), "sentence_id").limit(n_sentences).select("paper_id", "sentence_id", "sentence")
+    drawn = s.orderBy(draw("sentence_id", seed), "sentence_id").limit(n_sentences).select("paper_id", "sentence_id", "sentence")
+    return encoder(drawn, "sentence")
 
 
 def ensemble(evals: DataFrame, key: str = "paper_id") -> DataFrame:

@@ -12,14 +12,14 @@ from paperloom.plans.texts import SQL_TITLE, TITLE
 
 C = F.col
 joined = lambda c: F.array_join(c, "|")
-add("d1_group_lists", lambda t: ag.group_lists(t.documents.withColumn("g", F.when(C("doc_id") % 9 > 0, C("source"))), "g", "lang", "doc_id").select("g", joined("items").alias("items")), "SELECT source AS g, string_agg(lang, '|' ORDER BY doc_id) AS items FROM documents WHERE doc_id % 9 > 0 GROUP BY source")
+add("d1_group_lists", lambda t: ag.group_lists(t.documents.withColumn("g", F.when(C("doc_id") % 9 > 0, F.floor(C("doc_id") / 20))), "g", "lang", "doc_id").select("g", joined("items").alias("items")), "SELECT doc_id // 20 AS g, string_agg(lang, '|' ORDER BY doc_id) AS items FROM documents WHERE doc_id % 9 > 0 GROUP BY 1")
 _refs = lambda t: t.orders.groupBy((C("o_custkey")).alias("paper_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderpriority", "o_orderstatus"))), lambda x: F.struct(x["o_orderpriority"].alias("title"), F.array(x["o_orderstatus"], F.lit("B")).alias("authors"), F.lit(2000).alias("year"))).alias("refs"))
 _mentions = lambda t: t.lineitem.select((C("l_suppkey")).alias("paper_id"), (C("l_linenumber") - 1).alias("ref_index"), F.concat(F.lit("  "), C("l_returnflag"), F.lit("-"), C("l_linestatus"), F.lit(" ")).alias("context"))
 add("d2_aggregate_mentions", lambda t: ag.aggregate_mentions(_refs(t), _mentions(t)).select("paper_id", "title", joined("authors").alias("authors"), "year", joined("contexts").alias("contexts")),
     "WITH r AS (SELECT o_custkey AS paper_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, o_orderpriority AS title, CASE WHEN o_orderstatus < 'B' THEN o_orderstatus || '|B' ELSE 'B|' || o_orderstatus END AS authors FROM orders) SELECT r.paper_id, title, authors, 2000 AS year, string_agg(DISTINCT l_returnflag || '-' || l_linestatus, '|' ORDER BY l_returnflag || '-' || l_linestatus) AS contexts FROM r JOIN lineitem l ON l.l_suppkey = r.paper_id AND l.l_linenumber - 1 = r.i GROUP BY ALL")
-_sections = lambda t: t.documents.groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: F.struct(F.when(x["doc_id"] % 5 == 4, F.lit("A Appendix")).otherwise(F.concat((x["doc_id"] % 5 + 1).cast("string"), F.lit(". Part "), x["doc_id"].cast("string"))).alias("heading"), x["text"].alias("text"))).alias("sections"))
-add("d3_merge_sections", lambda t: ag.merge_sections(_sections(t), "source", "sections"),
-    "WITH d AS (SELECT source, doc_id, (doc_id % 5 + 1)::INTEGER AS n, (doc_id % 5 + 1) || '. Part ' || doc_id AS h, text FROM documents WHERE doc_id % 5 <> 4) SELECT source, n, arg_min(h, doc_id) AS heading, string_agg(h || chr(10) || text || chr(10), chr(10) ORDER BY doc_id) AS text FROM d GROUP BY source, n")
+_sections = lambda t: t.documents.groupBy(F.floor(C("doc_id") / 20).alias("paper_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: F.struct(F.when(x["doc_id"] % 5 == 4, F.lit("A Appendix")).otherwise(F.concat((x["doc_id"] % 5 + 1).cast("string"), F.lit(". Part "), x["doc_id"].cast("string"))).alias("heading"), x["text"].alias("text"))).alias("sections"))
+add("d3_merge_sections", lambda t: ag.merge_sections(_sections(t), "paper_id", "sections"),
+    "WITH d AS (SELECT doc_id // 20 AS paper_id, doc_id, (doc_id % 5 + 1)::INTEGER AS n, (doc_id % 5 + 1) || '. Part ' || doc_id AS h, text FROM documents WHERE doc_id % 5 <> 4) SELECT paper_id, n, arg_min(h, doc_id) AS heading, string_agg(h || chr(10) || text || chr(10), chr(10) ORDER BY doc_id) AS text FROM d GROUP BY paper_id, n")
 REVIEWS = lambda t: t.lineitem.select((C("l_orderkey") % 4000).alias("paper_id"), F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice").alias("h"), (C("l_linenumber").cast("long") * 1_000_000_000 + C("l_orderkey") * 10_000 + C("l_partkey")).alias("ord"), (C("l_quantity") % 5 + 1).cast("int").alias("rating"), F.when(C("l_orderkey") % 3 > 0, (C("l_suppkey") % 5).cast("int")).alias("confidence"), F.concat("l_returnflag", C("l_partkey").cast("string")).alias("rationale"), F.when(C("l_tax") > 0.04, (C("l_partkey") % 9 + 1).cast("int")).alias("recommendation"))
 REVIEWS_SQL = "(SELECT l_orderkey % 4000 AS paper_id, l_linenumber::BIGINT * 1000000000 + l_orderkey * 10000 + l_partkey AS ord, (l_quantity % 5 + 1)::INTEGER AS rating, CASE WHEN l_orderkey % 3 > 0 THEN (l_suppkey % 5)::INTEGER END AS confidence, l_returnflag || l_partkey AS rationale, CASE WHEN l_tax > 0.04 THEN (l_partkey % 9 + 1)::INTEGER END AS recommendation FROM lineitem)"
 _main_sql = f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY rating, ord) - 1 AS i, count(*) OVER (PARTITION BY paper_id) AS n FROM {REVIEWS_SQL} x), m AS (SELECT *, max(CASE WHEN i = n // 2 THEN rating END) OVER (PARTITION BY paper_id) AS med FROM r), k AS (SELECT *, max(confidence) OVER (PARTITION BY paper_id) AS sure FROM m WHERE rating = med), f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY confidence DESC NULLS LAST, CASE WHEN sure IS NULL THEN rationale END NULLS FIRST, ord) = 1)"
@@ -29,8 +29,8 @@ add("d5_dedup_earliest", lambda t: ag.dedup_earliest(t.documents.select("doc_id"
 add("d6_dedup_first", lambda t: ag.first_by(t.orders.select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_orderkey"), "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1")
 add("d7_unique_references", lambda t: ag.unique_references(t.orders.groupBy(C("o_custkey").alias("paper_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey"))), lambda x: F.struct(F.concat(F.lit(" REF  "), (x["o_orderkey"] % 700).cast("string")).alias("title"), x["o_orderkey"].alias("k"))).alias("refs")), "refs", "paper_id").select("clean", "paper_id", "k"), "SELECT 'ref ' || (o_orderkey % 700) AS clean, o_custkey AS paper_id, o_orderkey AS k FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderkey % 700 ORDER BY o_custkey, o_orderkey) = 1")
 _areas = lambda t: t.documents.select((C("n_chars") % 300).alias("paper_id"), TITLE().alias("title"), F.when(C("doc_id") % 5 > 0, C("text")).otherwise("").alias("abstract"), C("source").alias("area"), C("doc_id").alias("ord"))
-add("d8_merge_areas", lambda t: ag.merge_areas(_areas(t), "ord").select("paper_id", "title", joined("areas").alias("areas")), f"WITH d AS (SELECT *, {SQL_TITLE} AS title FROM documents WHERE doc_id % 5 > 0 AND text <> '') SELECT n_chars % 300 AS paper_id, arg_min(title, doc_id) AS title, string_agg(DISTINCT source, '|' ORDER BY source) AS areas FROM d GROUP BY 1")
-add("d9_merge_recommendations", lambda t: ag.merge_recommendations(t.documents.select((C("n_chars") % 300).alias("paper_id"), TITLE().alias("title"), C("source").alias("source_peer"), F.when(C("doc_id") % 3 > 0, C("lang")).alias("source_s2"), "doc_id"), "doc_id").select("paper_id", "title", joined("sources_peer").alias("sources_peer"), joined("sources_s2").alias("sources_s2")), f"WITH d AS (SELECT *, {SQL_TITLE} AS title, CASE WHEN doc_id % 3 > 0 THEN lang END AS s2 FROM documents) SELECT n_chars % 300 AS paper_id, arg_min(title, doc_id) AS title, string_agg(DISTINCT source, '|' ORDER BY source) AS sources_peer, coalesce(string_agg(DISTINCT s2, '|' ORDER BY s2), '') AS sources_s2 FROM d GROUP BY 1")
+add("d8_merge_areas", lambda t: ag.merge_areas(_areas(t), "ord").select("paper_id", "title", F.length("abstract").alias("n_abstract"), C("ord").alias("first_id"), joined("areas").alias("areas")), f"WITH d AS (SELECT *, {SQL_TITLE} AS title FROM documents WHERE doc_id % 5 > 0 AND text <> '') SELECT n_chars % 300 AS paper_id, arg_min(title, doc_id) AS title, arg_min(length(text), doc_id) AS n_abstract, min(doc_id) AS first_id, string_agg(DISTINCT source, '|' ORDER BY source) AS areas FROM d GROUP BY 1")
+add("d9_merge_recommendations", lambda t: ag.merge_recommendations(t.documents.select((C("n_chars") % 300).alias("paper_id"), TITLE().alias("title"), C("source").alias("source_peer"), F.when(C("doc_id") % 3 > 0, C("lang")).alias("source_s2"), "doc_id"), "doc_id").select("paper_id", "title", C("doc_id").alias("first_id"), joined("sources_peer").alias("sources_peer"), joined("sources_s2").alias("sources_s2")), f"WITH d AS (SELECT *, {SQL_TITLE} AS title, CASE WHEN doc_id % 3 > 0 THEN lang END AS s2 FROM documents) SELECT n_chars % 300 AS paper_id, arg_min(title, doc_id) AS title, min(doc_id) AS first_id, string_agg(DISTINCT source, '|' ORDER BY source) AS sources_peer, coalesce(string_agg(DISTINCT s2, '|' ORDER BY s2), '') AS sources_s2 FROM d GROUP BY 1")
 _ctx = lambda t: t.lineitem.select((C("l_orderkey") % 500).alias("paper_id"), (C("l_partkey") % 10).alias("ref_id"), F.when(C("l_returnflag") == "R", "negative").when(C("l_returnflag") == "A", "positive").alias("gold"), F.when(C("l_linestatus") == "F", "negative").otherwise("positive").alias("prediction"))
 add("d10_reference_polarity", lambda t: ag.reference_polarity(_ctx(t), ["paper_id", "ref_id"], "prediction"), "SELECT l_orderkey % 500 AS paper_id, l_partkey % 10 AS ref_id, CASE WHEN 2 * count(*) FILTER (l_linestatus = 'F') > count(*) THEN 'negative' ELSE 'positive' END AS polarity FROM lineitem GROUP BY 1, 2")
 _cs = {"gold_positive": "l_returnflag = 'A'", "gold_negative": "l_returnflag = 'R'", "prediction_positive": "l_linestatus <> 'F'", "prediction_negative": "l_linestatus = 'F'"}

@@ -51,4 +51,9 @@ add("f24_contexts_by_reference", lambda t: jn.contexts_by_reference(t.part.selec
 add("i1_concat", lambda t: jn.concat_all([t.customer.select(C("c_name").alias("name"), C("c_acctbal").alias("bal")), t.supplier.select(C("s_name").alias("name")), t.nation.select(C("n_name").alias("name"))]), "SELECT c_name AS name, c_acctbal AS bal FROM customer UNION ALL SELECT s_name, NULL FROM supplier UNION ALL SELECT n_name, NULL FROM nation")
 add("i2_intersection", lambda t: t.orders.select("o_custkey").intersect(t.customer.where("c_acctbal > 5000").select("c_custkey")), "SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 5000")
 add("i3_difference", lambda t: t.customer.select("c_custkey").subtract(t.orders.select("o_custkey")), "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
-add("i4_title_union", lambda t: t.documents.select(tx.clean_title_alpha(TITLE()).alias("title")).union(t.benchmark.select(tx.clean_title_alpha(F.left("text", F.lit(100))))).distinct(), rf"SELECT DISTINCT regexp_replace(regexp_replace(replace(lower(regexp_replace(x, '[^\p{{L}}\s]', '', 'g')), 'ß', 'ss'), '\s+', ' ', 'g'), '^ | $', '', 'g') AS title FROM (SELECT {SQL_TITLE} AS x FROM documents UNION ALL SELECT left(text, 100) FROM benchmark)")
+_alpha_sql = rf"regexp_replace(regexp_replace(replace(lower(regexp_replace(x, '[^\p{{L}}\s]', '', 'g')), 'ß', 'ss'), '\s+', ' ', 'g'), '^ | $', '', 'g')"
+add(
+    "i4_title_union",
+    lambda t: t.documents.select(tx.clean_title_alpha(C("text")).alias("title")).union(t.benchmark.select(tx.clean_title_alpha(C("text")))).distinct(),
+    f"SELECT DISTINCT {_alpha_sql} AS title FROM (SELECT text AS x FROM documents UNION ALL SELECT text FROM benchmark)",
+)

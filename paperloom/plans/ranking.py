@@ -13,37 +13,41 @@ from paperloom.plans.base import add
 from paperloom.plans.texts import SQL_TITLE, TITLE
 
 C = F.col
-# roles: paper = vec_id div 2; even ids are its background, odd ids its target; papers below 10 ask, the others answer
-NODES = lambda t: t.embeddings.where("vec_id >= 20").select(C("vec_id").alias("node_id"), F.when(C("vec_id") % 2 == 0, "background").otherwise("target").alias("kind"), "embedding")
-ASK = lambda t: t.embeddings.where("vec_id < 20").select(C("vec_id").alias("query_id"), "embedding")
+# roles: paper = vec_id div 2; even ids are its background, odd ids its target. Ids divisible by 100 ask (vectors, or
+# papers with both of their vectors), and every vector but the asking one answers.
+NODES = lambda t: t.embeddings.select(C("vec_id").alias("node_id"), F.when(C("vec_id") % 2 == 0, "background").otherwise("target").alias("kind"), "embedding")
+ASK = lambda t: t.embeddings.where("vec_id % 100 = 0").select(C("vec_id").alias("query_id"), "embedding")
+ASK_PAPERS = lambda t: t.embeddings.where("vec_id div 2 % 100 = 0").select(C("vec_id").alias("query_id"), "embedding")
 COS = "greatest(0, least(1, list_dot_product(q.v, n.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(n.v, n.v)) + 1e-8)))"
-E = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, n.vec_id AS node_id, CASE WHEN n.vec_id % 2 = 0 THEN 'background' ELSE 'target' END AS kind, " + COS + " AS score FROM e q, e n WHERE q.vec_id < 20 AND n.vec_id >= 20)"
-add("f11_semantic_topk", lambda t: rl.semantic_topk(ASK(t), NODES(t), 5, ["kind"]).select("query_id", "kind", "node_id", F.round("score", 4).alias("score"), "r"),
+E = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, n.vec_id AS node_id, CASE WHEN n.vec_id % 2 = 0 THEN 'background' ELSE 'target' END AS kind, " + COS + " AS score FROM e q, e n WHERE {who} % 100 = 0 AND n.vec_id <> q.vec_id)"
+E, E_PAPERS = E.replace("{who}", "q.vec_id"), E.replace("{who}", "(q.vec_id // 2)")
+add("f11_semantic_topk", lambda t: rl.semantic_topk(ASK(t), NODES(t), 5, ["kind"], apart=True).select("query_id", "kind", "node_id", F.round("score", 4).alias("score"), "r"),
     f"WITH {E} SELECT query_id, kind, node_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, node_id)::INTEGER AS r FROM s QUALIFY r <= 5")
-add("f12_vector_search", lambda t: rl.vector_search(ASK(t), NODES(t), 5, 0.3).select("query_id", "node_id", F.round("score", 4).alias("score")),
+add("f12_vector_search", lambda t: rl.vector_search(ASK(t), NODES(t), 5, 0.3, apart=True).select("query_id", "node_id", F.round("score", 4).alias("score")),
     f"WITH {E} SELECT query_id, node_id, round(score, 4) AS score FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 5) WHERE score >= 0.3")
-add("f12_find_best", lambda t: rl.find_best(ASK(t), NODES(t), 0.35).select("query_id", "node_id", F.round("score", 4).alias("score")),
+add("f12_find_best", lambda t: rl.find_best(ASK(t), NODES(t), 0.35, apart=True).select("query_id", "node_id", F.round("score", 4).alias("score")),
     f"WITH {E}, b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) = 1) SELECT query_id, CASE WHEN score >= 0.35 THEN node_id END AS node_id, CASE WHEN score >= 0.35 THEN round(score, 4) END AS score FROM b")
 _name = lambda c: F.concat(F.lit("title "), F.translate(c.cast("string"), "0123456789", "abcdefghij"))
-_cited = lambda t: t.lineitem.select((C("l_orderkey") % 250).alias("paper_id"), _name(C("l_partkey") % 250).alias("cited_title"), F.when(C("l_returnflag") == "R", "negative").otherwise("positive").alias("polarity")).distinct()
-_scores = lambda t: rl.citation_scores(t.embeddings.select(C("vec_id").alias("paper_id"), _name(C("vec_id")).alias("title")).where("paper_id < 250"), _cited(t), t.embeddings.where("vec_id < 250").select(_name(C("vec_id")).alias("title"), "embedding"))
-_cite_sql = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 250), x AS (SELECT DISTINCT l_orderkey % 250 AS paper_id, l_partkey % 250 AS cited, CASE WHEN l_returnflag = 'R' THEN 'negative' ELSE 'positive' END AS polarity FROM lineitem), c AS (SELECT paper_id, polarity, 'title ' || translate(cited::VARCHAR, '0123456789', 'abcdefghij') AS cited_title, " + COS + " AS score FROM x JOIN e q ON q.vec_id = paper_id JOIN e n ON n.vec_id = cited)"
+_cited = lambda t: t.lineitem.select((C("l_orderkey") % 2003).alias("paper_id"), _name(C("l_partkey") % 2003).alias("cited_title"), F.when(C("l_returnflag") == "R", "negative").otherwise("positive").alias("polarity")).distinct()
+_scores = lambda t: rl.citation_scores(t.embeddings.select(C("vec_id").alias("paper_id"), _name(C("vec_id")).alias("title")), _cited(t), t.embeddings.select(_name(C("vec_id")).alias("title"), "embedding"))
+_cite_sql = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT DISTINCT l_orderkey % 2003 AS paper_id, l_partkey % 2003 AS cited, CASE WHEN l_returnflag = 'R' THEN 'negative' ELSE 'positive' END AS polarity FROM lineitem), c AS (SELECT paper_id, polarity, 'title ' || translate(cited::VARCHAR, '0123456789', 'abcdefghij') AS cited_title, " + COS + " AS score FROM x JOIN e q ON q.vec_id = paper_id JOIN e n ON n.vec_id = cited)"
 add("f13_citation_scores", lambda t: _scores(t).where("r <= 5").select("paper_id", "polarity", "cited_title", F.round("score", 4).alias("score")), f"WITH {_cite_sql} SELECT paper_id, polarity, cited_title, round(score, 4) AS score FROM c QUALIFY row_number() OVER (PARTITION BY paper_id, polarity ORDER BY score DESC, cited_title) <= 5")
 add("f25_top_reference_titles", lambda t: rl.top_reference_titles(_scores(t), 1), f"WITH {_cite_sql} SELECT DISTINCT cited_title AS title FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY paper_id, polarity ORDER BY score DESC, cited_title) = 1)")
-add("f14_base_input_match", lambda t: rl.base_input_match(t.embeddings.where("vec_id % 100 = 0").select(F.floor(C("vec_id") / 200).alias("paper_id"), F.floor(C("vec_id") / 200).alias("relation_id"), C("vec_id").alias("query_id"), "embedding"), t.embeddings.select(C("vec_id").alias("node_id"), "embedding"), apart=True).select("paper_id", "relation_id", "node_id", F.round("score", 4).alias("score")))
+add("f14_base_input_match", lambda t: rl.base_input_match(t.embeddings.where("vec_id % 100 = 0").select(F.floor(C("vec_id") / 200).alias("paper_id"), F.floor(C("vec_id") / 200).alias("relation_id"), C("vec_id").alias("query_id"), "embedding"), t.embeddings.select(C("vec_id").alias("node_id"), "embedding"), apart=True).select("paper_id", "relation_id", "node_id", F.round("score", 4).alias("score")),
+    f"WITH {E} SELECT query_id // 200 AS paper_id, query_id // 200 AS relation_id, node_id, round(score, 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id // 200 ORDER BY score DESC, node_id) = 1")
 add("f15_kg_neighbours", lambda t: rl.kg_neighbours(t.part.select((C("p_partkey") % 20).alias("paper_id"), C("p_name").alias("term")).distinct(), t.part.select(F.upper("p_name").alias("head"), C("p_type").alias("tail"))).select("paper_id", "term", F.array_join("tails", ",").alias("tails")),
     "SELECT DISTINCT p_partkey % 20 AS paper_id, p_name AS term, tails FROM part JOIN (SELECT p_name AS h, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS tails FROM part GROUP BY 1) ON h = p_name")
 
 # H
 add("h1_topk_per_group", lambda t: rl.topk_per_group(t.orders.select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_totalprice", 3, "o_orderkey"), "SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INTEGER AS r FROM orders QUALIFY r <= 3")
-SEM = lambda t: rl.semantic_topk(ASK(t), NODES(t), 60, ["kind"]).select(F.floor(C("query_id") / 2).alias("q"), "query_id", "kind", F.floor(C("node_id") / 2).alias("paper_id"), "score")
+SEM = lambda t: rl.semantic_topk(ASK_PAPERS(t), NODES(t), 60, ["kind"], apart=True).select(F.floor(C("query_id") / 2).alias("q"), "query_id", "kind", F.floor(C("node_id") / 2).alias("paper_id"), "score")
 # a query's background text asks the background nodes, its target text the target nodes
 SIDES = lambda t: SEM(t).where((C("query_id") % 2 == 0) == (C("kind") == "background")).select(C("q").alias("query_id"), "kind", "paper_id", "score")
-SIDES_SQL = f"{E}, sem AS (SELECT query_id // 2 AS query_id, kind, node_id // 2 AS paper_id, score FROM s WHERE (query_id % 2 = 0) = (kind = 'background'))"
+SIDES_SQL = f"{E_PAPERS}, sem AS (SELECT query_id // 2 AS query_id, kind, node_id // 2 AS paper_id, score FROM s WHERE (query_id % 2 = 0) = (kind = 'background'))"
 TWO = "two AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, paper_id) AS r0 FROM sem QUALIFY r0 <= 2 * {k}), both_ AS (SELECT query_id, paper_id FROM two GROUP BY ALL HAVING count(DISTINCT kind) > 1), side AS (SELECT query_id, kind, paper_id, score, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, paper_id) AS r FROM two ANTI JOIN both_ USING (query_id, paper_id) QUALIFY r <= {k})"
 add("h2_two_sided_topk", lambda t: rl.two_sided_topk(SIDES(t), 20).select("query_id", "kind", "paper_id", F.round("score", 4).alias("score"), "r"), f"WITH {SIDES_SQL}, {TWO.format(k=20)} SELECT query_id, kind, paper_id, round(score, 4) AS score, r::INTEGER AS r FROM side")
-CITES = lambda t: t.lineitem.select((C("l_orderkey") % 250).alias("query_id"), (C("l_partkey") % 250).alias("paper_id"), F.when(C("l_returnflag") == "R", "negative").otherwise("positive").alias("polarity"), F.round(1 - C("l_discount"), 6).alias("score")).where("query_id < 10").groupBy("query_id", "paper_id").agg(F.max("score").alias("score"), F.min("polarity").alias("polarity"))
-CITES_SQL = "cit AS (SELECT l_orderkey % 250 AS query_id, l_partkey % 250 AS paper_id, max(round(1 - l_discount, 6)) AS score, min(CASE WHEN l_returnflag = 'R' THEN 'negative' ELSE 'positive' END) AS polarity FROM lineitem WHERE l_orderkey % 250 < 10 GROUP BY 1, 2)"
+CITES = lambda t: t.lineitem.select((C("l_orderkey") % 250 * 100).alias("query_id"), (C("l_partkey") % 250).alias("paper_id"), F.when(C("l_returnflag") == "R", "negative").otherwise("positive").alias("polarity"), F.round(1 - C("l_discount"), 6).alias("score")).groupBy("query_id", "paper_id").agg(F.max("score").alias("score"), F.min("polarity").alias("polarity"))
+CITES_SQL = "cit AS (SELECT l_orderkey % 250 * 100 AS query_id, l_partkey % 250 AS paper_id, max(round(1 - l_discount, 6)) AS score, min(CASE WHEN l_returnflag = 'R' THEN 'negative' ELSE 'positive' END) AS polarity FROM lineitem GROUP BY 1, 2)"
 _union = "u AS (SELECT query_id, paper_id, 'citation' AS source, polarity, score, r FROM c UNION ALL SELECT query_id, paper_id, 'semantic', CASE WHEN kind = 'background' THEN 'positive' ELSE 'negative' END, score, r FROM side) SELECT query_id, paper_id, source, polarity, round(score, 4) AS score FROM u QUALIFY row_number() OVER (PARTITION BY query_id, paper_id ORDER BY CASE WHEN source = 'citation' AND polarity = 'positive' THEN 0 WHEN source = 'citation' THEN 1 WHEN polarity = 'negative' THEN 2 ELSE 3 END, r) = 1"
 _c_sql = "c AS (SELECT *, row_number() OVER (PARTITION BY query_id, polarity ORDER BY score DESC, paper_id) AS r FROM cit QUALIFY r <= {k})"
 _shown = lambda d: d.select("query_id", "paper_id", "source", "polarity", F.round("score", 4).alias("score"))
@@ -52,10 +56,10 @@ add("h4_related_papers_threshold", lambda t: _shown(rl.related_papers(CITES(t),
 
 
 def SEM_ALL(t):
-    """All scores of the ten asking papers: for the threshold mode, where no top-k cuts the lists."""
-    q = ASK(t).select(C("query_id"), C("embedding").alias("a"))
-    s = NODES(t).join(F.broadcast(q), (C("query_id") % 2 == 0) == (C("kind") == "background"))  # twenty query rows
-    return s.select(F.floor(C("query_id") / 2).alias("query_id"), "kind", F.floor(C("node_id") / 2).alias("paper_id"), tx.cosine(C("a"), C("embedding")).alias("score"))
+    """All scores of the asking papers that reach the threshold: for the threshold mode, where no top-k cuts the lists."""
+    near = rl.semantic_above(ASK_PAPERS(t), NODES(t), 0.25, ["kind"]).where("node_id <> query_id")
+    near = near.where((C("query_id") % 2 == 0) == (C("kind") == "background"))
+    return near.select(F.floor(C("query_id") / 2).alias("query_id"), "kind", F.floor(C("node_id") / 2).alias("paper_id"), "score")
 
 
 _rel = lambda t: t.lineitem.select((C("l_orderkey") % 50).alias("query_id"), (C("l_partkey") % 50).alias("paper_id"), F.when(C("l_linestatus") == "F", "citation").otherwise("semantic").alias("source"), F.when(C("l_returnflag") == "R", "negative").otherwise("positive").alias("polarity"), "l_extendedprice").groupBy("query_id", "paper_id", "source", "polarity").agg(F.max("l_extendedprice").alias("score")).withColumn("r", F.row_number().over(Window.partitionBy("query_id", "source", "polarity").orderBy(F.desc("score"), "paper_id")))
@@ -63,9 +67,9 @@ add("h3_dedup_by_priority", lambda t: rl.dedup_by_priority(_rel(t)).select("quer
 _terms = lambda t, m, n: t.lineitem.where(C("l_linenumber") == n).select((C("l_orderkey") % 500).alias("paper_id"), F.concat(F.lit("t"), (C("l_partkey") % m).cast("string")).alias("term"))
 add("h5_scimon_terms", lambda t: rl.scimon_terms(_terms(t, 90, 1).withColumnRenamed("term", "title"), _terms(t, 50, 2), _terms(t, 70, 3)).select("paper_id", *[F.array_join(c, ",").alias(c) for c in ("citation_titles", "kg_terms", "semantic_terms")]),
     "WITH x AS (SELECT DISTINCT l_orderkey % 500 AS p, 't' || (l_partkey % 90) AS t FROM lineitem WHERE l_linenumber = 1), k AS (SELECT DISTINCT l_orderkey % 500 AS p, 't' || (l_partkey % 50) AS t FROM lineitem WHERE l_linenumber = 2), s AS (SELECT DISTINCT l_orderkey % 500 AS p, 't' || (l_partkey % 70) AS t FROM lineitem WHERE l_linenumber = 3 EXCEPT SELECT p, t FROM k), ids AS (SELECT p FROM x UNION SELECT p FROM k UNION SELECT p FROM s) SELECT p AS paper_id, coalesce((SELECT string_agg(t, ',' ORDER BY t) FROM x WHERE x.p = ids.p), '') AS citation_titles, coalesce((SELECT string_agg(t, ',' ORDER BY t) FROM k WHERE k.p = ids.p), '') AS kg_terms, coalesce((SELECT string_agg(t, ',' ORDER BY t) FROM s WHERE s.p = ids.p), '') AS semantic_terms FROM ids")
-_hit = lambda t, m: t.documents.where(C("doc_id") % m == 0).select(C("doc_id").alias("id"), TITLE().alias("title"), F.when(C("doc_id") % 7 > 0, C("text")).otherwise("").alias("abstract"), C("n_chars").alias("ord"))
-add("h6_combine_results", lambda t: sa.combine_results(_hit(t, 3), _hit(t, 2), 50, "That it").select("id", "title"),
-    rf"WITH r AS (SELECT doc_id AS id, {SQL_TITLE} AS title, n_chars AS ord, 0 AS p FROM documents WHERE doc_id % 3 = 0 AND doc_id % 7 > 0 AND text <> '' UNION ALL SELECT doc_id, {SQL_TITLE}, n_chars, 1 FROM documents WHERE doc_id % 2 = 0 AND doc_id % 7 > 0 AND text <> ''), o AS (SELECT * FROM r WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY p, ord) = 1), l AS (SELECT * FROM o ORDER BY p, ord, id LIMIT 50) SELECT id, title FROM l WHERE regexp_replace(lower(title), '\s+', ' ', 'g') <> 'that it'")
+_hit = lambda t, where: t.documents.where(where).select(C("doc_id").alias("id"), TITLE().alias("title"), F.when(C("doc_id") % 7 > 0, C("text")).otherwise("").alias("abstract"), C("n_chars").alias("ord"))
+add("h6_combine_results", lambda t: sa.combine_results(_hit(t, "lang = 'en'"), _hit(t, "true"), 50, "That it").select("id", "title"),
+    rf"WITH r AS (SELECT doc_id AS id, {SQL_TITLE} AS title, n_chars AS ord, 0 AS p FROM documents WHERE lang = 'en' AND doc_id % 7 > 0 AND text <> '' UNION ALL SELECT doc_id, {SQL_TITLE}, n_chars, 1 FROM documents WHERE doc_id % 7 > 0 AND text <> ''), o AS (SELECT * FROM r WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY p, ord) = 1), l AS (SELECT * FROM o ORDER BY p, ord, id LIMIT 50) SELECT id, title FROM l WHERE regexp_replace(lower(title), '\s+', ' ', 'g') <> 'that it'")
 _cnt = lambda c, w: rf"len(list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda x: x IN ({w})))"
 add("h7_fulltext_search", lambda t: sa.fulltext_search(t.documents.select(C("doc_id").alias("id"), TITLE().alias("title"), C("text").alias("abstract"), C("n_chars").alias("citation_count")), "The of", 100),
     f"WITH d AS (SELECT doc_id AS id, n_chars AS citation_count, {_cnt(SQL_TITLE, chr(39) + 'the' + chr(39))} + {_cnt(SQL_TITLE, chr(39) + 'of' + chr(39))} AS t, {_cnt('text', chr(39) + 'the' + chr(39))} AS a1, {_cnt('text', chr(39) + 'of' + chr(39))} AS a2, {_cnt(SQL_TITLE, chr(39) + 'the' + chr(39))} AS t1, {_cnt(SQL_TITLE, chr(39) + 'of' + chr(39))} AS t2 FROM documents) SELECT id, citation_count, round(t + (a1 + a2) * 0.4, 6)::DOUBLE AS score FROM d WHERE a1 + t1 > 0 AND a2 + t2 > 0 ORDER BY score DESC, citation_count DESC, id LIMIT 100")

@@ -39,6 +39,28 @@ def _round_trip(t, kind: str, table: str, columns: list[str]):
 
 _orders = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 _orders_sql = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
+
+
+def _arrays(t):
+    """Files that hold one JSON array of a bounded number of orders each, read back as records."""
+    path = workspace.new_path(t.spark, "arrays")
+    rows = t.orders.select(F.floor(C("o_orderkey") / 20_000).alias("file"), F.to_json(F.struct(*_orders)).alias("row"))
+    files = rows.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("row"), ","), F.lit("]")).alias("value"))
+    files.write.partitionBy("file").text(path)
+    df = t.orders.select(*_orders)
+    return records.read_records(t.spark, path, ", ".join(f"{n} {k}" for n, k in df.dtypes)).drop("file")
+
+
+def _tree(t):
+    """A tree of conference / split / kind with files of one record each, scanned as a whole."""
+    path = workspace.new_path(t.spark, "tree")
+    rows = t.nation.select(F.concat(F.lit("n"), C("n_nationkey").cast("string")).alias("file"), F.to_json(F.struct("n_nationkey", "n_name")).alias("value"), F.concat(F.lit("Conf "), C("n_regionkey").cast("string")).alias("conference"))
+    rows.withColumn("split", F.lit("train")).withColumn("kind", F.lit("reviews")).write.partitionBy("conference", "split", "kind", "file").text(path)
+    return records.scan_tree(t.spark, path, "kind=reviews/file=[^/]+", "n_nationkey long, n_name string", "*.txt").select("n_nationkey", "n_name", "conference")
+
+
+add("a1_read_records", _arrays, _orders_sql)
+add("a6_scan_tree", _tree, "SELECT n_nationkey, n_name, 'conference=Conf ' || n_regionkey AS conference FROM nation")
 add("a2_read_jsonl", lambda t: _round_trip(t, "jsonl", "orders", _orders), _orders_sql)
 add("a3_append_records", lambda t: _round_trip(t, "append", "orders", _orders), _orders_sql)
 add("a4_write_records", lambda t: _round_trip(t, "records", "orders", _orders), _orders_sql)

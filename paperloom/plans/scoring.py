@@ -21,7 +21,7 @@ add("j1_nova_score", lambda t: sc.nova_score(_acus(t), _match(t)), f"WITH {_acu_
 _grid = [(0.5, -0.5, 1.0, 0.3), (0.6, -0.5, 1.0, 0.3), (0.7, -1.0, 0.5, 0.2)]
 _grid_sql = " UNION ALL ".join(f"SELECT paper_id, {t} AS t, {a} AS alpha, {b} AS beta, {g} AS gamma, {_score(t, a, b, g)} AS score FROM w GROUP BY paper_id" for t, a, b, g in _grid)
 add("j2_nova_grid", lambda t: sc.nova_grid(_acus(t), _match(t), t.documents.select(C("doc_id").alias("paper_id"), (C("n_chars") % 5 + 1).alias("label")), t.spark.createDataFrame(_grid, "t double, alpha double, beta double, gamma double")), f"WITH {_acu_sql}, s AS ({_grid_sql}) SELECT t::DOUBLE AS t, alpha::DOUBLE AS alpha, beta::DOUBLE AS beta, gamma::DOUBLE AS gamma, round(avg(({_rating} = n_chars % 5 + 1)::INT), 6) AS accuracy FROM s JOIN documents ON doc_id = paper_id GROUP BY ALL")
-add("j3_nova_index", lambda t: sc.nova_index(t.documents.select(C("doc_id").alias("paper_id"), F.split("text", "\n").alias("acus")), "acus", 100, 300), "WITH p AS (SELECT * FROM documents ORDER BY md5('0:' || doc_id), doc_id LIMIT 100), s AS (SELECT doc_id AS paper_id, doc_id || '-' || unnest(range(0, len(string_split(text, chr(10))))) AS sentence_id, unnest(string_split(text, chr(10))) AS sentence FROM p) SELECT paper_id, sentence_id, sentence FROM s ORDER BY md5('0:' || sentence_id), sentence_id LIMIT 300")
+add("j3_nova_index", lambda t: sc.nova_index(t.documents.select(C("doc_id").alias("paper_id"), F.split("text", "\n").alias("acus")), "acus", 100, 300).select("paper_id", "sentence_id", "sentence", F.exists("embedding", lambda x: x != 0).alias("encoded")), "WITH p AS (SELECT * FROM documents ORDER BY md5('0:' || doc_id), doc_id LIMIT 100), s AS (SELECT doc_id AS paper_id, doc_id || '-' || unnest(range(0, len(string_split(text, chr(10))))) AS sentence_id, unnest(string_split(text, chr(10))) AS sentence FROM p) SELECT paper_id, sentence_id, sentence, regexp_matches(sentence, '[^\\s]') AS encoded FROM s ORDER BY md5('0:' || sentence_id), sentence_id LIMIT 300")
 _evals = lambda t: t.lineitem.select((C("l_orderkey") % 5000).alias("paper_id"), (C("l_quantity") % 5 + 1).cast("int").alias("label"))
 add("j4_ensemble", lambda t: sc.ensemble(_evals(t)), "WITH e AS (SELECT l_orderkey % 5000 AS paper_id, (l_quantity % 5 + 1)::INTEGER AS label FROM lineitem) SELECT paper_id, round_even(median(label), 0)::INTEGER AS label, round(greatest(0, 1 - coalesce(stddev_samp(label), 0) / 2), 6) AS confidence, count(*) AS n FROM e GROUP BY paper_id")
 add("j5_best_rationale", lambda t: sc.best_rationale(t.conversations, "conv_id", "text", "turn").select("conv_id", "turn", F.round("score", 6).alias("score")))
@@ -56,9 +56,9 @@ add("j14_levels", lambda t: gr.topological_levels(hierarchy(t)[1]).groupBy("leve
 add("j14_has_cycle", lambda t: gr.has_cycle(hierarchy(t)[1]), f"WITH {REL_SQL}, c AS (SELECT DISTINCT o_custkey AS p FROM orders WHERE o_orderkey % 97 = 0 AND o_orderkey % 11 > 0) SELECT DISTINCT paper_id, paper_id IN (SELECT p FROM c) AS has_cycle FROM rel")
 add("j15_graph_to_text", lambda t: gr.graph_to_text(*hierarchy(t)))
 add("j16_fluent_text", lambda t: gr.fluent_text(*hierarchy(t)))
-_ctx = lambda t: t.documents.select("lang", C("doc_id").cast("string").alias("related_id"), F.col("source").alias("title"), C("text").alias("summary"), C("n_chars").cast("double").alias("score"), F.when(C("doc_id") % 2 == 0, "citation").otherwise("semantic").alias("source"), F.when(C("doc_id") % 3 == 0, "positive").otherwise("negative").alias("polarity"))
+_ctx = lambda t: t.documents.select(F.floor(C("doc_id") / 20).alias("paper_id"), C("doc_id").cast("string").alias("related_id"), F.col("source").alias("title"), C("text").alias("summary"), C("n_chars").cast("double").alias("score"), F.when(C("doc_id") % 2 == 0, "citation").otherwise("semantic").alias("source"), F.when(C("doc_id") % 3 == 0, "positive").otherwise("negative").alias("polarity"))
 _slices = [(s, p) for s in ("citation", "semantic") for p in ("positive", "negative")]
-add("j17_related_context", lambda t: gr.related_context(_ctx(t), "lang"), "SELECT lang, " + ", ".join(f"coalesce(string_agg('Title: ' || source || chr(10) || 'Summary: ' || text || chr(10), chr(10) || chr(10) ORDER BY n_chars DESC, doc_id::VARCHAR) FILTER (doc_id % 2 {'=' if s == 'citation' else '<>'} 0 AND doc_id % 3 {'=' if p == 'positive' else '<>'} 0), '[No related papers available]') AS {s}_{p}" for s, p in _slices) + " FROM documents GROUP BY lang")
+add("j17_related_context", lambda t: gr.related_context(_ctx(t), "paper_id"), "SELECT doc_id // 20 AS paper_id, " + ", ".join(f"coalesce(string_agg('Title: ' || source || chr(10) || 'Summary: ' || text || chr(10), chr(10) || chr(10) ORDER BY n_chars DESC, doc_id::VARCHAR) FILTER (doc_id % 2 {'=' if s == 'citation' else '<>'} 0 AND doc_id % 3 {'=' if p == 'positive' else '<>'} 0), '[No related papers available]') AS {s}_{p}" for s, p in _slices) + " FROM documents GROUP BY 1")
 
 
 def _nested(t):

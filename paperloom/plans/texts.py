@@ -12,6 +12,8 @@ from paperloom.functions.fuzzy import fuzzy_partial_ratio, fuzzy_ratio, sequence
 from paperloom.operators import encode, prompts
 from paperloom.plans.base import add
 
+C = F.col
+
 TEXT = lambda: F.col("text")
 #: A document's title: its text up to the first full stop, or its first 100 characters.
 TITLE = lambda: F.when(F.instr("text", ".") > 0, F.substring_index("text", ".", 1)).otherwise(F.left("text", F.lit(100)))
@@ -67,12 +69,12 @@ add("g18_render_template", lambda t: t.documents.select("doc_id", tx.render_temp
 _lines_sql = "string_split(text, chr(10))"
 add("g19_lists", lambda t: t.documents.select("doc_id", tx.numbered_list(F.split("text", "\n", -1), prefix="1.", indent=2).alias("numbered"), tx.bullet_list(F.split("text", "\n", -1)).alias("bullets")),
     f"SELECT doc_id, array_to_string(list_transform({_lines_sql}, lambda x, i: '  1.' || i || '. ' || x), chr(10)) AS numbered, array_to_string(list_transform({_lines_sql}, lambda x: '- ' || x), chr(10)) AS bullets FROM documents")
-add("g20_format_related", lambda t: prompts.format_related(t.documents.select(F.col("source").alias("paper_id"), F.col("doc_id").cast("string").alias("related_id"), TITLE().alias("title"), F.lit("semantic").alias("source"), F.col("text").alias("summary"), F.col("n_chars").cast("double").alias("score"), (F.col("doc_id") % 20 + 2000).alias("year"))),
-    f"WITH d AS (SELECT *, {SQL_TITLE} AS title, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id::VARCHAR) AS r FROM documents) SELECT source AS paper_id, string_agg('ID: ' || doc_id || chr(10) || 'Title: ' || title || chr(10) || 'Source: semantic' || chr(10) || 'Summary: ' || text || chr(10), chr(10) || chr(10) ORDER BY r) AS related, string_agg('Paper ' || r || ': ' || title || ' (' || (doc_id % 20 + 2000) || ')' || chr(10) || 'Abstract: ' || text, chr(10) || chr(10) ORDER BY r) AS retrieved FROM d GROUP BY source")
+add("g20_format_related", lambda t: prompts.format_related(t.documents.select(F.floor(F.col("doc_id") / 20).alias("paper_id"), F.col("doc_id").cast("string").alias("related_id"), TITLE().alias("title"), F.lit("semantic").alias("source"), F.col("text").alias("summary"), F.col("n_chars").cast("double").alias("score"), (F.col("doc_id") % 20 + 2000).alias("year"))),
+    f"WITH d AS (SELECT *, {SQL_TITLE} AS title, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY n_chars DESC, doc_id::VARCHAR) AS r FROM documents) SELECT doc_id // 20 AS paper_id, string_agg('ID: ' || doc_id || chr(10) || 'Title: ' || title || chr(10) || 'Source: semantic' || chr(10) || 'Summary: ' || text || chr(10), chr(10) || chr(10) ORDER BY r) AS related, string_agg('Paper ' || r || ': ' || title || ' (' || (doc_id % 20 + 2000) || ')' || chr(10) || 'Abstract: ' || text, chr(10) || chr(10) ORDER BY r) AS retrieved FROM d GROUP BY 1")
 _names = lambda: F.slice(F.split(F.regexp_replace(TEXT(), r"\s+", " "), " ", -1), F.lit(1), (F.col("doc_id") % 5).cast("int"))
 _names_sql = r"(CASE WHEN doc_id % 5 = 0 THEN [] ELSE (string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '))[1:(doc_id % 5)] END)"
-add("g21_bibliography", lambda t: prompts.bibliography(t.documents.select("source", F.concat(F.lit("k"), "doc_id").alias("citation_key"), TITLE().alias("title"), _names().alias("authors"), F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 30 + 1990).alias("year"), F.col("doc_id").alias("ord")), "source"),
-    f"WITH d AS (SELECT *, {SQL_TITLE} AS title, {_names_sql} AS a FROM documents) SELECT source, string_agg('[k' || doc_id || '] ' || title || '. ' || CASE WHEN len(a) = 0 THEN 'Unknown authors' WHEN len(a) <= 2 THEN array_to_string(a, ', ') ELSE a[1] || ' et al.' END || ', ' || CASE WHEN doc_id % 4 > 0 THEN (doc_id % 30 + 1990)::VARCHAR ELSE 'n.d.' END || '.', chr(10) ORDER BY doc_id) AS bibliography FROM d GROUP BY source")
+add("g21_bibliography", lambda t: prompts.bibliography(t.documents.select(F.floor(F.col("doc_id") / 20).alias("paper_id"), F.concat(F.lit("k"), "doc_id").alias("citation_key"), TITLE().alias("title"), _names().alias("authors"), F.when(F.col("doc_id") % 4 > 0, F.col("doc_id") % 30 + 1990).alias("year"), F.col("doc_id").alias("ord")), "paper_id"),
+    f"WITH d AS (SELECT *, {SQL_TITLE} AS title, {_names_sql} AS a FROM documents) SELECT doc_id // 20 AS paper_id, string_agg('[k' || doc_id || '] ' || title || '. ' || CASE WHEN len(a) = 0 THEN 'Unknown authors' WHEN len(a) <= 2 THEN array_to_string(a, ', ') ELSE a[1] || ' et al.' END || ', ' || CASE WHEN doc_id % 4 > 0 THEN (doc_id % 30 + 1990)::VARCHAR ELSE 'n.d.' END || '.', chr(10) ORDER BY doc_id) AS bibliography FROM d GROUP BY 1")
 doc("g22_format_authors", lambda: tx.format_authors(_names()), f"CASE WHEN len({_names_sql}) <= 3 THEN array_to_string({_names_sql}, ', ') ELSE ({_names_sql})[1] || ', ' || ({_names_sql})[2] || ', ... (' || len({_names_sql}) || ' authors)' END")
 add("g23_truncate_evidence", lambda t: t.documents.select("doc_id", tx.truncate_evidence(F.concat(F.lit("Supporting evidence:\n"), tx.bullet_list(F.split("text", "\n", -1))), 3).alias("v")),
     f"SELECT doc_id, 'Supporting evidence:' || chr(10) || array_to_string(list_transform(({_lines_sql})[1:3], lambda x: '- ' || x), chr(10)) AS v FROM documents")
@@ -84,8 +86,8 @@ _sane = r"regexp_replace(array_to_string(list_filter(string_split(text, chr(10))
 add("g25_parse_responses", lambda t: t.conversations.select("conv_id", "turn", tx.parse_label(_reply()).alias("p"), tx.parse_rating(F.concat(F.lit("rating: "), F.col("turn").cast("string"))).alias("rating"), tx.parse_label_line(F.concat(TEXT(), F.lit("\nLabel: "), (F.col("turn") % 2).cast("string"))).alias("label_line")).select("conv_id", "turn", "p.label", "p.rationale", "rating", "label_line"),
     f"SELECT conv_id, turn, CASE WHEN turn % 7 BETWEEN 1 AND 5 THEN (turn % 7)::INTEGER END AS label, CASE WHEN turn % 7 BETWEEN 1 AND 5 THEN {_sane} END AS rationale, greatest(1, least(5, left(turn::VARCHAR, 1)::INTEGER)) AS rating, (turn % 2)::INTEGER AS label_line FROM conversations")
 _heads = ["1 Introduction", "2 Related work", "3 Proposed method", "4 Experiments", "5 Conclusion", "A Appendix", "6 Data"]
-add("g26_imrad", lambda t: prompts.imrad(t.documents.select("source", F.element_at(F.array(*map(F.lit, _heads)), (F.col("doc_id") % 7 + 1).cast("int")).alias("heading"), "text", F.col("doc_id").alias("ord")), "source", most=100),
-    "WITH d AS (SELECT source, doc_id, text, CASE doc_id % 7 WHEN 0 THEN 'introduction' WHEN 2 THEN 'methods' WHEN 3 THEN 'results' WHEN 4 THEN 'discussion' END AS k FROM documents), j AS (SELECT source, " + ", ".join(f"string_agg(text, chr(10) || chr(10) ORDER BY doc_id) FILTER (k = '{k}') AS {k}" for k in tx.SECTION_KINDS) + " FROM d GROUP BY source) SELECT source, " + ", ".join(f"coalesce(CASE WHEN len({_words.replace('text', k)}) > 100 THEN array_to_string(({_words.replace('text', k)})[1:100], ' ') ELSE {k} END, '[Section not available]') AS {k}" for k in tx.SECTION_KINDS) + " FROM j")
+add("g26_imrad", lambda t: prompts.imrad(t.documents.select(F.floor(F.col("doc_id") / 20).alias("paper_id"), F.element_at(F.array(*map(F.lit, _heads)), (F.col("doc_id") % 7 + 1).cast("int")).alias("heading"), "text", F.col("doc_id").alias("ord")), "paper_id", most=100),
+    "WITH d AS (SELECT doc_id // 20 AS paper_id, doc_id, text, CASE doc_id % 7 WHEN 0 THEN 'introduction' WHEN 2 THEN 'methods' WHEN 3 THEN 'results' WHEN 4 THEN 'discussion' END AS k FROM documents), j AS (SELECT paper_id, " + ", ".join(f"string_agg(text, chr(10) || chr(10) ORDER BY doc_id) FILTER (k = '{k}') AS {k}" for k in tx.SECTION_KINDS) + " FROM d GROUP BY paper_id) SELECT paper_id, " + ", ".join(f"coalesce(CASE WHEN len({_words.replace('text', k)}) > 100 THEN array_to_string(({_words.replace('text', k)})[1:100], ' ') ELSE {k} END, '[Section not available]') AS {k}" for k in tx.SECTION_KINDS) + " FROM j")
 _phrases = ["the and", "on of", "is esndha", "le la", "die und"]
 doc("g27_any_phrase", lambda: tx.any_phrase(TEXT(), _phrases), r"regexp_matches(regexp_replace(regexp_replace(lower(regexp_replace(text, '\s+', ' ', 'g')), '[^a-z0-9\s]', '', 'g'), '^\s+|\s+$', '', 'g'), '\b(?:" + "|".join(p.replace(" ", r"\s+") for p in _phrases) + r")\b')")
 add("g28_fuzzy_ratio", lambda t: t.documents.select("doc_id", fuzzy_ratio(TITLE(), F.concat(F.reverse(F.col("lang")), TITLE())).alias("v")))
@@ -123,7 +125,13 @@ add("g39_cosine", lambda t: t.embeddings.select(F.col("vec_id").alias("a_id"), F
     f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT x.vec_id AS a_id, round({_cos_sql.replace('(a', '(x.v').replace(', b', ', y.v').replace('(b', '(y.v').replace(', a)', ', x.v)')}, 4) AS v FROM e x JOIN e y ON y.vec_id = x.vec_id + 1")
 add("g40_safediv", lambda t: t.lineitem.select("l_orderkey", "l_linenumber", F.nanvl(tx.safediv(F.col("l_extendedprice"), F.round(F.col("l_discount") * 100)), F.lit(-1.0)).alias("x")).select("l_orderkey", "l_linenumber", F.round("x", 4).alias("v")),
     "SELECT l_orderkey, l_linenumber, round(CASE WHEN round(l_discount * 100) = 0 THEN -1.0 ELSE l_extendedprice::DOUBLE / round(l_discount * 100)::DOUBLE END, 4) AS v FROM lineitem")
-add("g41_sanitise_json", lambda t: prompts.sanitise(t.events.select("event_id", F.from_json("props", "map<string,string>").alias("props")), list_most=2, text_most=6).select("event_id", F.to_json("props").alias("v")))
+_props = lambda: F.from_json("props", "map<string,string>")
+add(
+    "g41_sanitise_json",
+    lambda t: prompts.sanitise(t.events.select("event_id", _props().alias("props"), F.struct(F.struct(C("event_type").alias("kind")).alias("inner")).alias("deep")), list_most=2, text_most=6, depth_most=2)
+    .select("event_id", F.array_join(F.transform(F.map_entries("props"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("v"), C("deep")["inner"].alias("deep")),
+    "WITH k AS (SELECT event_id, props, unnest(list_sort(json_keys(props))[1:2]) AS k FROM events), v AS (SELECT event_id, string_agg(left(k, 6) || '=' || left(json_extract_string(props, '$.' || k), 6), ',' ORDER BY k) AS v FROM k GROUP BY 1) SELECT event_id, coalesce(v, '') AS v, '...' AS deep FROM events LEFT JOIN v USING (event_id)",
+)
 add("g42_ids", lambda t: t.documents.select("doc_id", tx.content_id(TITLE(), TEXT()).alias("cid"), tx.cache_key(F.col("lang"), F.col("source"), F.col("n_chars")).alias("ck")),
     f"SELECT doc_id, sha256({SQL_TITLE} || text) AS cid, left(sha256(lang || '|' || source || '|' || n_chars), 16) AS ck FROM documents")
 add("g43_longest_by_words", lambda t: prompts.longest_by_words(t.documents, "source", "text", "doc_id"),
@@ -131,5 +139,5 @@ add("g43_longest_by_words", lambda t: prompts.longest_by_words(t.documents, "sou
 _sent = lambda: F.split("text", "\n", -1)
 add("g44_abstract_demo", lambda t: t.documents.select("doc_id", tx.abstract_demo(_sent(), F.transform(_sent(), lambda x, i: F.when(i % 2 == 0, "background").otherwise("method"))).alias("d")).select("doc_id", "d.background", "d.target"),
     f"SELECT doc_id, array_to_string(list_filter({_lines_sql}, lambda x, i: i % 2 = 1), ' ') AS background, array_to_string(list_filter({_lines_sql}, lambda x, i: i % 2 = 0), ' ') AS target FROM documents")
-add("g45_encode_text", lambda t: encode.hashing_encoder(t.documents.select("doc_id", "text"), "text", 64).select("doc_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("norm")),
+add("g45_encode_text", lambda t: encode.hashing_encoder(t.documents.select("doc_id", "text"), "text", 1024).select("doc_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("norm")),
     "SELECT doc_id, CASE WHEN regexp_matches(lower(text), '[^\\s]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paperloom import workspace
 from paperloom.operators import encode
 from paperloom.plans.base import add
 from paperloom.streaming import operators as st
@@ -14,6 +15,20 @@ add("k1_rate_limit", lambda t: st.rate_limit_decisions(_events(t), "3/day"))
 add("k2_usage_windows", lambda t: st.usage_windows(_events(t), 86400), "SELECT user_id AS key, event_id, count(*) OVER w AS requests, sum(length(props)) OVER w::BIGINT AS tokens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)".replace("OVER w::BIGINT", "OVER w").replace("sum(length(props)) OVER w AS tokens", "(sum(length(props)) OVER w)::BIGINT AS tokens"))
 
 
+
+def _annotated(t):
+    """A written table as a stream in small batches, each annotated once: the sink as it is when all is read."""
+    source, out, state = (workspace.new_path(t.spark, n) for n in ("annotate-in", "annotate-out", "annotate-state"))
+    t.documents.select("doc_id", "lang", "n_chars").write.option("maxRecordsPerFile", 20_000).parquet(source)
+    stream = t.spark.readStream.schema("doc_id long, lang string, n_chars long").option("maxFilesPerTrigger", 8).parquet(source)
+    annotate = lambda rows: rows.withColumn("label", F.concat_ws("-", "lang", (C("n_chars") % 5).cast("string")))
+    st.incremental_annotate(stream, annotate, out, "doc_id", state).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(out)
+
+
+add("k3_incremental_annotate", _annotated, "SELECT doc_id, lang, n_chars, concat_ws('-', lang, n_chars % 5) AS label FROM documents")
+
+
 def _letters(texts):
     """Encoder for the hook: letter counts of a few letters."""
     return texts.map(lambda s: [float(s.count(c)) for c in "aeiou"])

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -29,14 +30,14 @@ def parse_rule(rule: str) -> tuple[int, int]:
 
 def decide(times: list[int], kept: list[int], limit: int, span: int) -> tuple[list[bool], list[int]]:
     """Decisions for sorted times (microseconds), and the allowed ones that still count."""
-    out = []
+    out, held = [], deque(kept)
     for t in times:
-        kept = [x for x in kept if x > t - span]
-        ok = len(kept) < limit
-        if ok:
-            kept.append(t)
-        out.append(ok)
-    return out, kept
+        while held and held[0] <= t - span:
+            held.popleft()
+        out.append(len(held) < limit)
+        if out[-1]:
+            held.append(t)
+    return out, list(held)
 
 
 def rate_limit_decisions(events: DataFrame, rule: str, key: str = "key", ts: str = "ts", order: str = "event_id") -> DataFrame:
