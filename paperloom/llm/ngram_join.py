@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import components, cut, parts_for, text_bytes, written
+from paperloom.llm.shared import components, cut, parts_for, release, text_bytes, written
 
 WORDS = 5
 SIMILAR = 80
@@ -131,14 +131,18 @@ def _messages(shards: int, size: int):
                 if len(ids) >= BLOCK_ROWS or chars >= BLOCK_CHARS:
                     yield close(made, ids, sets)
                     made, ids, sets, chars = made + 1, [], [], 0
+                    release()
         if ids:
             yield close(made, ids, sets)
+        ids, sets = [], []
+        release()
 
     return run
 
 
 def _answer(shard: pd.DataFrame) -> pd.DataFrame:
     """For one shard of columns: to every block, how many of each document's shingles occur elsewhere."""
+    release()
     if shard["part"].iloc[0] < 0:
         return shard
     sets = [expand(b) for b in shard["hashes"]]

@@ -39,12 +39,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import cut, forget, parts_for, small, text_bytes
+from paperloom.llm.shared import cut, forget, parts_for, release, small, text_bytes
 
 ORDER = 5
 QUANTILE = 0.9995
 PRIOR = 25
-BLOCK_CHARS = 15_000_000
+BLOCK_CHARS = 12_000_000
 BLOCK_ROWS = 20_000
 #: Bytes of text to a shard of the gram table and of the requests for it.
 SHARD_BYTES = 24_000_000
@@ -221,6 +221,7 @@ def count_grams(trusted: DataFrame) -> DataFrame:
                 n = np.bincount(number, weights=np.repeat(times, np.diff(begins)), minlength=len(names)).astype(np.int64)
                 yield pd.DataFrame({"lang": lang, "gram": names, "n": n})[n > 0]
             held.clear()
+            release()
 
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
@@ -332,9 +333,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], bags: bool) -> Iterator[Block]:
             if block.chars > BLOCK_CHARS or block.rows >= BLOCK_ROWS:
                 yield block
                 block = Block(bags)
-                pa.default_memory_pool().release_unused()
+                release()
     if block.rows:
         yield block
+    del block
+    release()
 
 
 def requests(rows: DataFrame, shards: int) -> DataFrame:
@@ -383,6 +386,7 @@ def answers(asked: DataFrame, table: DataFrame) -> DataFrame:
     """(block, shard, logp, bow): for the keys a block asks a shard for, in their order; NaN for what the table lacks."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         known = right["key"].to_numpy().view(np.uint64)
         order = np.argsort(known)
         known = np.append(known[order], np.uint64(2**64 - 1))
@@ -430,6 +434,7 @@ def score_blocks(blocks: DataFrame, answered: DataFrame, kind: str) -> DataFrame
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         import zstandard
 
+        release()  # what the group before has left
         got = {s: (p, b) for s, p, b in zip(right["shard"].to_pylist(), right["logp"].to_pylist(), right["bow"].to_pylist(), strict=True)}
         logp, bow = (np.concatenate([_expanded(got[s][i], np.float32) for s in sorted(got)]) if got else np.empty(0, np.float32) for i in (0, 1))
         del got

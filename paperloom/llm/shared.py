@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.workspace import clean_up, cut, forget, mark, new_path, shared_dir, written
 
-__all__ = ["clean_up", "components", "cut", "forget", "mark", "new_path", "parts_for", "shared_dir", "small", "text_bytes", "written"]
+__all__ = ["clean_up", "components", "cut", "forget", "mark", "new_path", "parts_for", "release", "shared_dir", "small", "text_bytes", "written"]
 
 
 #: Checkpoints of up to so many rows (of a few numbers or a short text each) are broadcast; larger ones are joined by shuffle.
@@ -21,6 +21,21 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def release() -> None:
+    """Hand memory that a task has freed back to the machine: Python workers live on and share an executor's memory."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     return int(df.agg(F.coalesce(F.sum(F.octet_length(F.col(text)).cast("long")), F.lit(0)).alias("n")).first()["n"])
 
