@@ -3,11 +3,18 @@
 Every stage is a function ``(spark, docs, sf_dir) -> DataFrame``; all but the last return the columns of ``documents``.
 Rows are told apart by id and text, so repeated or missing ids do no harm; rows that agree in both are copies.
 
-* quality: documents that the language model rejects go.
+* quality: documents that the language model rejects go. Null and empty texts, null languages and languages without trusted
+  rows stay; with an empty ``labels`` table all stay.
 * near_duplicates: of each group of similar documents the one with the smallest id stays (rows without an id come last).
-* decontaminate: documents that hold a benchmark item, or nearly, go.
-* personal_data: spans are replaced by their kind in brackets; ``n_chars`` follows the text.
-* mix: rows the mix takes, with size, source_size, target and taken (words taken, repeats counted).
+  Null and empty texts stay.
+* decontaminate: documents that hold a benchmark item, or nearly, go. Null and empty texts stay, and with an empty
+  ``benchmark`` table all stay.
+* personal_data: spans are replaced by their kind in brackets; ``n_chars`` follows the text. Null and empty texts stay as
+  they are.
+* mix: rows the mix takes, with size, source_size, target and taken (words taken, repeats counted). Null and empty texts
+  have no words, so the mix takes none of them.
+
+Extra columns of the input tables are ignored. An empty ``documents`` table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import decontaminate as leaks
 from paperloom.llm import mixing, ngram_join, pii, quality
-from paperloom.llm.shared import cut, written
+from paperloom.llm.shared import clean_up, cut, last_path, mark, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Keys of rejected rows are broadcast up to so many rows (of about 60 bytes); more are joined by shuffle.
@@ -88,12 +95,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again.
+
+    What a stage has left in the shared folder, its input included, goes when its rows are written.
+    """
     docs = _read(spark, sf_dir, "documents").select(COLUMNS)
+    since = None
     for k, (name, stage) in enumerate(STAGES):
+        own = mark()
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"stage-{name}")
+            clean_up(spark, own if since is None else since, keep=(last_path(),))
+            since = mark() - 1
     return docs
 
 

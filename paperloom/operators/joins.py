@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
-from paperloom.functions.fuzzy import fuzzy_partial_ratio, fuzzy_ratio, sequence_ratio_from
+from paperloom.functions.fuzzy import fuzzy_partial_ratio, indel_ratio, sequence_ratio_from
 from paperloom.operators.aggregate import first_by
 
 
@@ -52,21 +56,58 @@ def restrict_to_test_set(df: DataFrame, test: DataFrame, title: str) -> tuple[Da
     return df.join(test.select(title), title, "left_semi"), test.select(title).distinct().join(df.select(title), title, "left_anti")
 
 
+#: Titles to a block when blocks of titles are compared.
+TITLE_BLOCK = 1_024
+
+
+def _letter_counts(titles: list[str]) -> np.ndarray:
+    """One row a title: how often characters fall into each of 64 places."""
+    out = np.zeros((len(titles), 64), dtype=np.int16)
+    for row, t in enumerate(titles):
+        codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        out[row] = np.bincount(codes % 64, minlength=64)
+    return out
+
+
 def fuzzy_title_join(queries: DataFrame, candidates: DataFrame, least: int = 80, k: int = 5, band: int = 8) -> DataFrame:
     """``queries(query)``, ``candidates(title)`` -> (query, title, score): the best ``k`` distinct titles a query.
 
     The ratio bounds the lengths: 2 * min / (a + b) >= (least - 0.5) / 100. Both sides meet in bands of length, every
-    query in all bands its bound allows, so no pair that can reach ``least`` is lost and others are not compared.
+    query in all bands its bound allows, so no pair that can reach ``least`` is lost. Within a band blocks of titles are
+    compared in tasks, so pairs never become rows: the letters that two titles have in common bound their common
+    subsequence, and only pairs within that bound are aligned. A pair of blocks gives at most ``k`` titles a query.
     """
-    q = queries.select("query").distinct().withColumn("__q", tx.match_title(F.col("query")))
-    c = candidates.select("title").distinct().withColumn("__c", tx.match_title(F.col("title")))
     share = (least - 0.5) / 100
-    lo, hi = F.floor(F.length("__q") * share / (2 - share)), F.ceil(F.length("__q") * (2 - share) / share)
-    q = q.withColumn("__band", F.explode(F.sequence(F.floor(lo / band), F.floor(hi / band))))
-    c = c.withColumn("__band", F.floor(F.length("__c") / band))
-    j = q.join(c, "__band").where(2 * F.least(F.length("__q"), F.length("__c")) >= share * (F.length("__q") + F.length("__c")))
-    s = j.select("query", "title", fuzzy_ratio("__q", "__c").alias("score")).where(F.col("score") >= least)
-    return s.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.desc("title")))).where(F.col("r") <= k).drop("r")
+    q = queries.select("query").distinct().withColumn("clean", tx.match_title(F.col("query")))
+    c = candidates.select("title").distinct().withColumn("clean", tx.match_title(F.col("title")))
+    lo, hi = F.floor(F.length("clean") * share / (2 - share)), F.ceil(F.length("clean") * (2 - share) / share)
+    q = q.withColumn("band", F.explode(F.sequence(F.floor(lo / band), F.floor(hi / band))))
+    c = c.withColumn("band", F.floor(F.length("clean") / band))
+
+    def blocked(df: DataFrame, text: str, name: str) -> DataFrame:
+        sizes = df.groupBy("band").agg(F.ceil(F.count("*") / TITLE_BLOCK).alias("blocks"))
+        part = F.pmod(F.xxhash64(text), F.col("blocks")).alias(f"{name}_block")
+        return df.join(sizes, "band").groupBy("band", part).agg(F.collect_list(F.struct(F.col(text).alias("text"), "clean")).alias(name))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for asking, answering in zip(batch["q"], batch["c"], strict=True):
+                a, b = ([x["clean"] for x in side] for side in (asking, answering))
+                one, two = _letter_counts(a), _letter_counts(b)
+                both = np.zeros((len(a), len(b)), dtype=np.int32)
+                for letter in np.flatnonzero(one.any(0) & two.any(0)):
+                    both += np.minimum(one[:, letter][:, None], two[:, letter][None, :])
+                sizes = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :]
+                out = []
+                for i, j in zip(*np.nonzero(2.0 * both >= share * sizes), strict=True):
+                    score = round(indel_ratio(a[i], b[j]))
+                    if score >= least:
+                        out.append((asking[i]["text"], answering[j]["text"], score))
+                made = pd.DataFrame(out, columns=["query", "title", "score"])
+                yield made.sort_values(["score", "title"], ascending=False).groupby("query", sort=False).head(k)
+
+    met = blocked(q, "query", "q").join(blocked(c, "title", "c"), "band").select("q", "c").mapInPandas(run, "query string, title string, score int")
+    return met.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.desc("title")))).where(F.col("r") <= k).drop("r")
 
 
 def levenshtein_title_join(queries: DataFrame, candidates: DataFrame, most: int, k: int = 5) -> DataFrame:
@@ -85,15 +126,23 @@ def validate_title_match(df: DataFrame, searched: str, returned: str, least: int
 def containment_match(a: DataFrame, b: DataFrame, order_by: str) -> DataFrame:
     """``a(a_title, order_by)``, ``b(b_title)``: equal or one inside the other, ignoring case; first ``a`` wins a ``b``.
 
-    A title inside another begins with letters that occur there: the first three (or all) of one side meet the one- to
-    three-letter pieces of the other, so no nested loop is needed. Empty titles match nothing.
+    Both sides meet on pieces of three letters: the title that lies inside brings only its rarest one (of those that the
+    other side has), the other side all of its own, so frequent pieces are seldom keys. Titles of one or two letters meet
+    on themselves. Empty titles match nothing.
     """
-    grams = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.array(*[F.substr(c, i, F.lit(k)) for k in (1, 2, 3)]))))
     x = a.withColumn("__a", F.lower("a_title")).where("__a <> ''")
     y = b.withColumn("__b", F.lower("b_title")).where("__b <> ''")
-    in_b = x.withColumn("__g", F.left("__a", F.lit(3))).join(y.withColumn("__g", F.explode(grams(F.col("__b")))), "__g").where(F.contains("__b", "__a"))
-    in_a = x.withColumn("__g", F.explode(grams(F.col("__a")))).join(y.withColumn("__g", F.left("__b", F.lit(3))), "__g").where(F.contains("__a", "__b"))
-    return first_by(in_b.unionByName(in_a).drop("__g", "__a", "__b").distinct(), ["b_title"], order_by)
+    pieces = lambda c, sizes: F.array_distinct(F.flatten(F.array(*[F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i, n=n: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes])))
+
+    def inside(small: DataFrame, s: str, large: DataFrame, t: str) -> DataFrame:
+        held = large.select(t).distinct().withColumn("__g", F.explode(pieces(F.col(t), (1, 2, 3))))
+        counts = held.groupBy("__g").agg(F.count("*").alias("n"))
+        own = F.when(F.length(s) < 3, F.array(F.col(s))).otherwise(pieces(F.col(s), (3,)))
+        rarest = small.select(s).distinct().withColumn("__g", F.explode(own)).join(counts, "__g").groupBy(s).agg(F.min_by("__g", F.struct("n", "__g")).alias("__g"))
+        return rarest.join(held, "__g").where(F.contains(t, s)).select(s, t)
+
+    pairs = inside(x, "__a", y, "__b").unionByName(inside(y, "__b", x, "__a")).distinct()
+    return first_by(x.join(pairs, "__a").join(y, "__b").drop("__a", "__b").distinct(), ["b_title"], order_by)
 
 
 def match_aspects(papers: DataFrame, aspects: DataFrame, least: float = 0.8) -> DataFrame:

@@ -54,6 +54,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def last_path() -> str:
+    """The path made last."""
+    return _left[-1]
+
+
 def mark() -> int:
     """How many paths are held just now; for ``clean_up``."""
     return len(_left)
