@@ -355,6 +355,25 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_archives(spark, tmp_path):
+    """Several archives, a payload larger than an archive and empty ones: every record comes back through its index."""
+    rng = random.Random(15)
+    rows = [(i, f"http://a/{i}", text(rng, rng.choice([0, 3, 400]))) for i in range(60)] + [(100, "http://a/long", text(rng, 200_000))]
+    pages = frame(spark, rows, "page_id long, url string, html string").repartition(2)
+    base = f"file://{tmp_path}"
+    warc.write_archives(warc.plan_records(pages), f"{base}/whole", archive_bytes=100_000)
+    archives = warc.normalise(spark, f"{base}/whole", f"{base}/members")
+    assert archives.count() > 4
+    got = {r.page_id: r for r in warc.read_archives(archives, f"{base}/members").collect()}
+    assert len(got) == len(rows)
+    for i, _, html in rows:
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(html), hashlib.sha1(html.encode()).hexdigest())
+        with open(tmp_path / "members" / got[i].archive, "rb") as f:
+            f.seek(got[i].member_offset)
+            record = gzip.decompress(f.read(got[i].member_length))
+        assert record.count(b"WARC/1.1\r\n") == 1 and (got[i].record_type == "revisit" or html.encode() in record)
+
+
 def test_inflate():
     data = b"0123456789" * 50_000
     assert b"".join(warc.inflate(gzip.compress(data), 1000)) == data
@@ -480,6 +499,18 @@ def test_quality(spark):
     assert not got[(200, "en")].keep and not got[(201, "en")].keep
     assert np.mean([got[(i, "en")].keep for i in range(80)]) > 0.95
     assert quality.judge(df.limit(0), trusted).count() == 0
+    # means, excess, plain quantile and decision, at a quantile that some trusted texts pass and one meets exactly
+    judged = [r for r in quality.judge(df, trusted, quantile=0.9).collect() if r.perplexity is not None]
+    known = [r for r in judged if r.doc_id is not None and r.doc_id < 60]
+    logs = [round(float(np.log(r.perplexity)) * quality.EXCESS_UNIT) for r in known]
+    mean = sum(logs) / len(logs) / quality.EXCESS_UNIT
+    shrunk = lambda r: (float(np.log(r.perplexity)) - mean) * r.n_events / (r.n_events + quality.PRIOR)
+    ordered = sorted(shrunk(r) for r in known)
+    bar = ordered[int(np.ceil(0.9 * len(ordered))) - 1]
+    assert len(known) == 61 and sum(not r.keep for r in known) == len(ordered) - int(np.ceil(0.9 * len(ordered)))
+    for r in judged:
+        assert r.threshold == pytest.approx(bar, abs=3e-6) and r.excess == pytest.approx(shrunk(r), abs=3e-6)
+        assert r.keep == (r.excess <= r.threshold)
     assert all(r.keep for r in quality.judge(df, trusted.limit(0)).collect())
 
 
