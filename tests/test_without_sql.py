@@ -101,22 +101,6 @@ def test_elo(spark, t):
     assert set(got) == set(ratings) and all(got[k] == pytest.approx(ratings[k], abs=1e-3) for k in got)
 
 
-def test_levels(spark, t):
-    edges, nodes = defaultdict(set), set()
-    for r in hierarchy(t)[1].collect():
-        edges[(r.paper_id, r.target)].add((r.paper_id, r.source))
-        nodes |= {(r.paper_id, r.source), (r.paper_id, r.target)}
-    level, left, n = {}, set(nodes), 0
-    while free := {x for x in left if not (edges[x] & left)}:
-        level |= dict.fromkeys(free, n)
-        left -= free
-        n += 1
-    want = defaultdict(int)
-    for x in nodes:
-        want[level.get(x)] += 1
-    assert {r.level: r.n for r in rows(spark, "j14_levels")} == want
-
-
 @pytest.mark.parametrize("name", ["f9_validate_title_match", "f16_match_aspects", "j5_best_rationale", "j9_melo", "j15_graph_to_text", "j16_fluent_text"])
 def test_results_are_whole(spark, t, name):
     """Their operators are tested by brute force on small rows; here every paper, item or text of the tables must be there."""
