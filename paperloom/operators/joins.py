@@ -132,7 +132,15 @@ def containment_match(a: DataFrame, b: DataFrame, order_by: str) -> DataFrame:
     """
     x = a.withColumn("__a", F.lower("a_title")).where("__a <> ''")
     y = b.withColumn("__b", F.lower("b_title")).where("__b <> ''")
-    pieces = lambda c, sizes: F.array_distinct(F.flatten(F.array(*[F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i, n=n: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes])))
+
+    def pieces(c: Column, sizes: tuple[int, ...]) -> Column:
+        """All distinct pieces of ``c`` of these lengths."""
+
+        def of(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.length(c) - n + 1)
+            return F.when(F.length(c) >= n, F.transform(starts, lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+        return F.array_distinct(F.flatten(F.array(*[of(n) for n in sizes])))
 
     def inside(small: DataFrame, s: str, large: DataFrame, t: str) -> DataFrame:
         held = large.select(t).distinct().withColumn("__g", F.explode(pieces(F.col(t), (1, 2, 3))))

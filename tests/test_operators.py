@@ -222,6 +222,26 @@ def test_containment(spark):
     assert {(r.b_title, r.a_title) for r in joins.containment_match(a, b, "o").collect()} == {("concatenate", "Cat"), ("lists", "concatenation of lists")}
 
 
+def test_containment_at_every_offset(spark):
+    """Titles of one to seven letters inside a longer one at every place, in both directions, against plain Python."""
+    long_one = "Graphs of Novel work"
+    parts = {long_one[i : i + n] for n in (1, 2, 3, 4, 7) for i in range(len(long_one) - n + 1)} | {"zq", "x", "", "novel works", long_one.upper()}
+    small = spark.createDataFrame([(t, i) for i, t in enumerate(sorted(parts))], "a_title string, o int")
+    large = spark.createDataFrame([(long_one,), ("Novel",), ("work of",)], "b_title string")
+    rows = sorted((o, t) for o, t in enumerate(sorted(parts)))
+    for a, b, given, asked in ((small, large, rows, [long_one, "Novel", "work of"]),):
+        want = {}
+        for y in asked:
+            hit = next(((o, t) for o, t in given if t and (t.lower() in y.lower() or y.lower() in t.lower())), None)
+            if hit:
+                want[y] = hit[1]
+        assert {r.b_title: r.a_title for r in joins.containment_match(a, b, "o").collect()} == want
+    one = spark.createDataFrame([(long_one, 1)], "a_title string, o int")
+    every = small.select(F.col("a_title").alias("b_title"))
+    want = {t for t in parts if t and (t.lower() in long_one.lower() or long_one.lower() in t.lower())}
+    assert {r.b_title for r in joins.containment_match(one, every, "o").collect()} == want
+
+
 def table(spark, folder, name, rows, schema):
     spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
 
