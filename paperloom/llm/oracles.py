@@ -54,3 +54,12 @@ l AS (SELECT o.a, o.b FROM o JOIN s p ON p.doc_id = o.a JOIN s q ON q.doc_id = o
 r AS (SELECT doc_id AS id, doc_id AS root FROM s UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id), c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN c ON id = doc_id""",
 }
+
+_NEAREST = "SELECT rid, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT rid, c, list_sum(list_transform(list_zip(v.x, w.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM k v, c{n} w) GROUP BY rid"
+_FLOOR = "(s - ((s % n) + n) % n) // n"
+_ROUND = f"""a{{n}} AS MATERIALIZED ({_NEAREST}), m{{n}} AS (SELECT c, list({_FLOOR} ORDER BY i)::BIGINT[] AS x FROM (SELECT c, i, sum(v) AS s, count(*) AS n FROM (SELECT c, unnest(x) AS v, unnest(range(64)) AS i FROM a{{n}} JOIN k USING (rid)) GROUP BY c, i) GROUP BY c),
+c{{m}} AS MATERIALIZED (SELECT c, coalesce(m{{n}}.x, c{{n}}.x) AS x FROM c{{n}} LEFT JOIN m{{n}} USING (c))"""
+ORACLE["op12_heap_clustering"] = f"""WITH k AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda v: floor(256 * v::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, x) - 1 AS c, x FROM k QUALIFY c < 40),
+{', '.join(_ROUND.format(n=n, m=n + 1) for n in range(5))}, f AS MATERIALIZED ({_NEAREST.format(n=5)})
+SELECT vec_id, f.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY f.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c5.x, ',')) AS centroid_sha256 FROM f JOIN k USING (rid) JOIN c5 ON c5.c = f.c"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, language, mixing, ngram_join, nn_descent, pii, quality, tokens, url_filter, warc
+from paperloom.llm import decontaminate, heap_kmeans, language, mixing, ngram_join, nn_descent, pii, quality, tokens, url_filter, warc
 from paperloom.llm.oracles import ORACLE
 from paperloom.llm.shared import cut, written
 
@@ -99,3 +99,10 @@ def op5_nn_descent(spark, sf_dir):
 
 
 QUERIES["op5_nn_descent"] = op5_nn_descent
+
+
+def op12_heap_clustering(spark, sf_dir):
+    return heap_kmeans.cluster(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("rescanned")
+
+
+QUERIES["op12_heap_clustering"] = op12_heap_clustering
