@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, heap_kmeans, language, mixing, ngram_join, nn_descent, pii, quality, tokens, url_filter, warc
+from paperloom.llm import decontaminate, heap_kmeans, language, mixing, ngram_join, nn_descent, pii, quality, ranked_search, tokens, url_filter, warc
 from paperloom.llm.oracles import ORACLE
 from paperloom.llm.shared import cut, written
 
@@ -106,3 +106,10 @@ def op12_heap_clustering(spark, sf_dir):
 
 
 QUERIES["op12_heap_clustering"] = op12_heap_clustering
+
+
+def op11_ranked_search(spark, sf_dir):
+    return ranked_search.search(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op11_ranked_search"] = op11_ranked_search

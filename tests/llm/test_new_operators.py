@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import heap_kmeans
+from paperloom.llm import heap_kmeans, ranked_search
 
 # -- 12
 
@@ -57,3 +57,70 @@ def test_clustering_skips_settled_vectors(spark):
     assert heap_kmeans.cluster(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     with pytest.raises(Exception, match="64 bits"):
         heap_kmeans.cluster(spark.createDataFrame([(1, [1e30] * 4)], "vec_id long, embedding array<float>"), dim=4).count()
+
+
+# -- 11
+
+
+def ranked(docs, items, top):
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    words = [cut(t) for _, t in docs]
+    n_all, l_all = sum(bool(w) for w in words), sum(map(len, words))
+    tfs = [Counter(w) for w in words]
+    df = Counter(t for c in tfs for t in c)
+    out = []
+    for item, text in set(items):
+        scored = []
+        for (i, _), w, tf in zip(docs, words, tfs, strict=True):
+            score = sum(math.floor(1000 * math.log((2 * n_all + 2) / (2 * df[t] + 1))) * ((10**9 * tf[t]) // (1000 * tf[t] + 20 * (50 + 50 * len(w) * n_all // l_all))) for t in set(cut(text)) if tf[t])
+            if score > 0:
+                scored.append((-score, i is None, i or 0))
+        out += [(item, r, None if none else i, -s) for r, (s, none, i) in enumerate(sorted(scored)[:top], 1)]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("leaf,top", [(1, 5), (64, 50), (3, 1)])
+def test_best_first(leaf, top):
+    """Intervals split at the largest impact find what scoring everything finds."""
+    rng = np.random.default_rng(leaf)
+    n_docs, n_terms = 300, 40
+    has = rng.random((n_terms, n_docs)) < rng.random(n_terms)[:, None] ** 2
+    term, doc = np.nonzero(has)
+    impact = rng.integers(0, 6, len(term)) * 10**9
+    questions = [np.flatnonzero(rng.random(n_terms) < 0.3) for _ in range(20)] + [np.zeros(0, dtype=np.int64)]
+    rank = rng.permutation(n_docs)
+    dense = np.zeros((n_terms, n_docs), dtype=np.int64)
+    dense[term, doc] = impact
+    got = ranked_search.best_first(ranked_search.Postings(n_docs, term, doc, impact, n_terms), n_docs, questions, rank, top, leaf)
+    for q, found in zip(questions, got, strict=True):
+        scores = dense[q].sum(0)
+        best = sorted((d for d in range(n_docs) if scores[d] > 0), key=lambda d: (-scores[d], rank[d]))[:top]
+        assert found == {d: scores[d] for d in best}
+
+
+def test_best_first_skips_intervals():
+    """One document far above all others: most of the block is never scored."""
+    n_docs = 4096
+    doc = np.arange(n_docs)
+    impact = np.ones(n_docs, dtype=np.int64)
+    impact[1234] = 10**6
+    lists = ranked_search.Postings(n_docs, np.zeros(n_docs, dtype=np.int64), doc, impact, 1)
+    seen = []
+    whole = lists.scores
+    lists.scores = lambda *a: seen.append(a) or whole(*a)
+    assert ranked_search.best_first(lists, n_docs, [np.array([0])], doc, 1) == [{1234: 10**6}]
+    assert not seen
+
+
+@pytest.mark.parametrize("terms,block", [(ranked_search.TERMS, ranked_search.BLOCK), (5, 256)])
+def test_ranked_search(spark, terms, block):
+    rng = random.Random(terms)
+    vocabulary = ["alpha", "Beta", "GAMMA", "delta7", "épée", "Ärger", "日本", "x", "of", "the"] + [f"w{i}" for i in range(40)]
+    say = lambda n: rng.choice([" ", ", ", "-"]).join(rng.choice(vocabulary) for _ in range(n))
+    docs = [(rng.randrange(400), say(rng.choice([0, 1, 3, 20, 60]))) for _ in range(700)] + [(None, "alpha beta"), (None, "alpha beta"), (5, None), (6, ""), (7, "!?"), (8, say(30_000)), (9, "alpha"), (10, "alpha")]
+    items = [(1, "Alpha beta, the GAMMA"), (2, "日本 ärger Ärger"), (3, None), (4, ""), (5, "nowhere"), (None, "x of"), (6, say(50)), (6, say(3)), (1, "Alpha beta, the GAMMA")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash")).withColumn("rank", F.lit(0)).repartition(3)
+    i = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash")).withColumn("score", F.lit(0))
+    got = ranked_search.search(d, i, terms=terms, block=block).collect()
+    assert sorted([(r.item_id, r["rank"], r.doc_id, r.score) for r in got], key=repr) == ranked(docs, items, 50)
+    assert ranked_search.search(d.limit(0), i).count() == 0 and ranked_search.search(d, i.limit(0)).count() == 0
