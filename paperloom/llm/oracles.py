@@ -71,3 +71,12 @@ w AS (SELECT t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIG
 q AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark)), m AS (SELECT rid, doc_id, 50 + (50 * len(ts)::BIGINT * nn) // ll AS m FROM d, g),
 s AS (SELECT item_id, rid, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN p USING (t) JOIN w USING (t) JOIN m USING (rid) GROUP BY item_id, rid)
 SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s JOIN m USING (rid) WHERE score > 0 QUALIFY rank <= 50"""
+
+ORACLE["op13_suffix_dedup"] = """WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, s, md5(substr(h, 2 * s + 1, 400)) AS m FROM (SELECT rid, h, unnest(range(len(h) // 2 - 199)) AS s FROM d)),
+c AS (SELECT rid, s FROM w QUALIFY count(*) OVER (PARTITION BY m) > 1),
+g AS (SELECT rid, s, sum(new) OVER (PARTITION BY rid ORDER BY s) AS run FROM (SELECT rid, s, CASE WHEN s - lag(s) OVER (PARTITION BY rid ORDER BY s) <= 200 THEN 0 ELSE 1 END AS new FROM c)),
+r AS (SELECT rid, min(s) AS s, max(s) + 200 AS e FROM g GROUP BY rid, run), l AS (SELECT rid, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es, count(*) AS n, sum(e - s) AS gone FROM r GROUP BY rid)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+sha256(unhex(CASE WHEN n IS NULL THEN h ELSE array_to_string(list_transform(range(n + 1), lambda i: substr(h, CASE WHEN i = 0 THEN 1 ELSE 2 * es[i] + 1 END, CASE WHEN i = n THEN len(h) ELSE 2 * (ss[i + 1] - CASE WHEN i = 0 THEN 0 ELSE es[i] END) END)), '') END)) AS kept_sha256
+FROM d LEFT JOIN l USING (rid)"""

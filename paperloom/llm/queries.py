@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontaminate, heap_kmeans, language, mixing, ngram_join, nn_descent, pii, quality, ranked_search, tokens, url_filter, warc
+from paperloom.llm import decontaminate, heap_kmeans, language, mixing, ngram_join, nn_descent, pii, quality, ranked_search, suffix_dedup, tokens, url_filter, warc
 from paperloom.llm.oracles import ORACLE
 from paperloom.llm.shared import cut, written
 
@@ -113,3 +113,10 @@ def op11_ranked_search(spark, sf_dir):
 
 
 QUERIES["op11_ranked_search"] = op11_ranked_search
+
+
+def op13_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
+QUERIES["op13_suffix_dedup"] = op13_suffix_dedup

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import heap_kmeans, ranked_search
+from paperloom.llm import heap_kmeans, ranked_search, suffix_dedup
 
 # -- 12
 
@@ -124,3 +124,69 @@ def test_ranked_search(spark, terms, block):
     got = ranked_search.search(d, i, terms=terms, block=block).collect()
     assert sorted([(r.item_id, r["rank"], r.doc_id, r.score) for r in got], key=repr) == ranked(docs, items, 50)
     assert ranked_search.search(d.limit(0), i).count() == 0 and ranked_search.search(d, i.limit(0)).count() == 0
+
+
+# -- 13
+
+
+def stripped(rows, depth):
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    seen = Counter(b[s : s + depth] for _, b in texts for s in range(len(b) - depth + 1))
+    out = []
+    for i, b in texts:
+        gone = np.zeros(len(b), dtype=bool)
+        for s in range(len(b) - depth + 1):
+            if seen[b[s : s + depth]] > 1:
+                gone[s : s + depth] = True
+        kept = bytes(np.frombuffer(b, dtype=np.uint8)[~gone]) if len(b) else b""
+        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        out.append((i is None, i or 0, len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def test_common_columns():
+    """Shared windows of pieces lined up at their anchors, against comparing all pairs."""
+    rng = random.Random(3)
+    depth = 12
+    for _ in range(60):
+        m = rng.randint(1, 30)
+        at = np.array([rng.randint(0, 8) for _ in range(m)])
+        pieces = [bytes(rng.choice(b"ab\x00") if rng.random() < 0.2 else 97 for _ in range(rng.randint(depth, depth + 12) + int(a))) for a in at]
+        got = suffix_dedup.common_columns(pieces, at, depth)
+        for i in range(m):
+            want = set()
+            for s in range(len(pieces[i]) - depth + 1):
+                for j in range(m):
+                    t = s - at[i] + at[j]
+                    if j != i and t >= 0 and t + depth <= len(pieces[j]) and pieces[j][t : t + depth] == pieces[i][s : s + depth] and s <= at[i]:
+                        want.add(s)
+            assert {int(s) for s in got[i] if s <= at[i]} == want
+
+
+@pytest.mark.parametrize("gram,most", [(8, 20_000), (8, 3), (20, 1), (24, 20_000)])
+def test_remove_repeats(spark, gram, most, monkeypatch):
+    depth = 24
+    rng = random.Random(gram + most)
+    say = lambda n: "".join(rng.choice("abcdefgh éß日") for _ in range(n))
+    passages = [say(n) for n in (30, 60, 200, 20, 19)]
+    rows = [(i, say(rng.randint(0, 80)) + rng.choice(passages) + say(rng.randint(0, 40)) + rng.choice(["", rng.choice(passages)])) for i in range(150)]
+    near = say(400)
+    for i in range(20):
+        at = rng.randrange(400)
+        rows.append((200 + i, near[:at] + "#" + near[at + 1 :]))
+    rows += [(300, "ab" * 500), (301, "a" * 3000), (302, None), (303, ""), (304, say(23)), (305, say(24)), (306, passages[2]), (306, passages[2]), (None, passages[1]), (307, say(200) * 3), (308, "x" * 24), (308, "y" * 23), (309, "y" * 23)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h1", F.lit("clash")).withColumn("id", F.lit(0)).repartition(3)
+    got = suffix_dedup.remove_repeats(df, depth=depth, gram=gram, most=most).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == stripped(rows, depth)
+    assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
+    assert suffix_dedup.remove_repeats(df.limit(0), depth=depth, gram=gram).count() == 0
+
+
+def test_long_texts_are_cut_into_chunks(monkeypatch):
+    """Anchors of a text made in several chunks: each window is in one piece, with its anchor inside."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 100)
+    data = np.frombuffer(random.Random(1).randbytes(1_000), dtype=np.uint8)
+    a, lo, n, at = suffix_dedup.anchors(data, 24, 8)
+    assert np.array_equal(np.concatenate([np.arange(s, s + m) for s, m in zip(lo, n, strict=True)]), np.arange(1_000 - 23))
+    h = suffix_dedup.gram_hashes(data, 8).view(np.int64)
+    assert np.array_equal(h[lo + at], a) and (at >= n - 1).all() and (at <= 16).all()
