@@ -82,18 +82,18 @@ def sequence_ratio_from(least: float, a: Column | str, b: Column | str) -> Colum
 sequence_ratio = _pairs(lambda a, b: difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio(), "double")
 
 
-def register(spark) -> None:
-    """Make the ratios usable from SQL."""
+NAMES = ("fuzzy_ratio", "fuzzy_partial_ratio", "sequence_ratio")
 
 
-    def whole(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else round(indel_ratio(x, y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
+def register(spark) -> None:
+    """Make the ratios usable from SQL."""
 
-    def part(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else round(partial(x, y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
+    def named(score, kind):
+        def batch(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series([None if x is None or y is None else score(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32" if kind == "int" else "float64")
 
-    def sequence(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+        return F.pandas_udf(batch, kind)
 
-    for name, f, kind in (("fuzzy_ratio", whole, "int"), ("fuzzy_partial_ratio", part, "int"), ("sequence_ratio", sequence, "double")):
-        spark.udf.register(name, F.pandas_udf(f, kind))
+    scores = (lambda x, y: round(indel_ratio(x, y)), "int"), (lambda x, y: round(partial(x, y)), "int"), (lambda x, y: difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio(), "double")
+    for name, (score, kind) in zip(NAMES, scores, strict=True):
+        spark.udf.register(name, named(score, kind))

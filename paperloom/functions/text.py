@@ -99,14 +99,36 @@ def section_number(c: Column) -> Column:
     return F.element_at(F.split(F.element_at(F.split(strip(c), r"\s+"), 1), r"\."), 1).try_cast("int")
 
 
-def remove_parenthetical(c: Column, depth: int = 8) -> Column:
-    for _ in range(depth):
+def remove_parenthetical(c: Column, passes: int = 4) -> Column:
+    """Drop matched brackets and what they hold, at any depth; unmatched ones stay.
+
+    Nests of up to ``passes`` levels, as nearly all are, go by as many replacements; only texts with deeper ones are
+    walked through bracket by bracket.
+    """
+    for _ in range(passes):
         c = F.regexp_replace(c, r"\([^()]*\)", "")
-    return fix_spaces_before_punctuation(squeeze(c))
+    return fix_spaces_before_punctuation(squeeze(F.when(c.rlike(r"\([^()]*\)"), _matched_brackets_out(c)).otherwise(c)))
+
+
+def _matched_brackets_out(c: Column) -> Column:
+    """One pass over a text's brackets with a stack of open ones, each with the text since it; a closing one drops its top."""
+    top = lambda s: F.element_at(s, -1)
+    under = lambda s: F.slice(s, F.lit(1), F.size(s) - 1)
+
+    def step(stack: Column, piece: Column) -> Column:
+        closes = (piece == ")") & (F.size(stack) > 1)
+        return F.when(piece == "(", F.array_append(stack, F.lit(""))).when(closes, under(stack)).otherwise(F.array_append(under(stack), F.concat(top(stack), piece)))
+
+    return F.aggregate(F.split(c, r"(?=[()])|(?<=[()])"), F.array(F.lit("")), step, lambda stack: F.array_join(stack, "("))
+
 
+def _column(x: Column | str | int) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
 
-def remove_prefix_icase(c: Column, prefix: str) -> Column:
-    return F.when(F.lower(c).startswith(prefix.lower()), F.substring(c, len(prefix) + 1, 2**31 - 1)).otherwise(c)
+
+def remove_prefix_icase(c: Column, prefix: Column | str) -> Column:
+    prefix = _column(prefix)
+    return F.when(F.startswith(F.lower(c), F.lower(prefix)), F.substr(c, F.length(prefix) + 1)).otherwise(c)
 
 
 def clean_summary(c: Column) -> Column:
@@ -117,8 +139,8 @@ def clean_summary(c: Column) -> Column:
     return out
 
 
-def truncate_chars(c: Column, n: int, suffix: str = "") -> Column:
-    return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit(suffix))).otherwise(c)
+def truncate_chars(c: Column, n: Column | int, suffix: Column | str = "") -> Column:
+    return F.when(F.length(c) > n, F.concat(F.left(c, _column(n)), _column(suffix))).otherwise(c)
 
 
 def word_list(c: Column) -> Column:
@@ -134,9 +156,9 @@ def truncate_tokens(c: Column, n: Column | int) -> Column:
     return F.when(count_tokens(c) > n, F.array_join(F.slice(word_list(c), F.lit(1), F.greatest(n, F.lit(0)).cast("int")), " ")).otherwise(c)
 
 
-def fit_prompt(system: Column, user: Column, most: int) -> Column:
+def fit_prompt(system: Column, user: Column, most: Column | int) -> Column:
     """The user part cut to what the system part leaves."""
-    return truncate_tokens(user, F.greatest(F.lit(most) - count_tokens(system), F.lit(0)))
+    return truncate_tokens(user, F.greatest(_column(most) - count_tokens(system), F.lit(0)))
 
 
 def render_template(template: str, fields: dict[str, Column]) -> Column:
@@ -152,6 +174,16 @@ def render_template(template: str, fields: dict[str, Column]) -> Column:
     return F.concat(*made)
 
 
+def fill_template(template: Column, fields: Column) -> Column:
+    """``render_template`` with a template that is a column itself, and a map of the fields; unknown names are null."""
+    pieces = F.regexp_extract_all(template, F.lit(r"(\{\{|\}\}|\{\w+\}|[^{}]+|[{}])"), F.lit(1))
+    name = lambda p: F.substr(p, F.lit(2), F.length(p) - 2)
+    known = lambda p: F.array_contains(F.map_keys(fields), name(p))
+    fill = lambda p: F.when(p.isin("{{", "}}"), F.left(p, F.lit(1))).when(~p.rlike(r"^\{\w+\}$"), p).when(known(p), F.coalesce(F.try_element_at(fields, name(p)), F.lit("")))
+    made = F.transform(pieces, fill)
+    return F.when(~F.exists(made, lambda p: p.isNull()), F.array_join(made, ""))
+
+
 def numbered_list(items: Column, prefix: str = "", suffix: str = ".", indent: int = 0, start: int = 1, sep: str = "\n") -> Column:
     line = lambda x, i: F.concat(F.lit(" " * indent + prefix), (i + start).cast("string"), F.lit(f"{suffix} "), x)
     return F.array_join(F.transform(items, line), sep)
@@ -182,7 +214,50 @@ def structured_rationale(summary: Column, supporting: Column, contradictory: Col
     return F.array_join(parts, "\n")
 
 
-def truncate_evidence(c: Column, most: int = 5) -> Column:
+def bullets_of_type(entities: Column, kind: Column | str) -> Column:
+    """Bullets of the labels of one type of entities (structs of type and label)."""
+    return bullet_list(F.transform(F.filter(entities, lambda e: e["type"] == kind), lambda e: e["label"]))
+
+
+def _by_score(related: Column) -> Column:
+    """Related papers by falling score, then by id."""
+
+    def before(a: Column, b: Column) -> Column:
+        return F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["related_id"] < b["related_id"], -1).when(a["related_id"] > b["related_id"], 1).otherwise(0)
+
+    return F.array_sort(related, before)
+
+
+def related_list(related: Column, label: str = "Summary") -> Column:
+    """Related papers (structs related_id, title, source, body, year, score) as text blocks, best first."""
+    block = lambda r: F.concat(F.lit("ID: "), r["related_id"], F.lit("\nTitle: "), r["title"], F.lit("\nSource: "), r["source"], F.lit(f"\n{label}: "), r["body"], F.lit("\n"))
+    return F.array_join(F.transform(_by_score(related), block), "\n\n")
+
+
+def retrieved_list(related: Column) -> Column:
+    """The same papers numbered, with their years."""
+    year = lambda r: F.coalesce(F.concat(F.lit(" ("), r["year"].cast("string"), F.lit(")")), F.lit(""))
+    block = lambda r, i: F.concat(F.lit("Paper "), (i + 1).cast("string"), F.lit(": "), r["title"], year(r), F.lit("\nAbstract: "), r["body"])
+    return F.array_join(F.transform(_by_score(related), block), "\n\n")
+
+
+def bibliography_line(key: Column, title: Column, authors: Column, year: Column) -> Column:
+    return F.concat(F.lit("["), key, F.lit("] "), title, F.lit(". "), bibliography_authors(authors), F.lit(", "), F.coalesce(F.nullif(year, F.lit(0)).cast("string"), F.lit("n.d.")), F.lit("."))
+
+
+def bibliography_lines(refs: Column) -> Column:
+    """Lines of references (structs citation_key, title, authors, year) that have a key."""
+    named = F.filter(refs, lambda r: F.coalesce(r["citation_key"], F.lit("")) != "")
+    return F.array_join(F.transform(named, lambda r: bibliography_line(r["citation_key"], r["title"], r["authors"], r["year"])), "\n")
+
+
+def imrad_text(sections: Column, kind: Column | str) -> Column:
+    """Texts of one kind of sections (structs heading, text), joined by a blank line; null if there are none."""
+    texts = F.transform(F.filter(sections, lambda s: section_kind(strip(s["heading"])) == kind), lambda s: s["text"])
+    return F.nullif(F.array_join(texts, "\n\n"), F.lit(""))
+
+
+def truncate_evidence(c: Column, most: Column | int = 5) -> Column:
     """Keep the first ``most`` bullets of each evidence section."""
     start = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
 
@@ -231,6 +306,13 @@ def any_phrase(c: Column, phrases: list[str]) -> Column:
     return normalise_text(F.regexp_replace(c, r"\s+", " ")).rlike(rf"\b(?:{one})\b")
 
 
+def any_phrase_of(c: Column, phrases: Column) -> Column:
+    """``any_phrase`` with a column of phrases."""
+    literal = lambda p: F.regexp_replace(F.regexp_replace(strip(p), r"([^\w\s])", r"\\$1"), r"\s+", r"\\s+")
+    plain = normalise_text(F.regexp_replace(c, r"\s+", " "))
+    return F.exists(phrases, lambda p: F.regexp_like(plain, F.concat(F.lit(r"\b(?:"), literal(p), F.lit(r")\b"))))
+
+
 def extract_spans(text: Column, spans: Column) -> Column:
     """Slices [start, end) of a JSON span list, joined by line breaks; null for missing or invalid JSON."""
     parsed = F.from_json(spans, "array<struct<start:int,end:int>>", {"mode": "PERMISSIVE"})
@@ -255,6 +337,31 @@ def citation_keys(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(F.flatten(F.transform(lists, lambda k: F.split(k, ","))), strip), lambda k: k != "")))
 
 
+def citing_sentences(c: Column) -> Column:
+    """Distinct (key, sentence) of all sentences that cite something."""
+    sentences = F.filter(split_sentences(strip_tex_comments(c)), lambda s: s.rlike(r"\\cite"))
+    return F.array_distinct(F.flatten(F.transform(sentences, lambda s: F.transform(citation_keys(s), lambda k: F.struct(k.alias("key"), s.alias("sentence"))))))
+
+
+def bibitem_fields(block: Column) -> Column:
+    """Struct (key, title, year, authors joined by ``|``) of one ``\\bibitem`` block."""
+    body = F.regexp_replace(block, r"^\\bibitem(\[[^\]]*\])?\{[^}]*\}", "")
+    parts = F.transform(F.split(body, r"\\newblock"), lambda p: strip(F.regexp_replace(squeeze(p), r"[.,]$", "")))
+    year = F.nullif(F.regexp_extract(block, r"(?s)^.*\b((?:19|20)[0-9]{2})\b", 1), F.lit("")).try_cast("int")
+    authors = F.array_join(F.transform(F.split(F.try_element_at(parts, F.lit(1)), r",\s+|\s+and\s+"), strip), "|")
+    title = F.coalesce(F.nullif(F.try_element_at(parts, F.lit(2)), F.lit("")), F.lit("Unknown Title"))
+    key = F.regexp_extract(block, r"^\\bibitem(?:\[[^\]]*\])?\{([^}]*)\}", 1)
+    return F.struct(key.alias("key"), title.alias("title"), year.alias("year"), authors.alias("authors"))
+
+
+def bibitem_blocks(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(r"(?s)(\\bibitem.*?)(?=\\bibitem|$)"), F.lit(1))
+
+
+def parse_bibitems(c: Column) -> Column:
+    return F.transform(bibitem_blocks(c), bibitem_fields)
+
+
 def split_sentences(c: Column) -> Column:
     return F.filter(F.split(c, r"(?<=[.!?])\s+"), lambda s: s != "")
 
@@ -294,13 +401,30 @@ def cache_key(*parts: Column) -> Column:
     return F.left(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), F.lit(16))
 
 
+def cache_key_of(parts: Column) -> Column:
+    """``cache_key`` with the parts in an array; null parts are empty."""
+    return F.left(F.sha2(F.array_join(parts, "|", ""), 256), F.lit(16))
+
+
+def longest_of(texts: Column) -> Column:
+    """The text with the most words, the first of equals."""
+    most = F.array_max(F.transform(texts, word_count))
+    return F.try_element_at(F.filter(texts, lambda t: word_count(t) == most), F.lit(1))
+
+
+def hashed_words(c: Column, places: Column | int = 256) -> Column:
+    """How many words fall into each place by hash: a vector without a model (for one with weights see ``encode``)."""
+    words = F.transform(word_list(F.lower(c)), lambda w: F.pmod(F.xxhash64(w), _column(places)).cast("int"))
+    return F.transform(F.sequence(F.lit(0), _column(places) - 1), lambda i: F.size(F.filter(words, lambda w: w == i)).cast("double"))
+
+
 def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"(?U)\w+")).cast("long")
 
 
 def abstract_demo(sentences: Column, labels: Column) -> Column:
     """Struct (background, target): sentences labelled so, and the rest."""
-    both = F.arrays_zip(sentences.alias("s"), labels.alias("l"))
+    both = F.zip_with(sentences, labels, lambda s, l: F.struct(s.alias("s"), l.alias("l")))
     pick = lambda on: F.array_join(F.transform(F.filter(both, lambda x: (x["l"] == "background") == on), lambda x: x["s"]), " ")
     return F.struct(pick(True).alias("background"), pick(False).alias("target"))
 

@@ -32,7 +32,7 @@ def format_related(related: DataFrame, use_abstracts: bool = False) -> DataFrame
 
 
 def bibliography(refs: DataFrame, key: str) -> DataFrame:
-    line = F.concat(F.lit("["), "citation_key", F.lit("] "), "title", F.lit(". "), tx.bibliography_authors(F.col("authors")), F.lit(", "), F.coalesce(F.nullif(F.col("year"), F.lit(0)).cast("string"), F.lit("n.d.")), F.lit("."))
+    line = tx.bibliography_line(*[F.col(c) for c in ("citation_key", "title", "authors", "year")])
     return refs.where(F.coalesce("citation_key", F.lit("")) != "").groupBy(key).agg(ordered_text(line, F.col("ord"), "\n").alias("bibliography"))
 
 
@@ -46,14 +46,8 @@ def imrad(sections: DataFrame, key: str, most: int | None = None) -> DataFrame:
 
 def bibitems(df: DataFrame, column: str) -> DataFrame:
     """Explode ``\\bibitem`` blocks: key, title, year, authors (joined by ``|``)."""
-    block = F.explode(F.regexp_extract_all(F.col(column), F.lit(r"(?s)(\\bibitem.*?)(?=\\bibitem|$)"), F.lit(1)))
-    rows = df.withColumn("__b", block).drop(column)
-    body = F.regexp_replace("__b", r"^\\bibitem(\[[^\]]*\])?\{[^}]*\}", "")
-    parts = F.transform(F.split(body, r"\\newblock"), lambda p: tx.strip(F.regexp_replace(tx.squeeze(p), r"[.,]$", "")))
-    year = F.nullif(F.regexp_extract("__b", r"(?s)^.*\b((?:19|20)[0-9]{2})\b", 1), F.lit("")).try_cast("int")
-    authors = F.array_join(F.transform(F.split(F.try_element_at(parts, F.lit(1)), r",\s+|\s+and\s+"), tx.strip), "|")
-    title = F.coalesce(F.nullif(F.try_element_at(parts, F.lit(2)), F.lit("")), F.lit("Unknown Title"))
-    return rows.select(*[c for c in rows.columns if c != "__b"], F.regexp_extract("__b", r"^\\bibitem(?:\[[^\]]*\])?\{([^}]*)\}", 1).alias("key"), title.alias("title"), year.alias("year"), authors.alias("authors"))
+    rows = df.withColumn("__b", F.explode(tx.bibitem_blocks(F.col(column)))).drop(column)
+    return rows.withColumn("__f", tx.bibitem_fields(F.col("__b"))).select(*[c for c in rows.columns if c != "__b"], "__f.*")
 
 
 def sanitise(df: DataFrame, list_most: int = 50, text_most: int = 1000, depth_most: int = 6, key_most: int | None = None) -> DataFrame:
