@@ -145,6 +145,13 @@ def list_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(kinds).select("x.*").groupBy("kind").agg(F.sum("n").alias("total"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("n"), F.lit(0.0)), 6).alias("stdev"))
 
 
+def noise_share(noise: DataFrame, column: str, limits: list[float]) -> DataFrame:
+    """(limit, n, share): how many rows of ``rating_noise`` are at most each limit, and their share of all; one pass."""
+    counts = noise.agg(F.count(column).alias("all"), *[F.count_if(F.col(column) <= t).alias(f"n{i}") for i, t in enumerate(limits)])
+    rows = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("limit"), F.col(f"n{i}").alias("n")) for i, t in enumerate(limits)]))
+    return counts.select("all", rows.alias("x")).select("x.limit", "x.n", F.round(F.coalesce(F.try_divide("x.n", "all"), F.lit(0.0)), 6).alias("share"))
+
+
 def rating_noise(reviews: DataFrame, key: str, rating: str) -> DataFrame:
     """(key, variance, spread) of a paper's ratings."""
     return reviews.groupBy(key).agg(F.round(F.var_pop(rating), 6).alias("variance"), (F.max(rating) - F.min(rating)).alias("spread"))

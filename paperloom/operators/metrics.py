@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.fuzzy import lcs_length
+from paperloom.functions.stem import stem_words
 from paperloom.operators.aggregate import correlation, describe, rating_stats  # noqa: F401
 
 ratio0 = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -138,6 +138,11 @@ def run_aggregate(runs: DataFrame, columns: list[str], ok: str, cost: str) -> Da
     return m.join(total)
 
 
+def run_values(runs: DataFrame, name: str, columns: list[str], ok: str) -> DataFrame:
+    """The values that ``run_aggregate`` sums up: (name, metric, value) of successful runs, nulls left out."""
+    return unpivot(runs.where(F.col(ok)), [name], columns).where("value is not null")
+
+
 def experiment_rollup(log: DataFrame, since: str, until: str, day: str, kind: str, cost: str) -> DataFrame:
     """Count and cost by day and by type, with totals: (by, value, n, cost); value is null in the total rows."""
     d = log.withColumn("__day", F.to_date(day)).where(F.col("__day").between(F.lit(since).cast("date"), F.lit(until).cast("date")))
@@ -158,46 +163,99 @@ def unlogged_runs(runs: DataFrame, name: str, dataset: str, log: DataFrame, logg
     return runs.join(found, name, "left_anti")
 
 
-def sentence_agreement(sentences: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
-    """``sentences(key, sentence, gold)`` against ``predicted(key, background, target)``: one row of counts and F1s.
+def sentence_labels(sentences: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
+    """``sentences(key, sentence, gold)`` against ``predicted(key, background, target)``: (y_true, y_pred) of each sentence.
 
-    A sentence counts for the block that contains it; in both or in none it counts as right.
+    A sentence belongs to the predicted block that contains it, ignoring case; in both or in none it counts as right. Equal
+    sentences of one label and key are one.
     """
-    j = sentences.join(predicted, key)
+    j = sentences.select(key, "sentence", "gold").distinct().join(predicted, key)
     inside = lambda c: F.contains(F.lower(c), F.lower("sentence"))
     b, t = inside(F.col("background")), inside(F.col("target"))
     j = j.withColumn("pred", F.when(b & ~t, "background").when(t & ~b, "target").otherwise(F.col("gold")))
     return j.select(F.col("gold").alias("y_true"), F.col("pred").alias("y_pred"))
 
 
-def rouge_n(df: DataFrame, key: str, pred: str, ref: str, n: int) -> DataFrame:
-    """(key, f1) of n-gram overlaps of lower-cased words (no stemming): multiset counts within each row, no shuffle."""
+def sentence_agreement(sentences: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
+    """One row of the figures over ``sentence_labels``: true and false positives and false negatives, precision, recall and
+    F1 of both classes, macro and micro F1, accuracy and the number of sentences; ratios of nothing are 0."""
+    hit = lambda t, p: F.count_if((F.col("y_true") == t) & (F.col("y_pred") == p))
+    kinds = {"bg": ("background", "target"), "tgt": ("target", "background")}
+    sums = {f"{n}_{k}": x for k, (a, b) in kinds.items() for n, x in (("tp", hit(a, a)), ("fp", hit(b, a)), ("fn", hit(a, b)))}
+    c = sentence_labels(sentences, predicted, key).agg(F.count("*").alias("n"), *[x.alias(name) for name, x in sums.items()])
+    col = {x: F.col(x) for x in c.columns}
+    f1, out = {}, {}
+    for k in kinds:
+        p, r, f1[k] = _prf(col[f"tp_{k}"], col[f"fp_{k}"], col[f"fn_{k}"])
+        out |= {f"precision_{k}": p, f"recall_{k}": r, f"f1_{k}": f1[k]}
+    total = {x: col[f"{x}_bg"] + col[f"{x}_tgt"] for x in ("tp", "fp", "fn")}
+    out |= {"macro_f1": (f1["bg"] + f1["tgt"]) / 2, "micro_f1": _prf(**total)[2], "accuracy": ratio0(total["tp"], col["n"])}
+    return c.select("n", *sums, *[F.round(v, 6).alias(name) for name, v in out.items()])
+
+
+def _words(c: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def _compared_words(df: DataFrame, pred: str, ref: str, stem: bool) -> tuple[Column, Column]:
+    both = _words(F.col(pred)), _words(F.col(ref))
+    return tuple(stem_words(w, least=4) for w in both) if stem else both
+
+
+def rouge_n(df: DataFrame, key: str, pred: str, ref: str, n: int, stem: bool = False) -> DataFrame:
+    """(key, f1) of n-gram overlaps of lower-cased words, counted as multisets within each row, no shuffle.
+
+    With ``stem`` words of over three letters are stemmed. N-grams become 64-bit hashes on the JVM side; a batch's overlaps
+    are counted together.
+    """
+
+    def keys(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all rows, each mixed with its row, and the rows."""
+        sizes = np.array([len(x) for x in lists], dtype=np.int64)
+        row = np.repeat(np.arange(len(lists), dtype=np.uint64), sizes)
+        hashes = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists]).view(np.uint64) if sizes.sum() else np.zeros(0, np.uint64)
+        with np.errstate(over="ignore"):
+            return hashes ^ ((row + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), sizes
 
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            p, r = (Counter(zip(*[v[i:] for i in range(n)], strict=False)) for v in (list(x), list(y)))
-            total = p.total() + r.total()
-            out.append(2.0 * (p & r).total() / total if total else 0.0)
-        return pd.Series(out, dtype="float64")
+        (ka, na), (kb, nb) = keys(a), keys(b)
+        ua, first, ca = np.unique(ka, return_index=True, return_counts=True)
+        ub, cb = np.unique(kb, return_counts=True)
+        _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+        row = np.searchsorted(np.cumsum(na), first[ia], side="right")
+        shared = np.bincount(row, weights=np.minimum(ca[ia], cb[ib]), minlength=len(a))
+        return pd.Series(np.divide(2.0 * shared, na + nb, out=np.zeros(len(a)), where=na + nb > 0))
 
-    words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return df.select(key, score(words(F.col(pred)), words(F.col(ref))).alias("f1"))
+    def grams(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words) - n + 1)
+        made = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, n)))
+        return F.when(F.size(words) >= n, made).otherwise(F.array().cast("array<bigint>"))
 
+    a, b = _compared_words(df, pred, ref, stem)
+    words = df.select(key, a.alias("__a"), b.alias("__b"))
+    return words.select(key, score(grams(F.col("__a")), grams(F.col("__b"))).alias("f1"))
 
-def rouge_l(df: DataFrame, key: str, pred: str, ref: str) -> DataFrame:
+
+def rouge_l(df: DataFrame, key: str, pred: str, ref: str, stem: bool = False) -> DataFrame:
     """(key, f1) of the longest common word subsequence; Arrow batches, one integer a column of the table."""
+
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b, strict=True):
-            ids: dict[str, str] = {}
+            ids: dict[str, int] = {}
             p, r = ([ids.setdefault(w, len(ids)) for w in v] for v in (x, y))
             if len(p) > len(r):
                 p, r = r, p
             out.append(2.0 * lcs_length(p, r) / (len(p) + len(r)) if len(p) + len(r) else 0.0)
-        return pd.Series(out)
+        return pd.Series(out, dtype="float64")
+
+    return df.select(key, score(*_compared_words(df, pred, ref, stem)).alias("f1"))
+
 
-    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return df.select(key, score(words(F.col(pred)), words(F.col(ref))).alias("f1"))
+def rouge(df: DataFrame, key: str, pred: str, ref: str, stem: bool = True) -> DataFrame:
+    """(key, rouge_1, rouge_2, rouge_l) of each row; their means are the usual report."""
+    parts = [rouge_n(df, key, pred, ref, n, stem).withColumnRenamed("f1", f"rouge_{n}") for n in (1, 2)]
+    parts.append(rouge_l(df, key, pred, ref, stem).withColumnRenamed("f1", "rouge_l"))
+    return parts[0].join(parts[1], key).join(parts[2], key)

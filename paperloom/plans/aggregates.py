@@ -57,3 +57,9 @@ add("d21_rating_stats", lambda t: ag.rating_stats(REVIEWS(t), "rating", ["paper_
 add("d22_field_label_stats", lambda t: ag.field_label_stats(t.lineitem.select("l_quantity", "l_tax", F.lit(1.0).alias("one"), (C("l_linenumber") % 5).alias("label")), ["l_quantity", "l_tax", "one"], "label"), "WITH f AS (SELECT 'l_quantity' AS field, l_quantity AS v, l_linenumber % 5 AS label FROM lineitem UNION ALL SELECT 'l_tax', l_tax, l_linenumber % 5 FROM lineitem UNION ALL SELECT 'one', 1.0, l_linenumber % 5 FROM lineitem) SELECT field, CASE WHEN min(v) < max(v) AND min(label) < max(label) THEN round(corr(v, label), 6) END AS pearson, min(v) AS min, quantile_cont(v, 0.25) AS q1, median(v) AS median, quantile_cont(v, 0.75) AS q3, max(v) AS max FROM f GROUP BY field")
 add("d23_filled_distribution", lambda t: ag.filled_distribution(t.documents.select((C("doc_id") % 4 + 1).cast("int").alias("y")), "y", [1, 2, 3, 4, 5]), "SELECT l::INTEGER AS label, count(doc_id) AS n, round(100.0 * count(doc_id) / (SELECT count(*) FROM documents), 4) AS pct FROM range(1, 6) g(l) LEFT JOIN documents ON doc_id % 4 + 1 = l GROUP BY l")
 add("d24_avg_year", lambda t: ag.avg_publication_year(t.documents.select("source", F.when(C("doc_id") % 3 > 0, C("n_chars") % 30 + 1990).alias("year")), "source"), "SELECT source, round_even(avg(CASE WHEN doc_id % 3 > 0 THEN n_chars % 30 + 1990 END), 0)::INTEGER AS avg_year FROM documents GROUP BY source")
+_limits = [0.0, 0.5, 1.0, 2.0, 4.0]
+add(
+    "d17_noise_share",
+    lambda t: ag.noise_share(ag.rating_noise(REVIEWS(t), "paper_id", "rating"), "spread", _limits),
+    f"WITH p AS (SELECT max(rating) - min(rating) AS spread FROM {REVIEWS_SQL} r GROUP BY paper_id) SELECT l::DOUBLE AS \"limit\", count(*) FILTER (spread <= l) AS n, round(count(*) FILTER (spread <= l) / count(*), 6) AS share FROM p, (SELECT unnest([{', '.join(map(str, _limits))}]) AS l) GROUP BY l",
+)

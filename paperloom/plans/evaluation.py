@@ -43,8 +43,29 @@ add("e16_unlogged_runs", lambda t: me.unlogged_runs(t.orders.select(F.concat(F.w
     "SELECT CASE WHEN o_orderkey % 2 > 0 THEN 'ablation_' ELSE '' END || 'r' || o_orderkey || '_graph' AS run, o_orderstatus AS dataset FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND (l_linenumber <= 3 OR o_orderstatus = 'F'))")
 _sent = lambda t: t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "sentence")).withColumn("gold", F.when(C("i") % 2 == 0, "background").otherwise("target"))
 _blocks = lambda t: t.documents.select("doc_id", F.array_join(F.filter(F.split("text", "\n"), lambda x, i: i % 3 != 1), " ").alias("background"), F.array_join(F.filter(F.split("text", "\n"), lambda x, i: i % 3 == 1), " ").alias("target"))
-add("e17_sentence_agreement", lambda t: me.sentence_agreement(_sent(t), _blocks(t), "doc_id").groupBy("y_true", "y_pred").agg(F.count("*").alias("n")),
-    "WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), b AS (SELECT doc_id, a, lower(array_to_string(list_filter(a, lambda x, i: (i - 1) % 3 <> 1), ' ')) AS bg, lower(array_to_string(list_filter(a, lambda x, i: (i - 1) % 3 = 1), ' ')) AS tg FROM d), s AS (SELECT bg, tg, lower(unnest(a)) AS s, unnest(range(0, len(a))) AS i FROM b), p AS (SELECT CASE WHEN i % 2 = 0 THEN 'background' ELSE 'target' END AS y_true, contains(bg, s) AS ib, contains(tg, s) AS it FROM s) SELECT y_true, CASE WHEN ib AND NOT it THEN 'background' WHEN it AND NOT ib THEN 'target' ELSE y_true END AS y_pred, count(*) AS n FROM p GROUP BY ALL")
+_labels_sql = "WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), b AS (SELECT doc_id, a, lower(array_to_string(list_filter(a, lambda x, i: (i - 1) % 3 <> 1), ' ')) AS bg, lower(array_to_string(list_filter(a, lambda x, i: (i - 1) % 3 = 1), ' ')) AS tg FROM d), s AS (SELECT DISTINCT doc_id, bg, tg, s, CASE WHEN i % 2 = 0 THEN 'background' ELSE 'target' END AS y_true FROM (SELECT doc_id, bg, tg, unnest(a) AS s, unnest(range(0, len(a))) AS i FROM b)), p AS (SELECT y_true, contains(bg, lower(s)) AS ib, contains(tg, lower(s)) AS it FROM s), l AS (SELECT y_true, CASE WHEN ib AND NOT it THEN 'background' WHEN it AND NOT ib THEN 'target' ELSE y_true END AS y_pred FROM p)"
+_count = lambda t, p: f"count(*) FILTER (y_true = '{t}' AND y_pred = '{p}')"
+_zero = lambda a, b: f"CASE WHEN {b} = 0 THEN 0 ELSE ({a})::DOUBLE / ({b}) END"
+_f1 = lambda k: _zero(f"2 * tp_{k}", f"2 * tp_{k} + fp_{k} + fn_{k}")
+_report = {
+    **{f"{m}_{k}": e for k in ("bg", "tgt") for m, e in (("precision", _zero(f"tp_{k}", f"tp_{k} + fp_{k}")), ("recall", _zero(f"tp_{k}", f"tp_{k} + fn_{k}")), ("f1", _f1(k)))},
+    "macro_f1": f"({_f1('bg')} + {_f1('tgt')}) / 2",
+    "micro_f1": _zero("2 * (tp_bg + tp_tgt)", "2 * (tp_bg + tp_tgt) + fp_bg + fp_tgt + fn_bg + fn_tgt"),
+    "accuracy": _zero("tp_bg + tp_tgt", "n"),
+}
+_sides = {"bg": ("background", "target"), "tgt": ("target", "background")}
+_c = ", ".join(f"{_count(*x)} AS {n}_{k}" for k, (a, b) in _sides.items() for n, x in (("tp", (a, a)), ("fp", (b, a)), ("fn", (a, b))))
+add(
+    "e17_sentence_agreement",
+    lambda t: me.sentence_agreement(_sent(t), _blocks(t), "doc_id"),
+    f"{_labels_sql}, c AS (SELECT count(*) AS n, {_c} FROM l) SELECT *, {', '.join(f'round({e}, 6)::DOUBLE AS {n}' for n, e in _report.items())} FROM c",
+)
+add("e17_sentence_labels", lambda t: me.sentence_labels(_sent(t), _blocks(t), "doc_id").groupBy("y_true", "y_pred").agg(F.count("*").alias("n")), f"{_labels_sql} SELECT y_true, y_pred, count(*) AS n FROM l GROUP BY ALL")
+add(
+    "e13_run_values",
+    lambda t: me.run_values(t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("run"), (C("l_linestatus") == "F").alias("ok"), C("l_quantity").alias("f1"), F.when(C("l_tax") > 0.02, C("l_tax")).alias("mae")), "run", ["f1", "mae"], "ok"),
+    "SELECT l_orderkey || '-' || l_linenumber AS run, 'f1' AS metric, l_quantity::DOUBLE AS value FROM lineitem WHERE l_linestatus = 'F' UNION ALL SELECT l_orderkey || '-' || l_linenumber, 'mae', l_tax::DOUBLE FROM lineitem WHERE l_linestatus = 'F' AND l_tax > 0.02",
+)
 _w = lambda c: rf"list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 _ref = "concat_ws(' ', source, text)"
 _rouge_sql = lambda n: f"WITH w AS (SELECT doc_id, {_w('text')} AS p, {_w(_ref)} AS r FROM documents), g AS (SELECT doc_id, list_transform(range(1, len(p) - {n - 2}), lambda i: array_to_string(p[i:i+{n - 1}], ' ')) AS p, list_transform(range(1, len(r) - {n - 2}), lambda i: array_to_string(r[i:i+{n - 1}], ' ')) AS r FROM w), a AS (SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, unnest(p) AS g FROM g) GROUP BY ALL), b AS (SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, unnest(r) AS g FROM g) GROUP BY ALL), o AS (SELECT a.doc_id, sum(least(a.c, b.c)) AS o FROM a JOIN b USING (doc_id, g) GROUP BY 1) SELECT doc_id, round(CASE WHEN len(p) + len(r) = 0 THEN 0 ELSE 2 * coalesce(o, 0) / (len(p) + len(r)) END, 6)::DOUBLE AS f1 FROM g LEFT JOIN o USING (doc_id)"

@@ -1,6 +1,8 @@
 """Input and output pairs of text, date, rating and fuzzy functions."""
 
 import datetime as dt
+import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -9,7 +11,9 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import fuzzy as fz
 from paperloom.functions import ratings as rt
+from paperloom.functions import stem
 from paperloom.functions import text as tx
+from paperloom.operators import aggregate, metrics
 from paperloom.operators import filters as fl
 
 
@@ -124,3 +128,32 @@ def test_sql_registry(spark):
 def test_truncate_evidence(spark):
     text = "Summary\nSupporting Evidence:\n- a\n- b\n- c\n\nContradictory Evidence:\n- d\nConclusion: x\n- y"
     assert values(spark, lambda c: tx.truncate_evidence(c, 2), [text]) == ["Summary\nSupporting Evidence:\n- a\n- b\n\nContradictory Evidence:\n- d\nConclusion: x\n- y"]
+
+
+def test_stems():
+    """Words for each rule of the published algorithm."""
+    pairs = "caresses caress ponies poni ties ti cats cat caress caress feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc hesitanci hesit digitizer digit conformabli conform radicalli radic differentli differ vileli vile analogousli analog vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr electrical electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll".split()
+    for word, want in zip(pairs[::2], pairs[1::2], strict=True):
+        assert stem.stem(word) == want, word
+    assert stem.stem("is") == "is" and stem.stem("ärger") == "ärger" and stem.stem("") == "" and stem.stem("don't") == "don't"
+    assert stem.measure("tree") == 0 and stem.measure("trouble") == 1 and stem.measure("oaten") == 2
+
+
+def test_rouge_with_stems(spark):
+    rows = [(1, "The running dogs", "a dog was running"), (2, "", ""), (3, None, "x"), (4, "jumping jumping cats", "cat jumped"), (5, "a b a b", "a b c a b")]
+    got = {r.i: r for r in metrics.rouge(spark.createDataFrame(rows, "i int, p string, r string"), "i", "p", "r").collect()}
+
+    def f1(p, r, n):
+        cut = lambda t: [stem.stem(w) if len(w) > 3 else w for w in re.findall(r"[^\W_]+", (t or "").lower())]
+        a, b = (Counter(zip(*[cut(t)[i:] for i in range(n)], strict=False)) for t in (p, r))
+        return 2 * (a & b).total() / (a.total() + b.total()) if a.total() + b.total() else 0.0
+
+    for i, p, r in rows:
+        assert got[i].rouge_1 == pytest.approx(f1(p, r, 1)) and got[i].rouge_2 == pytest.approx(f1(p, r, 2))
+    assert got[5].rouge_l == pytest.approx(2 * 4 / 9) and got[2].rouge_l == 0
+
+
+def test_noise_share(spark):
+    df = spark.createDataFrame([(0.0,), (1.0,), (3.0,), (None,)], "spread double")
+    assert [tuple(r) for r in aggregate.noise_share(df, "spread", [0.0, 1.0, 5.0]).orderBy("limit").collect()] == [(0.0, 1, 0.333333), (1.0, 2, 0.666667), (5.0, 3, 1.0)]
+    assert aggregate.noise_share(df.limit(0), "spread", [1.0]).first()["share"] == 0
