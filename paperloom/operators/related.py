@@ -10,64 +10,99 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
+from paperloom.workspace import cut, new_path, written
 
-#: Vectors to a block of queries and to a block of nodes; one task holds one of each.
+#: Queries to a pass over the nodes: so many vectors are broadcast at once, whatever their number is.
+QUERIES = 8_192
+#: Nodes to a matrix product.
 BLOCK = 2_048
 
 
-def _blocked(df: DataFrame, key: str, columns: list[str], name: str) -> DataFrame:
-    """(block, name): rows with a vector in blocks of about ``BLOCK``, by a hash of the key."""
-    df = df.where(F.col("embedding").isNotNull())
-    blocks = max(1, -(-df.count() // BLOCK))
-    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias(f"{name}_block")).agg(F.collect_list(F.struct(key, *columns)).alias(name))
+def _passes(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bounded parts (ids, vectors) of the queries that have a vector, by a hash of the id."""
+    queries = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    passes = max(1, -(-queries.count() // QUERIES))
+    for p in range(passes):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).collect()
+        if rows:
+            yield np.array([r["query_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=np.float64)
 
 
-def _scored(queries: DataFrame, nodes: DataFrame, group: list[str], choose: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(query_id, group, node_id, score) of what ``choose`` takes from each block of scores (queries by nodes).
+def _scored(queries: DataFrame, nodes: DataFrame, group: list[str], reduce: Callable[[list], Iterator[tuple]], keep: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(query_id, group, node_id, score): what ``keep`` takes from each block of scores (queries by nodes).
 
-    The queries are a stated set that meets all nodes: every block of queries is paired with every block of nodes, and
-    a pair is one matrix product in a task. Nothing passes through the driver but two counts.
+    The queries are a stated set that meets all nodes. A bounded part of them is broadcast at a time, and the nodes are
+    scored where they lie, so no vector is shuffled and no key gathers nodes; each task brings what ``reduce`` leaves of
+    its blocks. With several parts each one's rows are written before the next is read.
     """
-    kinds = dict(nodes.dtypes)
-    q, n = _blocked(queries, "query_id", ["embedding"], "q"), _blocked(nodes, "node_id", ["embedding", *group], "n")
-    numbers = q.select(F.collect_set("q_block").alias("all"))  # one number a block of queries
-    pairs = n.join(F.broadcast(numbers)).withColumn("q_block", F.explode("all")).drop("all").join(q, "q_block")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for asking, answering in zip(batch["q"], batch["n"], strict=True):
-                a = np.array([x["embedding"] for x in asking], dtype=np.float64)
-                ids = np.array([x["query_id"] for x in asking])
-                by: dict[tuple, list] = {}
-                for x in answering:
-                    by.setdefault(tuple(x[g] for g in group), []).append(x)
-                for values, members in by.items():
-                    members.sort(key=lambda x: x["node_id"])
-                    b = np.array([x["embedding"] for x in members], dtype=np.float64)
-                    s = np.clip((a @ b.T) / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :] + 1e-8), 0.0, 1.0)
-                    i, j = choose(s)
-                    made = {"query_id": ids[i], **{g: [v] * len(i) for g, v in zip(group, values, strict=True)}}
-                    yield pd.DataFrame(made | {"node_id": np.array([x["node_id"] for x in members])[j], "score": s[i, j]})
-
+    spark, kinds = nodes.sparkSession, dict(nodes.dtypes)
     schema = ", ".join([f"query_id {dict(queries.dtypes)['query_id']}", *[f"{g} {kinds[g]}" for g in group], f"node_id {kinds['node_id']}", "score double"])
-    return pairs.select("q", "n").mapInPandas(run, schema)
+    nodes = nodes.where(F.col("embedding").isNotNull()).select("node_id", "embedding", *group)
+
+    def scored(ids: np.ndarray, a: np.ndarray) -> DataFrame:
+        held = spark.sparkContext.broadcast((ids, a / (np.sqrt((a * a).sum(1))[:, None] + 1e-300), np.sqrt((a * a).sum(1))))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, unit, norms = held.value
+            best: dict[tuple, list] = {}
+            for batch in batches:
+                for values, part in [((), batch)] if not group else batch.groupby(group, sort=False, dropna=False):
+                    for at in range(0, len(part), BLOCK):
+                        some = part.iloc[at : at + BLOCK]
+                        b = np.array(some["embedding"].tolist(), dtype=np.float64)
+                        own = np.sqrt((b * b).sum(1))
+                        s = np.clip((unit @ b.T) * norms[:, None] / (norms[:, None] * own[None, :] + 1e-8), 0.0, 1.0)
+                        i, j = keep(s)
+                        best.setdefault(values, []).append((i, some["node_id"].to_numpy()[j], s[i, j]))
+                        if len(best[values]) > 8:
+                            best[values] = [reduce(best[values])]
+            for values, found in best.items():
+                i, node, s = reduce(found)
+                named = {g: pd.Series([None if pd.isna(v) else v] * len(i), dtype="object") for g, v in zip(group, values, strict=True)}
+                yield pd.DataFrame({"query_id": ids[i], **named, "node_id": node, "score": s})
+
+        return nodes.mapInPandas(run, schema)
+
+    parts = _passes(queries)
+    first, second = next(parts, None), next(parts, None)
+    if first is None:
+        return spark.createDataFrame([], schema)
+    if second is None:
+        return scored(*first)
+    path = new_path(spark, "vector-scores")
+    for part in (first, second, *parts):
+        scored(*part).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _joined(found: list) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def semantic_topk(queries: DataFrame, nodes: DataFrame, k: int, group: list[str] | None = None, legacy: bool = False, apart: bool = False) -> DataFrame:
     """``queries(query_id, embedding)``, ``nodes(node_id, embedding[, group])``: (query_id, group, node_id, score, r).
 
-    Exact cosine clipped to [0, 1], best ``k`` a query (and group), ties by node id. A pair of blocks gives at most ``k``
-    nodes a query and group, so what is shuffled is queries x blocks of nodes x k rows. With ``apart`` no query is its
-    own answer.
+    Exact cosine clipped to [0, 1], best ``k`` a query (and group), ties by node id. A task gives at most ``k`` nodes a
+    query and group, so what is shuffled is queries x tasks x k rows. With ``apart`` no query is its own answer.
     """
     group = group or []
     most = k + 1 if apart else k
 
-    def best(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        top = np.argsort(-s, axis=1, kind="stable")[:, :most]
-        return np.repeat(np.arange(len(s)), top.shape[1]), top.ravel()
-
-    out = _scored(queries, nodes, group, best)
+    def keep(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best of a block, and all that equal its last (ties go by node id)."""
+        if s.shape[1] <= most:
+            return np.repeat(np.arange(len(s)), s.shape[1]), np.tile(np.arange(s.shape[1]), len(s))
+        return np.nonzero(s >= np.partition(s, -most, axis=1)[:, -most][:, None])
+
+    def reduce(found: list) -> tuple[np.ndarray, ...]:
+        i, node, s = _joined(found)
+        order = np.lexsort((node, -s, i))
+        i, node, s = i[order], node[order], s[order]
+        first = np.searchsorted(i, i)
+        inside = np.arange(len(i)) - first < most
+        return i[inside], node[inside], s[inside]
+
+    out = _scored(queries, nodes, group, reduce, keep)
     out = out.where("node_id <> query_id") if apart else out
     out = out.withColumn("r", F.row_number().over(Window.partitionBy("query_id", *group).orderBy(F.desc("score"), "node_id"))).where(F.col("r") <= k)
     # the angular distance d of unit vectors gives the old score 1 - d / 2
@@ -76,13 +111,81 @@ def semantic_topk(queries: DataFrame, nodes: DataFrame, k: int, group: list[str]
 
 def semantic_above(queries: DataFrame, nodes: DataFrame, threshold: float, group: list[str] | None = None) -> DataFrame:
     """(query_id, group, node_id, score) of all nodes with at least this score."""
-    return _scored(queries, nodes, group or [], lambda s: np.nonzero(s >= threshold))
+    return _scored(queries, nodes, group or [], _joined, lambda s: np.nonzero(s >= threshold))
 
 
 def vector_search(queries: DataFrame, sentences: DataFrame, k: int = 5, threshold: float = 0.6, apart: bool = False) -> DataFrame:
     return semantic_topk(queries, sentences, k, apart=apart).where(F.col("score") >= threshold)
 
 
+def signature_index(nodes: DataFrame, tables: int = 16, bits: int = 8, seed: int = 1) -> DataFrame:
+    """The index of the approximate search: (t, bucket, node_id), a row a node and table; write it once and keep it.
+
+    A bucket is the side of ``bits`` random planes that a vector lies on, so vectors at a small angle often share one.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                keys = _signatures(np.array(batch["embedding"].tolist(), dtype=np.float64), tables, bits, seed)
+                yield pd.DataFrame({"t": np.tile(np.arange(tables, dtype=np.int32), len(batch)), "bucket": keys.ravel(), "node_id": np.repeat(batch["node_id"].to_numpy(), tables)})
+
+    return nodes.where(F.col("embedding").isNotNull()).select("node_id", "embedding").mapInPandas(run, f"t int, bucket long, node_id {dict(nodes.dtypes)['node_id']}")
+
+
+def _signatures(x: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
+    planes = np.random.default_rng(seed).standard_normal((x.shape[1], tables * bits))
+    return (x @ planes > 0).reshape(len(x), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def approximate_search(queries: DataFrame, nodes: DataFrame, k: int = 5, threshold: float = 0.6, tables: int = 16, bits: int = 8, index: DataFrame | None = None, apart: bool = False) -> DataFrame:
+    """``vector_search`` over the nodes that share a bucket with the query: (query_id, node_id, score, r).
+
+    Scores are exact; nodes in no common bucket are missed, so the result is approximate. ``index`` is a kept
+    ``signature_index`` with the same tables and bits. Only ids pass the first join; each query's and node's vector meets
+    the pairs once. A frequent bucket is split by Spark's skew join, its pairs are the candidates and no more.
+    """
+    index = signature_index(nodes, tables, bits) if index is None else index
+    asked = signature_index(queries.select(F.col("query_id").alias("node_id"), "embedding"), tables, bits).withColumnRenamed("node_id", "query_id")
+    pairs = asked.join(index, ["t", "bucket"]).select("query_id", "node_id").distinct()
+    pairs = pairs.where("query_id <> node_id") if apart else pairs
+
+    @F.pandas_udf("double")
+    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+        if a.empty:
+            return pd.Series([], dtype="float64")
+        x, y = np.stack(a.to_list()).astype(np.float64), np.stack(b.to_list()).astype(np.float64)
+        norms = np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y))
+        return pd.Series(np.clip(np.einsum("ij,ij->i", x, y) / (norms + 1e-8), 0.0, 1.0))
+
+    q, n = queries.select("query_id", F.col("embedding").alias("a")), nodes.select("node_id", F.col("embedding").alias("b"))
+    scored = pairs.join(q, "query_id").join(n, "node_id").select("query_id", "node_id", cosine("a", "b").alias("score")).where(F.col("score") >= threshold)
+    return scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))).where(F.col("r") <= k)
+
+
+def search_recall(queries: DataFrame, nodes: DataFrame, k: int = 5, threshold: float = 0.6, tables: int = 16, bits: int = 8, sample: int = 200, apart: bool = False) -> float:
+    """Share of the exact answers of a sample of queries (by hash) that the approximate search finds; 1 if there are none."""
+    some = cut(queries.orderBy(F.xxhash64("query_id")).limit(sample))
+    truth = cut(vector_search(some, nodes, k, threshold, apart).select("query_id", "node_id"))
+    found = approximate_search(some, nodes, k, threshold, tables, bits, apart=apart).select("query_id", "node_id")
+    total = truth.count()
+    return truth.join(found, ["query_id", "node_id"], "left_semi").count() / total if total else 1.0
+
+
+def audited_search(queries: DataFrame, nodes: DataFrame, k: int = 5, threshold: float = 0.6, recall: float = 0.9, bits: int = 8, most: int = 128, apart: bool = False) -> DataFrame:
+    """``approximate_search`` with as many tables as the recall of a sample asks for: doubled until it is reached.
+
+    Adds the column ``recall`` (of the sample). If ``most`` tables don't reach it the search is exact.
+    """
+    tables = 8
+    while tables <= most:
+        got = search_recall(queries, nodes, k, threshold, tables, bits, apart=apart)
+        if got >= recall:
+            return approximate_search(queries, nodes, k, threshold, tables, bits, written(signature_index(nodes, tables, bits), "signatures"), apart).withColumn("recall", F.lit(got))
+        tables *= 2
+    return vector_search(queries, nodes, k, threshold, apart).withColumn("recall", F.lit(1.0))
+
+
 def find_best(queries: DataFrame, sentences: DataFrame, threshold: float = 0.6, apart: bool = False) -> DataFrame:
     """One row a query; node and score are null if nothing reaches the threshold."""
     return queries.select("query_id").join(vector_search(queries, sentences, 1, threshold, apart).drop("r"), "query_id", "left")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from paperloom import workspace
 from paperloom.functions import text as tx
 from paperloom.operators import related as rl
 from paperloom.operators import sampling as sa
+from paperloom.operators import textindex as ti
 from paperloom.operators.joins import concat_all  # noqa: F401
-from paperloom.plans.base import add
+from paperloom.plans.base import ORACLE, add
 from paperloom.plans.texts import SQL_TITLE, TITLE
 
 C = F.col
@@ -27,10 +29,15 @@ add("f12_vector_search", lambda t: rl.vector_search(ASK(t), NODES(t), 5, 0.3, ap
     f"WITH {E} SELECT query_id, node_id, round(score, 4) AS score FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 5) WHERE score >= 0.3")
 add("f12_find_best", lambda t: rl.find_best(ASK(t), NODES(t), 0.35, apart=True).select("query_id", "node_id", F.round("score", 4).alias("score")),
     f"WITH {E}, b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) = 1) SELECT query_id, CASE WHEN score >= 0.35 THEN node_id END AS node_id, CASE WHEN score >= 0.35 THEN round(score, 4) END AS score FROM b")
+# near copies only: the buckets find these (the tests measure the recall), and the twin is the exact answer
+add("f12_approximate_search", lambda t: rl.audited_search(ASK(t), NODES(t).drop("kind"), 5, 0.9, recall=0.99, bits=6, apart=True).select("query_id", "node_id", F.round("score", 4).alias("score"), "r"),
+    f"WITH {E} SELECT query_id, node_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id)::INTEGER AS r FROM s WHERE score >= 0.9 QUALIFY r <= 5")
 _name = lambda c: F.concat(F.lit("title "), F.translate(c.cast("string"), "0123456789", "abcdefghij"))
-_cited = lambda t: t.lineitem.select((C("l_orderkey") % 2003).alias("paper_id"), _name(C("l_partkey") % 2003).alias("cited_title"), F.when(C("l_returnflag") == "R", "negative").otherwise("positive").alias("polarity")).distinct()
+#: Ids are dealt over the whole table: one more than the largest.
+_size = lambda t: F.lit(t.embeddings.agg(F.max("vec_id")).first()[0] + 1)
+_cited = lambda t: t.lineitem.select((C("l_orderkey") % _size(t)).alias("paper_id"), _name((C("l_partkey") * 7919 + C("l_linenumber")) % _size(t)).alias("cited_title"), F.when(C("l_returnflag") == "R", "negative").otherwise("positive").alias("polarity")).distinct()
 _scores = lambda t: rl.citation_scores(t.embeddings.select(C("vec_id").alias("paper_id"), _name(C("vec_id")).alias("title")), _cited(t), t.embeddings.select(_name(C("vec_id")).alias("title"), "embedding"))
-_cite_sql = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT DISTINCT l_orderkey % 2003 AS paper_id, l_partkey % 2003 AS cited, CASE WHEN l_returnflag = 'R' THEN 'negative' ELSE 'positive' END AS polarity FROM lineitem), c AS (SELECT paper_id, polarity, 'title ' || translate(cited::VARCHAR, '0123456789', 'abcdefghij') AS cited_title, " + COS + " AS score FROM x JOIN e q ON q.vec_id = paper_id JOIN e n ON n.vec_id = cited)"
+_cite_sql = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT DISTINCT l_orderkey % n AS paper_id, (l_partkey * 7919 + l_linenumber) % n AS cited, CASE WHEN l_returnflag = 'R' THEN 'negative' ELSE 'positive' END AS polarity FROM lineitem, (SELECT max(vec_id) + 1 AS n FROM embeddings)), c AS (SELECT paper_id, polarity, 'title ' || translate(cited::VARCHAR, '0123456789', 'abcdefghij') AS cited_title, " + COS + " AS score FROM x JOIN e q ON q.vec_id = paper_id JOIN e n ON n.vec_id = cited)"
 add("f13_citation_scores", lambda t: _scores(t).where("r <= 5").select("paper_id", "polarity", "cited_title", F.round("score", 4).alias("score")), f"WITH {_cite_sql} SELECT paper_id, polarity, cited_title, round(score, 4) AS score FROM c QUALIFY row_number() OVER (PARTITION BY paper_id, polarity ORDER BY score DESC, cited_title) <= 5")
 add("f25_top_reference_titles", lambda t: rl.top_reference_titles(_scores(t), 1), f"WITH {_cite_sql} SELECT DISTINCT cited_title AS title FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY paper_id, polarity ORDER BY score DESC, cited_title) = 1)")
 add("f14_base_input_match", lambda t: rl.base_input_match(t.embeddings.where("vec_id % 100 = 0").select(F.floor(C("vec_id") / 200).alias("paper_id"), F.floor(C("vec_id") / 200).alias("relation_id"), C("vec_id").alias("query_id"), "embedding"), t.embeddings.select(C("vec_id").alias("node_id"), "embedding"), apart=True).select("paper_id", "relation_id", "node_id", F.round("score", 4).alias("score")),
@@ -46,8 +53,10 @@ SIDES = lambda t: SEM(t).where((C("query_id") % 2 == 0) == (C("kind") == "backgr
 SIDES_SQL = f"{E_PAPERS}, sem AS (SELECT query_id // 2 AS query_id, kind, node_id // 2 AS paper_id, score FROM s WHERE (query_id % 2 = 0) = (kind = 'background'))"
 TWO = "two AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, paper_id) AS r0 FROM sem QUALIFY r0 <= 2 * {k}), both_ AS (SELECT query_id, paper_id FROM two GROUP BY ALL HAVING count(DISTINCT kind) > 1), side AS (SELECT query_id, kind, paper_id, score, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, paper_id) AS r FROM two ANTI JOIN both_ USING (query_id, paper_id) QUALIFY r <= {k})"
 add("h2_two_sided_topk", lambda t: rl.two_sided_topk(SIDES(t), 20).select("query_id", "kind", "paper_id", F.round("score", 4).alias("score"), "r"), f"WITH {SIDES_SQL}, {TWO.format(k=20)} SELECT query_id, kind, paper_id, round(score, 4) AS score, r::INTEGER AS r FROM side")
-CITES = lambda t: t.lineitem.select((C("l_orderkey") % 250 * 100).alias("query_id"), (C("l_partkey") % 250).alias("paper_id"), F.when(C("l_returnflag") == "R", "negative").otherwise("positive").alias("polarity"), F.round(1 - C("l_discount"), 6).alias("score")).groupBy("query_id", "paper_id").agg(F.max("score").alias("score"), F.min("polarity").alias("polarity"))
-CITES_SQL = "cit AS (SELECT l_orderkey % 250 * 100 AS query_id, l_partkey % 250 AS paper_id, max(round(1 - l_discount, 6)) AS score, min(CASE WHEN l_returnflag = 'R' THEN 'negative' ELSE 'positive' END) AS polarity FROM lineitem GROUP BY 1, 2)"
+#: Papers are pairs of vectors; every one may be cited, and each hundredth asks.
+_papers = lambda t: F.floor((_size(t) + 1) / 2)
+CITES = lambda t: t.lineitem.select((C("l_orderkey") % F.ceil(_papers(t) / 100) * 100).alias("query_id"), ((C("l_partkey") * 7919 + C("l_linenumber")) % _papers(t)).alias("paper_id"), F.when(C("l_returnflag") == "R", "negative").otherwise("positive").alias("polarity"), F.round(1 - C("l_discount"), 6).alias("score")).groupBy("query_id", "paper_id").agg(F.max("score").alias("score"), F.min("polarity").alias("polarity"))
+CITES_SQL = "cit AS (SELECT l_orderkey % (n // 200 + CASE WHEN n % 200 > 0 THEN 1 ELSE 0 END) * 100 AS query_id, (l_partkey * 7919 + l_linenumber) % ((n + 1) // 2) AS paper_id, max(round(1 - l_discount, 6)) AS score, min(CASE WHEN l_returnflag = 'R' THEN 'negative' ELSE 'positive' END) AS polarity FROM lineitem, (SELECT max(vec_id) + 1 AS n FROM embeddings) GROUP BY 1, 2)"
 _union = "u AS (SELECT query_id, paper_id, 'citation' AS source, polarity, score, r FROM c UNION ALL SELECT query_id, paper_id, 'semantic', CASE WHEN kind = 'background' THEN 'positive' ELSE 'negative' END, score, r FROM side) SELECT query_id, paper_id, source, polarity, round(score, 4) AS score FROM u QUALIFY row_number() OVER (PARTITION BY query_id, paper_id ORDER BY CASE WHEN source = 'citation' AND polarity = 'positive' THEN 0 WHEN source = 'citation' THEN 1 WHEN polarity = 'negative' THEN 2 ELSE 3 END, r) = 1"
 _c_sql = "c AS (SELECT *, row_number() OVER (PARTITION BY query_id, polarity ORDER BY score DESC, paper_id) AS r FROM cit QUALIFY r <= {k})"
 _shown = lambda d: d.select("query_id", "paper_id", "source", "polarity", F.round("score", 4).alias("score"))
@@ -73,6 +82,25 @@ add("h6_combine_results", lambda t: sa.combine_results(_hit(t, "lang = 'en'"), _
 _cnt = lambda c, w: rf"len(list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda x: x IN ({w})))"
 add("h7_fulltext_search", lambda t: sa.fulltext_search(t.documents.select(C("doc_id").alias("id"), TITLE().alias("title"), C("text").alias("abstract"), C("n_chars").alias("citation_count")), "The of", 100),
     f"WITH d AS (SELECT doc_id AS id, n_chars AS citation_count, {_cnt(SQL_TITLE, chr(39) + 'the' + chr(39))} + {_cnt(SQL_TITLE, chr(39) + 'of' + chr(39))} AS t, {_cnt('text', chr(39) + 'the' + chr(39))} AS a1, {_cnt('text', chr(39) + 'of' + chr(39))} AS a2, {_cnt(SQL_TITLE, chr(39) + 'the' + chr(39))} AS t1, {_cnt(SQL_TITLE, chr(39) + 'of' + chr(39))} AS t2 FROM documents) SELECT id, citation_count, round(t + (a1 + a2) * 0.4, 6)::DOUBLE AS score FROM d WHERE a1 + t1 > 0 AND a2 + t2 > 0 ORDER BY score DESC, citation_count DESC, id LIMIT 100")
+_papers_of = lambda t: t.documents.select(C("doc_id").alias("id"), TITLE().alias("title"), C("text").alias("abstract"), C("n_chars").alias("citation_count"))
+
+
+def _index(t):
+    """The index of all documents, written to the shared folder and read again."""
+    path = workspace.new_path(t.spark, "text-index")
+    ti.write_index(_papers_of(t), path)
+    return ti.read_index(t.spark, path)
+
+
+add("h7_index_search", lambda t: ti.search_index(_index(t), "The of", 100), ORACLE["h7_fulltext_search"])
+_terms_sql = r"list_filter(regexp_split_to_array(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+add(
+    "h7_index_queries",
+    lambda t: ti.search_many(_index(t), t.benchmark.select(C("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("query")), 10),
+    f"""WITH q AS (SELECT item_id, list_distinct({_terms_sql.format(c="array_to_string(string_split(text, ' ')[1:3], ' ')")}) AS ts FROM benchmark), qt AS (SELECT item_id, len(ts) AS n, unnest(ts) AS term FROM q),
+p AS (SELECT doc_id, n_chars, w, term, count(*) AS tf FROM (SELECT doc_id, n_chars, 1.0 AS w, unnest({_terms_sql.format(c=SQL_TITLE)}) AS term FROM documents UNION ALL SELECT doc_id, n_chars, 0.4, unnest({_terms_sql.format(c='text')}) FROM documents) GROUP BY ALL)
+SELECT item_id AS query_id, doc_id AS id, n_chars AS citation_count, round(sum(w * tf), 6)::DOUBLE AS score, (row_number() OVER (PARTITION BY item_id ORDER BY sum(w * tf) DESC, n_chars DESC, doc_id))::INTEGER AS r FROM qt JOIN p USING (term) GROUP BY item_id, n, doc_id, n_chars HAVING count(DISTINCT term) = n QUALIFY r <= 10""",
+)
 _n = lambda c: f"(length({c}) - length(replace(lower({c}), 'an', ''))) // 2"
 add("h8_substring_search", lambda t: sa.substring_search(t.documents.select(C("doc_id").alias("id"), TITLE().alias("title"), C("source").alias("authors"), C("text").alias("abstract")), " AN "), f"SELECT * FROM (SELECT doc_id AS id, (10 * ({_n(SQL_TITLE)}) + 5 * ({_n('source')}) + ({_n('text')}))::BIGINT AS score FROM documents) WHERE score > 0")
 _draw = lambda c, s=0: f"md5('{s}:' || {c})"
