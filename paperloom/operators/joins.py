@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as tx
 from paperloom.functions.fuzzy import fuzzy_partial_ratio, indel_ratio, sequence_ratio_from
 from paperloom.operators.aggregate import first_by
+from paperloom.workspace import cut
 
 
 def join_reviews_metadata(reviews: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -69,13 +70,53 @@ def _letter_counts(titles: list[str]) -> np.ndarray:
     return out
 
 
+def _gram_counts(titles: list[str]) -> np.ndarray:
+    """One row a title: how often pairs of neighbouring characters fall into each of 256 places."""
+    out = np.zeros((len(titles), 256), dtype=np.int16)
+    for row, t in enumerate(titles):
+        codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        out[row] = np.bincount((codes[:-1] * 31 + codes[1:]) % 256, minlength=256)[:256] if len(codes) > 1 else 0
+    return out
+
+
+def close_pairs(a: list[str], b: list[str], least: int) -> Iterator[tuple[int, int, int]]:
+    """(i, j, score) of all pairs whose rounded indel ratio is at least ``least``.
+
+    What two titles have in common bounds their common subsequence: letters first, for all pairs at once; then, for the
+    pairs left, neighbouring letters. A character that only one title has spoils at most two of its pairs of neighbours,
+    and every gap in the subsequence one more, so few common pairs mean a short subsequence. Only the rest is aligned.
+    """
+    share = (least - 0.5) / 100
+    one, two = _letter_counts(a), _letter_counts(b)
+    both = np.zeros((len(a), len(b)), dtype=np.int32)
+    for letter in np.flatnonzero(one.any(0) & two.any(0)):
+        both += np.minimum(one[:, letter][:, None], two[:, letter][None, :])
+    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    i, j = np.nonzero(2.0 * both >= share * (na[:, None] + nb[None, :]))
+    if len(i) == 0:
+        return
+    grams_a, grams_b = _gram_counts(a), _gram_counts(b)
+    for lo in range(0, len(i), 4_096):
+        x, y = i[lo : lo + 4_096], j[lo : lo + 4_096]
+        common = np.minimum(grams_a[x], grams_b[y]).sum(1, dtype=np.int64)
+        # a common subsequence of c characters: of the na - 1 pairs of a, each of its na - c other characters spoils two at
+        # most, each of the nb - c other characters of b one more; so common >= na - 1 - 2 (na - c) - (nb - c)
+        most = (common + 1 + na[x] + nb[y]) / 3
+        ok = 2.0 * most >= share * (na[x] + nb[y])
+        for p, q in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+            score = round(indel_ratio(a[p], b[q]))
+            if score >= least:
+                yield p, q, score
+
+
 def fuzzy_title_join(queries: DataFrame, candidates: DataFrame, least: int = 80, k: int = 5, band: int = 8) -> DataFrame:
     """``queries(query)``, ``candidates(title)`` -> (query, title, score): the best ``k`` distinct titles a query.
 
     The ratio bounds the lengths: 2 * min / (a + b) >= (least - 0.5) / 100. Both sides meet in bands of length, every
-    query in all bands its bound allows, so no pair that can reach ``least`` is lost. Within a band blocks of titles are
-    compared in tasks, so pairs never become rows: the letters that two titles have in common bound their common
-    subsequence, and only pairs within that bound are aligned. A pair of blocks gives at most ``k`` titles a query.
+    query in all bands its bound allows, so no pair that can reach ``least`` is lost. A band's titles are cut into blocks,
+    and pairs of blocks are numbered first and dealt by both numbers, so a band that holds most titles is as many keys as
+    it has pairs of blocks. Pairs of titles never become rows (see ``close_pairs``); a pair of blocks gives at most ``k``
+    titles a query.
     """
     share = (least - 0.5) / 100
     q = queries.select("query").distinct().withColumn("clean", tx.match_title(F.col("query")))
@@ -84,30 +125,85 @@ def fuzzy_title_join(queries: DataFrame, candidates: DataFrame, least: int = 80,
     q = q.withColumn("band", F.explode(F.sequence(F.floor(lo / band), F.floor(hi / band))))
     c = c.withColumn("band", F.floor(F.length("clean") / band))
 
-    def blocked(df: DataFrame, text: str, name: str) -> DataFrame:
-        sizes = df.groupBy("band").agg(F.ceil(F.count("*") / TITLE_BLOCK).alias("blocks"))
-        part = F.pmod(F.xxhash64(text), F.col("blocks")).alias(f"{name}_block")
-        return df.join(sizes, "band").groupBy("band", part).agg(F.collect_list(F.struct(F.col(text).alias("text"), "clean")).alias(name))
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("band").agg(F.ceil(F.count("*") / TITLE_BLOCK).cast("int").alias(f"{name}_blocks"))
+
+    # one row a band: numbers only
+    met = cut(sizes(q, "q").join(sizes(c, "c"), "band"))
+
+    def blocked(df: DataFrame, text: str, name: str, other: str) -> DataFrame:
+        """Blocks of a side, once for each block of the other side that they meet."""
+        df = df.join(F.broadcast(met), "band").withColumn(f"{name}_block", F.pmod(F.xxhash64(text), F.col(f"{name}_blocks")).cast("int"))
+        held = df.groupBy("band", f"{name}_block", f"{other}_blocks").agg(F.collect_list(F.struct(F.col(text).alias("text"), "clean")).alias(name))
+        return held.withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))).drop(f"{other}_blocks")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for asking, answering in zip(batch["q"], batch["c"], strict=True):
-                a, b = ([x["clean"] for x in side] for side in (asking, answering))
-                one, two = _letter_counts(a), _letter_counts(b)
-                both = np.zeros((len(a), len(b)), dtype=np.int32)
-                for letter in np.flatnonzero(one.any(0) & two.any(0)):
-                    both += np.minimum(one[:, letter][:, None], two[:, letter][None, :])
-                sizes = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :]
-                out = []
-                for i, j in zip(*np.nonzero(2.0 * both >= share * sizes), strict=True):
-                    score = round(indel_ratio(a[i], b[j]))
-                    if score >= least:
-                        out.append((asking[i]["text"], answering[j]["text"], score))
-                made = pd.DataFrame(out, columns=["query", "title", "score"])
+                found = close_pairs([x["clean"] for x in asking], [x["clean"] for x in answering], least)
+                made = pd.DataFrame([(asking[i]["text"], answering[j]["text"], score) for i, j, score in found], columns=["query", "title", "score"])
                 yield made.sort_values(["score", "title"], ascending=False).groupby("query", sort=False).head(k)
 
-    met = blocked(q, "query", "q").join(blocked(c, "title", "c"), "band").select("q", "c").mapInPandas(run, "query string, title string, score int")
-    return met.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.desc("title")))).where(F.col("r") <= k).drop("r")
+    keys = ["band", "q_block", "c_block"]
+    pairs = blocked(q, "query", "q", "c").join(blocked(c, "title", "c", "q"), keys)
+    return _best_titles(pairs.select("q", "c").mapInPandas(run, "query string, title string, score int"), k)
+
+
+def _best_titles(scored: DataFrame, k: int) -> DataFrame:
+    return scored.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.desc("title")))).where(F.col("r") <= k).drop("r")
+
+
+def band_keys(titles: list[str], rows: int, bands: int, seed: int = 1) -> np.ndarray:
+    """A row a title: for each band a hash of its ``rows`` MinHashes over the title's runs of three characters."""
+    rng = np.random.default_rng(seed)
+    odd = rng.integers(0, 1 << 62, (2, rows * bands), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.empty((len(titles), bands), dtype=np.int64)
+    with np.errstate(over="ignore"):
+        for row, t in enumerate(titles):
+            codes = np.frombuffer(f" {t} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+            codes = np.pad(codes, (0, max(0, 3 - len(codes))))
+            grams = np.unique((codes[:-2] * np.uint64(1 << 42)) ^ (codes[1:-1] * np.uint64(1 << 21)) ^ codes[2:])
+            mixed = (grams[:, None] ^ (grams[:, None] >> np.uint64(29))) * odd[0] + odd[1]
+            least = (mixed ^ (mixed >> np.uint64(32))).min(0).reshape(bands, rows)
+            key = np.arange(bands, dtype=np.uint64)
+            for r in range(rows):
+                key = (key ^ least[:, r]) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(31)
+            out[row] = key.view(np.int64)
+    return out
+
+
+def minhash_title_join(queries: DataFrame, candidates: DataFrame, least: int = 80, k: int = 5, rows: int = 3, bands: int = 48) -> DataFrame:
+    """``fuzzy_title_join`` without comparing all titles of a length: only pairs that agree in a band of MinHashes are scored.
+
+    Approximate: scores are right, but pairs with few common runs of characters may be missed (``title_join_recall``
+    measures it). Titles pass the join as hashes; both texts meet the distinct pairs.
+    """
+    q, c = queries.select("query").distinct(), candidates.select("title").distinct()
+
+    @F.pandas_udf("array<bigint>")
+    def keys(clean: pd.Series) -> pd.Series:
+        return pd.Series(list(band_keys(list(clean), rows, bands)), dtype="object")
+
+    def banded(df: DataFrame, text: str) -> DataFrame:
+        return df.select(text, F.explode(keys(tx.match_title(F.col(text)))).alias("key"))
+
+    @F.pandas_udf("int")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([round(indel_ratio(x, y)) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+    pairs = banded(q, "query").join(banded(c, "title"), "key").select("query", "title").distinct()
+    scored = pairs.withColumn("score", score(tx.match_title(F.col("query")), tx.match_title(F.col("title")))).where(F.col("score") >= least)
+    return _best_titles(scored, k)
+
+
+def title_join_recall(queries: DataFrame, candidates: DataFrame, least: int = 80, k: int = 5, rows: int = 3, bands: int = 48, sample: int = 500) -> float:
+    """Share of the exact join's rows of a sample of queries (by hash) that the MinHash join finds; 1 if there are none."""
+    some = cut(queries.select("query").distinct().orderBy(F.xxhash64("query")).limit(sample))
+    truth = cut(fuzzy_title_join(some, candidates, least, k))
+    found = minhash_title_join(some, candidates, least, k, rows, bands)
+    total = truth.count()
+    return truth.join(found, ["query", "title", "score"], "left_semi").count() / total if total else 1.0
 
 
 def levenshtein_title_join(queries: DataFrame, candidates: DataFrame, most: int, k: int = 5) -> DataFrame:

@@ -22,7 +22,18 @@ add("f5_attach_content", lambda t: _content(t)[1], "SELECT source, count(quality
 add("f6_remaining", lambda t: jn.remaining(t.documents.select("doc_id"), t.labels, "doc_id")[1], "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 add("f7_test_set", lambda t: jn.restrict_to_test_set(t.customer.select(C("c_nationkey").alias("k"), "c_custkey"), t.nation.select((C("n_nationkey") + 10).alias("k")), "k")[0], "SELECT c_nationkey AS k, c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey + 10 FROM nation)")
 add("f7_missing_titles", lambda t: jn.restrict_to_test_set(t.customer.select(C("c_nationkey").alias("k"), "c_custkey"), t.nation.select((C("n_nationkey") + 10).alias("k")), "k")[1], "SELECT DISTINCT n_nationkey + 10 AS k FROM nation WHERE n_nationkey + 10 NOT IN (SELECT c_nationkey FROM customer)")
-add("f8_fuzzy_title_join", lambda t: jn.fuzzy_title_join(t.benchmark.select(TITLE().alias("query")), t.documents.select(TITLE().alias("title"))))
+
+
+def _asked_titles(t):
+    """Titles of the benchmark and of every hundredth document, as they are and misspelt: one letter left out, or in capitals."""
+    titles = t.benchmark.select(TITLE().alias("query")).unionByName(t.documents.where("doc_id % 100 = 0").select(TITLE().alias("query")))
+    spelt = [F.translate("query", x, "") for x in "adeilnorst"]
+    return titles.select(F.explode(F.array("query", F.upper("query"), *spelt)).alias("query")).where("query <> ''")
+
+
+_titles = lambda t: t.documents.select(TITLE().alias("title"))
+add("f8_fuzzy_title_join", lambda t: jn.fuzzy_title_join(_asked_titles(t), _titles(t)))
+add("f8_minhash_title_join", lambda t: jn.minhash_title_join(_asked_titles(t), _titles(t)))
 add("f8_levenshtein_join", lambda t: jn.levenshtein_title_join(t.nation.select(C("n_name").alias("query")), t.nation.select(F.concat("n_name", F.lit("x")).alias("title")).unionByName(t.customer.select(C("c_mktsegment").alias("title"))), 2),
     "WITH c AS (SELECT DISTINCT title FROM (SELECT n_name || 'x' AS title FROM nation UNION ALL SELECT c_mktsegment FROM customer)), j AS (SELECT n_name AS query, title, levenshtein(lower(n_name), lower(title))::INTEGER AS distance FROM nation, c) SELECT * FROM j WHERE distance <= 2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, title) <= 5")
 add("f9_validate_title_match", lambda t: jn.validate_title_match(t.documents.select("doc_id", TITLE().alias("a"), F.when(C("doc_id") % 2 > 0, F.concat(F.lit("On "), TITLE())).otherwise(F.lit("Unrelated subject matter 123")).alias("b")), "a", "b").select("doc_id"))

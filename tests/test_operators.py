@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.functions import text as tx
 from paperloom.operators import encode, graphs, joins, metrics, sampling, scoring, tournament
 from paperloom.sources import records
 from paperloom.streaming import operators as st
@@ -285,7 +286,9 @@ def test_titles_are_compared_whole(spark, tmp_path):
     table(spark, tmp_path, "benchmark", [(0, texts[0])], "item_id long, text string")
     run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
     titles = [t.split(".")[0] if "." in t else t[:100] for t in texts]
-    assert [(r.query, r.title, r.score) for r in run("f8_fuzzy_title_join")] == [(titles[0], titles[0], 100)]
+    found = {(r["query"], r.title): r.score for r in run("f8_fuzzy_title_join")}
+    assert found[titles[0], titles[0]] == 100 and (titles[0], titles[1]) not in found
+    assert found[titles[0].replace("e", ""), titles[0]] == round(indel_ratio(titles[0].replace("e", ""), titles[0]))
     assert {r.doc_id: r.v for r in run("g29_fuzzy_partial_ratio")} == {i: round(partial(t, "web" + t[::-1])) for i, t in enumerate(titles)}
     assert [r.labels for r in sorted(run("f16_match_aspects"))] == ["novelty", "", "", "", ""]
     assert {1, 3} <= {r.doc_id for r in run("f9_validate_title_match")}
@@ -298,6 +301,35 @@ def test_titles_are_compared_whole(spark, tmp_path):
         assert partial(a, b) == want
 
 
+@pytest.mark.parametrize("block", [1_024, 3])
+def test_fuzzy_title_join_of_one_length(spark, monkeypatch, block):
+    """All titles in one band of length, dealt over many pairs of blocks, against comparing all pairs; MinHash finds most."""
+    from paperloom.functions.fuzzy import indel_ratio
+
+    monkeypatch.setattr(joins, "TITLE_BLOCK", block)
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(40)).strip() for _ in range(12)]
+
+    def edited(t):
+        at = rng.randrange(len(t))
+        return t[:at] + rng.choice(["", "x", "yz"]) + t[at + rng.randrange(6) :]
+
+    titles = sorted({edited(edited(rng.choice(base))) for _ in range(80)})
+    asked = sorted({edited(t) for t in base} | {"", "qqqq"})
+    q, c = (spark.createDataFrame([(t,) for t in side], f"{n} string") for n, side in (("query", asked), ("title", titles)))
+    clean = {r.t: r.c for r in spark.createDataFrame([(t,) for t in asked + titles], "t string").select("t", tx.match_title(F.col("t")).alias("c")).collect()}
+    for least in (70, 80, 95):
+        want = set()
+        for a in asked:
+            scored = sorted(((round(indel_ratio(clean[a], clean[b])), b) for b in titles), reverse=True)
+            want |= {(a, b, s) for s, b in [x for x in scored if x[0] >= least][:5]}
+        got = joins.fuzzy_title_join(q, c, least)
+        assert {tuple(r) for r in got.collect()} == want and (want or least > 80)
+    near = joins.minhash_title_join(q, c, 80)
+    assert {tuple(r) for r in near.collect()} <= {tuple(r) for r in joins.fuzzy_title_join(q, c, 80, k=100).collect()}
+    assert joins.title_join_recall(q, c, 80) >= 0.9
+
+
 def test_strengths_and_trials_take_the_defaults(spark, monkeypatch):
     """No fewer rounds or shuffles than the operators' own."""
     from paperloom.plans import registry, scoring

@@ -62,7 +62,9 @@ def test_ratios(spark, t):
 
 
 def test_fuzzy_title_join(spark, t):
-    q = {r.v: r.c for r in t.benchmark.select(TITLE().alias("v")).distinct().withColumn("c", tx.match_title(F.col("v"))).collect()}
+    from paperloom.plans.joining import _asked_titles
+
+    q = {r.v: r.c for r in _asked_titles(t).select(F.col("query").alias("v")).distinct().withColumn("c", tx.match_title(F.col("v"))).collect()}
     c = {r.v: r.c for r in t.documents.select(TITLE().alias("v")).distinct().withColumn("c", tx.match_title(F.col("v"))).collect()}
     got = defaultdict(list)
     for r in rows(spark, "f8_fuzzy_title_join"):
@@ -77,6 +79,9 @@ def test_fuzzy_title_join(spark, t):
             if 200.0 * most >= 79.5 * (len(clean) + len(other)) and (s := round(indel_ratio(clean, other))) >= 80:
                 want.append((s, title))
         assert sorted(got.get(query, []), reverse=True) == sorted(want, reverse=True)[:5]
+    exact = {(q, title, s) for q, found in got.items() for s, title in found}
+    near = {(r["query"], r.title, r.score) for r in rows(spark, "f8_minhash_title_join")}
+    assert len(near & exact) >= 0.9 * len(exact) and len(exact) > 5
 
 
 def test_rate_limit(spark, t):
