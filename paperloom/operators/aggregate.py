@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
+from paperloom.operators.quantiles import quantiles, with_quantiles
 from paperloom.functions.ratings import final_rating
 
 
@@ -16,14 +17,16 @@ def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
 
 def describe(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """count, mean, std (0 for one row), min, quartiles (interpolated), max."""
-    v = F.col(value)
-    q = [F.percentile(v, p).alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.75)]
-    return df.groupBy(*(keys or [])).agg(F.count(v).alias("count"), F.round(F.avg(v), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 6).alias("std"), F.min(v).cast("double").alias("min"), *q, F.max(v).cast("double").alias("max"))
+    keys, v = keys or [], F.col(value)
+    rest = df.groupBy(*keys).agg(F.count(v).alias("count"), F.round(F.avg(v), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 6).alias("std"), F.min(v).cast("double").alias("min"), F.max(v).cast("double").alias("max"))
+    q = quantiles(df, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, keys)
+    return with_quantiles(rest, q, keys).select(*keys, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def rating_stats(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
-    v = F.col(value)
-    return df.groupBy(*(keys or [])).agg(F.round(F.avg(v), 6).alias("mean"), F.median(v).alias("median"), F.round(F.when(F.count(v) > 2, F.stddev_samp(v)).otherwise(0.0), 6).alias("stdev"))
+    keys, v = keys or [], F.col(value)
+    rest = df.groupBy(*keys).agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.when(F.count(v) > 2, F.stddev_samp(v)).otherwise(0.0), 6).alias("stdev"))
+    return with_quantiles(rest, quantiles(df, value, {"median": 0.5}, keys), keys).select(*keys, "mean", "median", "stdev")
 
 
 def group_lists(df: DataFrame, key: str, value: str, order_by: str) -> DataFrame:
@@ -199,8 +202,9 @@ def correlation(x: Column, y: Column) -> Column:
 def field_label_stats(df: DataFrame, fields: list[str], label: str) -> DataFrame:
     """(field, pearson, min, q1, median, q3, max) of each count column against the label."""
     f = df.select(F.col(label).cast("double").alias("label"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("v")) for c in fields])).alias("x")).select("label", "x.*")
-    q = [F.percentile("v", p).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
-    return f.groupBy("field").agg(F.round(correlation(F.col("v"), F.col("label")), 6).alias("pearson"), F.min("v").alias("min"), *q, F.max("v").alias("max"))
+    rest = f.groupBy("field").agg(F.round(correlation(F.col("v"), F.col("label")), 6).alias("pearson"), F.min("v").alias("min"), F.max("v").alias("max"))
+    q = quantiles(f, "v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["field"])
+    return with_quantiles(rest, q, ["field"]).select("field", "pearson", "min", "q1", "median", "q3", "max")
 
 
 def filled_distribution(df: DataFrame, column: str, labels: list) -> DataFrame:

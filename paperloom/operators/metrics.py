@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.fuzzy import lcs_length
 from paperloom.functions.stem import stem_words
 from paperloom.operators.aggregate import correlation, describe, rating_stats  # noqa: F401
+from paperloom.operators.quantiles import quantiles, with_quantiles
 
 ratio0 = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
@@ -134,8 +135,10 @@ def judge_aggregate(evals: DataFrame, key: str, columns: list[str]) -> DataFrame
 def run_aggregate(runs: DataFrame, columns: list[str], ok: str, cost: str) -> DataFrame:
     """Over successful runs, a row a metric: mean, median, stdev (null for one value), min, max; total cost of all runs."""
     total = runs.agg(F.round(F.sum(cost), 4).alias("total_cost"))
-    m = unpivot(runs.where(F.col(ok)), [], columns).groupBy("metric").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"), F.round(F.stddev_samp("value"), 6).alias("stdev"), F.min("value").alias("min"), F.max("value").alias("max"))
-    return m.join(total)
+    values = unpivot(runs.where(F.col(ok)), [], columns)
+    m = values.groupBy("metric").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("stdev"), F.min("value").alias("min"), F.max("value").alias("max"))
+    m = with_quantiles(m, quantiles(values, "value", {"median": 0.5}, ["metric"]), ["metric"]).withColumn("median", F.round("median", 6))
+    return m.select("metric", "n", "mean", "median", "stdev", "min", "max").join(total)
 
 
 def run_values(runs: DataFrame, name: str, columns: list[str], ok: str) -> DataFrame:

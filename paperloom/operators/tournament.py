@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from paperloom import workspace
 from paperloom.functions import text as tx
+from paperloom.operators.folds import ordered_fold
+from paperloom.operators.quantiles import quantiles, with_quantiles
 
-ELO_ROW = "metric string, item string, rating double, wins long, losses long, ties long"
+ELO_ROW = "item string, rating double, wins long, losses long, ties long"
 
 
 def _mirrored(matches: DataFrame) -> DataFrame:
@@ -41,15 +43,17 @@ def elo_step(ratings: dict, a, b, winner: str, k: float, base: float, div: float
         side[{1.0: 1, 0.0: 2}.get(s, 3)] += 1
 
 
-def _replay(matches: DataFrame, keys: list[str], schema: str, k: float, base: float, div: float) -> DataFrame:
-    """Ordered replay of each key's matches: an ordered fold is parallel over keys only."""
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ratings: dict = {}
-        for a, b, w in pdf.sort_values("__order")[["item_a", "item_b", "winner"]].itertuples(index=False):
+def _replay(matches: DataFrame, keys: list[str], k: float, base: float, div: float) -> DataFrame:
+    """Ordered replay of each key's matches: parallel over keys, and of a key only the items' ratings are held."""
+
+    def step(ratings: dict, rows: pd.DataFrame) -> None:
+        for a, b, w in rows[["item_a", "item_b", "winner"]].itertuples(index=False):
             elo_step(ratings, a, b, w, k, base, div)
-        return pd.DataFrame([(*key, item, *r) for item, r in ratings.items()], columns=[c.split()[0] for c in schema.split(", ")])
 
-    return matches.groupBy(*keys).applyInPandas(fold, schema)
+    def end(ratings: dict) -> pd.DataFrame:
+        return pd.DataFrame([(item, *r) for item, r in ratings.items()], columns=["item", "rating", "wins", "losses", "ties"])
+
+    return ordered_fold(matches, keys, ["__order"], dict, step, end, ELO_ROW)
 
 
 def ranked(ratings: DataFrame) -> DataFrame:
@@ -58,14 +62,14 @@ def ranked(ratings: DataFrame) -> DataFrame:
 
 def elo(matches: DataFrame, k: float = 32, base: float = 1200, div: float = 400) -> DataFrame:
     m = matches.select("metric", "item_a", "item_b", "winner", F.col("seq").alias("__order"))
-    return ranked(_replay(m, ["metric"], ELO_ROW, k, base, div))
+    return ranked(_replay(m, ["metric"], k, base, div))
 
 
 def melo(matches: DataFrame, trials: int = 10, seed: int = 0, k: float = 32, base: float = 1200, div: float = 400) -> DataFrame:
     """Mean rating over shuffled replays; truncated means of wins, losses and ties."""
     m = matches.select("metric", "item_a", "item_b", "winner", "seq").withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     m = m.withColumn("__order", F.struct(F.xxhash64("seq", "trial", F.lit(seed)).alias("h"), "seq")).withColumn("__order", F.concat(F.hex("__order.h"), F.lpad(F.col("seq").cast("string"), 20, "0"))).drop("seq")
-    r = _replay(m, ["metric", "trial"], ELO_ROW.replace("metric string,", "metric string, trial int,"), k, base, div)
+    r = _replay(m, ["metric", "trial"], k, base, div)
     return ranked(r.groupBy("metric", "item").agg(F.avg("rating").alias("rating"), *[F.floor(F.avg(c)).alias(c) for c in ("wins", "losses", "ties")]))
 
 
@@ -115,4 +119,5 @@ def overall_ranks(rankings: DataFrame) -> DataFrame:
 def rationale_token_stats(matches: DataFrame) -> DataFrame:
     """(item, n, mean, median, stdev, min, max) of rationale lengths over both sides."""
     both = matches.select(F.col("item_a").alias("item"), tx.count_tokens(F.col("rationale_a")).alias("n")).unionByName(matches.select(F.col("item_b").alias("item"), tx.count_tokens(F.col("rationale_b")).alias("n")))
-    return both.groupBy("item").agg(F.count("*").alias("count"), F.round(F.avg("n"), 6).alias("mean"), F.median("n").alias("median"), F.round(F.coalesce(F.stddev_samp("n"), F.lit(0.0)), 6).alias("stdev"), F.min("n").alias("min"), F.max("n").alias("max"))
+    rest = both.groupBy("item").agg(F.count("*").alias("count"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("n"), F.lit(0.0)), 6).alias("stdev"), F.min("n").alias("min"), F.max("n").alias("max"))
+    return with_quantiles(rest, quantiles(both, "n", {"median": 0.5}, ["item"]), ["item"]).select("item", "count", "mean", "median", "stdev", "min", "max")

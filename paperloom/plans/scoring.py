@@ -32,7 +32,12 @@ MATCHES = lambda t: t.events.select(C("event_id").alias("seq"), C("event_type").
 M = "m AS (SELECT event_id AS seq, event_type AS metric, 'u' || (user_id % 12) AS item_a, 'u' || ((user_id % 12 + 1 + event_id % 11) % 12) AS item_b, CASE WHEN value < 5 THEN 1.0 WHEN value < 12 THEN 0.0 ELSE 0.5 END AS w FROM events), s AS (SELECT metric, item_a AS item, item_b AS other, w FROM m UNION ALL SELECT metric, item_b, item_a, 1 - w FROM m)"
 add("j7_head_to_head", lambda t: to.head_to_head(MATCHES(t)), f"WITH {M}, i AS (SELECT DISTINCT metric, item FROM s) SELECT a.metric, a.item, b.item AS other, count(*) FILTER (w = 1) AS wins, count(*) FILTER (w = 0.5) AS ties, count(*) FILTER (w = 0) AS losses FROM i a JOIN i b ON a.metric = b.metric AND a.item <> b.item LEFT JOIN s ON s.metric = a.metric AND s.item = a.item AND s.other = b.item GROUP BY ALL")
 _r = lambda d, c: d.withColumn(c, F.round(c, 4))
-add("j8_elo", lambda t: _r(to.elo(MATCHES(t)), "rating"))
+# the twin folds each metric's matches, in order, into a map of ratings
+_old = lambda x: f"coalesce(acc.r[x.{x}], 1200.0)"
+_gain = f"32 * (x.w - 1 / (1 + pow(10.0, ({_old('b')} - {_old('a')}) / 400)))"
+_fold_sql = f"""SELECT metric, list_reduce(list({{'r': MAP {{}}::MAP(VARCHAR, DOUBLE), 'a': item_a, 'b': item_b, 'w': w::DOUBLE}} ORDER BY seq), lambda acc, x: {{'r': map_concat(acc.r, MAP {{x.a: {_old('a')} + {_gain}, x.b: {_old('b')} - {_gain}}}), 'a': '', 'b': '', 'w': 0.0}}, {{'r': MAP {{}}::MAP(VARCHAR, DOUBLE), 'a': '', 'b': '', 'w': 0.0::DOUBLE}}).r AS r FROM m GROUP BY metric"""
+add("j8_elo", lambda t: _r(to.elo(MATCHES(t)), "rating"),
+    f"WITH {M}, f AS ({_fold_sql}), e AS (SELECT metric, unnest(map_entries(r), recursive := true) FROM f), n AS (SELECT metric, item, count(*) FILTER (w = 1) AS wins, count(*) FILTER (w = 0) AS losses, count(*) FILTER (w = 0.5) AS ties FROM s GROUP BY ALL) SELECT metric, item, round(value, 4) AS rating, wins, losses, ties, (row_number() OVER (PARTITION BY metric ORDER BY value DESC, item))::INTEGER AS rank FROM e JOIN n USING (metric) WHERE n.item = e.key")
 add("j9_melo", lambda t: _r(to.melo(MATCHES(t)), "rating"))
 add("j10_bradley_terry", lambda t: _r(to.bradley_terry(MATCHES(t)), "strength"))
 _ranks = lambda t: t.events.groupBy(C("event_type").alias("metric"), (C("user_id") % 12).alias("item")).agg(F.count("*").alias("n"))

@@ -11,7 +11,13 @@ from paperloom.streaming import operators as st
 
 C = F.col
 _events = lambda t: t.events.select("event_id", (C("user_id")).alias("key"), "ts", F.length("props").cast("long").alias("tokens"))
-add("k1_rate_limit", lambda t: st.rate_limit_decisions(_events(t), "3/day"))
+# the twin folds each key's events into the allowed ones of the last day and the decisions
+_k1_row = "{'us': %s, 'id': %s, 'kept': %s, 'out': %s}"
+_k1_kept = "list_filter(acc.kept, lambda k: k > x.us - 86400000000)"
+add("k1_rate_limit", lambda t: st.rate_limit_decisions(_events(t), "3/day"),
+    f"""WITH e AS (SELECT user_id AS key, list({_k1_row % ("epoch_us(ts)", "event_id", "[]::BIGINT[]", "[]::STRUCT(id BIGINT, ok BOOLEAN)[]")} ORDER BY ts, event_id) AS l FROM events GROUP BY user_id),
+f AS (SELECT key, list_reduce(l, lambda acc, x: {_k1_row % ("0::BIGINT", "0::BIGINT", f"CASE WHEN len({_k1_kept}) < 3 THEN list_append({_k1_kept}, x.us) ELSE {_k1_kept} END", f"list_append(acc.out, {{'id': x.id, 'ok': len({_k1_kept}) < 3}})")}, {_k1_row % ("0::BIGINT", "0::BIGINT", "[]::BIGINT[]", "[]::STRUCT(id BIGINT, ok BOOLEAN)[]")}).out AS o FROM e)
+SELECT key, o.id AS event_id, o.ok AS allowed FROM (SELECT key, unnest(o) AS o FROM f)""")
 add("k2_usage_windows", lambda t: st.usage_windows(_events(t), 86400), "SELECT user_id AS key, event_id, count(*) OVER w AS requests, sum(length(props)) OVER w::BIGINT AS tokens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)".replace("OVER w::BIGINT", "OVER w").replace("sum(length(props)) OVER w AS tokens", "(sum(length(props)) OVER w)::BIGINT AS tokens"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from paperloom.operators.folds import ordered_fold
 from paperloom.operators.joins import remaining
 from paperloom.operators.tournament import elo_step
 
@@ -45,12 +46,12 @@ def rate_limit_decisions(events: DataFrame, rule: str, key: str = "key", ts: str
     limit, seconds = parse_rule(rule)
     kinds = dict(events.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", order])
-        return pd.DataFrame({key: pdf[key], order: pdf[order], "allowed": decide(pdf["us"].tolist(), [], limit, seconds * 1_000_000)[0]})
+    def step(kept: list[int], rows: pd.DataFrame) -> pd.DataFrame:
+        allowed, kept[:] = decide(rows["us"].tolist(), kept, limit, seconds * 1_000_000)
+        return pd.DataFrame({order: rows[order].to_numpy(), "allowed": allowed})
 
     e = events.select(key, order, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
-    return e.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean")
+    return ordered_fold(e, [key], ["us", order], list, step, lambda kept: None, f"`{order}` {kinds[order]}, allowed boolean")
 
 
 class _Limiter(StatefulProcessor):
