@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paperloom import workspace
 from paperloom.functions import text as tx
 from paperloom.operators import joins as jn
 from paperloom.plans.aggregates import EDGES, EDGES_SQL
-from paperloom.plans.base import add
+from paperloom.plans.base import ORACLE, add
 from paperloom.plans.texts import SQL_TITLE, TITLE
+from paperloom.sources import layout
 
 C = F.col
 add("f1_join_reviews_metadata", lambda t: jn.join_reviews_metadata(t.documents.select(C("source").alias("conference"), C("doc_id").alias("id"), "n_chars"), t.labels.join(t.documents.select("doc_id", "source"), "doc_id").select(C("source").alias("conference"), C("doc_id").alias("id"), "quality")), "SELECT d.source AS conference, d.doc_id AS id, n_chars, quality FROM documents d JOIN labels USING (doc_id)")
@@ -53,6 +55,16 @@ _dedup = lambda t: EDGES(t).groupBy("source", "target", "type").agg(F.max("simil
 _dedup_sql = f"e AS (SELECT source, target, type, max(similarity) AS similarity FROM {EDGES_SQL} x GROUP BY ALL)"
 add("f21_neighbours", lambda t: jn.neighbours(_dedup(t), _papers(t), "semantic", 10), f"WITH {_dedup_sql}, p AS (SELECT DISTINCT vec_id // 2 AS paper FROM embeddings), n AS (SELECT source AS paper, target AS neighbour, similarity FROM e WHERE type = 'semantic' UNION ALL SELECT target, source, similarity FROM e WHERE type = 'semantic') SELECT paper, neighbour, similarity, row_number() OVER (PARTITION BY paper ORDER BY similarity DESC, neighbour)::INTEGER AS r FROM n WHERE paper IN (SELECT paper FROM p) QUALIFY r <= 10".replace("SELECT paper, neighbour, similarity, row_number", "SELECT paper, neighbour, similarity, row_number"))
 add("f21_citations", lambda t: jn.neighbours(_dedup(t), _papers(t), "citation", 10).select("paper", "neighbour", "similarity"), f"WITH {_dedup_sql}, p AS (SELECT DISTINCT vec_id // 2 AS paper FROM embeddings) SELECT source AS paper, target AS neighbour, similarity FROM e WHERE type = 'citation' AND source IN (SELECT paper FROM p) QUALIFY row_number() OVER (PARTITION BY source ORDER BY similarity DESC, target) <= 10")
+
+
+def _stored_edges(t):
+    path = workspace.new_path(t.spark, "edges-by-node")
+    layout.write_edges(_dedup(t), path)
+    return path
+
+
+add("f21_stored_neighbours", lambda t: layout.neighbours_of_many(t.spark, _stored_edges(t), _papers(t), "semantic", 10), ORACLE["f21_neighbours"])
+add("f21_stored_citations", lambda t: layout.neighbours_of_many(t.spark, _stored_edges(t), _papers(t), "citation", 10).select("paper", "neighbour", "similarity"), ORACLE["f21_citations"])
 add("f22_related_edges", lambda t: jn.related_edges(EDGES(t), F.lit(7)), f"SELECT source, target, type, similarity FROM {EDGES_SQL} e WHERE source = 7 OR target = 7")
 _filled = lambda t: jn.backfill(t.orders.select("o_orderkey", F.when(C("o_orderkey") % 3 > 0, C("o_orderstatus")).alias("s"), "o_custkey"), t.customer.where("c_acctbal > 0").select(C("c_custkey").alias("o_custkey"), C("c_mktsegment").alias("s")), "o_custkey", "s")
 add("f23_backfill", lambda t: _filled(t)[0].select("o_orderkey", "s"), "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus WHEN c_acctbal > 0 THEN c_mktsegment END AS s FROM orders LEFT JOIN customer ON c_custkey = o_custkey")

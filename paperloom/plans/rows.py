@@ -11,7 +11,7 @@ from paperloom.operators import filters as fl
 from paperloom.operators import graphs
 from paperloom.plans.base import add
 from paperloom.plans.texts import SQL_TITLE, TITLE
-from paperloom.sources import records
+from paperloom.sources import layout, records
 
 C = F.col
 
@@ -83,6 +83,17 @@ add("a10_delete_edges", lambda t: records.delete_with_cascade(t.documents.select
     f"SELECT source, target, type, similarity FROM {_related_sql} r WHERE source NOT IN (SELECT n_nationkey * 3 FROM nation) AND target NOT IN (SELECT n_nationkey * 3 FROM nation)")
 add("a11_lookup", lambda t: records.lookup(t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey", 42), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 42")
 
+
+
+def _stored_orders(t):
+    """Orders in a layout by key, then a point read."""
+    path = workspace.new_path(t.spark, "orders-by-key")
+    layout.write_layout(t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus"), path, "o_orderkey", "o_orderstatus")
+    return layout.find(t.spark, path, "o_orderkey", 42).select("o_orderkey", "o_totalprice")
+
+
+add("a11_stored_lookup", _stored_orders, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 42")
+
 # -- B: filters
 _some = lambda t: t.documents.select("doc_id", F.when(C("doc_id") % 3 > 0, C("text")).otherwise("").alias("body"), F.when(C("doc_id") % 4 > 0, F.split("text", " ")).otherwise(F.array().cast("array<string>")).alias("words"))
 add("b1_require", lambda t: fl.require(_some(t), ["body", "words"]).select("doc_id"), "SELECT doc_id FROM documents WHERE doc_id % 3 > 0 AND doc_id % 4 > 0 AND text <> ''")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from paperloom import workspace
 from paperloom.operators import encode
-from paperloom.plans.base import add
+from paperloom.plans.base import ORACLE, add
+from paperloom.plans.scoring import MATCHES
 from paperloom.streaming import operators as st
 
 C = F.col
@@ -35,6 +36,47 @@ def _annotated(t):
 add("k3_incremental_annotate", _annotated, "SELECT doc_id, lang, n_chars, concat_ws('-', lang, n_chars % 5) AS label FROM documents")
 
 
+def _annotated_by_day(t):
+    """Events as a stream in small batches, each annotated once, into a sink dealt by day."""
+    source, out, state = (workspace.new_path(t.spark, n) for n in ("annotate-in", "annotate-out", "annotate-state"))
+    events = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    events.unionByName(events.where("event_id % 5 = 0")).write.option("maxRecordsPerFile", 20_000).parquet(source)
+    stream = t.spark.readStream.schema("event_id long, ts timestamp, event_type string").option("maxFilesPerTrigger", 8).parquet(source)
+    annotate = lambda rows: rows.withColumn("label", F.upper("event_type"))
+    st.incremental_annotate_by_day(stream, annotate, out, "event_id", "ts", "3650 days", state).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(out).select("event_id", "event_type", "label")
+
+
+add("k3_annotate_by_day", _annotated_by_day, "SELECT event_id, event_type, upper(event_type) AS label FROM events")
+
+
+def _online_elo(t):
+    """The Elo stream over the match log, in three runs that go on from each other's state; the last rating of each item.
+
+    It runs in a session of its own, as it needs a state store that holds lists.
+    """
+    spark = t.spark.newSession()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source, out, state = (workspace.new_path(t.spark, n) for n in ("elo-in", "elo-out", "elo-state"))
+    log = MATCHES(t).select("seq", "metric", "item_a", "item_b", "winner")
+    cuts = log.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+    kinds = log.schema
+
+    def keep(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+
+    for part in range(3):
+        held = F.floor((C("seq") - F.lit(cuts["lo"])) * 3 / F.lit(cuts["hi"] - cuts["lo"] + 1)) == part
+        log.where(held).write.mode("append").parquet(source)
+        ratings = st.online_elo(spark.readStream.schema(kinds).parquet(source))
+        ratings.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    last = t.spark.read.parquet(out).groupBy("metric", "item").agg(F.max_by(F.struct("rating", "wins", "losses", "ties"), "batch").alias("x"))
+    return last.select("metric", "item", F.round("x.rating", 4).alias("rating"), "x.wins", "x.losses", "x.ties")
+
+
+add("k4_online_elo", _online_elo, f"SELECT metric, item, rating, wins, losses, ties FROM ({ORACLE['j8_elo']})")
+
+
 def _letters(texts):
     """Encoder for the hook: letter counts of a few letters."""
     return texts.map(lambda s: [float(s.count(c)) for c in "aeiou"])

@@ -116,6 +116,34 @@ def incremental_annotate(stream: DataFrame, annotate: Callable[[DataFrame], Data
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
+def incremental_annotate_by_day(stream: DataFrame, annotate: Callable[[DataFrame], DataFrame], out: str, key: str, ts: str, late: str, checkpoint: str):
+    """The same for rows with an event time: what a batch reads of the sink does not grow with the sink.
+
+    Repeats of a key within ``late`` go in the state store (and its entries with the watermark); rows later than that are
+    dropped as late. The sink is dealt by day, and a batch reads only the days of its own rows, to leave out what an
+    interrupted run of it has written already. ``annotate`` must keep ``key`` and ``ts``.
+    """
+    rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+
+    def step(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.withColumn("day", F.to_date(ts)).persist()
+        span = batch.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).first()
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+        new = batch
+        if span["lo"] is not None and hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+            new = remaining(batch, sink_days(spark, out, span["lo"], span["hi"]), key)[1]
+        annotate(new).write.mode("append").partitionBy("day").parquet(out)
+        batch.unpersist()
+
+    return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+
+
+def sink_days(spark, out: str, first, last) -> DataFrame:
+    """The sink's rows of some days: only their folders are read."""
+    return spark.read.parquet(out).where(F.col("day").between(F.lit(first), F.lit(last)))
+
+
 class _Elo(StatefulProcessor):
     """Ratings of a metric's items as one map-like list; each batch replays its matches in order."""
 
