@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 #: Words that title matching ignores.
 TITLE_STOP_WORDS = ["a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for"]
-#: Which paper a formulaic opening names, and the openings, most specific first.
-_WHICH = r"(related|supporting|contrasting|second|first|target|main|prior)\s+paper"
+#: Formulaic openings, most specific first.
 SUMMARY_OPENINGS = [
-    r"(?i)^the\s+(development|introduction|use|application)\s+of\s+[^.]+?\s+in\s+the\s+" + _WHICH + r"\s+(provides?|demonstrates?|shows?|offers?|enables?)\s+",
-    r"(?i)^the\s+findings\s+(from|of|in)\s+the\s+" + _WHICH + r"\s+(demonstrate|show|highlight|emphasi[sz]e|indicate|suggest|reveal)\s+(that\s+)?",
-    r"(?i)^(the\s+)?" + _WHICH + r"(,\s*[^,]+,)?\s+(also\s+)?(demonstrates?|shows?|highlights?|emphasi[sz]es?|provides?|presents?|introduces?|focuses\s+on|supports?|contrasts?(\s+with(\s+the\s+first)?)?|corroborates?|reinforces?|validates?|confirms?|aligns?\s+with|diverges?\s+from|differs?\s+from)\s+(that\s+|by\s+)?",
+    r"(?i)^the\s+(development|introduction|use|application)\s+of\s+[^.]+?\s+in\s+the\s+(related|supporting|contrasting|second|first|target|main|prior)\s+paper\s+(provides?|demonstrates?|shows?|offers?|enables?)\s+",
+    r"(?i)^the\s+findings\s+(from|of|in)\s+the\s+(related|supporting|contrasting|second|first|target|main|prior)\s+paper\s+(demonstrate|show|highlight|emphasi[sz]e|indicate|suggest|reveal)\s+(that\s+)?",
+    r"(?i)^(the\s+)?(related|supporting|contrasting|second|first|target|main|prior)\s+paper(,\s*[^,]+,)?\s+(also\s+)?(demonstrates?|shows?|highlights?|emphasi[sz]es?|provides?|presents?|introduces?|focuses\s+on|supports?|contrasts?(\s+with(\s+the\s+first)?)?|corroborates?|reinforces?|validates?|confirms?|aligns?\s+with|diverges?\s+from|differs?\s+from)\s+(that\s+|by\s+)?",
 ]
 #: Section headings, exclusion first, then the first category that fits.
 SECTIONS_EXCLUDED = r"(?i)related.work|background|preliminary|appendix|acknowledge|reference"

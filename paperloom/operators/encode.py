@@ -33,6 +33,19 @@ def encode_with(df: DataFrame, text: str, encoder: Callable[[pd.Series], pd.Seri
     return joined.withMetadata(out, {"encoder": name})
 
 
+def encoder_of(df: DataFrame, column: str = "embedding") -> str | None:
+    """The name of the encoder that made a column; null if it is not known (other sources keep no metadata)."""
+    return df.schema[column].metadata.get("encoder")
+
+
+def require_encoder(df: DataFrame, name: str, column: str = "embedding") -> DataFrame:
+    """``df``, if its vectors come from this encoder: vectors of different models have nothing to say to each other."""
+    own = encoder_of(df, column)
+    if own != name:
+        raise ValueError(f"incompatible encoder: expected {name!r}, got {own!r}")
+    return df
+
+
 def respond_with(df: DataFrame, prompt: str, responder: Callable[[str], tuple[str, float]], error: str = "<error>") -> DataFrame:
     """Rows of prompts to rows of responses: adds response and cost; a failed call is the sentinel at cost 0."""
     columns = df.columns

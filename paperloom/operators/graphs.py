@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
-from paperloom.workspace import cut
+from paperloom.workspace import cut, new_path
 
 #: Node types, the chain of levels, and the types that stand alone, below the title, and without children.
 TYPES = ["title", "primary_area", "keyword", "tldr", "claim", "method", "experiment"]
@@ -22,6 +22,31 @@ SECOND = ["tldr", "primary_area", "keyword"]
 LEAVES = ["primary_area", "keyword", "experiment"]
 
 
+#: The messages of the rules.
+MESSAGES = {
+    "empty": "Empty graph",
+    "valid": "Valid",
+    "twice": "Entities with non-unique names: {names}",
+    "source": "Found edge with unknown source node: '{label}'",
+    "target": "Found edge with unknown target node: '{label}'",
+    "single": "Found {n} '{type}' nodes. Should be exactly 1.",
+    "title_in": "Title node should not have any incoming edges.",
+    "second_in": "Found {n} incoming edges to node type '{type}'. Should be exactly 1. Node: '{label}'",
+    "second_from": "Incoming edge to '{type}' is not Title, but '{other}'.",
+    "leaf_out": "Found {n} outgoing edges from node type '{type}'. Should be 0.",
+    "illegal_out": "Found illegal outgoing edge from '{type}' to '{other}'",
+    "illegal_in": "Found illegal incoming edge from '{other}' to '{type}'",
+    "no_in": "Node type '{type}' has no incoming edges from '{other}'. Should be at least 1.",
+    "no_out": "Node type '{type}' has no outgoing edges to '{other}'. Should be at least 1.",
+    "cycle": "Graph has cycles",
+}
+
+
+def say(message: str, **values: Column) -> Column:
+    """A message of the table with its places filled."""
+    return tx.render_template(MESSAGES[message], values)
+
+
 def _typed(ent: DataFrame, rel: DataFrame) -> DataFrame:
     """Edges with the types of both ends (null for unknown ends). Of equal labels the last entity counts."""
     last = ent.groupBy("paper_id", "label").agg(F.max_by("type", "ord").alias("type"))
@@ -36,69 +61,68 @@ def validate_graphs(ent: DataFrame, rel: DataFrame, papers: DataFrame, cycles: b
     unknown_s, unknown_t = F.col("source_type").isNull(), F.col("target_type").isNull()
     known = e.where(~unknown_s & ~unknown_t)
     row = lambda rule, text: ["paper_id", F.lit(rule).alias("rule"), text.alias("message")]
-    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     found = []
     twice = ent.groupBy("paper_id", "label").agg(F.count("*").alias("n"), F.min("ord").alias("o")).where("n > 1")
     names = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "o", "label", "n"))), lambda x: F.concat(x["label"], F.lit(" ("), x["n"].cast("string"), F.lit(")")))
-    found.append(twice.groupBy("paper_id").agg(say("Entities with non-unique names: ", F.array_join(names, ", ")).alias("m")).select(*row(0, F.col("m"))))
-    found.append(e.where(unknown_s).select(*row(0, say("Found edge with unknown source node: '", F.col("source"), "'"))))
-    found.append(e.where(unknown_t).select(*row(0, say("Found edge with unknown target node: '", F.col("target"), "'"))))
+    found.append(twice.groupBy("paper_id").agg(say("twice", names=F.array_join(names, ", ")).alias("m")).select(*row(0, F.col("m"))))
+    found.append(e.where(unknown_s).select(*row(0, say("source", label=F.col("source")))))
+    found.append(e.where(unknown_t).select(*row(0, say("target", label=F.col("target")))))
     filled = papers.select("paper_id").distinct().join(ent.select("paper_id").distinct(), "paper_id", "left_semi")
     per = filled.withColumn("type", F.explode(F.array(*map(F.lit, SINGLE)))).join(ent.groupBy("paper_id", "type").agg(F.count("*").alias("n")), ["paper_id", "type"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    found.append(per.where("n <> 1").select(*row(1, say("Found ", F.col("n").cast("string"), " '", F.col("type"), "' nodes. Should be exactly 1."))))
+    found.append(per.where("n <> 1").select(*row(1, say("single", n=F.col("n"), type=F.col("type")))))
     incoming = known.groupBy("paper_id", F.col("target").alias("label")).agg(F.count("*").alias("n_in"), F.min_by("source_type", "ord").alias("first_in"))
     outgoing = known.groupBy("paper_id", F.col("source").alias("label")).agg(F.count("*").alias("n_out"))
     nodes = ent.join(incoming, ["paper_id", "label"], "left").join(outgoing, ["paper_id", "label"], "left").withColumn("n_in", F.coalesce("n_in", F.lit(0))).withColumn("n_out", F.coalesce("n_out", F.lit(0)))
     one_title = per.where("type = 'title' and n = 1").select("paper_id")
-    found.append(nodes.where("type = 'title' and n_in > 0").join(one_title, "paper_id", "left_semi").select(*row(2, F.lit("Title node should not have any incoming edges."))))
+    found.append(nodes.where("type = 'title' and n_in > 0").join(one_title, "paper_id", "left_semi").select(*row(2, say("title_in"))))
     second = nodes.where(F.col("type").isin(SECOND))
-    found.append(second.where("n_in <> 1").select(*row(3, say("Found ", F.col("n_in").cast("string"), " incoming edges to node type '", F.col("type"), "'. Should be exactly 1. Node: '", F.col("label"), "'"))))
-    found.append(second.where("n_in > 0 and first_in <> 'title'").select(*row(3, say("Incoming edge to '", F.col("type"), "' is not Title, but '", F.col("first_in"), "'."))))
-    found.append(nodes.where(F.col("type").isin(LEAVES) & (F.col("n_out") > 0)).select(*row(4, say("Found ", F.col("n_out").cast("string"), " outgoing edges from node type '", F.col("type"), "'. Should be 0."))))
+    found.append(second.where("n_in <> 1").select(*row(3, say("second_in", n=F.col("n_in"), type=F.col("type"), label=F.col("label")))))
+    found.append(second.where("n_in > 0 and first_in <> 'title'").select(*row(3, say("second_from", type=F.col("type"), other=F.col("first_in")))))
+    found.append(nodes.where(F.col("type").isin(LEAVES) & (F.col("n_out") > 0)).select(*row(4, say("leaf_out", n=F.col("n_out"), type=F.col("type")))))
     pair = list(zip(CHAIN[:-1], CHAIN[1:], strict=True))
     # an edge is judged once for each entity that carries its label
     out_e = ent.select("paper_id", F.col("label").alias("source"), F.col("type").alias("own")).join(known, ["paper_id", "source"])
     in_e = ent.select("paper_id", F.col("label").alias("target"), F.col("type").alias("own")).join(known, ["paper_id", "target"])
     for a, b in pair:
-        found.append(out_e.where((F.col("own") == a) & (F.col("target_type") != b)).select(*row(5, say(f"Found illegal outgoing edge from '{a}' to '", F.col("target_type"), "'"))))
-        found.append(in_e.where((F.col("own") == b) & (F.col("source_type") != a)).select(*row(5, say("Found illegal incoming edge from '", F.col("source_type"), f"' to '{b}'"))))
+        found.append(out_e.where((F.col("own") == a) & (F.col("target_type") != b)).select(*row(5, say("illegal_out", type=F.lit(a), other=F.col("target_type")))))
+        found.append(in_e.where((F.col("own") == b) & (F.col("source_type") != a)).select(*row(5, say("illegal_in", other=F.col("source_type"), type=F.lit(b)))))
         up = known.where(F.col("source_type") == a).select("paper_id", F.col("target").alias("label"))
-        found.append(ent.where(F.col("type") == b).join(up, ["paper_id", "label"], "left_anti").select(*row(6, F.lit(f"Node type '{b}' has no incoming edges from '{a}'. Should be at least 1."))))
+        found.append(ent.where(F.col("type") == b).join(up, ["paper_id", "label"], "left_anti").select(*row(6, say("no_in", type=F.lit(b), other=F.lit(a)))))
         down = known.where(F.col("target_type") == b).select("paper_id", F.col("source").alias("label"))
-        found.append(ent.where(F.col("type") == a).join(down, ["paper_id", "label"], "left_anti").select(*row(7, F.lit(f"Node type '{a}' has no outgoing edges to '{b}'. Should be at least 1."))))
+        found.append(ent.where(F.col("type") == a).join(down, ["paper_id", "label"], "left_anti").select(*row(7, say("no_out", type=F.lit(a), other=F.lit(b)))))
     if cycles:
-        found.append(topological_levels(rel).where("level is null").select("paper_id").distinct().join(filled, "paper_id", "left_semi").select(*row(8, F.lit("Graph has cycles"))))
+        found.append(topological_levels(rel).where("level is null").select("paper_id").distinct().join(filled, "paper_id", "left_semi").select(*row(8, say("cycle"))))
     errors = found[0]
     for f in found[1:]:
         errors = errors.unionByName(f)
-    empty = papers.select("paper_id").distinct().join(filled, "paper_id", "left_anti").select(*row(-1, F.lit("Empty graph")))
-    valid = filled.join(errors.select("paper_id").distinct(), "paper_id", "left_anti").select(*row(-1, F.lit("Valid")))
+    empty = papers.select("paper_id").distinct().join(filled, "paper_id", "left_anti").select(*row(-1, say("empty")))
+    valid = filled.join(errors.select("paper_id").distinct(), "paper_id", "left_anti").select(*row(-1, say("valid")))
     return errors.unionByName(empty).unionByName(valid)
 
 
 def topological_levels(rel: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(paper_id, label, level): rounds of peeling nodes without remaining incoming edges; null for nodes on or behind cycles.
 
-    Each round is a few joins over the remaining edges with a checkpoint; the driver sees a count. There are as many
-    rounds as the deepest graph has levels.
+    Each round is a few joins over the remaining edges with a checkpoint, and adds its nodes to one table; the driver sees
+    whether there were any. There are as many rounds as the deepest graph has levels.
     """
     e = rel.select("paper_id", "source", "target").distinct()
     ends = e.select("paper_id", F.col("source").alias("label")).unionByName(e.select("paper_id", F.col("target").alias("label")))
     if nodes is not None:
         ends = ends.unionByName(nodes.select("paper_id", "label"))
     left = cut(ends.distinct())
-    done = None
+    path = new_path(rel.sparkSession, "graph-levels")
     for level in itertools.count():
         targets = e.select("paper_id", F.col("target").alias("label"))
         free = cut(left.join(targets, ["paper_id", "label"], "left_anti").withColumn("level", F.lit(level)))
         if free.isEmpty():
             break
-        done = free if done is None else done.unionByName(free)
+        free.write.mode("append").parquet(path)
         gone = free.select("paper_id", "label")
         left = cut(left.join(gone, ["paper_id", "label"], "left_anti"))
         e = cut(e.join(gone.withColumnRenamed("label", "source"), ["paper_id", "source"], "left_anti"))
     rest = left.withColumn("level", F.lit(None).cast("int"))
-    return rest if done is None else done.unionByName(rest)
+    return rel.sparkSession.read.schema(free.schema).parquet(path).unionByName(rest) if level else rest
 
 
 def has_cycle(rel: DataFrame) -> DataFrame:

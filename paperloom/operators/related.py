@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
+from paperloom.operators.filters import non_blank
 from paperloom.workspace import cut, new_path, written
 
 #: Queries to a pass over the nodes: so many vectors are broadcast at once, whatever their number is.
@@ -18,14 +19,19 @@ QUERIES = 8_192
 BLOCK = 2_048
 
 
-def _passes(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Bounded parts (ids, vectors) of the queries that have a vector, by a hash of the id."""
-    queries = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+#: A node without ``since`` comes after every query with ``until``; a query without ``until`` sees every node.
+_NEVER = np.iinfo(np.int64).max
+
+
+def _passes(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Bounded parts (ids, vectors, until) of the queries that have a vector, by a hash of the id."""
+    until = F.coalesce(F.col("until").cast("long"), F.lit(_NEVER)) if "until" in queries.columns else F.lit(_NEVER)
+    queries = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding", until.alias("until"))
     passes = max(1, -(-queries.count() // QUERIES))
     for p in range(passes):
         rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).collect()
         if rows:
-            yield np.array([r["query_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=np.float64)
+            yield np.array([r["query_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=np.float64), np.array([r["until"] for r in rows], dtype=np.int64)
 
 
 def _scored(queries: DataFrame, nodes: DataFrame, group: list[str], reduce: Callable[[list], Iterator[tuple]], keep: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -33,17 +39,20 @@ def _scored(queries: DataFrame, nodes: DataFrame, group: list[str], reduce: Call
 
     The queries are a stated set that meets all nodes. A bounded part of them is broadcast at a time, and the nodes are
     scored where they lie, so no vector is shuffled and no key gathers nodes; each task brings what ``reduce`` leaves of
-    its blocks. With several parts each one's rows are written before the next is read.
+    its blocks. With several parts each one's rows are written before the next is read. If the queries have a column
+    ``until`` and the nodes one ``since``, a query meets only nodes with ``since`` at most its ``until``.
     """
     spark, kinds = nodes.sparkSession, dict(nodes.dtypes)
     schema = ", ".join([f"query_id {dict(queries.dtypes)['query_id']}", *[f"{g} {kinds[g]}" for g in group], f"node_id {kinds['node_id']}", "score double"])
-    nodes = nodes.where(F.col("embedding").isNotNull()).select("node_id", "embedding", *group)
+    dated = "until" in queries.columns and "since" in nodes.columns
+    since = F.coalesce(F.col("since").cast("long"), F.lit(_NEVER)) if dated else F.lit(0).cast("long")
+    nodes = nodes.where(F.col("embedding").isNotNull()).select("node_id", "embedding", since.alias("since"), *group)
 
-    def scored(ids: np.ndarray, a: np.ndarray) -> DataFrame:
-        held = spark.sparkContext.broadcast((ids, a / (np.sqrt((a * a).sum(1))[:, None] + 1e-300), np.sqrt((a * a).sum(1))))
+    def scored(ids: np.ndarray, a: np.ndarray, until: np.ndarray) -> DataFrame:
+        held = spark.sparkContext.broadcast((ids, a / (np.sqrt((a * a).sum(1))[:, None] + 1e-300), np.sqrt((a * a).sum(1)), until))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, unit, norms = held.value
+            ids, unit, norms, until = held.value
             best: dict[tuple, list] = {}
             for batch in batches:
                 for values, part in [((), batch)] if not group else batch.groupby(group, sort=False, dropna=False):
@@ -52,6 +61,8 @@ def _scored(queries: DataFrame, nodes: DataFrame, group: list[str], reduce: Call
                         b = np.array(some["embedding"].tolist(), dtype=np.float64)
                         own = np.sqrt((b * b).sum(1))
                         s = np.clip((unit @ b.T) * norms[:, None] / (norms[:, None] * own[None, :] + 1e-8), 0.0, 1.0)
+                        if dated:
+                            s[some["since"].to_numpy()[None, :] > until[:, None]] = -1.0
                         i, j = keep(s)
                         best.setdefault(values, []).append((i, some["node_id"].to_numpy()[j], s[i, j]))
                         if len(best[values]) > 8:
@@ -102,7 +113,7 @@ def semantic_topk(queries: DataFrame, nodes: DataFrame, k: int, group: list[str]
         inside = np.arange(len(i)) - first < most
         return i[inside], node[inside], s[inside]
 
-    out = _scored(queries, nodes, group, reduce, keep)
+    out = _scored(queries, nodes, group, reduce, keep).where("score >= 0")
     out = out.where("node_id <> query_id") if apart else out
     out = out.withColumn("r", F.row_number().over(Window.partitionBy("query_id", *group).orderBy(F.desc("score"), "node_id"))).where(F.col("r") <= k)
     # the angular distance d of unit vectors gives the old score 1 - d / 2
@@ -257,6 +268,33 @@ def related_papers(citations: DataFrame, semantic: DataFrame, k: int | None = 3,
     return dedup_by_priority(c.unionByName(s.select(c.columns)))
 
 
+def month_number(year: Column, month: Column, missing: int) -> Column:
+    """A number that orders months; ``missing`` stands for the month where there is none."""
+    return (year * 100 + F.coalesce(month, F.lit(missing))).cast("long")
+
+
+def single_paper_related(queries: DataFrame, pool: DataFrame, citations: DataFrame, k: int, filter_by_date: bool = True) -> DataFrame:
+    """Related papers of papers that are not in the pool: (query_id, source, polarity, paper_id, score, r).
+
+    ``queries(query_id, kind, embedding, year, month)`` and ``pool(paper_id, kind, embedding, abstract, year, published)``,
+    kind background or target; ``citations(query_id, paper_id, polarity, score, abstract)``. Papers with a blank abstract
+    are left out. Each side's best ``k`` count, background as negative, target as positive; citations by polarity; one row
+    a paper stays. With ``filter_by_date`` a query meets only papers published not after it: earlier years, and of its own
+    year the months up to its own if both are known (a query without a year meets all). The dates are compared before the
+    best are taken, so every query gets ``k`` if there are as many.
+    """
+    q = queries.withColumn("until", month_number(F.col("year"), F.col("month"), 0))
+    n = pool.where(non_blank(F.col("abstract"))).withColumn("since", month_number(F.col("year"), F.when(F.year("published") == F.col("year"), F.month("published")), 99)).withColumnRenamed("paper_id", "node_id")
+    n = n if filter_by_date else n.drop("since")
+    sides = []
+    for kind, polarity in (("background", "negative"), ("target", "positive")):
+        best = semantic_topk(q.where(F.col("kind") == kind), n.where(F.col("kind") == kind), k)
+        sides.append(best.select("query_id", F.col("node_id").alias("paper_id"), "score", "r", F.lit("semantic").alias("source"), F.lit(polarity).alias("polarity")))
+    cited = citations.where(non_blank(F.col("abstract"))).select("query_id", "paper_id", "polarity", "score")
+    cited = topk_per_group(cited, ["query_id", "polarity"], "score", k, "paper_id").withColumn("source", F.lit("citation"))
+    return dedup_by_priority(cited.unionByName(sides[0]).unionByName(sides[1])).select("query_id", "source", "polarity", "paper_id", "score", "r")
+
+
 def kg_neighbours(terms: DataFrame, relations: DataFrame) -> DataFrame:
     """``terms(paper_id, term)``, ``relations(head, tail)``: all tails of exactly matching normalised heads."""
     h = relations.select(tx.alpha_ascii(F.col("head")).alias("t"), "tail")

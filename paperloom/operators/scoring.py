@@ -13,6 +13,10 @@ from paperloom.operators.encode import hashing_encoder
 from paperloom.operators.sampling import draw
 
 
+#: Rows of a parameter grid.
+GRID = 10_000
+
+
 def nova_score(acus: DataFrame, matches: DataFrame, t: float = 0.6, alpha: float = -0.5, beta: float = 1.0, gamma: float = 0.3) -> DataFrame:
     """``acus(paper_id, acu_id, salient)``, ``matches(acu_id, score)``: (paper_id, n, score, rating).
 
@@ -23,11 +27,16 @@ def nova_score(acus: DataFrame, matches: DataFrame, t: float = 0.6, alpha: float
 
 
 def nova_grid_scores(acus: DataFrame, matches: DataFrame, grid: DataFrame) -> DataFrame:
-    """The same for every row of a small parameter grid (t, alpha, beta, gamma), in one job."""
+    """The same for every row of a parameter grid (t, alpha, beta, gamma) of at most ``GRID`` rows, in one job.
+
+    Every ACU meets every row of the grid, so a larger one is an error.
+    """
+    if grid.limit(GRID + 1).count() > GRID:
+        raise ValueError(f"a grid of more than {GRID} rows")
     best = matches.groupBy("acu_id").agg(F.max("score").alias("best"))
     a = acus.join(best, "acu_id", "left")
     share = a.groupBy("paper_id").agg((F.count_if("salient") / F.count("*")).alias("ratio"))
-    g = a.join(share, "paper_id").join(F.broadcast(grid))  # the grid is a literal list
+    g = a.join(share, "paper_id").join(F.broadcast(grid))
     weight = F.when(F.col("salient"), 1.0).otherwise(F.least(F.lit(1.0), F.col("alpha") * F.pow(F.col("ratio") - F.col("beta"), 3) + F.col("gamma")))
     novel = F.when(F.coalesce(F.col("best") >= F.col("t"), F.lit(False)), 0.0).otherwise(1.0)
     s = g.groupBy("paper_id", "t", "alpha", "beta", "gamma").agg(F.count("*").alias("n"), F.round(F.sum(novel * weight) / F.count("*"), 6).alias("score"))

@@ -65,6 +65,22 @@ add("h4_related_papers", lambda t: _shown(rl.related_papers(CITES(t), SIDES(t),
 add("h4_related_papers_threshold", lambda t: _shown(rl.related_papers(CITES(t), SEM_ALL(t), threshold=0.25)), f"WITH {SIDES_SQL}, side AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, paper_id) AS r FROM sem WHERE score >= 0.25), {CITES_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id, polarity ORDER BY score DESC, paper_id) AS r FROM cit WHERE score >= 0.25), {_union}")
 
 
+# a paper's year and month from its number; every fourth paper has no day of publication
+_paper = lambda: F.floor(C("vec_id") / 2)
+_year = lambda: (2000 + _paper() % 10).cast("int")
+_month = lambda: F.when(_paper() % 4 > 0, _paper() % 12 + 1).cast("int")
+_kind = lambda: F.when(C("vec_id") % 2 == 0, "background").otherwise("target")
+_asking = lambda t: t.embeddings.where("vec_id div 2 % 100 = 0").select(_paper().alias("query_id"), _kind().alias("kind"), "embedding", _year().alias("year"), F.when(_paper() % 300 > 0, F.lit(6)).alias("month"))
+_pool = lambda t: t.embeddings.where("vec_id div 2 % 100 > 0").select(_paper().alias("paper_id"), _kind().alias("kind"), "embedding", F.when(_paper() % 7 > 0, "an abstract").otherwise(" ").alias("abstract"), _year().alias("year"), F.make_date(_year(), _month(), F.lit(1)).alias("published"))
+_cited_by = lambda t: CITES(t).withColumn("abstract", F.when(C("paper_id") % 7 > 0, "an abstract"))
+_single_sql = """e AS (SELECT vec_id, vec_id // 2 AS p, CASE WHEN vec_id % 2 = 0 THEN 'background' ELSE 'target' END AS kind, embedding::DOUBLE[] AS v, 2000 + vec_id // 2 % 10 AS y, CASE WHEN vec_id // 2 % 4 > 0 THEN vec_id // 2 % 12 + 1 END AS m FROM embeddings),
+side AS (SELECT q.p AS query_id, n.p AS paper_id, q.kind, {cos} AS score, row_number() OVER (PARTITION BY q.p, q.kind ORDER BY {cos} DESC, n.p) AS r FROM e q JOIN e n ON n.kind = q.kind AND n.p % 100 > 0 AND n.p % 7 > 0 AND {allowed} WHERE q.p % 100 = 0 QUALIFY r <= 10), {cites}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id, polarity ORDER BY score DESC, paper_id) AS r FROM cit WHERE paper_id % 7 > 0 QUALIFY r <= 10),
+u AS (SELECT query_id, paper_id, 'citation' AS source, polarity, score, r FROM c UNION ALL SELECT query_id, paper_id, 'semantic', CASE WHEN kind = 'background' THEN 'negative' ELSE 'positive' END, score, r FROM side) SELECT query_id, paper_id, source, polarity, round(score, 4) AS score FROM u QUALIFY row_number() OVER (PARTITION BY query_id, paper_id ORDER BY CASE WHEN source = 'citation' AND polarity = 'positive' THEN 0 WHEN source = 'citation' THEN 1 WHEN polarity = 'negative' THEN 2 ELSE 3 END, r) = 1"""
+_allowed = "(n.y < q.y OR (n.y = q.y AND q.p % 300 > 0 AND n.m <= 6))"
+for _name_, _dated in (("h4_single_paper_dated", True), ("h4_single_paper", False)):
+    add(_name_, lambda t, d=_dated: _shown(rl.single_paper_related(_asking(t), _pool(t), _cited_by(t), 10, d)), "WITH " + _single_sql.format(cos=COS, allowed=_allowed if _dated else "true", cites=CITES_SQL))
+
+
 def SEM_ALL(t):
     """All scores of the asking papers that reach the threshold: for the threshold mode, where no top-k cuts the lists."""
     near = rl.semantic_above(ASK_PAPERS(t), NODES(t), 0.25, ["kind"]).where("node_id <> query_id")

@@ -37,6 +37,28 @@ def write_records(df: DataFrame, path: str, kind: str = "parquet", compression:
     (w.option("compression", compression) if compression else w).save(path)
 
 
+#: Suffixes of compressed text and Spark's names of their codecs.
+CODECS = {".gz": "gzip", ".bz2": "bzip2", ".deflate": "deflate", ".snappy": "snappy", ".lz4": "lz4"}
+
+
+def codec_of(path: str) -> str | None:
+    """The codec that a path's last suffix names, in any case; null for plain text.
+
+    ``.zst`` is read, but Spark writes it only with Hadoop's native library: asking for it is an error here.
+    """
+    suffix = "." + path.rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower()
+    if suffix == ".zst":
+        raise ValueError(f"{path}: .zst can be read, not written")
+    return CODECS.get(suffix)
+
+
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """JSON lines, compressed as the path's suffix says (``rows.jsonl.gz``); ``mode`` may be append."""
+    codec = codec_of(path)
+    w = df.write.mode(mode)
+    (w.option("compression", codec) if codec else w).json(path)
+
+
 def scan_tree(spark: SparkSession, root: str, segment: str, schema: T.StructType | str, pattern: str = "*.json") -> DataFrame:
     """All JSON files below ``root``; conference: the folder two above ``segment``'s files, id: file name to its first dot."""
     df = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("multiLine", True).json(root)

@@ -133,7 +133,7 @@ def incremental_annotate_by_day(stream: DataFrame, annotate: Callable[[DataFrame
         new = batch
         if span["lo"] is not None and hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
             new = remaining(batch, sink_days(spark, out, span["lo"], span["hi"]), key)[1]
-        annotate(new).write.mode("append").partitionBy("day").parquet(out)
+        annotate(new).repartitionByRange("day", key).write.mode("append").partitionBy("day").parquet(out)
         batch.unpersist()
 
     return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

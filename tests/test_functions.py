@@ -86,15 +86,15 @@ def test_scale_recommendation(spark):
 
 
 def test_spans(spark):
-    text = "Abstract content. Title content. Full paper text."
-    df = spark.createDataFrame([(text, '[{"start": 0, "end": 16}]'), (text, '[{"start": 0, "end": 3}, {"start": 4, "end": 6}]'), (text, "no json"), (text, None)], "t string, s string")
-    assert [r[0] for r in df.select(tx.extract_spans(F.col("t"), F.col("s"))).collect()] == ["Abstract content", "Abs\nra", None, None]
+    text = "Rivers bend. Stones stay put; gulls do not."
+    df = spark.createDataFrame([(text, '[{"start": 13, "end": 19}]'), (text, '[{"start": 0, "end": 6}, {"start": 30, "end": 35}]'), (text, "{oops"), (text, None), (text, "[]")], "t string, s string")
+    assert [r[0] for r in df.select(tx.extract_spans(F.col("t"), F.col("s"))).collect()] == ["Stones", "Rivers\ngulls", None, None, ""]
 
 
 def test_any_phrase(spark):
-    phrases = ["acl", "empirical methods in natural language processing", "workshop on machine translation"]
-    got = values(spark, lambda c: tx.any_phrase(c, phrases), ["acl 2023", "Empirical Methods in\nNatural Language Processing", "proceedings of ACL", "other conference", "oracle"])
-    assert got == [True, True, True, False, False]
+    phrases = ["tidal letters", "journal of slow rivers", "pebble"]
+    got = values(spark, lambda c: tx.any_phrase(c, phrases), ["Tidal\n Letters, vol. 3", "JOURNAL of  slow\trivers", "a Pebble!", "pebbles and tides", "letters, tidal", ""])
+    assert got == [True, True, True, False, False, False]
 
 
 def naive_lcs(a, b):

@@ -128,3 +128,87 @@ def test_audited_search_falls_back_to_the_exact_way(spark):
     got = related.audited_search(q, n, 3, 0.0, recall=1.0, bits=40, most=8, apart=True).collect()
     truth = related.vector_search(q, n, 3, 0.0, apart=True).collect()
     assert {(r.query_id, r.node_id, r.r) for r in got} == {(r.query_id, r.node_id, r.r) for r in truth} and got[0].recall == 1.0
+
+
+def allowed(main, cand):
+    """The rule of dates, case by case."""
+    (y, m), (cy, cm) = main, cand
+    if y is None:
+        return True
+    if cy is None or cy > y:
+        return False
+    return cy < y or (m is not None and cm is not None and cm <= m)
+
+
+def test_single_papers_by_date(spark):
+    """The best of each side among the papers that are old enough, however many newer ones are nearer."""
+    rng = random.Random(5)
+    x = vectors(np.random.default_rng(6), 240)
+    mains = [(1000 + i, [2020, 2020, 2019, None][i % 4], [6, None, 1, 3][i % 4]) for i in range(8)]
+    q = [(i, kind, x[2 * k + s].tolist(), y, m) for k, (i, y, m) in enumerate(mains) for s, kind in enumerate(("background", "target"))]
+    pool, when = [], {}
+    for p in range(100):
+        y, m = rng.choice([2018, 2019, 2020, 2021, None]), rng.choice([1, 6, 7, None])
+        day = f"{y}-{m:02d}-03" if y and m else rng.choice([None, "1999-01-01"])
+        when[p] = (y, m if y and m else None)
+        abstract = rng.choice(["text", "text", " ", None])
+        pool += [(p, kind, x[16 + 2 * p + s].tolist(), abstract, y, day) for s, kind in enumerate(("background", "target"))]
+    nodes = spark.createDataFrame(pool, "paper_id long, kind string, embedding array<float>, abstract string, year int, d string").withColumn("published", F.to_date("d"))
+    queries = spark.createDataFrame(q, "query_id long, kind string, embedding array<float>, year int, month int")
+    cites = spark.createDataFrame([(1000, 1, "positive", 0.9, "a"), (1000, 2, "negative", 0.8, " "), (1001, 3, "negative", 0.7, "a")], "query_id long, paper_id long, polarity string, score double, abstract string")
+    for dated in (True, False):
+        got = related.single_paper_related(queries, nodes, cites, 4, dated).collect()
+        assert {(r.query_id, r.paper_id) for r in got if r.source == "citation"} == {(1000, 1), (1001, 3)}
+        for k, (i, y, m) in enumerate(mains):
+            best = {}
+            for s, kind in enumerate(("background", "target")):
+                a = x[2 * k + s].astype(float)
+                scored = []
+                for p in range(100):
+                    if (pool[2 * p][3] or "").strip() and (not dated or allowed((y, m), when[p])):
+                        b = x[16 + 2 * p + s].astype(float)
+                        scored.append((-max(0.0, min(1.0, a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b) + 1e-8))), p))
+                for score, p in sorted(scored)[:4]:
+                    best.setdefault(p, ("negative" if kind == "background" else "positive", -score))
+            cited = {r.paper_id for r in got if r.query_id == i and r.source == "citation"}
+            found = {r.paper_id: (r.polarity, round(r.score, 6)) for r in got if r.query_id == i and r.source == "semantic"}
+            assert found == {p: (polarity, round(score, 6)) for p, (polarity, score) in best.items() if p not in cited}, (dated, i)
+
+
+def test_encoders_must_agree(spark):
+    from paperloom.operators import encode
+
+    df = encode.encode_with(spark.createDataFrame([("a",)], "t string"), "t", lambda texts: texts.map(lambda s: [float(len(s))]), "lengths")
+    assert encode.encoder_of(df) == "lengths" and encode.require_encoder(df, "lengths") is df
+    with pytest.raises(ValueError, match="incompatible"):
+        encode.require_encoder(df, "other")
+    with pytest.raises(ValueError, match="incompatible"):
+        encode.require_encoder(spark.createDataFrame([([1.0],)], "embedding array<double>"), "lengths")
+
+
+def test_text_files_by_suffix(spark, tmp_path):
+    import zstandard
+
+    from paperloom.sources import records
+
+    df = spark.createDataFrame([(1, "é"), (2, "b")], "i long, t string")
+    for name, files in (("rows.jsonl.gz", ".json.gz"), ("rows.JSONL.BZ2", ".json.bz2"), ("rows.jsonl", ".json")):
+        path = tmp_path / name
+        records.write_jsonl(df, str(path))
+        records.write_jsonl(df, str(path), "append")
+        assert all(p.name.endswith(files) for p in path.iterdir() if p.name.startswith("part-"))
+        assert sorted(records.read_jsonl(spark, str(path), "i long, t string").collect()) == [(1, "é"), (1, "é"), (2, "b"), (2, "b")]
+    (tmp_path / "x.jsonl.zst").write_bytes(zstandard.compress('{"i": 7, "t": "ü"}\n{bad\n\n'.encode()))
+    assert records.read_jsonl(spark, str(tmp_path / "x.jsonl.zst"), "i long, t string").collect() == [(7, "ü")]
+    with pytest.raises(ValueError, match="zst"):
+        records.write_jsonl(df, str(tmp_path / "y.jsonl.zst"))
+
+
+def test_a_chain_of_levels_is_one_table(spark):
+    from paperloom.operators import graphs
+
+    rel = spark.createDataFrame([("p", f"n{i}", f"n{i + 1}") for i in range(12)] + [("q", "a", "b"), ("q", "b", "a")], "paper_id string, source string, target string")
+    got = graphs.topological_levels(rel)
+    assert {(r.paper_id, r.label): r.level for r in got.collect()} == {("p", f"n{i}"): i for i in range(13)} | {("q", "a"): None, ("q", "b"): None}
+    assert got._jdf.queryExecution().toString().count("Union") < 8
+    assert graphs.topological_levels(rel.limit(0)).count() == 0
