@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
-from paperloom.functions.fuzzy import indel_ratio, partial
+from paperloom.functions.fuzzy import _close, indel_ratio, partial
 from paperloom.operators import tournament
 from paperloom.plans import registry
 from paperloom.plans.base import Tables
@@ -122,16 +122,13 @@ def test_validated_titles(spark, t):
 
 def test_matched_aspects(spark, t):
     """A paper's label goes to the review most like the aspect, the first of equals."""
-    papers = defaultdict(list)
+    ratio, papers = _close(0.8), defaultdict(list)
     for r in t.documents.select("doc_id", "text").orderBy("doc_id").collect():
         papers[r.doc_id // 20].append((r.doc_id, r.text))
     got = {(r.paper_id, r.ord): r.labels for r in rows(spark, "f16_match_aspects")}
     want = {}
     for docs in papers.values():
-        review, scores = docs[0][1].lower(), []
-        for place, (_, text) in enumerate(docs):
-            m = difflib.SequenceMatcher(None, text.lower(), review)
-            scores.append((-m.ratio() if m.quick_ratio() >= 0.8 else 0.0, place))
+        scores = [(-ratio(text, docs[0][1]), place) for place, (_, text) in enumerate(docs)]
         best = min(scores)
         want |= {(docs[0][0], place): "novelty" if place == best[1] and -best[0] >= 0.8 else "" for place in range(len(docs))}
     assert got == want and "novelty" in want.values()
