@@ -9,6 +9,8 @@ from paperloom.workspace import cut, written
 
 #: Rows of (group, range) offsets and of group totals that may be broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Distinct (group, value) rows up to which one task may hold a group's values.
+FEW = 1_000_000
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -24,16 +26,21 @@ def _same(keys: list[str]) -> Column:
     return out
 
 
-def quantiles(df: DataFrame, value: str, probabilities: dict[str, float], keys: list[str] | None = None) -> DataFrame:
+def quantiles(df: DataFrame, value: str, probabilities: dict[str, float], keys: list[str] | None = None, few: int = FEW) -> DataFrame:
     """(keys, a column a probability): linear interpolation between the two nearest values; groups without values have no row.
 
     Equal values of a group are counted together, then sorted over ranges of (keys, value): each range knows how many values
     of a group lie in the ranges before it, so every distinct value knows its places in the group's order. The values at the
-    places asked for are picked by a sum, which combines on the map side.
+    places asked for are picked by a sum, which combines on the map side. Up to ``few`` counted values in all groups
+    together, Spark's own percentile of the counts gives the same.
     """
     keys = keys or []
     named = [f"k{i}" for i in range(len(keys))]
     counts = df.where(F.col(value).isNotNull()).groupBy(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    counts = cut(counts)
+    if counts.count() <= few:
+        found = counts.groupBy(*named).agg(*[F.percentile("v", p, F.col("n")).alias(name) for name, p in probabilities.items()])
+        return found.select(*[F.col(n).alias(k) for k, n in zip(keys, named, strict=True)], *probabilities)
     d = written(counts.repartitionByRange(*named, "v").withColumn("pid", F.spark_partition_id()), "quantiles")
     sums = d.groupBy(*named, "pid").agg(F.sum("n").alias("held"))
     by = Window.partitionBy(*(named or [F.lit(0)]))  # a row a range
