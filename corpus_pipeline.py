@@ -90,7 +90,7 @@ STAGES = [
     ("personal_data", stage_personal_data),
     ("mix", stage_mix),
 ]
-#: SQL cannot express the language model and the edit matching; tests hold the stages against brute force.
+#: SQL cannot express the language model and the edit matching; tests hold the stages against planted cases.
 ORACLE_SQL = None
 
 
