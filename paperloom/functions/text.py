@@ -130,11 +130,18 @@ def remove_prefix_icase(c: Column, prefix: Column | str) -> Column:
     return F.when(F.startswith(F.lower(c), F.lower(prefix)), F.substr(c, F.length(prefix) + 1)).otherwise(c)
 
 
+def _capital(c: Column) -> Column:
+    """The capital of one letter, always one letter: upper() makes two or three of some ("ß" to "SS")."""
+    long = [chr(i) for i in range(0x80, 0x10000) if len(chr(i).upper()) > 1]
+    single = ["ẞ" if x == "ß" else x.title() if len(x.title()) == 1 else x for x in long]
+    return F.when(F.length(F.upper(c)) > 1, F.translate(c, "".join(long), "".join(single))).otherwise(F.upper(c))
+
+
 def clean_summary(c: Column) -> Column:
     out = c
     for pattern in reversed(SUMMARY_OPENINGS):
         rest = F.regexp_replace(c, pattern, "")
-        out = F.when(c.rlike(pattern), F.when(rest == "", c).otherwise(F.concat(F.upper(F.left(rest, F.lit(1))), F.substr(rest, F.lit(2))))).otherwise(out)
+        out = F.when(c.rlike(pattern), F.when(rest == "", c).otherwise(F.concat(_capital(F.left(rest, F.lit(1))), F.substr(rest, F.lit(2))))).otherwise(out)
     return out
 
 

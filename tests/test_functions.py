@@ -44,6 +44,12 @@ def test_pairs(spark, f, pairs):
     assert values(spark, f, list(pairs)) == list(pairs.values())
 
 
+def test_capital_is_one_letter(spark):
+    opening = "The supporting paper shows that "
+    got = values(spark, tx.clean_summary, [opening + x for x in ("ßieung a", "ﬁn", "ᾳb", "östen", "ab")])
+    assert got == ["ẞieung a", "ﬁn", "ᾼb", "Östen", "Ab"]
+
+
 def test_nulls(spark):
     for f in (tx.clean_title, tx.match_title, tx.clean_maintext, tx.clean_summary, tx.truncate_evidence, rt.parse_rating):
         assert values(spark, f, [None]) == [None]
