@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -301,6 +302,20 @@ def test_titles_are_compared_whole(spark, tmp_path):
         assert partial(a, b) == want
 
 
+def test_partial_ratio_of_long_texts(spark):
+    """All windows of long texts in one pass; one text whole in the middle of the other but for one letter."""
+    from paperloom.functions.fuzzy import fuzzy_partial_ratio, partials
+
+    rng = random.Random(5)
+    long_ = "".join(rng.choice("abcdefgh ") for _ in range(6_000))
+    start = time.monotonic()
+    got = partials([long_, long_[2_000:4_000] + "x" + long_[4_000:5_000], "", "", "ab"], ["x" + long_[::-1], long_, "", "a", "xaby"])
+    assert got[1:] == [pytest.approx(200 * 3_000 / 6_002), 100.0, 0.0, 100.0] and 40 < got[0] < 100
+    assert time.monotonic() - start < 20
+    rows_ = spark.createDataFrame([(0, "ab", None), (1, None, None), (2, "abc", "xabd"), (3, "", "")], "i int, a string, b string")
+    assert [r.v for r in rows_.select("i", fuzzy_partial_ratio("a", "b").alias("v")).orderBy("i").collect()] == [None, None, 67, 100]
+
+
 @pytest.mark.parametrize("block", [1_024, 3])
 def test_fuzzy_title_join_of_one_length(spark, monkeypatch, block):
     """All titles in one band of length, dealt over many pairs of blocks, against comparing all pairs; MinHash finds most."""
