@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
-from paperloom.functions.fuzzy import fuzzy_partial_ratio, indel_ratio, sequence_ratio_from
+from paperloom.functions.fuzzy import fuzzy_partial_ratio, indel_ratio, lcs_length, sequence_ratio_from
 from paperloom.operators.aggregate import first_by
 from paperloom.workspace import cut
 
@@ -58,55 +58,105 @@ def restrict_to_test_set(df: DataFrame, test: DataFrame, title: str) -> tuple[Da
 
 
 #: Titles to a block when blocks of titles are compared.
-TITLE_BLOCK = 1_024
+TITLE_BLOCK = 2_048
+#: Longest title (in characters) that is aligned beside others; longer ones are aligned one by one.
+ALIGNED = 512
 
 
 def _letter_counts(titles: list[str]) -> np.ndarray:
     """One row a title: how often characters fall into each of 64 places."""
-    out = np.zeros((len(titles), 64), dtype=np.int16)
+    out = np.zeros((len(titles), 64), dtype=np.int32)
     for row, t in enumerate(titles):
         codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         out[row] = np.bincount(codes % 64, minlength=64)
+    return out.astype(np.int16) if out.sum(1, dtype=np.int64).max(initial=0) < 1 << 15 else out
+
+
+def _common_lengths(a: list[str], b: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a[i]`` and ``b[j]``: ``lcs_length`` with many pairs side by side."""
+    words = max(len(x) for x in a) + 63 >> 6
+    letters = {x: n for n, x in enumerate(sorted(set().union(*a)), 1)}
+    places = np.zeros((words, len(a) * (len(letters) + 1)), dtype=np.uint64)
+    for row, t in enumerate(a):
+        for at, x in enumerate(t):
+            places[at >> 6, row * (len(letters) + 1) + letters[x]] |= np.uint64(1 << (at & 63))
+    spelt = np.zeros((max(1, *(len(x) for x in b)), len(b)), dtype=np.int64)
+    for column, t in enumerate(b):
+        spelt[: len(t), column] = [letters.get(x, 0) for x in t]
+    out = np.empty(len(i), dtype=np.int64)
+    for lo in range(0, len(i), 4_096):
+        first, second = i[lo : lo + 4_096] * (len(letters) + 1), j[lo : lo + 4_096]
+        row = np.full((words, len(first)), ~np.uint64(0), dtype=np.uint64)
+        for line in spelt:
+            at, carry = first + line[second], None
+            for w in range(words):
+                was = row[w]
+                hit = was & places[w][at]
+                more = was + hit
+                over = more < was
+                if carry is not None:
+                    more += carry
+                    over |= more < carry
+                row[w] = more | (was ^ hit)
+                carry = over.astype(np.uint64)
+        out[lo : lo + 4_096] = 64 * words - np.bitwise_count(row).sum(0, dtype=np.int64)
     return out
 
 
-def _gram_counts(titles: list[str]) -> np.ndarray:
-    """One row a title: how often pairs of neighbouring characters fall into each of 256 places."""
-    out = np.zeros((len(titles), 256), dtype=np.int16)
-    for row, t in enumerate(titles):
-        codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-        out[row] = np.bincount((codes[:-1] * 31 + codes[1:]) % 256, minlength=256)[:256] if len(codes) > 1 else 0
-    return out
+def _agreeing(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of all pairs of rows that agree in some column, each pair once, some rows of ``a`` at a time."""
+    orders = np.argsort(b, axis=0, kind="stable")
+    for lo in range(0, len(a), 256):
+        some = np.zeros((len(a[lo : lo + 256]), len(b)), dtype=bool)
+        for column in range(a.shape[1]):
+            order = orders[:, column]
+            held, asked = b[order, column], a[lo : lo + 256, column]
+            left, right = np.searchsorted(held, asked, "left"), np.searchsorted(held, asked, "right")
+            for row in np.flatnonzero(right > left):
+                some[row, order[left[row] : right[row]]] = True
+        i, j = np.nonzero(some)
+        yield i + lo, j
 
 
-def close_pairs(a: list[str], b: list[str], least: int) -> Iterator[tuple[int, int, int]]:
-    """(i, j, score) of all pairs whose rounded indel ratio is at least ``least``.
+def close_pairs(a: list[str], b: list[str], least: int, keys: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[int, int, int]]:
+    """(i, j, score) of all pairs whose rounded indel ratio is at least ``least``; with ``keys`` of those that share one.
 
-    What two titles have in common bounds their common subsequence: letters first, for all pairs at once; then, for the
-    pairs left, neighbouring letters. A character that only one title has spoils at most two of its pairs of neighbours,
-    and every gap in the subsequence one more, so few common pairs mean a short subsequence. Only the rest is aligned.
+    What letters two titles have in common bounds their common subsequence, for all pairs at once; only the rest is
+    aligned, many pairs side by side.
     """
     share = (least - 0.5) / 100
     one, two = _letter_counts(a), _letter_counts(b)
-    both = np.zeros((len(a), len(b)), dtype=np.int32)
-    for letter in np.flatnonzero(one.any(0) & two.any(0)):
-        both += np.minimum(one[:, letter][:, None], two[:, letter][None, :])
-    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    i, j = np.nonzero(2.0 * both >= share * (na[:, None] + nb[None, :]))
+    kind = np.int32 if one.dtype != two.dtype else one.dtype
+    one, two = one.astype(kind), np.ascontiguousarray(two.astype(kind).T)
+    na, nb = np.array([len(x) for x in a], dtype=np.int64), np.array([len(x) for x in b], dtype=np.int64)
+    shared = np.flatnonzero(one.any(0) & two.any(1))
+
+    def all_pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for lo in range(0, len(a), 32):
+            both, lesser = (np.zeros((len(one[lo : lo + 32]), len(b)), dtype=kind) for _ in range(2))
+            for letter in shared:
+                both += np.minimum(one[lo : lo + 32, letter, None], two[letter], out=lesser)
+            i, j = np.nonzero(2.0 * both >= share * (na[lo : lo + 32, None] + nb))
+            yield i + lo, j
+
+    def keyed() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, j in _agreeing(*keys):
+            ok = np.concatenate([2.0 * np.minimum(one[i[lo : lo + 16_384]], two.T[j[lo : lo + 16_384]]).sum(1, dtype=np.int64) >= share * (na[i[lo : lo + 16_384]] + nb[j[lo : lo + 16_384]]) for lo in range(0, max(1, len(i)), 16_384)])
+            yield i[ok], j[ok]
+
+    found = list(all_pairs() if keys is None else keyed())
+    i, j = (np.concatenate([x[side] for x in found]) if found else np.zeros(0, dtype=np.int64) for side in (0, 1))
     if len(i) == 0:
         return
-    grams_a, grams_b = _gram_counts(a), _gram_counts(b)
-    for lo in range(0, len(i), 4_096):
-        x, y = i[lo : lo + 4_096], j[lo : lo + 4_096]
-        common = np.minimum(grams_a[x], grams_b[y]).sum(1, dtype=np.int64)
-        # a common subsequence of c characters: of the na - 1 pairs of a, each of its na - c other characters spoils two at
-        # most, each of the nb - c other characters of b one more; so common >= na - 1 - 2 (na - c) - (nb - c)
-        most = (common + 1 + na[x] + nb[y]) / 3
-        ok = 2.0 * most >= share * (na[x] + nb[y])
-        for p, q in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
-            score = round(indel_ratio(a[p], b[q]))
-            if score >= least:
-                yield p, q, score
+    if max(na[i].max(), nb[j].max()) <= ALIGNED:
+        own, i_own = np.unique(i, return_inverse=True)
+        common = _common_lengths([a[x] for x in own], b, i_own, j)
+    else:
+        common = np.array([lcs_length(a[x], b[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)], dtype=np.int64)
+    length = na[i] + nb[j]
+    scores = np.rint(np.where(length > 0, 200.0 * common / np.maximum(length, 1), 100.0)).astype(np.int64)
+    ok = scores >= least
+    yield from zip(i[ok].tolist(), j[ok].tolist(), scores[ok].tolist(), strict=True)
 
 
 def fuzzy_title_join(queries: DataFrame, candidates: DataFrame, least: int = 80, k: int = 5, band: int = 8) -> DataFrame:
@@ -118,9 +168,15 @@ def fuzzy_title_join(queries: DataFrame, candidates: DataFrame, least: int = 80,
     it has pairs of blocks. Pairs of titles never become rows (see ``close_pairs``); a pair of blocks gives at most ``k``
     titles a query.
     """
-    share = (least - 0.5) / 100
     q = queries.select("query").distinct().withColumn("clean", tx.match_title(F.col("query")))
     c = candidates.select("title").distinct().withColumn("clean", tx.match_title(F.col("title")))
+    return _title_blocks(q, c, least, k, band)
+
+
+def _title_blocks(q: DataFrame, c: DataFrame, least: int, k: int, band: int) -> DataFrame:
+    """``fuzzy_title_join`` of ``q(query, clean)`` and ``c(title, clean)``; with a column ``keys`` pairs must share a key."""
+    share = (least - 0.5) / 100
+    held_columns = [x for x in ("clean", "keys") if x in q.columns]
     lo, hi = F.floor(F.length("clean") * share / (2 - share)), F.ceil(F.length("clean") * (2 - share) / share)
     q = q.withColumn("band", F.explode(F.sequence(F.floor(lo / band), F.floor(hi / band))))
     c = c.withColumn("band", F.floor(F.length("clean") / band))
@@ -134,13 +190,14 @@ def fuzzy_title_join(queries: DataFrame, candidates: DataFrame, least: int = 80,
     def blocked(df: DataFrame, text: str, name: str, other: str) -> DataFrame:
         """Blocks of a side, once for each block of the other side that they meet."""
         df = df.join(F.broadcast(met), "band").withColumn(f"{name}_block", F.pmod(F.xxhash64(text), F.col(f"{name}_blocks")).cast("int"))
-        held = df.groupBy("band", f"{name}_block", f"{other}_blocks").agg(F.collect_list(F.struct(F.col(text).alias("text"), "clean")).alias(name))
+        held = df.groupBy("band", f"{name}_block", f"{other}_blocks").agg(F.collect_list(F.struct(F.col(text).alias("text"), *held_columns)).alias(name))
         return held.withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))).drop(f"{other}_blocks")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for asking, answering in zip(batch["q"], batch["c"], strict=True):
-                found = close_pairs([x["clean"] for x in asking], [x["clean"] for x in answering], least)
+                keys = tuple(np.array([x["keys"] for x in side], dtype=np.int64) for side in (asking, answering)) if "keys" in held_columns else None
+                found = close_pairs([x["clean"] for x in asking], [x["clean"] for x in answering], least, keys)
                 made = pd.DataFrame([(asking[i]["text"], answering[j]["text"], score) for i, j, score in found], columns=["query", "title", "score"])
                 yield made.sort_values(["score", "title"], ascending=False).groupby("query", sort=False).head(k)
 

@@ -357,3 +357,18 @@ def test_strengths_and_trials_take_the_defaults(spark, monkeypatch):
     for name in ("j10_bradley_terry", "j9_melo"):
         registry.QUERIES[name](spark, "")
     assert asked == [((), {}), ((), {})]
+
+
+def test_titles_of_the_same_letters():
+    """Titles that no count of letters tells apart are aligned side by side; scores are those of single pairs."""
+    from paperloom.functions.fuzzy import indel_ratio
+
+    rng = random.Random(4)
+    titles = ["".join(rng.sample("abcdefghij klmnopqrst" * 5, 105)) for _ in range(500)]
+    asked = [t[:50] + t[55:] for t in titles]
+    start = time.monotonic()
+    got = {(i, j): s for i, j, s in joins.close_pairs(asked, titles, 50)}
+    assert time.monotonic() - start < 10
+    assert all(got[i, i] == 98 for i in range(500))
+    for i, j in [(rng.randrange(500), rng.randrange(500)) for _ in range(500)]:
+        assert got.get((i, j), 0) == (s if (s := round(indel_ratio(asked[i], titles[j]))) >= 50 else 0)
