@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
-from paperloom.functions.fuzzy import fuzzy_partial_ratio, indel_ratio, lcs_length, sequence_ratio_from
+from paperloom.functions.fuzzy import fuzzy_partial_ratio, lcs_length, sequence_ratio_from
 from paperloom.operators.aggregate import first_by
 from paperloom.workspace import cut
 
@@ -230,28 +230,23 @@ def band_keys(titles: list[str], rows: int, bands: int, seed: int = 1) -> np.nda
     return out
 
 
-def minhash_title_join(queries: DataFrame, candidates: DataFrame, least: int = 80, k: int = 5, rows: int = 3, bands: int = 48) -> DataFrame:
+def minhash_title_join(queries: DataFrame, candidates: DataFrame, least: int = 80, k: int = 5, rows: int = 3, bands: int = 48, band: int = 8) -> DataFrame:
     """``fuzzy_title_join`` without comparing all titles of a length: only pairs that agree in a band of MinHashes are scored.
 
     Approximate: scores are right, but pairs with few common runs of characters may be missed (``title_join_recall``
-    measures it). Titles pass the join as hashes; both texts meet the distinct pairs.
+    measures it). Titles of much the same vocabulary agree in some band in large part, so these pairs are found within
+    blocks of about one length and never become rows either.
     """
-    q, c = queries.select("query").distinct(), candidates.select("title").distinct()
 
     @F.pandas_udf("array<bigint>")
     def keys(clean: pd.Series) -> pd.Series:
         return pd.Series(list(band_keys(list(clean), rows, bands)), dtype="object")
 
-    def banded(df: DataFrame, text: str) -> DataFrame:
-        return df.select(text, F.explode(keys(tx.match_title(F.col(text)))).alias("key"))
+    def keyed(df: DataFrame, text: str) -> DataFrame:
+        df = df.select(text).distinct().withColumn("clean", tx.match_title(F.col(text))).where("clean is not null")
+        return df.withColumn("keys", keys("clean"))
 
-    @F.pandas_udf("int")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([round(indel_ratio(x, y)) for x, y in zip(a, b, strict=True)], dtype="int32")
-
-    pairs = banded(q, "query").join(banded(c, "title"), "key").select("query", "title").distinct()
-    scored = pairs.withColumn("score", score(tx.match_title(F.col("query")), tx.match_title(F.col("title")))).where(F.col("score") >= least)
-    return _best_titles(scored, k)
+    return _title_blocks(keyed(queries, "query"), keyed(candidates, "title"), least, k, band)
 
 
 def title_join_recall(queries: DataFrame, candidates: DataFrame, least: int = 80, k: int = 5, rows: int = 3, bands: int = 48, sample: int = 500) -> float:

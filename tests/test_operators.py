@@ -372,3 +372,12 @@ def test_titles_of_the_same_letters():
     assert all(got[i, i] == 98 for i in range(500))
     for i, j in [(rng.randrange(500), rng.randrange(500)) for _ in range(500)]:
         assert got.get((i, j), 0) == (s if (s := round(indel_ratio(asked[i], titles[j]))) >= 50 else 0)
+
+
+def test_minhash_titles_of_one_vocabulary(spark):
+    """Titles that nearly all agree in some band: pairs never become rows, and none is missed."""
+    titles = [f"the common beginning of all these long titles number {n} {n * 7919 % 1000}" for n in range(300)]
+    q, c = (spark.createDataFrame([(t,) for t in titles], f"{n} string") for n in ("query", "title"))
+    near = joins.minhash_title_join(q, c, 90)
+    assert sorted(near.collect()) == sorted(joins.fuzzy_title_join(q, c, 90).collect())
+    assert "explode(keys" not in near._jdf.queryExecution().toString()
