@@ -196,6 +196,8 @@ def _class_sets(docs: DataFrame, classes: DataFrame, id_col: str, text: str, siz
         for batch in batches:
             sets = [shingles(t, size) for t in batch["text"]]
             yield pd.DataFrame({"key": [set_key(s) for s in sets], "n": [len(s) for s in sets], "hashes": [s.view(np.int64) for s in sets]})
+            del sets, batch
+            release()
 
     wanted = classes.select(F.col("rep").alias("__rep"))
     if classes.count() <= BROADCAST_ROWS:
@@ -260,6 +262,9 @@ def _product(similar: int):
                 label = joined(on)
                 moved = np.flatnonzero(label != np.arange(len(ids)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["a", "b"])
+                del parts, values, both, on
+            del batch, one, two
+            release()
 
     return run
 
