@@ -120,21 +120,31 @@ def incremental_annotate_by_day(stream: DataFrame, annotate: Callable[[DataFrame
     """The same for rows with an event time: what a batch reads of the sink does not grow with the sink.
 
     Repeats of a key within ``late`` go in the state store (and its entries with the watermark); rows later than that are
-    dropped as late. The sink is dealt by day, and a batch reads only the days of its own rows, to leave out what an
-    interrupted run of it has written already. ``annotate`` must keep ``key`` and ``ts``.
+    dropped as late. The sink is dealt by day. Only the first batch of a run can have been written before, by a run that was
+    interrupted: it reads the days of its own rows to leave out what is there; later batches read nothing of the sink.
+    ``annotate`` must keep ``key`` and ``ts``.
     """
     rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+    done: list[str | None] = [None]  # the run of which a batch is done
 
-    def step(batch: DataFrame, _: int) -> None:
+    def unwritten(batch: DataFrame) -> DataFrame:
         spark = batch.sparkSession
-        batch = batch.withColumn("day", F.to_date(ts)).persist()
         span = batch.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).first()
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-        new = batch
-        if span["lo"] is not None and hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            new = remaining(batch, sink_days(spark, out, span["lo"], span["hi"]), key)[1]
-        annotate(new).repartitionByRange("day", key).write.mode("append").partitionBy("day").parquet(out)
-        batch.unpersist()
+        if span["lo"] is None or not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+            return batch
+        return remaining(batch, sink_days(spark, out, span["lo"], span["hi"]), key)[1]
+
+    def step(batch: DataFrame, _: int) -> None:
+        run = batch.sparkSession.sparkContext.getLocalProperty("spark.jobGroup.id")  # of the run; where unknown, all batches look
+        batch = batch.withColumn("day", F.to_date(ts))
+        first = run is None or done[0] != run
+        if first:
+            batch.persist()
+        annotate(unwritten(batch) if first else batch).repartitionByRange("day", key).write.mode("append").partitionBy("day").parquet(out)
+        if first:
+            batch.unpersist()
+        done[0] = run
 
     return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 

@@ -170,6 +170,22 @@ def test_an_interrupted_batch_writes_nothing_twice(spark, tmp_path):
     assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == [1, 2]
 
 
+def test_later_batches_of_a_run_do_not_read_the_sink(spark, tmp_path, monkeypatch):
+    """Only a run's first batch may have been written before; what later ones read does not grow with the sink."""
+    out, _, feed = annotated(spark, tmp_path)
+    for n in range(3):
+        feed([(n, "2024-01-01 10:00:00"), (0, "2024-01-01 11:00:00")])
+    read, own = [], st.sink_days
+    monkeypatch.setattr(st, "sink_days", lambda *a: read.append(1) or own(*a))
+    spark.createDataFrame([(1,)], "event_id long").select("event_id", F.to_timestamp(F.lit("2024-01-01 10:00:00")).alias("ts"), F.to_date(F.lit("2024-01-01")).alias("day"), F.lit(True).alias("done")).write.partitionBy("day").parquet(out)
+    stream = spark.readStream.schema("event_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    writer = st.incremental_annotate_by_day(stream.where("event_id <> 1 or ts is null"), lambda d: d.withColumn("done", F.lit(True)), out, "event_id", "ts", "2 days", str(tmp_path / "cp"))
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sum(p["numInputRows"] > 0 for p in query.recentProgress) == 3
+    assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == [0, 1, 2] and len(read) == 1
+
+
 def test_a_batch_reads_its_days_only(spark, tmp_path):
     """The sink grows by days; the part that a batch reads of it stays the same."""
     out, sizes = str(tmp_path / "sink"), []
