@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
 from paperloom.operators.aggregate import first_by
+from paperloom.workspace import cut
+
+#: Cut keys of up to so many groups are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def draw(key: str | Column, seed: int) -> Column:
@@ -96,7 +100,9 @@ def capped(df: DataFrame, group: str, key: str, most: Mapping | int, seed: int =
     else:
         sizes = sizes.withColumn("n", F.lit(most))
     wanted = sizes.where("n > 0").select(own, F.lit(0).alias("i"), F.col("n").cast("long"))
-    ends = _nth(d.select(own, "__d"), wanted).select(F.col("g").alias("__g"), F.col("d").alias("__end"))
+    ends = cut(_nth(d.select(own, "__d"), wanted).select(F.col("g").alias("__g"), F.col("d").alias("__end")))
+    if ends.count() <= BROADCAST_ROWS:  # one row a group: else all rows of a group would go to one task
+        ends = F.broadcast(ends)
     return d.withColumn("__g", own).join(ends, "__g").where(F.col("__d") <= F.col("__end")).select(df.columns)
 
 

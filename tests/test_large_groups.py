@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.operators import aggregate, tournament
+from paperloom.operators import aggregate, sampling, tournament
 from paperloom.operators.folds import ordered_fold
 from paperloom.operators.quantiles import quantiles
 from paperloom.sources import layout
@@ -195,3 +195,11 @@ def test_a_batch_reads_its_days_only(spark, tmp_path):
         sizes.append(scanned(one))
         assert re.search(r"PartitionFilters: \[.*day", one._jdf.queryExecution().toString())
     assert sizes == [100, 100]
+
+
+def test_cut_keys_are_broadcast(spark):
+    """Rows of a drawn class stay where they lie: no task gets all rows of a class."""
+    rows = spark.range(2_000).select("id", (F.col("id") % 2).alias("g"))
+    got = sampling.capped(rows, "g", "id", {0: 600, 1: 400})
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["g"]: r["count"] for r in got.groupBy("g").count().collect()} == {0: 600, 1: 400}
