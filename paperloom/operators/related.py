@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ from paperloom.workspace import cut, new_path, written
 QUERIES = 8_192
 #: Nodes to a matrix product.
 BLOCK = 2_048
+#: Papers whose vectors a task of the citation scores holds, and parts that the cited titles are dealt to.
+PAPERS = 65_536
+TITLE_PARTS = 16
 
 
 #: A node without ``since`` comes after every query with ``until``; a query without ``until`` sees every node.
@@ -209,22 +214,66 @@ def topk_per_group(df: DataFrame, group: list[str], score: str, k: int, tie: str
 def citation_scores(papers: DataFrame, refs: DataFrame, vectors: DataFrame) -> DataFrame:
     """``papers(paper_id, title)``, ``refs(paper_id, cited_title, polarity)``, ``vectors(title, embedding)``: scored, ranked edges.
 
-    Titles are cleaned to letters and looked up once each; vectors join last and meet in batches.
+    Titles are cleaned to letters. Edges are dealt once, without vectors, by a block of papers and a part of the titles. A
+    paper's vector goes to each part, a title's to each block, and a task holds its block's papers (``PAPERS`` or so) while
+    titles and their edges pass by in order, so vectors are copied by blocks and not by edges.
     """
+    spark, t = refs.sparkSession, tx.clean_title_alpha(F.col("title"))
+    v = vectors.where("embedding is not null").select(t.alias("t"), "embedding").where("t is not null").dropDuplicates(["t"])
+    p = papers.where("paper_id is not null").select("paper_id", t.alias("t"))
+    blocks = max(8, -(-p.count() // PAPERS))
+    parts = min(TITLE_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    block, part = F.pmod(F.xxhash64("paper_id"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("t"), F.lit(parts)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = lambda c, like: F.lit(None).cast(like.schema[c].dataType).alias(c)
+    own = p.join(v, "t").select(block.alias("b"), every(parts).alias("s"), F.lit(0).alias("side"), none("t", v), "paper_id", none("polarity", refs), none("cited_title", refs), "embedding")
+    titles = v.select(every(blocks).alias("b"), part.alias("s"), F.lit(1).alias("side"), "t", none("paper_id", papers), none("polarity", refs), none("cited_title", refs), "embedding")
+    edges = refs.where("paper_id is not null").withColumn("t", tx.clean_title_alpha(F.col("cited_title"))).where("t is not null")
+    edges = edges.select(block.alias("b"), part.alias("s"), F.lit(2).alias("side"), "t", "paper_id", "polarity", "cited_title", none("embedding", v))
+    dealt = edges.unionByName(titles).unionByName(own).repartitionById(blocks * parts, F.col("b") * parts + F.col("s")).drop("b", "s").sortWithinPartitions("t", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, held, found = [], [], None  # of the papers
+        name, vector = pa.scalar(None, pa.string()), None  # of the last title
+        for batch in batches:
+            side, emb = batch["side"].to_numpy(), batch["embedding"].drop_null()
+            x = emb.flatten().to_numpy(zero_copy_only=False).reshape(len(emb), -1) if len(emb) else np.zeros((0, 0))
+            n = int((side == 0).sum())
+            if n:
+                ids.append(batch["paper_id"].slice(0, n).to_pandas())
+                held.append(x[:n])
+            names = pa.concat_arrays([pa.array([name.as_py()], batch["t"].type), batch["t"].filter(pa.array(side == 1))])
+            y = x[n:] if vector is None else np.concatenate([vector, x[n:]]) if len(emb) else vector
+            at = np.cumsum(side == 1)[side == 2]
+            if len(at) and ids:
+                if found is None:
+                    code, unique = pd.factorize(pd.concat(ids, ignore_index=True))
+                    order = np.argsort(code, kind="stable")
+                    found = pd.Index(unique), np.bincount(code, minlength=len(unique)), np.searchsorted(code[order], np.arange(len(unique))), np.concatenate(held)[order]
+                index, count, first, own = found
+                e = batch.filter(pa.array(side == 2))
+                who = index.get_indexer(e["paper_id"].to_pandas())
+                keep = np.flatnonzero((who >= 0) & pc.fill_null(pc.equal(e["t"], names.take(pa.array(at))), False).to_numpy(zero_copy_only=False))
+                # a paper with several titles has an edge from each
+                times = count[who[keep]]
+                row = np.repeat(keep, times)
+                mine = np.repeat(first[who[keep]], times) + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                score = _cosines(own[mine], y[at[row] - (vector is None)]) if len(row) else np.zeros(0)
+                e = e.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([e["paper_id"], e["polarity"], e["cited_title"], pa.array(score, pa.float64(), from_pandas=True)], ["paper_id", "polarity", "cited_title", "score"])
+            if (side == 1).any():
+                name, vector = names[-1], y[-1:]
+
+    kinds = dict(dealt.dtypes)
+    s = dealt.mapInArrow(run, ", ".join([f"{c} {kinds[c]}" for c in ("paper_id", "polarity", "cited_title")] + ["score double"]))
+    return s.withColumn("r", F.row_number().over(Window.partitionBy("paper_id", "polarity").orderBy(F.desc("score"), "cited_title")))
 
-    @F.pandas_udf("double")
-    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-        if a.empty:
-            return pd.Series([], dtype="float64")
-        x, y = np.stack(a.to_list()).astype(np.float64), np.stack(b.to_list()).astype(np.float64)
-        norms = np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y))
-        return pd.Series(np.clip(np.einsum("ij,ij->i", x, y) / (norms + 1e-8), 0.0, 1.0))
 
-    v = vectors.select(tx.clean_title_alpha(F.col("title")).alias("t"), "embedding").dropDuplicates(["t"])
-    p = papers.select("paper_id", tx.clean_title_alpha(F.col("title")).alias("t")).join(v, "t").select("paper_id", F.col("embedding").alias("a"))
-    r = refs.withColumn("t", tx.clean_title_alpha(F.col("cited_title"))).join(v, "t").drop("t")
-    s = r.join(p, "paper_id").select("paper_id", "polarity", "cited_title", cosine("a", "embedding").alias("score"))
-    return s.withColumn("r", F.row_number().over(Window.partitionBy("paper_id", "polarity").orderBy(F.desc("score"), "cited_title")))
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of rows, clipped to [0, 1]."""
+    x, y = a.astype(np.float64), b.astype(np.float64)
+    norms = np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y))
+    return np.clip(np.einsum("ij,ij->i", x, y) / (norms + 1e-8), 0.0, 1.0)
 
 
 def top_reference_titles(scores: DataFrame, k: int | None) -> DataFrame:

@@ -36,7 +36,7 @@ add("f12_approximate_search", lambda t: rl.audited_search(_bent(t), NODES(t).dro
 _name = lambda c: F.concat(F.lit("title "), F.translate(c.cast("string"), "0123456789", "abcdefghij"))
 #: Ids are dealt over the whole table: one more than the largest.
 _size = lambda t: F.lit(t.embeddings.agg(F.max("vec_id")).first()[0] + 1)
-_cited = lambda t: t.lineitem.select((C("l_orderkey") % _size(t)).alias("paper_id"), _name((C("l_partkey") * 7919 + C("l_linenumber")) % _size(t)).alias("cited_title"), F.when(C("l_returnflag") == "R", "negative").otherwise("positive").alias("polarity")).distinct()
+_cited = lambda t: t.lineitem.select((C("l_orderkey") % _size(t)).alias("paper_id"), ((C("l_partkey") * 7919 + C("l_linenumber")) % _size(t)).alias("cited"), F.when(C("l_returnflag") == "R", "negative").otherwise("positive").alias("polarity")).distinct().select("paper_id", _name(C("cited")).alias("cited_title"), "polarity")
 _scores = lambda t: rl.citation_scores(t.embeddings.select(C("vec_id").alias("paper_id"), _name(C("vec_id")).alias("title")), _cited(t), t.embeddings.select(_name(C("vec_id")).alias("title"), "embedding"))
 _cite_sql = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT DISTINCT l_orderkey % n AS paper_id, (l_partkey * 7919 + l_linenumber) % n AS cited, CASE WHEN l_returnflag = 'R' THEN 'negative' ELSE 'positive' END AS polarity FROM lineitem, (SELECT max(vec_id) + 1 AS n FROM embeddings)), c AS (SELECT paper_id, polarity, 'title ' || translate(cited::VARCHAR, '0123456789', 'abcdefghij') AS cited_title, " + COS + " AS score FROM x JOIN e q ON q.vec_id = paper_id JOIN e n ON n.vec_id = cited)"
 add("f13_citation_scores", lambda t: _scores(t).where("r <= 5").select("paper_id", "polarity", "cited_title", F.round("score", 4).alias("score")), f"WITH {_cite_sql} SELECT paper_id, polarity, cited_title, round(score, 4) AS score FROM c QUALIFY row_number() OVER (PARTITION BY paper_id, polarity ORDER BY score DESC, cited_title) <= 5")

@@ -212,3 +212,21 @@ def test_a_chain_of_levels_is_one_table(spark):
     assert {(r.paper_id, r.label): r.level for r in got.collect()} == {("p", f"n{i}"): i for i in range(13)} | {("q", "a"): None, ("q", "b"): None}
     assert got._jdf.queryExecution().toString().count("Union") < 8
     assert graphs.topological_levels(rel.limit(0)).count() == 0
+
+
+def test_citation_scores_join_no_vectors_to_edges(spark):
+    rng = np.random.default_rng(3)
+    x = rng.random((40, 6)).astype("float32")
+    name = lambda i: "title " + "".join("abcdefghij"[int(c)] for c in str(i))
+    vectors = spark.createDataFrame([(name(i), x[i].tolist()) for i in range(40)], "title string, embedding array<float>")
+    # paper 5 has two titles, papers 35 to 39 none that is known, and titles 40 to 44 have no vector
+    own = [(i, name(i if i < 35 else i + 100)) for i in range(40)] + [(5, name(6))]
+    edges = [(p, name(c), "positive" if (p + c) % 3 else "negative") for p in range(40) for c in range(45)] + [(None, name(1), "positive"), (1, None, "negative")]
+    got = related.citation_scores(spark.createDataFrame(own, "paper_id long, title string"), spark.createDataFrame(edges, "paper_id long, cited_title string, polarity string"), vectors)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.lstrip(" :+-").startswith("Join") for line in plan.splitlines()) == 1, "only papers meet vectors in a join"
+    cos = lambda a, b: float(a.astype(float) @ b.astype(float) / (np.linalg.norm(a.astype(float)) * np.linalg.norm(b.astype(float)) + 1e-8))
+    want = sorted((p, pol, c, round(cos(x[v], x[i]), 9)) for p, v in [(i, i) for i in range(35)] + [(5, 6)] for i in range(40) for q, c, pol in edges if q == p and c == name(i))
+    rows = got.collect()
+    assert sorted((r.paper_id, r.polarity, r.cited_title, round(r.score, 9)) for r in rows) == want
+    assert all(r.r == 1 + sum((-o.score, o.cited_title) < (-r.score, r.cited_title) for o in rows if (o.paper_id, o.polarity) == (r.paper_id, r.polarity)) for r in rows if r.paper_id < 2)
