@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
 from paperloom.operators.filters import non_blank
-from paperloom.workspace import cut, new_path, written
+from paperloom.workspace import cut, new_path
 
 #: Queries to a pass over the nodes: so many vectors are broadcast at once, whatever their number is.
 QUERIES = 8_192
@@ -110,15 +110,7 @@ def semantic_topk(queries: DataFrame, nodes: DataFrame, k: int, group: list[str]
             return np.repeat(np.arange(len(s)), s.shape[1]), np.tile(np.arange(s.shape[1]), len(s))
         return np.nonzero(s >= np.partition(s, -most, axis=1)[:, -most][:, None])
 
-    def reduce(found: list) -> tuple[np.ndarray, ...]:
-        i, node, s = _joined(found)
-        order = np.lexsort((node, -s, i))
-        i, node, s = i[order], node[order], s[order]
-        first = np.searchsorted(i, i)
-        inside = np.arange(len(i)) - first < most
-        return i[inside], node[inside], s[inside]
-
-    out = _scored(queries, nodes, group, reduce, keep).where("score >= 0")
+    out = _scored(queries, nodes, group, lambda found: _best(found, most), keep).where("score >= 0")
     out = out.where("node_id <> query_id") if apart else out
     out = out.withColumn("r", F.row_number().over(Window.partitionBy("query_id", *group).orderBy(F.desc("score"), "node_id"))).where(F.col("r") <= k)
     # the angular distance d of unit vectors gives the old score 1 - d / 2
@@ -157,26 +149,92 @@ def _signatures(x: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
 def approximate_search(queries: DataFrame, nodes: DataFrame, k: int = 5, threshold: float = 0.6, tables: int = 16, bits: int = 8, index: DataFrame | None = None, apart: bool = False) -> DataFrame:
     """``vector_search`` over the nodes that share a bucket with the query: (query_id, node_id, score, r).
 
-    Scores are exact; nodes in no common bucket are missed, so the result is approximate. ``index`` is a kept
-    ``signature_index`` with the same tables and bits. Only ids pass the first join; each query's and node's vector meets
-    the pairs once. A frequent bucket is split by Spark's skew join, its pairs are the candidates and no more.
+    Scores are exact; nodes in no common bucket are missed, so the result is approximate. Nodes get their signatures and
+    are scored where they lie, bucket by bucket, against a bounded part of the queries at a time: no vector and no pair is
+    shuffled, a task brings ``k`` nodes a query at most. For a few queries ``index``, a kept ``signature_index`` with the
+    same tables and bits, spares the scan's products: their pairs are joined instead.
     """
-    index = signature_index(nodes, tables, bits) if index is None else index
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
+    if index is None:
+        return _bucketed(queries, nodes, k, threshold, tables, bits, apart).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
     asked = signature_index(queries.select(F.col("query_id").alias("node_id"), "embedding"), tables, bits).withColumnRenamed("node_id", "query_id")
     pairs = asked.join(index, ["t", "bucket"]).select("query_id", "node_id").distinct()
     pairs = pairs.where("query_id <> node_id") if apart else pairs
 
     @F.pandas_udf("double")
     def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-        if a.empty:
-            return pd.Series([], dtype="float64")
-        x, y = np.stack(a.to_list()).astype(np.float64), np.stack(b.to_list()).astype(np.float64)
-        norms = np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y))
-        return pd.Series(np.clip(np.einsum("ij,ij->i", x, y) / (norms + 1e-8), 0.0, 1.0))
+        return pd.Series(_cosines(np.stack(a.to_list()), np.stack(b.to_list())) if len(a) else [], dtype="float64")
 
     q, n = queries.select("query_id", F.col("embedding").alias("a")), nodes.select("node_id", F.col("embedding").alias("b"))
     scored = pairs.join(q, "query_id").join(n, "node_id").select("query_id", "node_id", cosine("a", "b").alias("score")).where(F.col("score") >= threshold)
-    return scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id"))).where(F.col("r") <= k)
+    return scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+
+
+def _bucketed(queries: DataFrame, nodes: DataFrame, k: int, threshold: float, tables: int, bits: int, apart: bool) -> DataFrame:
+    """(query_id, node_id, score): each task's best ``k`` of the pairs that share a bucket and reach the threshold."""
+    spark = nodes.sparkSession
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, node_id {dict(nodes.dtypes)['node_id']}, score double"
+    nodes = nodes.where(F.col("embedding").isNotNull()).select("node_id", "embedding")
+
+    def scored(ids: np.ndarray, a: np.ndarray, _: np.ndarray) -> DataFrame:
+        held = spark.sparkContext.broadcast((ids, a, _signatures(a, tables, bits, 1)))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, a, keys = held.value
+            unit, found = _unit(a), []
+            order = np.argsort(keys, axis=0, kind="stable")
+            for batch in batches:
+                for at in range(0, len(batch), BLOCK):
+                    some = batch.iloc[at : at + BLOCK]
+                    b, node = np.array(some["embedding"].tolist(), dtype=np.float64), some["node_id"].to_numpy()
+                    own, sides, codes = _signatures(b, tables, bits, 1), _unit(b), []
+                    for t in range(tables):
+                        mine, lies = keys[order[:, t], t], np.argsort(own[:, t], kind="stable")
+                        theirs = own[lies, t]
+                        both = np.intersect1d(mine, theirs)
+                        ends = [np.searchsorted(x, both, side=side) for x in (mine, theirs) for side in ("left", "right")]
+                        for q0, q1, n0, n1 in zip(*ends, strict=True):
+                            i, j = order[q0:q1, t], lies[n0:n1]
+                            # a little below the threshold: the cosines below are rounded in another order
+                            x, y = np.nonzero(np.maximum(unit[i] @ sides[j].T, 0.0) >= threshold - 1e-6)
+                            codes.append(i[x] * len(b) + j[y])
+                    i, j = np.divmod(np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64), len(b))
+                    if apart:
+                        other = ids[i] != node[j]
+                        i, j = i[other], j[other]
+                    s = np.concatenate([_cosines(a[i[c : c + QUERIES]], b[j[c : c + QUERIES]]) for c in range(0, len(i), QUERIES)]) if len(i) else np.zeros(0)
+                    inside = s >= threshold
+                    found.append((i[inside], node[j[inside]], s[inside]))
+                    found = [_best(found, k)]
+            if found:
+                i, node, s = found[0]
+                yield pd.DataFrame({"query_id": ids[i], "node_id": node, "score": s})
+
+        return nodes.mapInPandas(run, schema)
+
+    parts = _passes(queries)
+    first, second = next(parts, None), next(parts, None)
+    if first is None:
+        return spark.createDataFrame([], schema)
+    if second is None:
+        return scored(*first)
+    path = new_path(spark, "vector-scores")
+    for part in (first, second, *parts):
+        scored(*part).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _unit(a: np.ndarray) -> np.ndarray:
+    return a / (np.sqrt((a * a).sum(1))[:, None] + 1e-300)
+
+
+def _best(found: list, most: int) -> tuple[np.ndarray, ...]:
+    """The best ``most`` a query of (query, node, score), ties by node."""
+    i, node, s = _joined(found)
+    order = np.lexsort((node, -s, i))
+    i, node, s = i[order], node[order], s[order]
+    inside = np.arange(len(i)) - np.searchsorted(i, i) < most
+    return i[inside], node[inside], s[inside]
 
 
 def search_recall(queries: DataFrame, nodes: DataFrame, k: int = 5, threshold: float = 0.6, tables: int = 16, bits: int = 8, sample: int = 200, apart: bool = False) -> float:
@@ -197,7 +255,7 @@ def audited_search(queries: DataFrame, nodes: DataFrame, k: int = 5, threshold:
     while tables <= most:
         got = search_recall(queries, nodes, k, threshold, tables, bits, apart=apart)
         if got >= recall:
-            return approximate_search(queries, nodes, k, threshold, tables, bits, written(signature_index(nodes, tables, bits), "signatures"), apart).withColumn("recall", F.lit(got))
+            return approximate_search(queries, nodes, k, threshold, tables, bits, apart=apart).withColumn("recall", F.lit(got))
         tables *= 2
     return vector_search(queries, nodes, k, threshold, apart).withColumn("recall", F.lit(1.0))
 

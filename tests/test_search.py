@@ -121,6 +121,18 @@ def test_approximate_search_is_exact_in_scores_and_audited(spark):
     assert again == set(got)
 
 
+def test_approximate_search_shuffles_no_pairs_and_keeps_with_several_passes(spark, monkeypatch):
+    x = vectors(np.random.default_rng(5), 300)
+    q, n = frames(spark, x, every=3)
+    kept = related.signature_index(n, 8, 6)
+    want = {(r.query_id, r.node_id, r.r): r.score for r in related.approximate_search(q, n, 5, 0.0, 8, 6, index=kept).collect()}
+    once = related.approximate_search(q, n, 5, 0.0, 8, 6)
+    assert "Join" not in once._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.query_id, r.node_id, r.r): r.score for r in once.collect()} == want and len(want) > 300
+    monkeypatch.setattr(related, "QUERIES", 30)
+    assert {(r.query_id, r.node_id, r.r): r.score for r in related.approximate_search(q, n, 5, 0.0, 8, 6).collect()} == want
+
+
 def test_audited_search_falls_back_to_the_exact_way(spark):
     x = np.random.default_rng(3).normal(size=(120, 16)).astype(np.float32)
     q, n = frames(spark, x, every=5)
