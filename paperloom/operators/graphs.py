@@ -7,12 +7,15 @@ handled together.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
-from paperloom.workspace import cut, new_path
+from paperloom.workspace import cut, new_path, written
 
 #: Node types, the chain of levels, and the types that stand alone, below the title, and without children.
 TYPES = ["title", "primary_area", "keyword", "tldr", "claim", "method", "experiment"]
@@ -22,6 +25,8 @@ SECOND = ["tldr", "primary_area", "keyword"]
 LEAVES = ["primary_area", "keyword", "experiment"]
 
 
+#: Rows of a graph that a task peels by itself.
+GRAPH = 100_000
 #: The messages of the rules.
 MESSAGES = {
     "empty": "Empty graph",
@@ -48,70 +53,150 @@ def say(message: str, **values: Column) -> Column:
 
 
 def _typed(ent: DataFrame, rel: DataFrame) -> DataFrame:
-    """Edges with the types of both ends (null for unknown ends). Of equal labels the last entity counts."""
-    last = ent.groupBy("paper_id", "label").agg(F.max_by("type", "ord").alias("type"))
-    s = last.select("paper_id", F.col("label").alias("source"), F.col("type").alias("source_type"))
-    t = last.select("paper_id", F.col("label").alias("target"), F.col("type").alias("target_type"))
-    return rel.join(s, ["paper_id", "source"], "left").join(t, ["paper_id", "target"], "left")
+    """Edges with the types of both ends (null for unknown ends). Of equal labels the last entity counts.
+
+    ``source_n`` and ``target_n`` are the numbers of entities of each type of the chain that carry the label.
+    """
+    n = F.struct(*[F.count_if(F.col("type") == t).alias(t) for t in CHAIN])
+    last = ent.groupBy("paper_id", "label").agg(F.max_by("type", "ord").alias("type"), n.alias("n"))
+    for end in ("source", "target"):
+        rel = rel.join(last.select("paper_id", F.col("label").alias(end), F.col("type").alias(f"{end}_type"), F.col("n").alias(f"{end}_n")), ["paper_id", end], "left")
+    return rel
 
 
 def validate_graphs(ent: DataFrame, rel: DataFrame, papers: DataFrame, cycles: bool = True) -> DataFrame:
-    """(paper_id, rule, message): one row a violation; "Empty graph" or "Valid" for the others. Rules 0 to 8."""
-    e = _typed(ent, rel)
+    """(paper_id, rule, message): one row a violation; "Empty graph" or "Valid" for the others. Rules 0 to 8.
+
+    The typed edges and the violations are written once; edges, nodes and papers are each read once for all their rules.
+    """
+    e = written(_typed(ent, rel), "graph-edges")
     unknown_s, unknown_t = F.col("source_type").isNull(), F.col("target_type").isNull()
     known = e.where(~unknown_s & ~unknown_t)
-    row = lambda rule, text: ["paper_id", F.lit(rule).alias("rule"), text.alias("message")]
-    found = []
+    none = F.array().cast("array<struct<rule:int,message:string>>")
+    times = lambda n, rule, text: F.array_repeat(F.struct(F.lit(rule).alias("rule"), text.alias("message")), n.cast("int"))
+    rule = lambda when, rule, text: F.when(when, times(F.lit(1), rule, text)).otherwise(none)
+    told = lambda df, rules: df.select("paper_id", F.explode(F.concat(*rules)).alias("x")).select("paper_id", "x.rule", "x.message")
+    pair = list(zip(CHAIN[:-1], CHAIN[1:], strict=True))
+
     twice = ent.groupBy("paper_id", "label").agg(F.count("*").alias("n"), F.min("ord").alias("o")).where("n > 1")
     names = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "o", "label", "n"))), lambda x: F.concat(x["label"], F.lit(" ("), x["n"].cast("string"), F.lit(")")))
-    found.append(twice.groupBy("paper_id").agg(say("twice", names=F.array_join(names, ", ")).alias("m")).select(*row(0, F.col("m"))))
-    found.append(e.where(unknown_s).select(*row(0, say("source", label=F.col("source")))))
-    found.append(e.where(unknown_t).select(*row(0, say("target", label=F.col("target")))))
-    filled = papers.select("paper_id").distinct().join(ent.select("paper_id").distinct(), "paper_id", "left_semi")
-    per = filled.withColumn("type", F.explode(F.array(*map(F.lit, SINGLE)))).join(ent.groupBy("paper_id", "type").agg(F.count("*").alias("n")), ["paper_id", "type"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    found.append(per.where("n <> 1").select(*row(1, say("single", n=F.col("n"), type=F.col("type")))))
-    incoming = known.groupBy("paper_id", F.col("target").alias("label")).agg(F.count("*").alias("n_in"), F.min_by("source_type", "ord").alias("first_in"))
-    outgoing = known.groupBy("paper_id", F.col("source").alias("label")).agg(F.count("*").alias("n_out"))
-    nodes = ent.join(incoming, ["paper_id", "label"], "left").join(outgoing, ["paper_id", "label"], "left").withColumn("n_in", F.coalesce("n_in", F.lit(0))).withColumn("n_out", F.coalesce("n_out", F.lit(0)))
-    one_title = per.where("type = 'title' and n = 1").select("paper_id")
-    found.append(nodes.where("type = 'title' and n_in > 0").join(one_title, "paper_id", "left_semi").select(*row(2, say("title_in"))))
-    second = nodes.where(F.col("type").isin(SECOND))
-    found.append(second.where("n_in <> 1").select(*row(3, say("second_in", n=F.col("n_in"), type=F.col("type"), label=F.col("label")))))
-    found.append(second.where("n_in > 0 and first_in <> 'title'").select(*row(3, say("second_from", type=F.col("type"), other=F.col("first_in")))))
-    found.append(nodes.where(F.col("type").isin(LEAVES) & (F.col("n_out") > 0)).select(*row(4, say("leaf_out", n=F.col("n_out"), type=F.col("type")))))
-    pair = list(zip(CHAIN[:-1], CHAIN[1:], strict=True))
-    # an edge is judged once for each entity that carries its label
-    out_e = ent.select("paper_id", F.col("label").alias("source"), F.col("type").alias("own")).join(known, ["paper_id", "source"])
-    in_e = ent.select("paper_id", F.col("label").alias("target"), F.col("type").alias("own")).join(known, ["paper_id", "target"])
-    for a, b in pair:
-        found.append(out_e.where((F.col("own") == a) & (F.col("target_type") != b)).select(*row(5, say("illegal_out", type=F.lit(a), other=F.col("target_type")))))
-        found.append(in_e.where((F.col("own") == b) & (F.col("source_type") != a)).select(*row(5, say("illegal_in", other=F.col("source_type"), type=F.lit(b)))))
-        up = known.where(F.col("source_type") == a).select("paper_id", F.col("target").alias("label"))
-        found.append(ent.where(F.col("type") == b).join(up, ["paper_id", "label"], "left_anti").select(*row(6, say("no_in", type=F.lit(b), other=F.lit(a)))))
-        down = known.where(F.col("target_type") == b).select("paper_id", F.col("source").alias("label"))
-        found.append(ent.where(F.col("type") == a).join(down, ["paper_id", "label"], "left_anti").select(*row(7, say("no_out", type=F.lit(a), other=F.lit(b)))))
+    twice = twice.groupBy("paper_id").agg(say("twice", names=F.array_join(names, ", ")).alias("message")).select("paper_id", F.lit(0).alias("rule"), "message")
+
+    rules = [rule(unknown_s, 0, say("source", label=F.col("source"))), rule(unknown_t, 0, say("target", label=F.col("target")))]
+    for x, y in pair:  # an edge is judged once for each entity that carries its label
+        rules.append(F.when(~unknown_s & (F.col("target_type") != y), times(F.col("source_n")[x], 5, say("illegal_out", type=F.lit(x), other=F.col("target_type")))).otherwise(none))
+        rules.append(F.when(~unknown_t & (F.col("source_type") != x), times(F.col("target_n")[y], 5, say("illegal_in", other=F.col("source_type"), type=F.lit(y)))).otherwise(none))
+    of_edges = told(e, rules)
+
+    per = ent.groupBy("paper_id").agg(*[F.count_if(F.col("type") == t).alias(t) for t in SINGLE])
+    filled = papers.select("paper_id").distinct().join(per, "paper_id")
+    of_papers = told(filled, [rule(F.col(t) != 1, 1, say("single", n=F.col(t), type=F.lit(t))) for t in SINGLE])
+
+    among = lambda c: F.collect_set(F.when(F.col(c).isin(CHAIN), F.col(c)))
+    incoming = known.groupBy("paper_id", F.col("target").alias("label")).agg(F.count("*").alias("n_in"), F.min_by("source_type", "ord").alias("first_in"), among("source_type").alias("above"))
+    outgoing = known.groupBy("paper_id", F.col("source").alias("label")).agg(F.count("*").alias("n_out"), among("target_type").alias("below"))
+    nodes = ent.join(incoming, ["paper_id", "label"], "left").join(outgoing, ["paper_id", "label"], "left")
+    nodes = nodes.withColumns({"n_in": F.coalesce("n_in", F.lit(0)), "n_out": F.coalesce("n_out", F.lit(0))})
+    kind = F.col("type")
+    rules = [
+        rule((kind == "title") & (F.col("n_in") > 0), 2, say("title_in")),
+        rule(kind.isin(SECOND) & (F.col("n_in") != 1), 3, say("second_in", n=F.col("n_in"), type=kind, label=F.col("label"))),
+        rule(kind.isin(SECOND) & (F.col("n_in") > 0) & (F.col("first_in") != "title"), 3, say("second_from", type=kind, other=F.col("first_in"))),
+        rule(kind.isin(LEAVES) & (F.col("n_out") > 0), 4, say("leaf_out", n=F.col("n_out"), type=kind)),
+    ]
+    for x, y in pair:
+        rules.append(rule((kind == y) & ~F.coalesce(F.array_contains("above", x), F.lit(False)), 6, say("no_in", type=F.lit(y), other=F.lit(x))))
+        rules.append(rule((kind == x) & ~F.coalesce(F.array_contains("below", y), F.lit(False)), 7, say("no_out", type=F.lit(x), other=F.lit(y))))
+    one_title = filled.where("title = 1").select("paper_id", F.lit(True).alias("one"))
+    of_nodes = told(nodes, rules).join(one_title, "paper_id", "left").where((F.col("rule") != 2) | F.col("one")).drop("one")
+
+    errors = twice.unionByName(of_edges).unionByName(of_papers).unionByName(of_nodes)
     if cycles:
-        found.append(topological_levels(rel).where("level is null").select("paper_id").distinct().join(filled, "paper_id", "left_semi").select(*row(8, say("cycle"))))
-    errors = found[0]
-    for f in found[1:]:
-        errors = errors.unionByName(f)
-    empty = papers.select("paper_id").distinct().join(filled, "paper_id", "left_anti").select(*row(-1, say("empty")))
-    valid = filled.join(errors.select("paper_id").distinct(), "paper_id", "left_anti").select(*row(-1, say("valid")))
-    return errors.unionByName(empty).unionByName(valid)
+        circular = topological_levels(rel).where("level is null").select("paper_id").distinct().join(filled, "paper_id", "left_semi")
+        errors = errors.unionByName(circular.select("paper_id", F.lit(8).alias("rule"), say("cycle").alias("message")))
+    errors = written(errors, "graph-errors")
+    wrong = errors.select("paper_id").distinct().withColumn("wrong", F.lit(True))
+    state = papers.select("paper_id").distinct().join(per.select("paper_id", F.lit(True).alias("filled")), "paper_id", "left").join(wrong, "paper_id", "left")
+    fine = state.where("filled is null or wrong is null").select("paper_id", F.lit(-1).alias("rule"), F.when(F.col("filled").isNull(), say("empty")).otherwise(say("valid")).alias("message"))
+    return errors.unionByName(fine)
 
 
 def topological_levels(rel: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(paper_id, label, level): rounds of peeling nodes without remaining incoming edges; null for nodes on or behind cycles.
 
+    Graphs of at most ``GRAPH`` rows are dealt by paper once and peeled inside the tasks, many at a time. Larger ones are
+    peeled together by rounds of joins.
+    """
+    # an end without a label is no node; a row without target is a node alone
+    e = rel.select("paper_id", F.coalesce("source", "target").alias("source"), F.when(F.col("source").isNotNull(), F.col("target")).alias("target"))
+    if nodes is not None:
+        e = e.unionByName(nodes.select("paper_id", F.col("label").alias("source"), F.lit(None).cast("string").alias("target")))
+    e = e.where("source is not null")
+    large = cut(e.groupBy("paper_id").agg(F.count("*").alias("n")).where(F.col("n") > GRAPH).select("paper_id"))
+    if large.isEmpty():
+        return _peeled(e)
+    by_rounds = _levels_by_rounds(e.join(large, "paper_id", "left_semi"))
+    return _peeled(e.join(large, "paper_id", "left_anti")).unionByName(by_rounds)
+
+
+def _peeled(e: DataFrame) -> DataFrame:
+    """Levels of graphs that fit into a task; tasks hold the rows of some papers at a time."""
+
+    def levels(t: pa.Table) -> pa.RecordBatch:
+        paper = t["paper_id"].combine_chunks().dictionary_encode("encode")
+        label = pa.concat_arrays([*t["source"].chunks, *t["target"].chunks]).dictionary_encode()
+        own = paper.indices.to_numpy().astype(np.int64)
+        code = label.indices.fill_null(-1).to_numpy().astype(np.int64).reshape(2, -1)
+        width = len(label.dictionary)
+        edge = code[1] >= 0
+        key, at = np.unique(np.concatenate([own * width + code[0], (own * width + code[1])[edge]]), return_inverse=True)
+        source, target = at[: len(own)][edge], at[len(own) :]
+        order = np.argsort(source, kind="stable")
+        target, first, out = target[order], np.searchsorted(source[order], np.arange(len(key))), np.bincount(source, minlength=len(key))
+        into, level = np.bincount(target, minlength=len(key)), np.full(len(key), -1, np.int32)
+        free = np.flatnonzero(into == 0)
+        for n in itertools.count():
+            if not len(free):
+                break
+            level[free] = n
+            times = out[free]
+            reached, gone = np.unique(target[np.repeat(first[free] - np.cumsum(times) + times, times) + np.arange(times.sum())], return_counts=True)
+            into[reached] -= gone
+            free = reached[into[reached] == 0]
+        columns = [paper.dictionary.take(pa.array(key // width)), label.dictionary.take(pa.array(key % width)), pa.array(level, mask=level < 0)]
+        return pa.RecordBatch.from_arrays(columns, ["paper_id", "label", "level"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) < GRAPH:
+                continue
+            t = pa.Table.from_batches(held)
+            paper = t["paper_id"].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            whole = int(np.searchsorted(paper, paper[-1]))  # the last paper may go on
+            if whole:
+                yield levels(t.slice(0, whole))
+            held = t.slice(whole).to_batches()
+        if held:
+            yield levels(pa.Table.from_batches(held))
+
+    # by number: Spark drops a repartition by columns above a join on them, and may then turn the join into a broadcast
+    n = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = e.repartitionById(n, F.pmod(F.xxhash64("paper_id"), F.lit(n)).cast("int"))
+    return dealt.sortWithinPartitions("paper_id").mapInArrow(run, f"paper_id {dict(e.dtypes)['paper_id']}, label string, level int")
+
+
+def _levels_by_rounds(e: DataFrame) -> DataFrame:
+    """Levels of graphs of any size.
+
     Each round is a few joins over the remaining edges with a checkpoint, and adds its nodes to one table; the driver sees
     whether there were any. There are as many rounds as the deepest graph has levels.
     """
-    e = rel.select("paper_id", "source", "target").distinct()
-    ends = e.select("paper_id", F.col("source").alias("label")).unionByName(e.select("paper_id", F.col("target").alias("label")))
-    if nodes is not None:
-        ends = ends.unionByName(nodes.select("paper_id", "label"))
+    spark, ends = e.sparkSession, e.select("paper_id", F.col("source").alias("label")).unionByName(e.where("target is not null").select("paper_id", F.col("target").alias("label")))
+    e = cut(e.where("target is not null").distinct())
     left = cut(ends.distinct())
-    path = new_path(rel.sparkSession, "graph-levels")
+    path = new_path(spark, "graph-levels")
     for level in itertools.count():
         targets = e.select("paper_id", F.col("target").alias("label"))
         free = cut(left.join(targets, ["paper_id", "label"], "left_anti").withColumn("level", F.lit(level)))
@@ -122,7 +207,7 @@ def topological_levels(rel: DataFrame, nodes: DataFrame | None = None) -> DataFr
         left = cut(left.join(gone, ["paper_id", "label"], "left_anti"))
         e = cut(e.join(gone.withColumnRenamed("label", "source"), ["paper_id", "source"], "left_anti"))
     rest = left.withColumn("level", F.lit(None).cast("int"))
-    return rel.sparkSession.read.schema(free.schema).parquet(path).unionByName(rest) if level else rest
+    return spark.read.schema(free.schema).parquet(path).unionByName(rest) if level else rest
 
 
 def has_cycle(rel: DataFrame) -> DataFrame:

@@ -381,3 +381,51 @@ def test_minhash_titles_of_one_vocabulary(spark):
     near = joins.minhash_title_join(q, c, 90)
     assert sorted(near.collect()) == sorted(joins.fuzzy_title_join(q, c, 90).collect())
     assert "explode(keys" not in near._jdf.queryExecution().toString()
+
+
+def _some_graphs(spark):
+    """Random graphs with labels that several entities carry, unknown ends, circles, and one long chain."""
+    import random
+
+    rng, ent, rel = random.Random(5), [], []
+    for p in range(60):
+        n = rng.randint(1, 9)
+        ent += [(p, i, f"n{rng.randint(0, n)}", rng.choice([*graphs.TYPES, None, "other"]), "d") for i in range(n)]
+        rel += [(p, i, f"n{rng.randint(0, n + 1)}", f"n{rng.randint(0, n + 1)}") for i in range(rng.randint(0, 9))]
+    rel += [(99, i, f"c{i}", f"c{i + 1}") for i in range(40)] + [(98, 0, None, "x"), (98, 1, "y", None)]
+    return spark.createDataFrame(ent, ENT), spark.createDataFrame(rel, REL)
+
+
+def test_levels_take_no_round_of_joins_a_level(spark, monkeypatch):
+    ent, rel = _some_graphs(spark)
+    cuts, cut = [], graphs.cut
+    monkeypatch.setattr(graphs, "cut", lambda df: cuts.append(1) or cut(df))
+    got = sorted(graphs.topological_levels(rel, ent).collect(), key=repr)
+    assert len(cuts) == 1
+    want = {}
+    edges, nodes = {}, {(r.paper_id, r.label) for r in ent.collect()}
+    for r in rel.collect():
+        nodes |= {(r.paper_id, x) for x in (r.source, r.target) if x is not None}
+        if None not in (r.source, r.target):
+            edges.setdefault((r.paper_id, r.target), set()).add((r.paper_id, r.source))
+    for level in range(60):
+        free = [v for v in nodes if v not in want and all(want.get(s, level) < level for s in edges.get(v, ()))]
+        want |= dict.fromkeys(free, level)
+    assert {(r.paper_id, r.label): r.level for r in got} == {v: want.get(v) for v in nodes} and len(got) == len(nodes)
+    monkeypatch.setattr(graphs, "GRAPH", 8)  # the larger graphs by rounds, the others several to a chunk
+    rel = rel.where("paper_id < 90 or ord < 3")
+    small = graphs.topological_levels(rel.where("paper_id < 20"), ent.where("paper_id < 20")).collect()
+    assert {(r.paper_id, r.label): r.level for r in small} == {v: want.get(v) for v in nodes if v[0] < 20} and len(cuts) > 3
+
+
+def test_validation_reads_edges_and_nodes_once(spark, monkeypatch):
+    """Every rule is told in one pass over the typed edges or the nodes; labels that several entities carry count each."""
+    ent, rel = _some_graphs(spark)
+    ent = ent.unionByName(spark.createDataFrame([(70, i, x, t, "d") for i, (x, t) in enumerate([("a", "claim"), ("a", "claim"), ("b", "experiment"), ("t", "title")])], ENT))
+    rel = rel.unionByName(spark.createDataFrame([(70, 0, "a", "b")], REL))
+    typed, tables = graphs._typed, []
+    monkeypatch.setattr(graphs, "written", lambda df, what, written=graphs.written: tables.append(what) or written(df, what))
+    monkeypatch.setattr(graphs, "_typed", lambda e, r: typed(e, r))
+    got = graphs.validate_graphs(ent, rel, ent.select("paper_id")).collect()
+    assert tables == ["graph-edges", "graph-errors"]
+    assert sorted(r.message for r in got if r.paper_id == 70 and r.rule == 5) == ["Found illegal incoming edge from 'claim' to 'experiment'"] + ["Found illegal outgoing edge from 'claim' to 'experiment'"] * 2
