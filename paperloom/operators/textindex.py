@@ -11,6 +11,10 @@ several files by the papers' ids, so no task writes or reads all rows of a term.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,8 @@ from paperloom.functions.stem import stem, stem_words
 
 #: Buckets of terms: folders of the table.
 BUCKETS = 64
+#: Fields of papers whose words are counted together.
+ROWS = 500
 #: Weights of the fields.
 WEIGHTS = {"title": 1.0, "abstract": 0.4}
 
@@ -33,10 +39,27 @@ def _bucket(term: Column, buckets: int) -> Column:
 
 
 def postings(papers: DataFrame, stemmed: bool = False, buckets: int = BUCKETS) -> DataFrame:
-    """Rows of the index for ``papers(id, title, abstract, citation_count)``."""
+    """Rows of the index for ``papers(id, title, abstract, citation_count)``.
+
+    All words of a row are together, so they are counted where the row lies and only the counts are dealt.
+    """
     fields = F.array(*[F.struct(F.lit(f).alias("field"), terms_of(F.col(f), stemmed).alias("terms")) for f in WEIGHTS])
-    words = papers.select("id", "citation_count", F.explode(fields).alias("x")).select("id", "citation_count", "x.field", F.explode("x.terms").alias("term"))
-    counted = words.groupBy("term", "id", "field", "citation_count").agg(F.count("*").cast("int").alias("tf"))
+    words = papers.select("id", "citation_count", F.explode(fields).alias("x")).select("id", "citation_count", "x.field", "x.terms")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                some = batch.slice(at, ROWS)
+                terms = some["terms"].flatten().dictionary_encode()
+                if len(terms) == 0:
+                    continue
+                width, row = len(terms.dictionary), np.repeat(np.arange(len(some)), some["terms"].value_lengths().to_numpy())
+                key, tf = np.unique(row * width + terms.indices.to_numpy(), return_counts=True)
+                own = some.select(["id", "field", "citation_count"]).take(pa.array(key // width))
+                yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(key % width)), own["id"], own["field"], own["citation_count"], pa.array(tf.astype(np.int32))], ["term", "id", "field", "citation_count", "tf"])
+
+    kinds = dict(words.dtypes)
+    counted = words.mapInArrow(run, f"term string, id {kinds['id']}, field string, citation_count {kinds['citation_count']}, tf int")
     return counted.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", "id", "field", "tf", "citation_count")
 
 

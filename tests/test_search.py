@@ -242,3 +242,13 @@ def test_citation_scores_join_no_vectors_to_edges(spark):
     rows = got.collect()
     assert sorted((r.paper_id, r.polarity, r.cited_title, round(r.score, 9)) for r in rows) == want
     assert all(r.r == 1 + sum((-o.score, o.cited_title) < (-r.score, r.cited_title) for o in rows if (o.paper_id, o.polarity) == (r.paper_id, r.polarity)) for r in rows if r.paper_id < 2)
+
+
+def test_postings_are_counted_where_the_papers_lie(spark, monkeypatch):
+    monkeypatch.setattr(textindex, "ROWS", 3)
+    df = spark.createDataFrame([(1, "A b", "b, b c", 5), (2, None, "", 1), (3, "x", None, None), (4, "B", "c c c", 2)], "id long, title string, abstract string, citation_count long")
+    got = textindex.postings(df)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {("a", 1, "title", 1, 5), ("b", 1, "title", 1, 5), ("b", 1, "abstract", 2, 5), ("c", 1, "abstract", 1, 5), ("x", 3, "title", 1, None), ("b", 4, "title", 1, 2), ("c", 4, "abstract", 3, 2)}
+    rows = [tuple(r)[1:] for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
