@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import decontaminate as leaks
 from paperloom.llm import mixing, ngram_join, pii, quality
-from paperloom.llm.shared import clean_up, cut, last_path, mark, written
+from paperloom.llm.shared import TEXT_ROWS, batches_of, clean_up, cut, last_path, mark, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Keys of rejected rows are broadcast up to so many rows (of about 60 bytes); more are joined by shuffle.
@@ -70,7 +70,8 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = _keyed(docs)
-    return _without(keyed, leaks.find_leaks(keyed.select(RID, "text"), _read(spark, sf_dir, "benchmark"), id_col=RID))
+    with batches_of(spark, TEXT_ROWS):
+        return _without(keyed, leaks.find_leaks(keyed.select(RID, "text"), _read(spark, sf_dir, "benchmark"), id_col=RID))
 
 
 def stage_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import components, cut, parts_for, release, text_bytes, written
+from paperloom.llm.shared import TEXT_ROWS, batches_of, components, cut, parts_for, release, text_bytes, written
 
 WORDS = 5
 SIMILAR = 80
@@ -206,7 +206,8 @@ def _class_sets(docs: DataFrame, classes: DataFrame, id_col: str, text: str, siz
     rows = rows.join(wanted, F.col("id").eqNullSafe(F.col("__rep")), "left_semi").select("text")
     sets = rows.mapInPandas(run, "key binary, n long, hashes array<long>")
     sets = sets.join(classes.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    return written(sets.withColumn("cid", F.monotonically_increasing_id()), "shingle-sets")
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        return written(sets.withColumn("cid", F.monotonically_increasing_id()), "shingle-sets")
 
 
 def overlaps(values: np.ndarray, sizes: np.ndarray, left: int, width: int = COLUMNS) -> np.ndarray:
@@ -316,7 +317,8 @@ def chunk_pairs(sized: DataFrame) -> DataFrame:
 def join_similar(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """(id_col, n_shingles, component_id, key): one row a row of ``docs``; ``key`` tells its set (null: empty)."""
     kind = dict(docs.dtypes)[id_col]
-    light = cut(set_sizes(docs, id_col, text, size).withColumn("id", F.col("id").cast(kind)))
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        light = cut(set_sizes(docs, id_col, text, size).withColumn("id", F.col("id").cast(kind)))
     near = light.where((F.col("n") > 0) & (100 * F.col("shared") >= similar * F.col("n")))
     classes = cut(near.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies")))
     sets = _class_sets(docs, classes.select("key", F.col("least").cast("string").alias("rep")), id_col, text, size)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import cut, forget, parts_for, release, small, text_bytes
+from paperloom.llm.shared import TEXT_ROWS, batches_of, cut, forget, parts_for, release, small, text_bytes
 
 ORDER = 5
 QUANTILE = 0.9995
@@ -51,7 +51,7 @@ SHARD_BYTES = 24_000_000
 #: Units of the fixed-point sums: of an event's log-probability, and of a text's excess.
 LOG_UNIT, EXCESS_UNIT = 1 << 24, 1_000_000
 #: Grams are cut from so many words at a time.
-WORDS_AT_ONCE = 50_000
+WORDS_AT_ONCE = 10_000
 #: A task hands over its counts when it holds so many distinct words.
 HELD_WORDS = 500_000
 
@@ -166,21 +166,20 @@ class Grams:
         self.depth, self.chars = np.concatenate(depths)[first], np.concatenate(chars)[first]
         self.seed = seed
 
-    def tails(self) -> list[np.ndarray]:
+    def tails(self) -> Iterator[np.ndarray]:
         """Keys of each gram's last 0, 1, .. ORDER characters (of shorter grams whatever comes out)."""
         return self._keys(0)
 
-    def contexts(self) -> list[np.ndarray]:
+    def contexts(self) -> Iterator[np.ndarray]:
         """Keys of the 0, 1, .. ORDER - 1 characters before each gram's last one."""
         return self._keys(1)
 
-    def _keys(self, skip: int) -> list[np.ndarray]:
+    def _keys(self, skip: int) -> Iterator[np.ndarray]:
         h = np.full(len(self.depth), self.seed, dtype=np.uint64)
-        out = [_spread(h)]
+        yield _spread(h)
         for back in range(skip, ORDER):
             h = _step(h, self.chars[:, back].astype(np.uint64))
-            out.append(_spread(h))
-        return out
+            yield _spread(h)
 
     def wanted(self) -> np.ndarray:
         """Sorted distinct keys of all tails and contexts."""
@@ -194,15 +193,15 @@ class Grams:
         ``keys`` are sorted; what the model lacks is NaN. A gram that was not seen gets its context's back-off weight
         and the log-probability of its next shorter tail.
         """
-        tails, contexts = self.tails(), self.contexts()
-        base = logp[np.searchsorted(keys, tails[0][:1])]
+        tails = self.tails()
+        base = logp[np.searchsorted(keys, next(tails)[:1])]
         if np.isnan(base).all():
             return None
         p = np.full(len(self.depth), float(base[0]))
-        for n in range(1, ORDER + 1):
+        for n, (tail, context) in enumerate(zip(tails, self.contexts(), strict=True), 1):
             on = np.flatnonzero(self.depth >= n)
-            seen = logp[np.searchsorted(keys, tails[n][on])].astype(np.float64)
-            back = np.nan_to_num(bow[np.searchsorted(keys, contexts[n - 1][on])].astype(np.float64), nan=0.0)
+            seen = logp[np.searchsorted(keys, tail[on])].astype(np.float64)
+            back = np.nan_to_num(bow[np.searchsorted(keys, context[on])].astype(np.float64), nan=0.0)
             p[on] = np.where(np.isnan(seen), back + p[on], seen)
         units = np.rint(p * LOG_UNIT).astype(np.int64)[self.number]
         return np.add.reduceat(units, np.concatenate([[0], np.cumsum(self.sizes[:-1], dtype=np.int64)]))
@@ -498,12 +497,14 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", quant
     base = docs.select(F.col(id_col), "text", "lang")
     trusted = small(cut(trusted_ids.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()))
     shards = parts_for(text_bytes(base), SHARD_BYTES)
-    table = cut(model(count_grams(base.join(trusted, id_col, "left_semi"))))
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        table = cut(model(count_grams(base.join(trusted, id_col, "left_semi"))))
     forget(docs.sparkSession)  # the model is written: its shuffle files need not wait for the driver's next collection
     text = F.coalesce("text", F.lit(""))
     rows = base.select(F.col(id_col).alias("k"), F.xxhash64(text).alias("h"), F.col("lang").isNull().alias("ln"), F.coalesce("lang", F.lit("")).alias("lang"), text.alias("text"))
     answered = answers(requests(rows, shards), dealt(table, shards))
-    scored = cut(score_blocks(pack(rows), answered, kind))
+    with batches_of(docs.sparkSession, TEXT_ROWS):
+        scored = cut(score_blocks(pack(rows), answered, kind))
     forget(docs.sparkSession)
     lang = F.when(~F.col("ln"), F.col("lang")).alias("lang")
     log_perplexity = F.when(F.col("n_events") > 0, -F.col("units") / LOG_UNIT / F.col("n_events")).alias("log_perplexity")

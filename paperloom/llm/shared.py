@@ -7,13 +7,15 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.workspace import clean_up, cut, forget, last_path, mark, new_path, shared_dir, written
+from paperloom.workspace import batches_of, clean_up, cut, forget, last_path, mark, new_path, shared_dir, written
 
-__all__ = ["clean_up", "components", "cut", "forget", "last_path", "mark", "new_path", "parts_for", "release", "shared_dir", "small", "text_bytes", "written"]
+__all__ = ["TEXT_ROWS", "batches_of", "clean_up", "components", "cut", "forget", "last_path", "mark", "new_path", "parts_for", "release", "shared_dir", "small", "text_bytes", "written"]
 
 
 #: Checkpoints of up to so many rows (of a few numbers or a short text each) are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows of whole texts in an Arrow batch.
+TEXT_ROWS = 1000
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

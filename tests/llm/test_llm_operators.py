@@ -604,3 +604,26 @@ def test_products_hand_memory_back(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([sets], kind), pa.array([[]], kind)], names=["one", "two"])
     assert [x.to_pydict() for x in ngram_join._product(80)(iter([batch, batch]))] == [{"a": [2], "b": [1]}] * 2
     assert len(given) == 2
+
+
+def test_whole_texts_meet_python_in_small_batches(spark, monkeypatch):
+    """An executor and its Python workers hold a batch of texts each; the session's own setting comes back."""
+    import pyarrow as pa
+
+    from paperloom.llm import shared
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    most = lambda: spark.range(0, 100, 1, 1).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in bs), "n long").agg({"n": "max"}).first()[0]
+    with shared.batches_of(spark, 7):
+        assert most() == 7
+        with shared.batches_of(spark, 1000):
+            assert most() == 7
+    assert spark.conf.get(key) == was and most() == 100
+    asked = []
+    for module in (quality, ngram_join):
+        monkeypatch.setattr(module, "batches_of", lambda s, n: asked.append(n) or shared.batches_of(s, n))
+    docs = spark.createDataFrame([(i, f"some words of a text {i}", "en") for i in range(20)], "doc_id long, text string, lang string")
+    assert quality.judge(docs, docs.select("doc_id")).count() == 20
+    assert ngram_join.join_similar(docs).count() == 20
+    assert asked == [shared.TEXT_ROWS] * 4 and spark.conf.get(key) == was
