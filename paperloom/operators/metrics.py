@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,9 @@ from paperloom.functions.stem import stem_words
 from paperloom.operators.aggregate import correlation, describe, rating_stats  # noqa: F401
 from paperloom.operators.quantiles import quantiles, with_quantiles
 
+#: Words or n-grams that a task compares at a time.
+PIECE = 200_000
+
 ratio0 = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
@@ -205,30 +211,53 @@ def _compared_words(df: DataFrame, pred: str, ref: str, stem: bool) -> tuple[Col
     return tuple(stem_words(w, least=4) for w in both) if stem else both
 
 
+def _sizes(lists: pa.ListArray) -> np.ndarray:
+    return lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """How many entries both have in common from the start."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    return int(other[0]) if len(other) else n
+
+
+def _pieces(a: pa.ListArray, b: pa.ListArray, most: int = PIECE) -> Iterator[tuple[pa.ListArray, pa.ListArray]]:
+    """The rows of a batch in pieces of up to ``most`` entries of both sides, or of one row."""
+    ends = np.cumsum(_sizes(a) + _sizes(b))
+    at = 0
+    while at < len(a):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield a.slice(at, to - at), b.slice(at, to - at)
+        at = to
+
+
 def rouge_n(df: DataFrame, key: str, pred: str, ref: str, n: int, stem: bool = False) -> DataFrame:
     """(key, f1) of n-gram overlaps of lower-cased words, counted as multisets within each row, no shuffle.
 
-    With ``stem`` words of over three letters are stemmed. N-grams become 64-bit hashes on the JVM side; a batch's overlaps
-    are counted together.
+    With ``stem`` words of over three letters are stemmed. N-grams become 64-bit hashes on the JVM side; the overlaps of
+    a bounded number of them are counted together.
     """
 
-    def keys(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all rows, each mixed with its row, and the rows."""
-        sizes = np.array([len(x) for x in lists], dtype=np.int64)
+    def keys(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all rows, each mixed with its row, and the rows' sizes."""
+        sizes = _sizes(lists)
         row = np.repeat(np.arange(len(lists), dtype=np.uint64), sizes)
-        hashes = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists]).view(np.uint64) if sizes.sum() else np.zeros(0, np.uint64)
         with np.errstate(over="ignore"):
-            return hashes ^ ((row + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), sizes
+            return lists.flatten().to_numpy().view(np.uint64) ^ ((row + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), sizes
 
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+    def some(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
         (ka, na), (kb, nb) = keys(a), keys(b)
         ua, first, ca = np.unique(ka, return_index=True, return_counts=True)
         ub, cb = np.unique(kb, return_counts=True)
         _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
         row = np.searchsorted(np.cumsum(na), first[ia], side="right")
         shared = np.bincount(row, weights=np.minimum(ca[ia], cb[ib]), minlength=len(a))
-        return pd.Series(np.divide(2.0 * shared, na + nb, out=np.zeros(len(a)), where=na + nb > 0))
+        return np.divide(2.0 * shared, na + nb, out=np.zeros(len(a)), where=na + nb > 0)
+
+    @F.arrow_udf("double")
+    def score(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.empty(0), *[some(x, y) for x, y in _pieces(a, b)]]))
 
     def grams(words: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(words) - n + 1)
@@ -241,18 +270,26 @@ def rouge_n(df: DataFrame, key: str, pred: str, ref: str, n: int, stem: bool = F
 
 
 def rouge_l(df: DataFrame, key: str, pred: str, ref: str, stem: bool = False) -> DataFrame:
-    """(key, f1) of the longest common word subsequence; Arrow batches, one integer a column of the table."""
-
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            ids: dict[str, int] = {}
-            p, r = ([ids.setdefault(w, len(ids)) for w in v] for v in (x, y))
-            if len(p) > len(r):
-                p, r = r, p
-            out.append(2.0 * lcs_length(p, r) / (len(p) + len(r)) if len(p) + len(r) else 0.0)
-        return pd.Series(out, dtype="float64")
+    """(key, f1) of the longest common word subsequence; Arrow batches, one integer a column of the table.
+
+    Words are numbers before they are Python objects, a bounded number of them at a time.
+    """
+
+    def some(a: pa.ListArray, b: pa.ListArray) -> Iterator[float]:
+        numbers = pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode().indices.to_numpy()
+        ends = np.cumsum(np.concatenate([_sizes(a), _sizes(b)]))
+        rows = np.split(numbers, ends[:-1])
+        for p, r in zip(rows[: len(a)], rows[len(a) :], strict=True):
+            total = len(p) + len(r)
+            # what both begin or end with is in a longest common subsequence
+            head = _agreeing(p, r)
+            tail = _agreeing(p[head:][::-1], r[head:][::-1])
+            p, r = sorted((p[head : len(p) - tail].tolist(), r[head : len(r) - tail].tolist()), key=len)
+            yield 2.0 * (head + tail + lcs_length(p, r)) / total if total else 0.0
+
+    @F.arrow_udf("double")
+    def score(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([f1 for x, y in _pieces(a, b) for f1 in some(x, y)], pa.float64())
 
     return df.select(key, score(*_compared_words(df, pred, ref, stem)).alias("f1"))
 

@@ -3,7 +3,9 @@
 import json
 import random
 import time
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -429,3 +431,34 @@ def test_validation_reads_edges_and_nodes_once(spark, monkeypatch):
     got = graphs.validate_graphs(ent, rel, ent.select("paper_id")).collect()
     assert tables == ["graph-edges", "graph-errors"]
     assert sorted(r.message for r in got if r.paper_id == 70 and r.rule == 5) == ["Found illegal incoming edge from 'claim' to 'experiment'"] + ["Found illegal outgoing edge from 'claim' to 'experiment'"] * 2
+
+
+def _brute_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b, 1):
+            new.append(row[j - 1] + 1 if x == y else max(row[j], new[-1]))
+        row = new
+    return row[-1]
+
+
+def test_rouge_holds_pieces_of_a_batch(spark, monkeypatch):
+    """Pieces of a few words give what brute force gives, also for one row beyond a piece, nulls and empty texts."""
+    rng = random.Random(3)
+    draw = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
+    data = [(i, draw(rng.randint(0, 9)), draw(rng.randint(0, 9))) for i in range(60)] + [(60, None, "a"), (61, "", ""), (62, draw(80), draw(90)), (63, "x a b", "a b"), (64, "a b", "a b x")]
+    df = spark.createDataFrame(data, "k long, p string, r string").repartition(2)
+    pieces = metrics._pieces
+    monkeypatch.setattr(metrics, "_pieces", lambda a, b: pieces(a, b, 12))
+    lists = [pa.array([[1] * n for n in sizes], pa.list_(pa.int64())) for sizes in ([3, 0, 20, 5, 5], [3, 0, 0, 1, 1])]
+    seen = [(len(x), len(x.flatten()) + len(y.flatten())) for x, y in metrics._pieces(*lists)]
+    assert seen == [(2, 6), (1, 20), (2, 12)]
+    got = {r.k: r.f1 for r in metrics.rouge_l(df, "k", "p", "r").collect()}
+    two = {r.k: r.f1 for r in metrics.rouge_n(df, "k", "p", "r", 2).collect()}
+    for k, p, r in data:
+        p, r = (p or "").split(), (r or "").split()
+        assert got[k] == pytest.approx(2 * _brute_lcs(p, r) / (len(p) + len(r)) if p or r else 0.0)
+        a, b = (Counter(zip(x, x[1:])) for x in (p, r))
+        n = sum(a.values()) + sum(b.values())
+        assert two[k] == pytest.approx(2 * sum((a & b).values()) / n if n else 0.0)
