@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Prompts of a batch that a task holds as Python objects.
+ASKED = 100
+
+
 def hashing_encoder(df: DataFrame, text: str, dim: int = 256, out: str = "embedding") -> DataFrame:
     """Word counts hashed into ``dim`` places, weighted by inverse document frequency over ``df``, as unit vectors.
 
@@ -47,18 +52,24 @@ def require_encoder(df: DataFrame, name: str, column: str = "embedding") -> Data
 
 
 def respond_with(df: DataFrame, prompt: str, responder: Callable[[str], tuple[str, float]], error: str = "<error>") -> DataFrame:
-    """Rows of prompts to rows of responses: adds response and cost; a failed call is the sentinel at cost 0."""
+    """Rows of prompts to rows of responses: adds response and cost; a failed call is the sentinel at cost 0.
+
+    Columns stay Arrow's; only ``ASKED`` prompts at a time are Python objects.
+    """
     columns = df.columns
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for p in batch[prompt]:
-                try:
-                    out.append(responder(p))
-                except Exception:
-                    out.append((error, 0.0))
-            yield batch.assign(response=[x[0] for x in out], cost=[float(x[1]) for x in out])
+            for at in range(0, batch.num_rows, ASKED):
+                part = batch.slice(at, ASKED)
+                out = []
+                for p in part[prompt].to_pylist():
+                    try:
+                        out.append(responder(p))
+                    except Exception:
+                        out.append((error, 0.0))
+                replies = [pa.array([x[0] for x in out], pa.string()), pa.array([float(x[1]) for x in out], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *replies], names=[*columns, "response", "cost"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    return df.select(columns).mapInPandas(run, f"{schema}, response string, cost double")
+    return df.select(columns).mapInArrow(run, f"{schema}, response string, cost double")

@@ -462,3 +462,16 @@ def test_rouge_holds_pieces_of_a_batch(spark, monkeypatch):
         a, b = (Counter(zip(x, x[1:])) for x in (p, r))
         n = sum(a.values()) + sum(b.values())
         assert two[k] == pytest.approx(2 * sum((a & b).values()) / n if n else 0.0)
+
+
+def test_responses_hold_pieces_of_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(encode, "ASKED", 4)
+    data = [(i, None if i == 7 else "x" * i, float(i)) for i in range(10)]
+    df = spark.createDataFrame(data, "k long, p string, v double")
+    out = encode.respond_with(df, "p", lambda p: (f"<{len(p)}>", 1)).collect()
+    assert {tuple(r) for r in out} == {(k, p, v, "<error>" if p is None else f"<{len(p)}>", 0.0 if p is None else 1.0) for k, p, v in data}
+    held = []
+    batch = pa.RecordBatch.from_pydict({"p": [str(i) for i in range(10)]})
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, kind: held.extend(x.num_rows for x in run(iter([batch]))))
+    encode.respond_with(df.select("p"), "p", lambda p: (p, 0))
+    assert held == [4, 4, 2]
