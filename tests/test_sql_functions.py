@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,18 @@ def test_every_function_has_a_body(spark):
         assert sql.body_of(name)
 
 
+def test_characters_to_remove(spark):
+    """Over every character: the ranges hold what the negated classes do, and only ASCII blanks at the very ends go."""
+    chars = [chr(i) for i in [*range(0xD800), *range(0xE000, 0x110000, 7), 0x10FFFF]]
+    df = spark.createDataFrame([(chars[i : i + 5000],) for i in range(0, len(chars), 5000)], "a array<string>")
+    kept = lambda pattern: {r[0] for r in df.select(F.explode("a").alias("c")).where(F.regexp_replace("c", pattern, "") != "").collect()}
+    assert kept(tx.NOT_LOWER_OR_DIGIT) == {c for c in chars if re.fullmatch(r"[a-z0-9\s]", c, re.A)}
+    assert kept(tx.NOT_ASCII_LETTER) == {c for c in chars if re.fullmatch(r"[a-zA-Z\s]", c, re.A)}
+    ends = ["\t a \u2028", " a \x85", "\x0b\f\r\n", "\u3000a ", "b \n", "", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(ends)], "i int, t string").orderBy("i").select(tx.strip(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["a \u2028", "a \x85", "", "\u3000a", "b", "", None]
+
+
 # -- values of unknown shape
 
 
