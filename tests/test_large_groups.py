@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.operators import aggregate, sampling, tournament
+from paperloom.operators import aggregate, sampling, scoring, tournament
 from paperloom.operators.folds import ordered_fold
 from paperloom.operators.quantiles import quantiles
 from paperloom.sources import layout
@@ -208,3 +208,21 @@ def test_cut_keys_are_broadcast(spark):
         assert {r["g"]: r["count"] for r in got.groupBy("g").count().collect()} == {0: 600, 1: 400}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_rationales_of_large_groups(spark, monkeypatch):
+    """Groups dealt out by gram give what groups worked on whole give; whole ones are shuffled once, as texts."""
+    rng = random.Random(9)
+    rows = [(k, i, " ".join(rng.choice(["graph", "novel", "method", "the", "Zug", "müde", "x1"]) for _ in range(rng.randint(0, 30)))) for k in (1, 2, None) for i in range(40)]
+    rows += [(2, 5, "graph novel graph"), (3, 1, "the of"), (3, 2, "the and of"), (3, 3, None), (4, 0, ""), (5, 1, "same words"), (5, 2, "same words"), (1, 99, "")]
+    e = spark.createDataFrame(rows, "k int, i int, t string")
+    whole = scoring.best_rationale(e, "k", "t", "i", features=12)
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    whole = sorted(map(tuple, whole.collect()), key=str)
+    assert len(whole) == 6 and {(3, 2, 0.0), (4, 0, 0.0), (5, 1, 2.0)} <= set(whole) and all(s > 2 for k, _, s in whole if k in (1, 2, None))
+    for chars in (0, 1500):
+        monkeypatch.setattr(scoring, "GROUP_CHARS", chars)
+        for names in (0, 10):
+            monkeypatch.setattr(scoring, "BROADCAST_ROWS", names)
+            got = sorted(map(tuple, scoring.best_rationale(e, "k", "t", "i", features=12).collect()), key=str)
+            assert [r[:2] for r in got] == [r[:2] for r in whole] and [r[2] for r in got] == pytest.approx([r[2] for r in whole], abs=1e-8)
