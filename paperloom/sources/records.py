@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.functions.text import extract_spans, format_authors
+from paperloom.operators.filters import non_blank
 
 BAD = "_corrupt_record"
 
@@ -81,9 +82,12 @@ def scan_fulltext(spark: SparkSession, path: str) -> DataFrame:
     return fulltext(spark.read.schema(FULLTEXT).json(path))
 
 
-def review_table(results: DataFrame, entity_types: list[str]) -> DataFrame:
-    """Flat rows of reviewed papers with a graph and both rationales; graph labels as bullet columns."""
-    has = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+def review_table(results: DataFrame, entity_types: list[str], blank: bool = False) -> DataFrame:
+    """Flat rows of reviewed papers with a graph and both rationales; graph labels as bullet columns.
+
+    Rationales that are empty or white space alone count as missing; with ``blank`` only null ones do.
+    """
+    has = lambda c: c.isNotNull() if blank else non_blank(c)
     df = results.where((F.size("entities") > 0) & has(F.col("rationale")) & has(F.col("rationale_pred")))
     bullets = lambda t: F.array_join(F.transform(F.filter("entities", lambda e: e["type"] == t), lambda e: F.concat(F.lit("• "), e["label"])), "\n")
     return df.select("paper_id", "title", format_authors(F.col("authors")).alias("authors"), "rationale", "rationale_pred", *[bullets(t).alias(t) for t in entity_types])
