@@ -354,13 +354,13 @@ def citing_sentences(c: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(sentences, lambda s: F.transform(citation_keys(s), lambda k: F.struct(k.alias("key"), s.alias("sentence"))))))
 
 
-def bibitem_fields(block: Column) -> Column:
-    """Struct (key, title, year, authors joined by ``|``) of one ``\\bibitem`` block."""
+def bibitem_fields(block: Column, default: str = "Unknown Title") -> Column:
+    """Struct (key, title, year, authors joined by ``|``) of one ``\\bibitem`` block; ``default`` stands for a missing title."""
     body = F.regexp_replace(block, r"^\\bibitem(\[[^\]]*\])?\{[^}]*\}", "")
     parts = F.transform(F.split(body, r"\\newblock"), lambda p: strip(F.regexp_replace(squeeze(p), r"[.,]$", "")))
     year = F.nullif(F.regexp_extract(block, r"(?s)^.*\b((?:19|20)[0-9]{2})\b", 1), F.lit("")).try_cast("int")
     authors = F.array_join(F.transform(F.split(F.try_element_at(parts, F.lit(1)), r",\s+|\s+and\s+"), strip), "|")
-    title = F.coalesce(F.nullif(F.try_element_at(parts, F.lit(2)), F.lit("")), F.lit("Unknown Title"))
+    title = F.coalesce(F.nullif(F.try_element_at(parts, F.lit(2)), F.lit("")), F.lit(default))
     key = F.regexp_extract(block, r"^\\bibitem(?:\[[^\]]*\])?\{([^}]*)\}", 1)
     return F.struct(key.alias("key"), title.alias("title"), year.alias("year"), authors.alias("authors"))
 
@@ -370,7 +370,7 @@ def bibitem_blocks(c: Column) -> Column:
 
 
 def parse_bibitems(c: Column) -> Column:
-    return F.transform(bibitem_blocks(c), bibitem_fields)
+    return F.transform(bibitem_blocks(c), lambda b: bibitem_fields(b))
 
 
 def split_sentences(c: Column) -> Column:

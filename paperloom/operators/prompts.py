@@ -44,10 +44,10 @@ def imrad(sections: DataFrame, key: str, most: int | None = None) -> DataFrame:
     return out.select(key, *[shown(k) for k in tx.SECTION_KINDS])
 
 
-def bibitems(df: DataFrame, column: str) -> DataFrame:
-    """Explode ``\\bibitem`` blocks: key, title, year, authors (joined by ``|``)."""
+def bibitems(df: DataFrame, column: str, default: str = "Unknown Title") -> DataFrame:
+    """Explode ``\\bibitem`` blocks: key, title (``default`` if it is missing), year, authors (joined by ``|``)."""
     rows = df.withColumn("__b", F.explode(tx.bibitem_blocks(F.col(column)))).drop(column)
-    return rows.withColumn("__f", tx.bibitem_fields(F.col("__b"))).select(*[c for c in rows.columns if c != "__b"], "__f.*")
+    return rows.withColumn("__f", tx.bibitem_fields(F.col("__b"), default)).select(*[c for c in rows.columns if c != "__b"], "__f.*")
 
 
 def sanitise(df: DataFrame, list_most: int = 50, text_most: int = 1000, depth_most: int = 6, key_most: int | None = None) -> DataFrame:

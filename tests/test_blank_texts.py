@@ -3,8 +3,11 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from oracle import TABLES, difference, duck
+from paperloom.functions import text as tx
+from paperloom.operators import prompts
 from paperloom.plans import registry
 from paperloom.sources import records
 
@@ -26,7 +29,7 @@ def blank_texts(spark, tmp_path_factory):
     return str(made)
 
 
-@pytest.mark.parametrize("name", ["a8_review_table", "g13_clean_summary"])
+@pytest.mark.parametrize("name", ["a8_review_table", "g13_clean_summary", "g33_bibitems"])
 def test_query(spark, blank_texts, name):
     assert difference(registry.QUERIES[name](spark, blank_texts), duck(blank_texts), registry.ORACLE[name]) == ""
 
@@ -38,3 +41,13 @@ def test_review_table_without_blank_rationales(spark):
     ids = lambda **how: sorted(r["paper_id"] for r in records.review_table(df, ["claim"], **how).collect())
     assert ids() == [0]
     assert ids(blank=True) == [0, 1, 2, 3]
+
+
+def test_missing_titles(spark):
+    """A title of white space alone is missing; without a default of the caller's own it is unknown."""
+    blocks = [rf"\bibitem{{k}} A. Author. \newblock {t}. \newblock Venue, 2001." for t in ("", " \n", "alpha")]
+    df = spark.createDataFrame(list(enumerate(blocks)), "i int, b string")
+    titles = lambda **how: [r["title"] for r in prompts.bibitems(df, "b", **how).orderBy("i").collect()]
+    assert titles() == ["Unknown Title", "Unknown Title", "alpha"]
+    assert titles(default="") == ["", "", "alpha"]
+    assert [r["v"][0]["title"] for r in df.orderBy("i").select(tx.parse_bibitems(F.col("b")).alias("v")).collect()] == titles()
