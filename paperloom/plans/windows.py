@@ -43,7 +43,10 @@ def _annotated_by_day(t):
     events.unionByName(events.where("event_id % 5 = 0")).write.option("maxRecordsPerFile", 20_000).parquet(source)
     stream = t.spark.readStream.schema("event_id long, ts timestamp, event_type string").option("maxFilesPerTrigger", 8).parquet(source)
     annotate = lambda rows: rows.withColumn("label", F.upper("event_type"))
-    st.incremental_annotate_by_day(stream, annotate, out, "event_id", "ts", "3650 days", state).trigger(availableNow=True).start().awaitTermination()
+    writer = st.incremental_annotate_by_day(stream, annotate, out, "event_id", "ts", "3650 days", state)
+    with workspace.tasks_of_cores(t.spark):
+        run = writer.trigger(availableNow=True).start()
+    run.awaitTermination()
     return t.spark.read.parquet(out).select("event_id", "event_type", "label")
 
 

@@ -19,6 +19,8 @@ from paperloom.operators.tournament import elo_step
 
 #: Seconds of the periods a rule may name.
 PERIODS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+#: Rows of a batch to each task that writes them to a sink.
+WRITTEN = 20_000
 
 
 def parse_rule(rule: str) -> tuple[int, int]:
@@ -122,6 +124,7 @@ def incremental_annotate_by_day(stream: DataFrame, annotate: Callable[[DataFrame
     Repeats of a key within ``late`` go in the state store (and its entries with the watermark); rows later than that are
     dropped as late. The sink is dealt by day. Only the first batch of a run can have been written before, by a run that was
     interrupted: it reads the days of its own rows to leave out what is there; later batches read nothing of the sink.
+    A batch is held while it is written, as dealing it out reads it twice and the state store would go along each time.
     ``annotate`` must keep ``key`` and ``ts``.
     """
     rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
@@ -137,12 +140,12 @@ def incremental_annotate_by_day(stream: DataFrame, annotate: Callable[[DataFrame
 
     def step(batch: DataFrame, _: int) -> None:
         run = batch.sparkSession.sparkContext.getLocalProperty("spark.jobGroup.id")  # of the run; where unknown, all batches look
-        batch = batch.withColumn("day", F.to_date(ts))
-        first = run is None or done[0] != run
-        if first:
-            batch.persist()
-        annotate(unwritten(batch) if first else batch).repartitionByRange("day", key).write.mode("append").partitionBy("day").parquet(out)
-        if first:
+        batch = batch.withColumn("day", F.to_date(ts)).persist()
+        try:
+            tasks = batch.count() // WRITTEN + 1
+            first = run is None or done[0] != run
+            annotate(unwritten(batch) if first else batch).repartitionByRange(tasks, "day", key).write.mode("append").partitionBy("day").parquet(out)
+        finally:
             batch.unpersist()
         done[0] = run
 

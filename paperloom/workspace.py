@@ -71,6 +71,18 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, was)
 
 
+@contextlib.contextmanager
+def tasks_of_cores(spark: SparkSession) -> Iterator[None]:
+    """No more shuffle partitions than cores for what starts inside: each partition of a stream's state costs every batch a task and its files."""
+    key = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(was), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def last_path() -> str:
     """The path made last."""
     return _left[-1]

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom import workspace
 from paperloom.operators import aggregate, sampling, scoring, tournament
 from paperloom.operators.folds import ordered_fold
 from paperloom.operators.quantiles import quantiles
@@ -186,6 +187,41 @@ def test_later_batches_of_a_run_do_not_read_the_sink(spark, tmp_path, monkeypatc
     assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == [0, 1, 2] and len(read) == 1
 
 
+def test_a_batch_goes_through_the_state_once(spark, tmp_path):
+    """Dealing a batch out to be written does not run it again: the state store counts every key once."""
+    out, _, feed = annotated(spark, tmp_path)
+    for n in range(3):
+        feed([(3 * n + i, f"2024-01-0{i + 1} 10:00:00") for i in range(3)])
+    stream = spark.readStream.schema("event_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = st.incremental_annotate_by_day(stream, lambda d: d.withColumn("done", F.lit(True)), out, "event_id", "ts", "20 days", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"] > 0] == [3, 6, 9]
+    assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == list(range(9))
+
+
+def test_a_large_batch_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Also one of a single day; files stay few for a small one, however many partitions a shuffle has."""
+    monkeypatch.setattr(st, "WRITTEN", 10)
+    out, start, feed = annotated(spark, tmp_path)
+    feed([(i, "2024-01-01 10:00:00") for i in range(45)])
+    start().trigger(availableNow=True).start().awaitTermination(120)
+    assert 3 <= spark.read.parquet(out).select(F.input_file_name()).distinct().count() <= 5
+    assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == list(range(45))
+
+
+def test_a_stream_has_no_more_partitions_than_cores(spark):
+    key = "spark.sql.shuffle.partitions"
+    was, cores = spark.conf.get(key), spark.sparkContext.defaultParallelism
+    try:
+        for given, inside in ((str(10 * cores), str(cores)), ("1", "1")):
+            spark.conf.set(key, given)
+            with workspace.tasks_of_cores(spark):
+                assert spark.conf.get(key) == inside
+            assert spark.conf.get(key) == given
+    finally:
+        spark.conf.set(key, was)
+
+
 def test_a_batch_reads_its_days_only(spark, tmp_path):
     """The sink grows by days; the part that a batch reads of it stays the same."""
     out, sizes = str(tmp_path / "sink"), []
